@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_FAMILIES = ("retrieval",)
+_FAMILIES = ("retrieval", "profiling")
 
 
 def _collect(attribute: str) -> dict:

@@ -77,16 +77,65 @@ def sequence_breaks(log: DataFrame, sequence: str, bucket: int = 1_000_000) -> D
     return rows.filter((F.col("missing") > 0) | (F.col("copies") > 1))
 
 
-def running_minimum(rounds: DataFrame, key: str, order: str, size: str) -> DataFrame:
-    """Per key, whether each round beat every earlier one, and rounds since it last did."""
-    seq = Window.partitionBy(key).orderBy(order)
-    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    marked = rounds.withColumn("best_before", F.min(size).over(before)).withColumn(
+def prefix(df: DataFrame, key: list[str], order: str, chunk: int = 1_000_000, **folds) -> DataFrame:
+    """Exclusive prefix folds per key: what all earlier rows of the key amount to.
+
+    ``folds`` maps an output name to ``(fold, column)`` with fold one of min, max, sum. A key
+    may hold a third of all rows, so its order line is cut into chunks: a window never spans
+    more than one chunk, and each chunk contributes one row to the fold over chunks. The order
+    column is an integer that is unique within its key.
+    """
+    base = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
+    apply = {"min": F.min, "max": F.max, "sum": F.sum}
+    within = Window.partitionBy(*key, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    chunks = base.groupBy(*key, "_chunk").agg(
+        *[apply[fold](column).alias(f"_all_{name}") for name, (fold, column) in folds.items()]
+    )
+    across = Window.partitionBy(*key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.select(
+        *key, "_chunk",
+        *[apply[fold](f"_all_{name}").over(across).alias(f"_pre_{name}") for name, (fold, _) in folds.items()],
+    )
+    rows = base
+    for name, (fold, column) in folds.items():
+        rows = rows.withColumn(f"_in_{name}", apply[fold](column).over(within))
+    joined = rows.join(chunks, [*key, "_chunk"])
+    for name, (fold, _) in folds.items():
+        mine, earlier = F.col(f"_in_{name}"), F.col(f"_pre_{name}")
+        if fold == "sum":
+            both = F.coalesce(mine, F.lit(0)) + F.coalesce(earlier, F.lit(0))
+        else:
+            # least and greatest skip nulls and compare structs field by field.
+            both = (F.least if fold == "min" else F.greatest)(mine, earlier)
+        joined = joined.withColumn(name, both)
+    return joined.drop("_chunk", *[f"_{p}_{n}" for n in folds for p in ("in", "pre")])
+
+
+def previous(df: DataFrame, key: list[str], order: str, value: str, chunk: int = 1_000_000) -> DataFrame:
+    """The value of the row before, per key (null on the first row), as ``previous``."""
+    last = F.struct(F.col(order).alias("o"), F.col(value).alias("v"))
+    found = prefix(df, key, order, chunk, _last=("max", last))
+    return found.withColumn("previous", F.col("_last")["v"]).drop("_last")
+
+
+def convergence(rounds: DataFrame, key: str, order: str, size: str, cap: int,
+                patience: int = 2, chunk: int = 1_000_000) -> DataFrame:
+    """The counted stop: progress is a new smallest gap-set size.
+
+    A round without a strict shrink of the running minimum counts against the record; it stops
+    after ``patience`` such rounds in a row or at ``cap`` rounds, and is blocked if gaps remain.
+    """
+    seen = prefix(rounds, [key], order, chunk, best_before=("min", F.col(size)), before=("sum", F.lit(1)))
+    marked = seen.withColumn("round", F.col("before") + 1).withColumn(
         "shrunk", F.col("best_before").isNull() | (F.col(size) < F.col("best_before"))
-    ).withColumn("round", F.row_number().over(seq))
-    last_shrink = F.max(F.when(F.col("shrunk"), F.col("round"))).over(
-        Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     )
-    return marked.withColumn("without_shrink", F.col("round") - last_shrink).withColumn(
-        "smallest", F.least(F.coalesce("best_before", F.col(size)), F.col(size))
+    # The first round always shrinks, so a shrink exists at or before every round.
+    last = F.when(F.col("shrunk"), F.col("round"))
+    known = prefix(marked, [key], order, chunk, shrunk_before=("max", last))
+    counted = known.withColumn("rounds_without_shrink", F.col("round") - F.greatest(last, F.col("shrunk_before")))
+    stopped = (F.col("rounds_without_shrink") >= patience) | (F.col("round") >= cap)
+    return counted.select(
+        key, order, "round", size,
+        F.least(F.col(size), F.col("best_before")).alias("smallest"), "rounds_without_shrink",
+        (stopped & (F.col(size) > 0)).alias("blocked"),
     )

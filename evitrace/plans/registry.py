@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_FAMILIES = ("retrieval", "profiling")
+_FAMILIES = ("retrieval", "profiling", "lifecycle", "relations")
 
 
 def _collect(attribute: str) -> dict:

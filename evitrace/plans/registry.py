@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_FAMILIES = ("retrieval", "profiling", "lifecycle", "relations")
+_FAMILIES = ("retrieval", "profiling", "lifecycle", "relations", "evidence")
 
 
 def _collect(attribute: str) -> dict:

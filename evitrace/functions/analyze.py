@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evitrace.functions import unicode as U
+from evitrace.functions.let import let
 
 # Separators, the camel-case boundary, the technical suffixes.
 SEPARATORS = r"[\s,;:/\\()\[\]{}<>\"'`|!?]+"
@@ -58,7 +59,7 @@ def analyze_text(text: str) -> list[str]:
     return [t for raw in _split_raw(unicodedata.normalize("NFKC", text)) if raw for t in _expand(raw)]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def _tokens_udf(texts: pd.Series) -> pd.Series:
     seen: dict[str, list[str]] = {}
 
@@ -74,7 +75,7 @@ def _tokens_udf(texts: pd.Series) -> pd.Series:
                 out.extend(hit)
         return out
 
-    return texts.map(one)
+    return texts.map(lambda row: [one(t) for t in row])
 
 
 def _word_and_alias(word: Column) -> Column:
@@ -92,51 +93,62 @@ def _segment_tokens(part: Column) -> Column:
     )
 
 
-def _emit(item: Column) -> Column:
-    raw, symbol, alias = item["raw"], item["symbol"], item["alias"]
-    same = alias == symbol
-    # A plain word is its own only segment, so both emissions coincide.
-    plain = ~raw.rlike(r"[-_]|[a-z0-9][A-Z]|[^.]\.+[^.]")
-    parts = F.split(F.regexp_replace(raw, CAMEL, " "), r"\.+")
-    return (
-        F.when(plain & same, F.array(symbol, symbol))
-        .when(plain, F.array(symbol, symbol, alias, alias))
-        .otherwise(
-            F.concat(
-                F.when(same, F.array(symbol)).otherwise(F.array(symbol, alias)),
-                F.flatten(F.transform(parts, _segment_tokens)),
-            )
-        )
-    )
+# What makes one run of characters more than a plain word.
+_COMPOUND = r"[-_]|[a-z0-9][A-Z]|[^.]\.+[^.]"
 
 
 def jvm_tokens(text: Column) -> Column:
-    """Tokens of JVM-safe text, as built-in expressions only.
+    """Tokens of JVM-safe text, as built-in expressions only (a multiset: the order is free).
 
-    Each step binds what the next one reads more than once, so that no symbol is folded twice.
+    A plain word is its own only segment, so its symbol simply counts twice; only compounds are
+    taken apart. Every intermediate array is bound, so no run is folded or tested twice.
     """
-    named = F.transform(
-        F.split(text, _JVM_SEPARATORS),
-        lambda r: F.struct(
-            r.alias("raw"), U.casefold(F.btrim(r, F.lit(".-"))).alias("symbol")
-        ),
-    )
-    folded = F.transform(
-        F.filter(named, lambda x: x["symbol"] != ""),
-        lambda x: F.struct(
-            x["raw"].alias("raw"), x["symbol"].alias("symbol"), U.fold(x["symbol"]).alias("alias")
-        ),
-    )
-    return F.flatten(F.transform(folded, _emit))
+    none = F.array().cast("array<string>")
+    ascii_text = F.octet_length(text) == F.char_length(text)
 
+    def symbols(runs):
+        return F.filter(
+            F.transform(runs, lambda r: U.casefold(F.btrim(r, F.lit(".-")))), lambda s: s != ""
+        )
 
-def tokens(text: Column) -> Column:
-    """Tokens of any text: JVM expressions where exact, the Arrow UDF for the other rows.
+    def aliases(words):
+        changed = F.filter(F.transform(words, lambda w: F.nullif(U.fold(w), w)), lambda f: f.isNotNull())
+        return F.when(ascii_text, none).otherwise(changed)
+
+    def with_aliases(words):
+        return let(words, lambda w: F.concat(w, aliases(w)))
+
+    def taken_apart(compounds):
+        parts = F.flatten(F.transform(compounds, lambda r: F.split(F.regexp_replace(r, CAMEL, " "), r"\.+")))
+        return F.flatten(F.transform(parts, _segment_tokens))
 
-    Rows the JVM handles reach the UDF as nulls, so only text outside the Latin letters is
-    shipped to Python.
+    def emit(runs, compounds):
+        every = with_aliases(symbols(runs))
+        plain = with_aliases(symbols(F.filter(runs, lambda r: ~r.rlike(_COMPOUND))))
+        return F.when(F.size(compounds) == 0, let(every, lambda s: F.concat(s, s))).otherwise(
+            F.concat(every, plain, taken_apart(compounds))
+        )
+
+    return let(F.split(text, _JVM_SEPARATORS), lambda runs: let(
+        F.filter(runs, lambda r: r.rlike(_COMPOUND)), lambda compounds: emit(runs, compounds)
+    ))
+
+
+def tokens_of(*texts: Column) -> Column:
+    """Token arrays of several texts at once, as an array in the order given.
+
+    JVM expressions do what they do exactly; text with other characters goes to the Arrow UDF,
+    which sees nulls in place of everything else. Taking the fields together keeps one analyzer
+    in the plan however many fields there are. A missing text has no tokens.
     """
-    return F.coalesce(_tokens_udf(F.when(~U.jvm_safe(text), text)), jvm_tokens(text))
+    held = F.array(*[F.coalesce(t, F.lit("")) for t in texts])
+    foreign = _tokens_udf(F.transform(held, lambda t: F.when(~U.jvm_safe(t), t)))
+    return F.zip_with(foreign, held, lambda done, t: F.coalesce(done, jvm_tokens(t)))
+
+
+def tokens(text: Column) -> Column:
+    """Tokens of any one text."""
+    return F.get(tokens_of(text), F.lit(0))
 
 
 @F.pandas_udf(T.StringType())

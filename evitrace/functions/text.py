@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evitrace.functions import unicode as U
+from evitrace.functions.let import let
 from evitrace.vocab import RECORD_ID
 
 # Fixed value: what a merge field collapses to.
@@ -49,49 +50,72 @@ def fingerprint_text(message: str) -> str:
 SNIPPET_WINDOW = 240
 
 
+def _longest_hit(lowered: Column, terms: list[str]) -> Column:
+    """``{pos, len}`` of the longest term found; equally long terms keep the order given."""
+    ordered = sorted(enumerate(terms), key=lambda t: (-len(t[1]), t[0]))
+
+    def spot(term):
+        return let(F.locate(term, lowered), lambda at: F.when(
+            at > 0, F.struct(at.alias("pos"), F.lit(len(term)).alias("len"))
+        ))
+
+    spots = [spot(t) for _, t in ordered]
+    return F.coalesce(*spots, F.lit(None).cast("struct<pos:int,len:int>"))
+
+
 def snippet(text: Column, terms: list[str], window: int = SNIPPET_WINDOW) -> Column:
     """An excerpt of ``window`` characters around the longest query term found in the text.
 
     Cut at blanks and marked with an ellipsis where it was cut. Meant for the few rows left
     after top-k.
     """
-    body = F.btrim(text, F.lit(" \t\n\r\x0b\x0c"))
-    size = F.char_length(body)
-    lowered = F.lower(body)
-    # Longest first; equally long terms keep the order given.
-    ordered = sorted(enumerate(terms), key=lambda t: (-len(t[1]), t[0]))
-    spots = [
-        F.when(
-            F.locate(t, lowered) > 0,
-            F.struct(F.locate(t, lowered).alias("pos"), F.lit(len(t)).alias("len")),
+
+    def span(size, hit):
+        centre = hit["pos"] - 1 + F.floor(hit["len"] / 2).cast("int")
+        end = F.when(hit.isNull(), F.lit(window)).otherwise(
+            F.least(size, F.greatest(F.lit(0), centre - window // 2) + window)
         )
-        for _, t in ordered
-    ]
-    none = F.lit(None).cast("struct<pos:int,len:int>")
-    best = F.coalesce(*spots, none) if spots else none
-    centre = best["pos"] - 1 + F.floor(best["len"] / 2).cast("int")
-    wanted = F.greatest(F.lit(0), centre - window // 2)
-    end = F.when(best.isNull(), F.lit(window)).otherwise(F.least(size, wanted + window))
-    start = F.when(best.isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), end - window))
-    # Move both ends to a blank, when there is one inside the window.
-    ahead = F.locate(" ", F.substr(body, start + 1))
-    start2 = F.when(
-        (start > 0) & (ahead > 0) & (start + ahead - 1 < end), start + ahead
-    ).otherwise(start)
-    inside = F.substr(body, start2 + 1, end - start2)
-    back = F.char_length(inside) - F.char_length(F.substring_index(inside, " ", -1)) - 1
-    end2 = F.when((end < size) & (back > 0), start2 + back).otherwise(end)
-    cut = F.btrim(F.substr(body, start2 + 1, end2 - start2))
-    marked = F.concat(
-        F.when(start2 > 0, F.lit("…")).otherwise(F.lit("")),
-        cut,
-        F.when(end2 < size, F.lit("…")).otherwise(F.lit("")),
-    )
-    return (
-        F.when((body == "") | body.startswith("<AGENT_"), F.lit(None).cast("string"))
-        .when(size <= window, body)
-        .otherwise(marked)
-    )
+        return let(end, lambda e: F.struct(
+            F.when(hit.isNull(), F.lit(0)).otherwise(F.greatest(F.lit(0), e - window)).alias("start"), e.alias("end")
+        ))
+
+    # Both ends move to a blank, when there is one inside the window.
+    def trim_left(body, w):
+        ahead = F.locate(" ", F.substr(body, w["start"] + 1, w["end"] - w["start"]))
+        return let(ahead, lambda a: F.struct(
+            F.when((w["start"] > 0) & (a > 0), w["start"] + a).otherwise(w["start"]).alias("start"), w["end"].alias("end")
+        ))
+
+    def trim_right(body, size, w):
+        inside = F.substr(body, w["start"] + 1, w["end"] - w["start"])
+        back = let(inside, lambda x: F.char_length(x) - F.char_length(F.substring_index(x, " ", -1)) - 1)
+        return let(back, lambda k: F.struct(
+            w["start"].alias("start"),
+            F.when((w["end"] < size) & (k > 0), w["start"] + k).otherwise(w["end"]).alias("end"),
+        ))
+
+    def marked(body, size, w):
+        return F.concat(
+            F.when(w["start"] > 0, F.lit("…")).otherwise(F.lit("")),
+            F.btrim(F.substr(body, w["start"] + 1, w["end"] - w["start"])),
+            F.when(w["end"] < size, F.lit("…")).otherwise(F.lit("")),
+        )
+
+    def excerpt(body, size):
+        return let(
+            let(let(let(_longest_hit(F.lower(body), terms) if terms else F.lit(None).cast("struct<pos:int,len:int>"),
+                        lambda hit: span(size, hit)),
+                    lambda w: trim_left(body, w)),
+                lambda w: trim_right(body, size, w)),
+            lambda w: marked(body, size, w),
+        )
+
+    def whole(body):
+        return let(F.char_length(body), lambda size: F.when(
+            (body == "") | body.startswith("<AGENT_"), F.lit(None).cast("string")
+        ).when(size <= window, body).otherwise(excerpt(body, size)))
+
+    return let(F.btrim(text, F.lit(" \t\n\r\x0b\x0c")), whole)
 
 
 # Tags that end a line, and entities in the order they are decoded.

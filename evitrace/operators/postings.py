@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evitrace.functions.analyze import fold_name
+from evitrace.functions.analyze import fold_name, tokens_of
 
 
 def run_lengths(tokens: Column) -> Column:
@@ -27,21 +27,25 @@ def run_lengths(tokens: Column) -> Column:
     )
 
 
+def _analyzed(entries: DataFrame, fields: dict[str, Column], *keep: str) -> DataFrame:
+    return entries.select(*keep, tokens_of(*fields.values()).alias("_tok"))
+
+
+def _named(fields, values: Column) -> Column:
+    """An array of per-field values as ``{field, value}`` structs."""
+    names = F.array(*[F.lit(f) for f in fields])
+    return F.zip_with(names, values, lambda f, v: F.struct(f.alias("field"), v.alias("value")))
+
+
 def token_postings(entries: DataFrame, fields: dict[str, Column], id_col: str = "identity") -> DataFrame:
     """One row per (token, entry, field) with its frequency.
 
-    An entry's tokens are counted inside its own row, so nothing is shuffled and a token held
-    by a third of the corpus is no different from any other.
+    ``fields`` maps names to text columns. An entry's tokens are counted inside its own row, so
+    nothing is shuffled and a token held by a third of the corpus is no different from any other.
     """
-    sorted_fields = entries.select(
-        id_col, F.explode(
-            F.array(*[
-                F.struct(F.lit(f).alias("field"), F.array_sort(c).alias("tokens"))
-                for f, c in fields.items()
-            ])
-        ).alias("f"),
-    ).select(id_col, "f.field", "f.tokens")
-    runs = sorted_fields.select(id_col, "field", F.explode(run_lengths(F.col("tokens"))).alias("r"))
+    per_field = _analyzed(entries, fields, id_col).select(id_col, F.explode(_named(fields, F.col("_tok"))).alias("f"))
+    ordered = per_field.select(id_col, "f.field", F.array_sort("f.value").alias("tokens"))
+    runs = ordered.select(id_col, "field", F.explode(run_lengths(F.col("tokens"))).alias("r"))
     return runs.select("r.token", id_col, "field", "r.tf")
 
 
@@ -50,24 +54,20 @@ def document_frequency(entries: DataFrame, fields: dict[str, Column]) -> DataFra
 
     Distinctness is settled inside the row; the count combines map-side.
     """
-    all_tokens = F.array_distinct(F.flatten(F.array(*fields.values())))
     return (
-        entries.select(F.explode(all_tokens).alias("token"))
-        .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("document_frequency"))
+        _analyzed(entries, fields).select(F.explode(F.array_distinct(F.flatten("_tok"))).alias("token"))
+        .groupBy("token").agg(F.count(F.lit(1)).alias("document_frequency"))
     )
 
 
 def field_lengths(entries: DataFrame, fields: dict[str, Column]) -> DataFrame:
     """Mean token count per field over every entry, empty fields included."""
-    sizes = entries.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(f).alias("field"), F.size(c).alias("n")) for f, c in fields.items()])
-        ).alias("s")
+    sizes = _analyzed(entries, fields).select(
+        F.explode(_named(fields, F.transform("_tok", lambda held: F.size(held)))).alias("s")
     )
     return sizes.groupBy("s.field").agg(
         F.count(F.lit(1)).alias("documents"),
-        F.sum(F.col("s.n").cast("bigint")).alias("tokens"),
+        F.sum(F.col("s.value").cast("bigint")).alias("tokens"),
     ).withColumn("average_length", F.round(F.col("tokens") / F.col("documents"), 4))
 
 

@@ -37,7 +37,7 @@ class Corpus:
     """Entries with their declared facets and token fields.
 
     ``entries`` carries ``identity``, ``full_name``, ``metadata_type``, ``namespace``, ``lane``
-    and ``purpose``; ``fields`` maps the ranking fields to token-array columns over it.
+    and ``purpose``; ``fields`` maps the ranking fields to the text columns they index.
     """
 
     entries: DataFrame
@@ -113,7 +113,8 @@ def text_search(corpus: Corpus, request: Request, stats: DataFrame | None = None
     useful = rank.discriminates(F.col("_s"), len(request.terms))
     return best.filter(useful).select(
         "identity", "full_name", "metadata_type", F.col("lane").alias("lifecycle"), "score",
-        "matched_on", snippet(F.col("purpose"), request.terms).alias("snippet"),
+        rank.matched_on(corpus.fields, request.terms).alias("matched_on"),
+        snippet(F.col("purpose"), request.terms).alias("snippet"),
         F.lit("structured-plus-lexical" if request.facets else "lexical").alias("match_class"),
     )
 
@@ -125,7 +126,7 @@ def draft_search(corpus: Corpus, request: Request, stats: DataFrame | None = Non
     best = ranked.orderBy(F.desc("score"), "identity").limit(10).filter(F.col("score") > 0)
     return best.select(
         "identity", F.col("lane").alias("lifecycle"), F.round("score", 4).alias("score"),
-        "matched_on", F.lit("draft-lane").alias("match_class"),
+        rank.matched_on(corpus.fields, request.terms).alias("matched_on"), F.lit("draft-lane").alias("match_class"),
     )
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evitrace.functions.analyze import tokens
 from evitrace.functions.unicode import casefold
 from evitrace.operators.facets import Facet
 from evitrace.operators.search import Corpus
@@ -54,12 +53,12 @@ def entries(spark: SparkSession, sf_dir: str, for_text: bool = False) -> DataFra
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     rows = entries(spark, sf_dir, for_text=True)
     fields = {
-        "identity": tokens(F.concat_ws(" ", "identity", "full_name")),
-        "label": tokens(F.substring_index("purpose", "\n", 1)),
-        "purpose": tokens(F.col("purpose")),
-        "attribute": tokens(F.concat_ws(" ", "metadata_type", "full_name", "namespace", "family")),
-        "relationTarget": tokens(F.col("family")),
-        "sourcePath": tokens(F.col("source_path")),
+        "identity": F.concat_ws(" ", "identity", "full_name"),
+        "label": F.substring_index("purpose", "\n", 1),
+        "purpose": F.col("purpose"),
+        "attribute": F.concat_ws(" ", "metadata_type", "full_name", "namespace", "family"),
+        "relationTarget": F.col("family"),
+        "sourcePath": F.col("source_path"),
     }
     return Corpus(rows, facets_of(rows), fields)
 

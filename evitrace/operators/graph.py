@@ -50,14 +50,19 @@ def _name_keys(entries: DataFrame) -> DataFrame:
     ).select("identity", "n.stage", "n.key")
 
 
-def resolve_targets(entries: DataFrame, edges: DataFrame) -> DataFrame:
+def resolve_targets(entries: DataFrame, edges: DataFrame, few: DataFrame | None = None) -> DataFrame:
     """One row per folded target: how often it is named and what it resolves to.
 
+    ``few`` (target keys of a small written table) restricts the work to those targets; entries are
+    then filtered as they are scanned and only matching names are shuffled.
+
     The three lookups (full name, identity, member) are one aggregate over name keys and one
     join. Candidates stay rows (:func:`target_candidates`); here they are counted, so a name
     shared by very many entries does not become one very long list.
     """
     names = _name_keys(entries)
+    if few is not None:
+        names = names.join(few.withColumnRenamed("target_key", "key"), "key", "left_semi")
 
     def of(stage: str, fold) -> Column:
         return fold(F.when(F.col("stage") == stage, F.col("identity")))

@@ -6,39 +6,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evitrace.functions.unicode import casefold
+from evitrace.operators.graph import resolve_targets
 from evitrace.session import cut_lineage
 from evitrace.vocab import CONTAINMENT, CURRENT_LANE, DEPTH_LIMITS, EXACT, HEURISTIC
 
 _STEP = "struct<src:string,kind:string,dst:string,via:string,assurance:string,owner_ward:boolean>"
 
 
-def _hops(frontier: DataFrame, edges: DataFrame, entries: DataFrame, targets: DataFrame, direction: str) -> DataFrame:
-    """Every edge that leaves the frontier: node, to, kind, via, assurance, owner_ward."""
-    resolved = targets.select("target_key", "target_identity")
-    own = edges.withColumnRenamed("source", "node")
-    if direction == "incoming":
-        own = own.filter(F.col("kind") == CONTAINMENT)
-    followed = frontier.join(own, "node").join(resolved, "target_key", "left").select(
-        *frontier.columns, F.coalesce("target_identity", "target").alias("to"), "kind",
+def _hops(frontier: DataFrame, edges: DataFrame, entries: DataFrame, direction: str) -> DataFrame:
+    """Every edge that leaves the frontier: to, kind, via, assurance, owner_ward.
+
+    The frontier is a written table, so a small one meets the edges as they are scanned. Only
+    the targets of the frontier's own edges are resolved.
+    """
+    own = edges.filter(F.col("kind") == CONTAINMENT) if direction == "incoming" else edges
+    followed = cut_lineage(own.withColumnRenamed("source", "node").join(frontier, "node"))
+    keys = followed.select("target_key").distinct()
+    resolved = resolve_targets(entries, followed, few=keys).select("target_key", "target_identity")
+    carried = ["anchor", "node", "path", "min_assurance"]
+    forward = followed.join(resolved, "target_key", "left").select(
+        *carried, F.coalesce("target_identity", "target").alias("to"), "kind",
         F.col("target").alias("via"), "assurance", F.lit(direction == "incoming").alias("owner_ward"),
     )
     if direction != "incoming":
-        return followed
-    named = frontier.join(
-        entries.select(F.col("identity").alias("node"), "full_name"), "node", "left"
-    )
-    names = named.select(
-        *frontier.columns,
+        return forward
+    names = frontier.select(
+        *carried,
         F.explode(F.array_distinct(F.array_compact(F.array("node", F.nullif(F.col("full_name"), F.lit("")))))).alias("name"),
     ).withColumn("target_key", casefold(F.col("name")))
-    pointing = names.join(edges.select("target_key", "source", "kind", "assurance"), "target_key").select(
-        *frontier.columns, F.col("source").alias("to"), "kind", F.col("name").alias("via"), "assurance",
+    pointing = edges.select("target_key", "source", "kind", "assurance").join(names, "target_key").select(
+        *carried, F.col("source").alias("to"), "kind", F.col("name").alias("via"), "assurance",
         F.lit(False).alias("owner_ward"),
     )
-    return pointing.unionByName(followed)
+    return pointing.unionByName(forward)
 
 
-def walk(edges: DataFrame, entries: DataFrame, targets: DataFrame, anchors: DataFrame, depth: int,
+def walk(edges: DataFrame, entries: DataFrame, anchors: DataFrame, depth: int,
          direction: str = "incoming", lanes=(CURRENT_LANE,), include_heuristic: bool = False,
          stop_at: list[str] | None = None, distinct_nodes: bool = False) -> DataFrame:
     """Rows ``(anchor, node, hop, lifecycle, resolved, path, min_assurance)``.
@@ -47,53 +50,62 @@ def walk(edges: DataFrame, entries: DataFrame, targets: DataFrame, anchors: Data
     so a node reached by two edges of one level appears twice; ``distinct_nodes`` keeps the
     first chain of each. Nodes without an entry stay, unresolved. ``anchors`` has a ``node``
     column; several anchors walk side by side.
+
+    Each level is written to the checkpoint folder: while its file is small the edges are
+    scanned with it at hand and nothing of theirs is shuffled; a large one is joined by shuffle.
     """
     stop = sorted(stop_at or [])
     known = entries.select(F.col("identity").alias("to"), F.col("lane").alias("lifecycle"), F.col("full_name").alias("to_name"))
-    frontier = anchors.select(
-        F.col("node").alias("anchor"), "node", F.array().cast(f"array<{_STEP}>").alias("path"),
-        F.lit(EXACT).alias("min_assurance"),
+
+    def described(nodes: DataFrame) -> DataFrame:
+        """Entries of the given nodes, filtered at the scan."""
+        return known.join(nodes.select("to").distinct(), "to", "left_semi")
+
+    start = anchors.select(
+        F.col("node").alias("anchor"), F.col("node").alias("to"),
+        F.array().cast(f"array<{_STEP}>").alias("path"), F.lit(EXACT).alias("min_assurance"),
     )
-    visited = frontier.select("anchor", F.col("node").alias("to"))
+    frontier = cut_lineage(start.join(described(start), "to", "left").select(
+        "anchor", F.col("to").alias("node"), "path", "min_assurance", F.col("to_name").alias("full_name")
+    ))
+    visited = start.select("anchor", "to")
     levels = []
     for level in range(1, depth + 1):
-        hops = _hops(frontier, edges, entries, targets, direction)
+        hops = _hops(frontier, edges, entries, direction)
         if not include_heuristic:
             hops = hops.filter(F.col("assurance") == EXACT)
-        reached = hops.join(known, "to", "left").filter(
-            F.col("lifecycle").isNull() | F.col("lifecycle").isin(*lanes)
-        )
-        # The first level can only have visited its own anchor: no join is needed for that.
+        # Visited nodes are one row per node and anchor; the first level has its anchor only.
         if level == 1:
-            fresh = reached.filter(F.col("to") != F.col("anchor"))
+            hops = hops.filter(F.col("to") != F.col("anchor"))
         else:
-            fresh = reached.join(visited, ["anchor", "to"], "left_anti")
+            hops = hops.join(visited, ["anchor", "to"], "left_anti")
+        fresh = cut_lineage(hops)
+        reached = fresh.join(described(fresh), "to", "left").filter(
+            F.col("lifecycle").isNull() | F.col("lifecycle").isin(*lanes)
+        )
         step = F.struct(
             F.col("node").alias("src"), "kind", F.col("to").alias("dst"), "via", "assurance", "owner_ward"
         )
-        rows = fresh.select(
+        halted = F.coalesce(F.col("to").isin(stop) | F.col("to_name").isin(stop), F.lit(False)) if stop else F.lit(False)
+        rows = reached.select(
             "anchor", F.col("to").alias("node"), F.lit(level).alias("hop"), "lifecycle",
             F.col("lifecycle").isNotNull().alias("resolved"),
             F.concat("path", F.array(step)).alias("path"),
             F.when((F.col("assurance") == HEURISTIC) | (F.col("min_assurance") == HEURISTIC), HEURISTIC)
             .otherwise(EXACT).alias("min_assurance"),
-            F.coalesce(F.col("to").isin(stop) | F.col("to_name").isin(stop), F.lit(False)).alias("halted")
-            if stop else F.lit(False).alias("halted"),
+            F.col("to_name").alias("full_name"), halted.alias("halted"),
         )
         if distinct_nodes:
             first = rows.groupBy("anchor", "node").agg(F.min_by(F.struct(*rows.columns[2:]), F.to_json("path")).alias("r"))
             rows = first.select("anchor", "node", "r.*")
-        if level > 2:
-            # Beyond the usual two levels the plan would grow with the depth.
-            rows = cut_lineage(rows)
         levels.append(rows)
         if level < depth:
             visited = visited.unionByName(rows.select("anchor", F.col("node").alias("to"))).distinct()
-            frontier = rows.filter(~F.col("halted")).select("anchor", "node", "path", "min_assurance")
+            frontier = cut_lineage(rows.filter(~F.col("halted")).select("anchor", "node", "path", "min_assurance", "full_name"))
     out = levels[0]
     for rows in levels[1:]:
         out = out.unionByName(rows)
-    return out
+    return out.drop("full_name")
 
 
 def path_text(path) -> "F.Column":
@@ -104,13 +116,13 @@ def path_text(path) -> "F.Column":
     )
 
 
-def impact(edges: DataFrame, entries: DataFrame, targets: DataFrame, anchor: str, direction: str = "incoming",
+def impact(edges: DataFrame, entries: DataFrame, anchor: str, direction: str = "incoming",
            depth: int = DEPTH_LIMITS["impact"], lanes=(CURRENT_LANE,), include_heuristic: bool = False,
            top: int | None = None) -> DataFrame:
     """The walk from one anchor, at most two hops, ordered by hop and node."""
     spark = edges.sparkSession
     start = spark.createDataFrame([(anchor,)], "node string")
-    rows = walk(edges, entries, targets, start, max(1, min(depth, DEPTH_LIMITS["impact"])), direction, lanes, include_heuristic)
+    rows = walk(edges, entries, start, max(1, min(depth, DEPTH_LIMITS["impact"])), direction, lanes, include_heuristic)
     ordered = rows.select("node", "hop", "lifecycle", "resolved", path_text("path").alias("path"), "min_assurance").orderBy("hop", "node", "path")
     return ordered.limit(top) if top else ordered
 
@@ -118,7 +130,7 @@ def impact(edges: DataFrame, entries: DataFrame, targets: DataFrame, anchor: str
 def closure(starts: DataFrame, depends: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Everything each start transitively depends on, cycles included: ``(start, id)``.
 
-    Only newly found pairs are expanded, and each round is checkpointed, so lost executors
+    Only newly found pairs are expanded, and each round is written out, so lost executors
     re-read files instead of replaying the rounds. A closure that is still growing after
     ``max_rounds`` is an error rather than a partial answer.
     """

@@ -58,7 +58,7 @@ def context_sections(spark, sf):
 def _impact(anchor, direction, **options):
     def run(spark, sf):
         entries, edges = graph_entries(spark, sf), graph_edges(spark, sf)
-        return traverse.impact(edges, entries, graph.resolve_targets(entries, edges), anchor, direction, **options)
+        return traverse.impact(edges, entries, anchor, direction, **options)
 
     return run
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,6 +23,8 @@ def build_session(app: str = "evitrace", master: str | None = None, **conf: str)
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        # Recording a call site per column operation costs more than planning does.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
     }
     settings.update(conf)
     for key, value in settings.items():
@@ -32,6 +38,27 @@ def pin_utc(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    The Arrow functions are pickled by reference; executors that have no copy of the package
+    installed import it from this archive.
+    """
+    application = spark.sparkContext.applicationId
+    if application in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="evitrace-package-")) / "evitrace.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, os.path.join(package.name, file.relative_to(package)))
+    spark.sparkContext.addPyFile(str(archive))
+    _shipped.add(application)
+
+
 def require_checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder the cluster names.
 
@@ -52,6 +79,12 @@ def require_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: iterative operators restart from files, not from a long plan."""
-    require_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write an intermediate table to the shared checkpoint folder and read it back.
+
+    It is computed once, survives lost executors, and its file size is known to Catalyst, which
+    broadcasts it in later joins only below the session's own threshold.
+    """
+    spark = df.sparkSession
+    path = f"{require_checkpoint_dir(spark).rstrip('/')}/evitrace-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

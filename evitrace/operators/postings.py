@@ -71,6 +71,14 @@ def field_lengths(entries: DataFrame, fields: dict[str, Column]) -> DataFrame:
     ).withColumn("average_length", F.round(F.col("tokens") / F.col("documents"), 4))
 
 
+def entry_lengths(entries: DataFrame, fields: dict[str, Column], id_col: str = "identity") -> DataFrame:
+    """Token count per entry and field."""
+    rows = _analyzed(entries, fields, id_col).select(
+        id_col, F.explode(_named(fields, F.transform("_tok", lambda held: F.size(held)))).alias("s")
+    )
+    return rows.select(id_col, "s.field", F.col("s.value").alias("size"))
+
+
 def facet_postings(entries: DataFrame, facets: dict[str, Column], id_col: str = "identity") -> DataFrame:
     """One row per (facet, folded value, entry); multi-valued facets give one row per value."""
     def values(key: str, column: Column):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_FAMILIES = ("retrieval", "profiling", "lifecycle", "relations", "evidence")
+_FAMILIES = ("retrieval", "profiling", "lifecycle", "relations", "evidence", "maintenance")
 
 
 def _collect(attribute: str) -> dict:

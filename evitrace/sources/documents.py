@@ -68,9 +68,9 @@ def read_entries(spark: SparkSession, root: str) -> DataFrame:
     The first ``---`` block is the front matter. A document that does not parse stays as a row
     with its problem, so that it can be reported.
     """
-    texts = spark.read.option("wholetext", "true").option("pathGlobFilter", "*.md").option(
-        "recursiveFileLookup", "true"
-    ).text(root).select(F.col("_metadata.file_path").alias("path"), "value")
+    texts = spark.read.text(root, wholetext=True, pathGlobFilter="*.md", recursiveFileLookup=True).select(
+        F.col("_metadata.file_path").alias("path"), "value"
+    )
     parts = texts.select(
         "path", F.sha2("value", 256).alias("file_sha"),
         F.regexp_extract("value", r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n", 1).alias("front"),

@@ -77,7 +77,8 @@ def build(corpus: Corpus, root: str, edges: DataFrame | None = None) -> dict:
         sizes = postings.entry_lengths(entries, corpus.fields)
         put(sizes.repartitionByRange("identity").sortWithinPartitions("identity"), "sizes")
         facets = {k: f.column for k, f in corpus.facets.items()}
-        put(postings.facet_postings(entries, facets).sortWithinPartitions("facet", "value"), "facets")
+        if facets:
+            put(postings.facet_postings(entries, facets).sortWithinPartitions("facet", "value"), "facets")
         if edges is not None:
             put(edges.repartitionByRange("target_key", "source").sortWithinPartitions("target_key"), "edges")
             put(graph.resolve_targets(entries, edges), "targets")

@@ -95,12 +95,12 @@ def resolve(inputs: DataFrame, components: DataFrame, generic_paths: DataFrame |
         found = found.unionByName(more.select(*shape))
     if generic is not None:
         found = found.unionByName(generic)
-    found = found.distinct()
-    # Counts per tier, then the first tier that has any: only counts reach the grouping.
+    # Counts per tier, then the first tier that has any: only counts reach the grouping. A
+    # component meets an input at most once per tier, and several files show as unequal ends.
     per_tier = found.groupBy("kind", "input", "tier").agg(
-        F.count("component_id").alias("matches"), F.count_distinct("path").alias("files")
+        F.count("component_id").alias("matches"), (F.min("path") != F.max("path")).alias("scattered")
     )
-    won = per_tier.groupBy("kind", "input").agg(F.min_by(F.struct("tier", "matches", "files"), "tier").alias("w")).select(
+    won = per_tier.groupBy("kind", "input").agg(F.min_by(F.struct("tier", "matches", "scattered"), "tier").alias("w")).select(
         "kind", "input", "w.*"
     )
     joined = asked.join(won, ["kind", "input"], "left")
@@ -111,7 +111,7 @@ def resolve(inputs: DataFrame, components: DataFrame, generic_paths: DataFrame |
         .when(F.col("tier") == 4, "unsupported")
         .when(F.col("matches").isNull(), "unmatched")
         .when(F.col("matches") == 1, "resolved")
-        .when((F.col("kind") == "name") & (F.col("files") > 1), "ambiguous")
+        .when((F.col("kind") == "name") & F.col("scattered"), "ambiguous")
         .when(F.col("matches") > EXPANSION_CAP, "unsupported")
         .otherwise("expanded")
     )

@@ -93,7 +93,7 @@ def canonical_digest(spark, sf):
 
 
 def corpus_digest(spark, sf):
-    """Digest of the whole entry set: buckets of sorted (path, digest) pairs, then the buckets."""
+    """Digest of the whole entry set, whatever its order."""
     files = load(spark, sf, "documents").select(
         F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("sha256")
     )
@@ -492,9 +492,9 @@ SELECT id, CASE WHEN l = '' THEN NULL WHEN contains(l, '://') THEN lower(regexp_
  WHEN length(l) > 200 THEN substr(l, 1, 199) || '…' ELSE l END AS kept FROM t""",
     "section_map": "SELECT conv_id, turn, 2 AS sections, trim(text, chr(32) || chr(9) || chr(10)) AS purpose FROM conversations",
     "canonical_digest": """SELECT n_nationkey, 'sha256:' || sha256('{"key":' || n_nationkey || ',"name":"' || n_name || '","region":' || coalesce(CASE WHEN n_regionkey > 1 THEN n_regionkey::VARCHAR END, 'null') || '}') AS digest FROM nation""",
-    "corpus_digest": """WITH f AS (SELECT source || '/' || doc_id AS path, sha256(text) AS h FROM documents),
-b AS (SELECT substr(sha256(path), 1, 4) AS bucket, count(*) AS files, sha256(string_agg(path || ' ' || h, chr(10) ORDER BY path)) AS h FROM f GROUP BY 1)
-SELECT sum(files)::BIGINT AS files, 'sha256:' || sha256(string_agg(bucket || ' ' || h, chr(10) ORDER BY bucket)) AS digest FROM b""",
+    "corpus_digest": """WITH f AS (SELECT sha256(source || '/' || doc_id || chr(10) || sha256(text)) AS h FROM documents)
+SELECT count(*) AS files, 'sha256:' || sha256(concat_ws(' ', count(*), sum(('0x' || substr(h, 1, 15))::BIGINT), sum(('0x' || substr(h, 16, 15))::BIGINT),
+ sum(('0x' || substr(h, 31, 15))::BIGINT), sum(('0x' || substr(h, 46, 15))::BIGINT))) AS digest FROM f""",
     "line_evidence": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), e AS (SELECT doc_id, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS text FROM l)
 SELECT doc_id, line::INTEGER AS line, text FROM e WHERE line BETWEEN 2 AND 4""",
     "reconcile_fields": f"WITH {_SRC} SELECT * FROM r",

@@ -33,19 +33,17 @@ def relative(path: str, root: str) -> Column:
 def tree_digest(files: DataFrame) -> DataFrame:
     """One digest of all (path, sha256) pairs, and the number of files.
 
-    Paths are hashed into 65 536 buckets whose sorted lists are digested on their own; the final
-    list has one line per bucket. Buckets are even whatever the folders look like.
+    Each pair is hashed and the hashes are added up, segment by segment, as exact integers; the
+    digest covers the count and the sums. It depends on the set alone, not on its order, and
+    combines map-side, so no list of paths is ever gathered.
     """
-    bucket = F.substring(F.sha2("path", 256), 1, 4).alias("bucket")
-    line = F.concat_ws(" ", "path", "sha256")
-    buckets = files.groupBy(bucket).agg(
-        F.count(F.lit(1)).alias("files"),
-        F.sha2(F.array_join(F.transform(
-            F.array_sort(F.collect_list(F.struct("path", line.alias("line")))), lambda x: x["line"]
-        ), "\n"), 256).alias("h"),
-    )
-    ordered = F.array_sort(F.collect_list(F.concat_ws(" ", "bucket", "h")))
-    return buckets.agg(F.sum("files").alias("files"), digest(F.array_join(ordered, "\n")).alias("digest"))
+    pair = F.sha2(F.concat_ws("\n", "path", "sha256"), 256)
+    segments = [
+        F.sum(F.conv(F.substring(pair, 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"s{i}") for i in range(4)
+    ]
+    sums = files.agg(F.count(F.lit(1)).alias("files"), *segments)
+    stated = F.concat_ws(" ", F.col("files").cast("string"), *[F.coalesce(F.col(f"s{i}"), F.lit(0)).cast("string") for i in range(4)])
+    return sums.select("files", digest(stated).alias("digest"))
 
 
 def fingerprint(files: DataFrame) -> DataFrame:

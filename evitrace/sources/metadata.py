@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from evitrace.functions.text import safe_literal
 from evitrace.operators.graph import assurance, capped_edges
+from evitrace.sources import markup
 
 # Component type by file suffix (``<name>.<suffix>-meta.xml``).
 SUFFIX_TYPES = {
@@ -432,19 +433,55 @@ def criteria(nodes: DataFrame) -> DataFrame:
     )
 
 
+def page_components(routed: DataFrame) -> DataFrame:
+    """Page and component markup files, with their source."""
+    pages = routed.filter(F.col("metadata_type").isin("ApexPage", "ApexComponent") & ~F.col("path").endswith("-meta.xml"))
+    return pages.select(
+        F.concat_ws(":", "metadata_type", "stem").alias("component_id"), "metadata_type", F.col("stem").alias("name"), "path", "sha256",
+        F.lit(None).cast("string").alias("object_name"), F.create_map().cast("map<string,string>").alias("facts"),
+        F.decode("content", "UTF-8").alias("source"),
+    )
+
+
+def bundle_files(files: DataFrame) -> DataFrame:
+    """Files of web and Aura component bundles, named after their folder."""
+    inside = r"(?:^|/)(lwc|aura)/([^/]+)/"
+    kind = F.when(F.regexp_extract("path", inside, 1) == "lwc", "LightningComponentBundle").otherwise("AuraDefinitionBundle")
+    return files.filter(F.col("path").rlike(inside)).select(
+        kind.alias("metadata_type"), F.regexp_extract("path", inside, 2).alias("name"), "path", "sha256", "content"
+    ).withColumn("component_id", F.concat_ws(":", "metadata_type", "name"))
+
+
+def bundle_components(bundles: DataFrame) -> DataFrame:
+    """One component per bundle, located at its description file when it has one."""
+    described = F.struct((~F.col("path").endswith("-meta.xml")).alias("after"), "path", "sha256")
+    return bundles.groupBy("component_id", "metadata_type", "name").agg(F.min(described).alias("d")).select(
+        "component_id", "metadata_type", "name", "d.path", "d.sha256", F.lit(None).cast("string").alias("object_name"),
+        F.create_map().cast("map<string,string>").alias("facts"),
+    )
+
+
 def collect(files: DataFrame) -> dict[str, DataFrame]:
     """Components, edges, generic files and diagnostics of a scanned tree."""
-    routed = route(files)
+    bundles = bundle_files(files)
+    routed = route(files.filter(~F.col("path").rlike(r"(?:^|/)(lwc|aura)/[^/]+/")))
     nodes = elements(routed)
     marked = components(nodes)
     code = code_components(routed)
+    pages = page_components(routed)
     kept = capped_edges(markup_edges(nodes, marked), "component_id", "position", GRANT_PRIORITY, MAX_EDGES).select(
         "component_id", "kind", "target", F.lit(False).alias("flag")
     )
-    edges = kept.unionByName(code_edges(code)).select(
+    scripts = bundles.filter(F.col("path").rlike(r"\.(js|html|cmp|app|evt)$")).select("component_id", F.decode("content", "UTF-8").alias("source"))
+    found = kept
+    for more in (code_edges(code), markup.page_edges(pages), markup.bundle_edges(scripts), markup.page_edges(
+            scripts.filter(F.col("component_id").startswith("AuraDefinitionBundle")))):
+        found = found.unionByName(more)
+    edges = found.select(
         F.col("component_id").alias("source"), "kind", "target", assurance(F.col("kind"), F.col("flag")).alias("assurance")
     )
-    comps = marked.drop("part").unionByName(code.drop("source"))
+    comps = marked.drop("part").unionByName(code.drop("source")).unionByName(pages.drop("source")).unionByName(bundle_components(bundles))
     companions = routed.filter(F.col("metadata_type").isin(*CODE_TYPES.values())).select(F.concat("path", F.lit("-meta.xml")).alias("path"))
-    generic = files.select("path", "sha256").join(comps.select("path"), "path", "left_anti").join(companions, "path", "left_anti")
+    handled = comps.select("path").unionByName(companions).unionByName(bundles.select("path"))
+    generic = files.select("path", "sha256").join(handled, "path", "left_anti")
     return {"components": comps, "edges": edges, "generic": generic, "diagnostics": diagnostics(nodes)}

@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 
 from evitrace.functions import digest
 from evitrace.operators.search import Corpus, Request, text_search
-from evitrace.sources import documents, generation, metadata, tree
+from evitrace.operators import records
+from evitrace.sources import documents, flows, generation, markup, metadata, soql, tree
 from evitrace.streaming import index as index_stream
 from evitrace.streaming import ledger as stream
+from evitrace.vocab import OBJECT_KINDS
 
 
 def _put(root, path, text):
@@ -30,18 +32,32 @@ def source(tmp_path_factory):
     _put(root, "labels/CustomLabels.labels-meta.xml", "<CustomLabels><labels><fullName>A</fullName></labels><labels><fullName>B</fullName></labels></CustomLabels>")
     _put(root, "flows/Bad.flow-meta.xml", "<Flow><a></Flow>")
     _put(root, "notes/readme.txt", "hello")
+    _put(root, "lwc/caseTile/caseTile.js", "import m from '@salesforce/apex/Svc.load'; import F from '@salesforce/schema/Ticket__c.Account__c'; const f = ['Ticket__c.Name'];")
+    _put(root, "lwc/caseTile/caseTile.html", "<template><c-case-row></c-case-row></template>")
+    _put(root, "lwc/caseTile/caseTile.js-meta.xml", "<LightningComponentBundle/>")
+    _put(root, "pages/Edit.page", '<apex:page standardController="Ticket__c"><apex:inputField value="{!Ticket__c.Account__c}"/><apex:outputField value="{!Other.X}"/></apex:page>')
+    _put(root, "flows/Route.flow-meta.xml", """<Flow><start><object>Ticket__c</object><connector><targetReference>D</targetReference></connector></start>
+ <decisions><name>D</name><rules><name>Yes</name><connector><targetReference>Stop</targetReference></connector></rules>
+  <defaultConnector><targetReference>Up</targetReference></defaultConnector></decisions>
+ <recordUpdates><name>Up</name><object>Ticket__c</object><connector><targetReference>D</targetReference></connector>
+  <faultConnector><targetReference>Stop</targetReference></faultConnector></recordUpdates>
+ <customErrors><name>Stop</name><customErrorMessages><errorMessage>{!$Label.A} now</errorMessage><fieldSelection>Account__c</fieldSelection></customErrorMessages></customErrors></Flow>""")
     return root
 
 
 def test_collector(spark, source):
     out = metadata.collect(tree.scan(spark, str(source)))
     names = {r.component_id for r in out["components"].collect()}
-    assert names == {"CustomObject:Ticket__c", "CustomField:Ticket__c.Account__c", "PermissionSet:Ops", "ApexClass:Svc", "CustomLabel:A", "CustomLabel:B"}
+    assert names == {"CustomObject:Ticket__c", "CustomField:Ticket__c.Account__c", "PermissionSet:Ops", "ApexClass:Svc", "CustomLabel:A", "CustomLabel:B",
+                     "LightningComponentBundle:caseTile", "ApexPage:Edit", "Flow:Route"}
     edges = {(r.source, r.kind, r.target, r.assurance) for r in out["edges"].collect()}
     assert ("CustomField:Ticket__c.Account__c", "belongs-to", "Ticket__c", "source-exact") in edges
     assert ("CustomField:Ticket__c.Account__c", "relationship", "Account", "source-exact") in edges
     assert {t for s, k, t, _ in edges if k == "invokes-class"} == {"Helper", "Worker"}
     assert ("ApexClass:Svc", "queries-object", "Ticket__c", "source-derived-heuristic") in edges
+    assert {("apex-method", "Svc.load"), ("schema", "Ticket__c.Account__c"), ("references-field", "Ticket__c.Name"), ("embeds-component", "caseRow")} == {
+        (k, t) for s, k, t, _ in edges if s == "LightningComponentBundle:caseTile"}
+    assert {("operates-on", "Ticket__c"), ("writes-field", "Ticket__c.Account__c")} <= {(k, t) for s, k, t, _ in edges if s == "ApexPage:Edit"}
     grants = [k for s, k, _, _ in edges if s == "PermissionSet:Ops"]
     assert len(grants) == 300 and "grants-user-permission" in grants  # the cap cuts field grants first
     assert [r.path for r in out["diagnostics"].collect()] == ["flows/Bad.flow-meta.xml"]
@@ -50,10 +66,48 @@ def test_collector(spark, source):
     assert facets["field.required"] == ("true", None, True) and facets["field.length"] == ("18", 18.0, None)
 
 
+def test_flow_error_surfaces(spark, source):
+    nodes = metadata.elements(metadata.route(tree.scan(spark, str(source), "*.flow-meta.xml")))
+    labels = spark.createDataFrame([("A", "Stopped")], "name string, value string")
+    rows = {r.kind: r for r in flows.resolved_messages(flows.error_surfaces(nodes), labels).collect()}
+    assert rows["custom-error"].paths == [["D=Yes"], ["D=default"]] and not rows["custom-error"].truncated
+    assert rows["custom-error"].resolved == "Stopped now" and rows["custom-error"].field_selection == "Account__c"
+    assert rows["fault-path"].fault_target == "Stop" and rows["fault-path"].paths == [["D=default"]]
+
+
+def test_component_objects(spark, source):
+    out = metadata.collect(tree.scan(spark, str(source)))
+    pairs = {(r.component_id, r.object_name) for r in markup.component_objects(out["components"], out["edges"], OBJECT_KINDS).collect()}
+    assert ("CustomField:Ticket__c.Account__c", "Ticket__c") in pairs and ("Flow:Route", "Ticket__c") in pairs
+
+
+def test_probe_definitions(spark):
+    probes = spark.createDataFrame([
+        ("ok", "record-sample", "SELECT Id FROM Case LIMIT 10", "Case"), ("far", "record-sample", "SELECT A.B.C.D FROM Case LIMIT 60", "Case"),
+        ("other", "field-fill", "SELECT COUNT(Id) FROM Lead LIMIT 1", "Case"), ("ok", "field-fill", "SELECT COUNT(Id) FROM Case LIMIT 1", "Case"),
+    ], "label string, kind string, query string, own_object string")
+    got = {(r.label, r.problem) for r in soql.probe_problems(probes).collect()}
+    assert got == {("far", "sample too large"), ("far", "path too long"), ("other", "reads another object"), ("ok", "label used twice")}
+
+
+def test_rule_definitions(spark):
+    text = "intro\n- **SAFE-A-1 — first**\n  more\n\n- **MP-B — other**\n- **SAFE-A-1 — again**"
+    lines = spark.createDataFrame([("f", i, t) for i, t in enumerate(text.split("\n"))], "source string, line int, text string")
+    got = {r.rule_id: r.declarations for r in records.rule_definitions(lines).collect()}
+    assert got == {"SAFE-A-1": 2, "MP-B": 1}
+
+
+def test_ids_are_never_reused(spark):
+    new = spark.createDataFrame([("s", "node", 1), ("s", "node", 2), ("s", "claim", 1)], "slug string, kind string, ord int")
+    used = spark.createDataFrame([("s", "node", 4), ("s", "node", 9)], "slug string, kind string, number int")
+    got = {(r.kind, r.ord): r.id for r in records.allocate_ids(new, used, {"node": "FN", "claim": "FC"}).collect()}
+    assert got == {("node", 1): "FN-010", ("node", 2): "FN-011", ("claim", 1): "FC-001"}
+
+
 def test_tree_digest_and_drift(spark, source):
     files = tree.scan(spark, str(source))
     first = tree.tree_digest(files).first()
-    assert first.files == 8 and first.digest == tree.tree_digest(files.repartition(7)).first().digest
+    assert first.files == 13 and first.digest == tree.tree_digest(files.repartition(7)).first().digest
     sha = files.filter("path = 'notes/readme.txt'").first().sha256
     recorded = spark.createDataFrame([("a", "notes/readme.txt", f"sha256:{sha}"), ("b", "notes/readme.txt", "sha256:0"), ("c", "nope", "x")], "identity string, path string, digest string")
     assert {r.identity: r.state for r in tree.drift(recorded, files).collect()} == {"a": "fine", "b": "changed", "c": "gone"}

@@ -38,6 +38,11 @@ def main() -> None:
         start = time.perf_counter()
         known[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+    # The first call writes the index of the documents, the second only searches it.
+    for name in ("index_build_and_search", "index_search"):
+        start = time.perf_counter()
+        known["index_search"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        seconds[name] = round(time.perf_counter() - start, 3)
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": Path(sf_dir).name.removeprefix("sf"),

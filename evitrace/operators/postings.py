@@ -37,16 +37,18 @@ def _named(fields, values: Column) -> Column:
     return F.zip_with(names, values, lambda f, v: F.struct(f.alias("field"), v.alias("value")))
 
 
-def token_postings(entries: DataFrame, fields: dict[str, Column], id_col: str = "identity") -> DataFrame:
-    """One row per (token, entry, field) with its frequency.
+def token_postings(entries: DataFrame, fields: dict[str, Column], id_col: str = "identity",
+                   keep: list[str] | None = None) -> DataFrame:
+    """One row per (token, entry, field): frequency, size of the field, and the ``keep`` columns.
 
     ``fields`` maps names to text columns. An entry's tokens are counted inside its own row, so
     nothing is shuffled and a token held by a third of the corpus is no different from any other.
     """
-    per_field = _analyzed(entries, fields, id_col).select(id_col, F.explode(_named(fields, F.col("_tok"))).alias("f"))
-    ordered = per_field.select(id_col, "f.field", F.array_sort("f.value").alias("tokens"))
-    runs = ordered.select(id_col, "field", F.explode(run_lengths(F.col("tokens"))).alias("r"))
-    return runs.select("r.token", id_col, "field", "r.tf")
+    carried = [id_col, *(keep or [])]
+    per_field = _analyzed(entries, fields, *carried).select(*carried, F.explode(_named(fields, F.col("_tok"))).alias("f"))
+    ordered = per_field.select(*carried, "f.field", F.sort_array("f.value").alias("tokens"))
+    runs = ordered.select(*carried, "field", F.size("tokens").alias("size"), F.explode(run_lengths(F.col("tokens"))).alias("r"))
+    return runs.select("r.token", *carried, "field", "r.tf", "size")
 
 
 def document_frequency(entries: DataFrame, fields: dict[str, Column]) -> DataFrame:
@@ -71,14 +73,6 @@ def field_lengths(entries: DataFrame, fields: dict[str, Column]) -> DataFrame:
     ).withColumn("average_length", F.round(F.col("tokens") / F.col("documents"), 4))
 
 
-def entry_lengths(entries: DataFrame, fields: dict[str, Column], id_col: str = "identity") -> DataFrame:
-    """Token count per entry and field."""
-    rows = _analyzed(entries, fields, id_col).select(
-        id_col, F.explode(_named(fields, F.transform("_tok", lambda held: F.size(held)))).alias("s")
-    )
-    return rows.select(id_col, "s.field", F.col("s.value").alias("size"))
-
-
 def facet_postings(entries: DataFrame, facets: dict[str, Column], id_col: str = "identity") -> DataFrame:
     """One row per (facet, folded value, entry); multi-valued facets give one row per value."""
     def values(key: str, column: Column):

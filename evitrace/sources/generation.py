@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from evitrace import __version__
 from evitrace.operators import graph, postings, rank
 from evitrace.operators.search import Corpus, Request
+from evitrace.session import cut_lineage
 from evitrace.sources.tree import tree_digest
 from evitrace.vocab import B, FIELD_WEIGHTS, K1, LANES
 
@@ -61,6 +62,10 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
     return "\n".join(r.value for r in spark.read.text(path).collect())
 
 
+def read_back(spark: SparkSession, home: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{home}/{name}")
+
+
 def build(corpus: Corpus, root: str, edges: DataFrame | None = None) -> dict:
     """Write a generation unless it already exists, then move the pointer to it."""
     entries = corpus.entries
@@ -71,11 +76,9 @@ def build(corpus: Corpus, root: str, edges: DataFrame | None = None) -> dict:
     if manifest is None:
         put = lambda df, name: df.write.mode("overwrite").parquet(f"{home}/{name}")
         put(entries, "documents")
-        tokens = postings.token_postings(entries, corpus.fields)
-        put(tokens.repartitionByRange("token", "identity").sortWithinPartitions("token", "identity"), "tokens")
-        put(postings.field_lengths(entries, corpus.fields), "lengths")
-        sizes = postings.entry_lengths(entries, corpus.fields)
-        put(sizes.repartitionByRange("identity").sortWithinPartitions("identity"), "sizes")
+        # Texts are analysed once; sorting and statistics read what that pass wrote.
+        staged = cut_lineage(postings.token_postings(entries, corpus.fields, keep=["lane"]))
+        put(staged.repartitionByRange("token", "identity").sortWithinPartitions("token", "identity"), "tokens")
         facets = {k: f.column for k, f in corpus.facets.items()}
         if facets:
             put(postings.facet_postings(entries, facets).sortWithinPartitions("facet", "value"), "facets")
@@ -83,8 +86,12 @@ def build(corpus: Corpus, root: str, edges: DataFrame | None = None) -> dict:
             put(edges.repartitionByRange("target_key", "source").sortWithinPartitions("target_key"), "edges")
             put(graph.resolve_targets(entries, edges), "targets")
         lanes = {r["lane"]: r["count"] for r in entries.groupBy("lane").count().collect()}
+        # One row per field: the statistics every query needs go into the manifest.
+        held = {r["field"]: r["n"] for r in staged.groupBy("field").agg(F.sum(F.col("tf").cast("bigint")).alias("n")).collect()}
+        total = sum(lanes.values())
         body = {
-            "generation": generation, "entries": sum(lanes.values()),
+            "generation": generation, "entries": total,
+            "meanLengths": {f: held.get(f, 0) / total if total else 0.0 for f in corpus.fields},
             "laneCounts": {lane: lanes.get(lane, 0) for lane in LANES},
             "fields": list(corpus.fields), "complete": True,
         }
@@ -110,28 +117,33 @@ def load(spark: SparkSession, root: str, entries: DataFrame | None = None) -> di
 
 
 def search(spark: SparkSession, manifest: dict, request: Request) -> DataFrame:
-    """Ranked search from the postings: only the query's tokens are read and moved."""
+    """Ranked search from the postings alone.
+
+    The query's tokens select a few row groups; lane and field size travel with each posting, so
+    there is nothing to join. The frequencies of the terms are one scalar subquery.
+    """
     home, terms = manifest["home"], request.terms
-    read = lambda name: spark.read.parquet(f"{home}/{name}")
-    hits = read("tokens").filter(F.col("token").isin(terms))
-    lengths = read("lengths").select("field", (F.col("tokens") / F.col("documents")).alias("mean"), "documents")
-    df = hits.groupBy("token").agg(F.count_distinct("identity").alias("df"))
-    served = read("documents").filter(F.col("lane").isin(*request.lanes)).select("identity", "lane")
+    hits = read_back(spark, home, "tokens").filter(F.col("token").isin(terms))
+    df = hits.groupBy("token").agg(F.count_distinct("identity").alias("df")).agg(
+        F.map_from_entries(F.collect_list(F.struct("token", "df"))).alias("m")
+    ).scalar()
+    means = F.create_map(*[F.lit(x) for f, mean in manifest["meanLengths"].items() for x in (f, float(mean) or 1.0)])
+    count = F.lit(manifest["entries"])
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in FIELD_WEIGHTS.items() for x in kv]), F.col("field"))
-    mean = F.coalesce(F.nullif(F.col("mean"), F.lit(0.0)), F.lit(1.0))
-    # One row per field and per term: both sides are as small as the query.
-    weighted = (
-        hits.join(F.broadcast(lengths), "field").join(read("sizes"), ["identity", "field"])
-        .select("identity", "token", "documents", (weight * F.col("tf") / ((1 - B) + B * F.greatest("size", F.lit(1)) / mean)).alias("w"))
-        .groupBy("identity", "token", "documents").agg(F.sum("w").alias("w"))
-    )
-    idf = rank.idf(F.col("documents"), F.col("df"))
-    scores = weighted.join(F.broadcast(df), "token").groupBy("identity").agg(
-        F.sum(idf * F.col("w") * (K1 + 1) / (F.col("w") + K1)).alias("score")
-    )
-    return scores.join(served, "identity").select(
-        "identity", F.col("lane").alias("lifecycle"), F.round("score", 4).alias("score")
-    ).orderBy(F.desc("score"), "identity").limit(request.top)
+    gain = weight * F.col("tf") / ((1 - B) + B * F.col("size") / F.col("means")[F.col("field")])
+    served = hits.filter(F.col("lane").isin(*request.lanes)).withColumn("means", means).withColumn("gain", gain)
+    # One row per entry: a sum per term side by side.
+    sums = served.groupBy("identity", "lane").agg(
+        *[F.sum(F.when(F.col("token") == t, F.col("gain"))).alias(f"w{i}") for i, t in enumerate(terms)]
+    ).withColumn("df", df).withColumn("n", count)
+    total = F.lit(0.0)
+    for i, t in enumerate(terms):
+        w = F.col(f"w{i}")
+        rarity = rank.idf(F.col("n"), F.coalesce(F.try_element_at("df", F.lit(t)), F.lit(0)))
+        total = total + F.coalesce(rarity * w * (K1 + 1) / (w + K1), F.lit(0.0))
+    return sums.select("identity", F.col("lane").alias("lifecycle"), F.round(total, 4).alias("score")).orderBy(
+        F.desc("score"), "identity"
+    ).limit(request.top)
 
 
 def verify(hits: DataFrame, entries: DataFrame, recorded: DataFrame) -> DataFrame:
@@ -159,7 +171,7 @@ def changed_entries(previous: DataFrame, entries: DataFrame) -> DataFrame:
 def incremental(previous: DataFrame, stamps: DataFrame, corpus: Corpus) -> DataFrame:
     """Token postings after an update: untouched entries keep their rows, the rest are redone."""
     change = changed_entries(stamps, corpus.entries)
-    kept = previous.join(change, "identity", "left_anti")
+    kept = previous.join(change.select("identity"), "identity", "left_anti")
     redo = corpus.entries.join(change.filter(F.col("change") != "removed"), "identity", "left_semi")
     return kept.unionByName(postings.token_postings(redo, corpus.fields))
 

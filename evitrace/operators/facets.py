@@ -22,6 +22,7 @@ class Facet:
     key: str
     kind: str  # string, boolean, number or list
     column: Column
+    needs_lane: bool = False  # reads the lane, which may be joined only after the texts are read
 
 
 @dataclass(frozen=True)

@@ -11,7 +11,8 @@ from evitrace.functions.analyze import analyze_text, fold_name
 from evitrace.functions.text import MERGE_MARK, fingerprint_text, message_fingerprint, snippet
 from evitrace.functions.unicode import casefold
 from evitrace.operators import rank
-from evitrace.operators.facets import Facet, matches
+from evitrace.operators.facets import Facet, matches, parse
+from evitrace.session import cut_lineage
 from evitrace.vocab import CURRENT_LANE, EXACT, TOP
 
 
@@ -37,12 +38,25 @@ class Corpus:
     """Entries with their declared facets and token fields.
 
     ``entries`` carries ``identity``, ``full_name``, ``metadata_type``, ``namespace``, ``lane``
-    and ``purpose``; ``fields`` maps the ranking fields to the text columns they index.
+    and ``purpose``; ``fields`` maps the ranking fields to the text columns they index. Where
+    lanes come from another table, ``texts`` are the entries before that join and ``lanes`` is
+    ``(lane_key, lane)``: texts are then analysed first and only narrow rows are joined.
     """
 
     entries: DataFrame
     facets: dict[str, Facet]
     fields: dict[str, Column]
+    texts: DataFrame | None = None
+    lanes: DataFrame | None = None
+    lane_key: str = "identity"
+
+
+@dataclass
+class Prepared:
+    """One pass over the texts for one query: narrow rows per entry, and the statistics row."""
+
+    rows: DataFrame
+    stats: DataFrame
 
 
 def stage_filters(corpus: Corpus, request: Request) -> dict[str, Column]:
@@ -58,11 +72,15 @@ def stage_filters(corpus: Corpus, request: Request) -> dict[str, Column]:
         stages["scope"] = F.coalesce(
             casefold(F.col("namespace")) == request.namespace.casefold(), F.lit(False)
         )
-    for i, expression in enumerate(request.facets):
+    for expression in request.facets:
         stages[f"facet:{expression}"] = matches(corpus.facets, [expression])
     return stages
 
 
+def _needs_lane(corpus: Corpus, stage: str) -> bool:
+    return stage.startswith("facet:") and corpus.facets[parse(stage[len("facet:"):], corpus.facets).key].needs_lane
+
+
 def candidate(corpus: Corpus, request: Request) -> Column:
     keep = F.lit(True)
     for stage in stage_filters(corpus, request).values():
@@ -83,46 +101,59 @@ def excluded_counts(corpus: Corpus, request: Request) -> DataFrame:
     return corpus.entries.agg(F.array(*counters).alias("c")).select(F.inline("c"))
 
 
-def _counted(corpus: Corpus, request: Request) -> DataFrame:
-    keep = ["identity", "full_name", "metadata_type", "lane", "purpose", "_candidate"]
-    marked = corpus.entries.withColumn("_candidate", candidate(corpus, request))
-    return rank.term_frequencies(marked, corpus.fields, request.terms, keep)
+def prepare(corpus: Corpus, request: Request) -> Prepared:
+    """Counts the query's terms in every entry and writes the counts.
 
-
-def statistics(corpus: Corpus, request: Request) -> DataFrame:
-    return rank.corpus_statistics(
-        _counted(corpus, request), corpus.fields, request.terms, F.col("_candidate")
+    Texts are read and analysed once and never shuffled: what is written holds the counts, the
+    outcome of the filters and, for entries with a hit, the excerpt. Statistics, lanes, scores
+    and both result lists come from that narrow table.
+    """
+    narrow = ["identity", "full_name", "metadata_type", "_passes"]
+    source = corpus.entries if corpus.texts is None else corpus.texts
+    passes, later = F.lit(True), F.lit(True)
+    for name, stage in stage_filters(corpus, request).items():
+        if name == "lifecycle" or _needs_lane(corpus, name):
+            later = later & stage
+        else:
+            passes = passes & stage
+    narrow.append("lane" if corpus.lanes is None else corpus.lane_key)
+    narrow = list(dict.fromkeys(narrow))
+    counted = rank.term_frequencies(
+        source.withColumn("_passes", passes), corpus.fields, request.terms, [*narrow, "purpose"]
     )
+    hit = F.exists("tf", lambda per_term: F.exists(per_term, lambda n: n > 0))
+    rows = cut_lineage(counted.select(
+        *narrow, "lens", "tf", F.when(hit, snippet(F.col("purpose"), request.terms)).alias("snippet")
+    ))
+    if corpus.lanes is not None:
+        rows = rows.join(corpus.lanes, corpus.lane_key, "left").withColumn("lane", F.coalesce("lane", F.lit("draft")))
+    rows = rows.withColumn("_candidate", F.col("_passes") & later)
+    stats = rank.corpus_statistics(rows, corpus.fields, request.terms, F.col("_candidate"))
+    return Prepared(rows, stats)
 
 
 def query_terms(corpus: Corpus, request: Request) -> DataFrame:
     """Term statistics of the query; they describe the whole corpus, whatever the filters."""
-    return rank.query_term_statistics(statistics(corpus, request), request.terms)
-
-
-def _ranked(corpus: Corpus, request: Request, stats: DataFrame, keep: Column) -> DataFrame:
-    """Scores of the rows ``keep`` names; the others are dropped before they are tokenised."""
-    narrowed = Corpus(corpus.entries.filter(keep), corpus.facets, corpus.fields)
-    return rank.scored(_counted(narrowed, request), corpus.fields, request.terms, stats)
+    return rank.query_term_statistics(prepare(corpus, request).stats, request.terms)
 
 
-def text_search(corpus: Corpus, request: Request, stats: DataFrame | None = None) -> DataFrame:
+def text_search(corpus: Corpus, request: Request, prepared: Prepared | None = None) -> DataFrame:
     """Top hits by text. Empty when every term that scored is too common to rank anything."""
-    stats = statistics(corpus, request) if stats is None else stats
-    best = rank.top(_ranked(corpus, request, stats, candidate(corpus, request)), request.top)
+    prepared = prepared or prepare(corpus, request)
+    ranked = rank.scored(prepared.rows.filter("_candidate"), corpus.fields, request.terms, prepared.stats)
     useful = rank.discriminates(F.col("_s"), len(request.terms))
-    return best.filter(useful).select(
+    return rank.top(ranked, request.top).filter(useful).select(
         "identity", "full_name", "metadata_type", F.col("lane").alias("lifecycle"), "score",
-        rank.matched_on(corpus.fields, request.terms).alias("matched_on"),
-        snippet(F.col("purpose"), request.terms).alias("snippet"),
+        rank.matched_on(corpus.fields, request.terms).alias("matched_on"), "snippet",
         F.lit("structured-plus-lexical" if request.facets else "lexical").alias("match_class"),
     )
 
 
-def draft_search(corpus: Corpus, request: Request, stats: DataFrame | None = None) -> DataFrame:
+def draft_search(corpus: Corpus, request: Request, prepared: Prepared | None = None) -> DataFrame:
     """The draft lane ranked on its own; the two lists are never merged."""
-    stats = statistics(corpus, request) if stats is None else stats
-    ranked = _ranked(corpus, request, stats, F.col("lane") == "draft")
+    prepared = prepared or prepare(corpus, request)
+    drafts = prepared.rows.filter(F.col("lane") == "draft")
+    ranked = rank.scored(drafts, corpus.fields, request.terms, prepared.stats)
     best = ranked.orderBy(F.desc("score"), "identity").limit(10).filter(F.col("score") > 0)
     return best.select(
         "identity", F.col("lane").alias("lifecycle"), F.round("score", 4).alias("score"),

@@ -26,32 +26,39 @@ def identity_of(doc_id="doc_id") -> "F.Column":
     return F.concat_ws(":", F.lit("Document"), "lang", F.concat_ws(".", "source", F.col(doc_id).cast("string")))
 
 
-def entries(spark: SparkSession, sf_dir: str, for_text: bool = False) -> DataFrame:
-    """Documents as entries, with the lane their labels give them.
-
-    ``for_text`` deals small inputs out to all cores before the texts are analysed.
-    """
-    documents = load(spark, sf_dir, "documents")
-    if for_text:
-        documents = spread(documents, "doc_id")
-    labels = load(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    joined = documents.join(labels, "doc_id", "left")
-    return joined.select(
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.select(
         identity_of().alias("identity"),
         F.concat_ws(".", "source", F.col("doc_id").cast("string")).alias("full_name"),
         F.lit("Document").alias("metadata_type"),
         F.col("lang").alias("namespace"),
         F.col("source").alias("family"),
         F.concat(F.lit("documents/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("source_path"),
-        lane_of_labels().alias("lane"),
         "n_chars",
         F.col("text").alias("purpose"),
         "doc_id",
     )
 
 
+def lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lane per labelled document; the others are drafts."""
+    return load(spark, sf_dir, "labels").select("doc_id", lane_of_labels().alias("lane"))
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as entries, with the lane their labels give them.
+
+    Queries over the narrow columns shuffle those alone; whatever reads the text starts from
+    :func:`corpus` and joins lanes afterwards.
+    """
+    joined = _texts(load(spark, sf_dir, "documents")).join(lanes(spark, sf_dir), "doc_id", "left")
+    return joined.withColumn("lane", F.coalesce("lane", F.lit("draft")))
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    rows = entries(spark, sf_dir, for_text=True)
+    rows = entries(spark, sf_dir)
+    # Small inputs are dealt out to all cores before their texts are analysed.
+    texts = _texts(spread(load(spark, sf_dir, "documents"), "doc_id"))
     fields = {
         "identity": F.concat_ws(" ", "identity", "full_name"),
         "label": F.substring_index("purpose", "\n", 1),
@@ -60,7 +67,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
         "relationTarget": F.col("family"),
         "sourcePath": F.col("source_path"),
     }
-    return Corpus(rows, facets_of(rows), fields)
+    return Corpus(rows, facets_of(rows), fields, texts, lanes(spark, sf_dir), "doc_id")
 
 
 def facets_of(rows: DataFrame) -> dict[str, Facet]:
@@ -75,7 +82,8 @@ def facets_of(rows: DataFrame) -> dict[str, Facet]:
         "document.reviewed": ("boolean", F.col("lane") != "draft"),
         "document.openers": ("list", F.slice(F.split(F.substring_index("purpose", "\n", 1), " "), 1, 3)),
     }
-    return {key: Facet(key, kind, column) for key, (kind, column) in declared.items()}
+    with_lane = ("effectiveState", "document.reviewed")
+    return {key: Facet(key, kind, column, key in with_lane) for key, (kind, column) in declared.items()}
 
 
 # --- the table graph ---------------------------------------------------------------------

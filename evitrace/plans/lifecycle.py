@@ -45,13 +45,12 @@ def current_approval(spark, sf):
 
 def _lane_inputs(spark, sf):
     """Documents with a label as approved entries, and a ledger that breaks some of them."""
-    rows = load(spark, sf, "documents").join(load(spark, sf, "labels"), "doc_id", "left")
-    content = F.sha2("text", 256)
-    altered = F.sha2(F.concat("text", F.lit("!")), 256)
-    document = rows.select(
-        identity_of().alias("identity"), "source", "lang", "quality", "toxic", "n_chars", "doc_id", content.alias("content"),
-        altered.alias("altered"),
+    # Texts are digested before the join, which then moves narrow rows only.
+    digested = load(spark, sf, "documents").select(
+        identity_of().alias("identity"), "source", "lang", "n_chars", "doc_id", F.sha2("text", 256).alias("content"),
+        F.sha2(F.concat("text", F.lit("!")), 256).alias("altered"),
     )
+    document = digested.join(load(spark, sf, "labels"), "doc_id", "left")
     inputs = document.select(
         "identity",
         (~((F.col("source") == "src3") & (F.col("lang") == "es"))).alias("path_ok"),
@@ -94,10 +93,13 @@ def _components(spark, sf):
 def _entry_rows(spark, sf):
     """Entries exist for labelled documents; short ones still hold the draft sentinel."""
     labelled = load(spark, sf, "labels").select("doc_id", "quality", "toxic")
-    return load(spark, sf, "documents").join(labelled, "doc_id").select(
-        F.col("source").alias("metadata_type"), F.concat_ws(".", "source", F.col("doc_id").cast("string")).alias("full_name"),
+    described = load(spark, sf, "documents").select(
+        "doc_id", F.col("source").alias("metadata_type"), F.concat_ws(".", "source", F.col("doc_id").cast("string")).alias("full_name"),
+        F.when(F.col("n_chars") < 150, "<AGENT_DESCRIPTION>").when(F.trim("text") == "", "").otherwise("described").alias("purpose"),
+    )
+    return described.join(labelled, "doc_id").select(
+        "metadata_type", "full_name", "purpose",
         F.when(F.col("toxic") == 1, "revoked").when(F.col("quality") == 1, CURRENT_LANE).otherwise("approved-drifted").alias("lane"),
-        F.when(F.col("n_chars") < 150, "<AGENT_DESCRIPTION>").otherwise(F.col("text")).alias("purpose"),
     )
 
 
@@ -114,9 +116,10 @@ def readiness(spark, sf):
 
 
 def _references(spark, sf):
-    cited = load(spark, sf, "documents").join(load(spark, sf, "labels"), "doc_id").select(
-        identity_of().alias("entry_id"),
-        F.when(F.col("quality") == 1, F.sha2("text", 256)).when(F.col("toxic") == 1, "").otherwise("stale").alias("cited_digest"),
+    digested = load(spark, sf, "documents").select("doc_id", identity_of().alias("entry_id"), F.sha2("text", 256).alias("content"))
+    cited = digested.join(load(spark, sf, "labels"), "doc_id").select(
+        "entry_id",
+        F.when(F.col("quality") == 1, F.col("content")).when(F.col("toxic") == 1, "").otherwise("stale").alias("cited_digest"),
     )
     unknown = load(spark, sf, "benchmark").select(
         F.concat(F.lit("Document:en:none."), F.col("item_id").cast("string")).alias("entry_id"), F.lit("").alias("cited_digest")

@@ -62,9 +62,11 @@ def entry_reference_problems(spark, sf):
 
 
 def chunk_classes(spark, sf):
-    entries = load(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("identity"), F.sha2("text", 256).alias("semantics_digest"))
-    newest = load(spark, sf, "labels").join(load(spark, sf, "documents"), "doc_id").select(
-        F.col("doc_id").cast("string").alias("identity"), F.when(F.col("quality") == 1, F.sha2("text", 256)).otherwise("older").alias("ledger_semantics"))
+    """Documents against the digest their reviewed label stands for."""
+    digested = load(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("semantics_digest"))
+    entries = digested.select(F.col("doc_id").cast("string").alias("identity"), "semantics_digest")
+    newest = load(spark, sf, "labels").join(digested, "doc_id").select(
+        F.col("doc_id").cast("string").alias("identity"), F.when(F.col("quality") == 1, F.col("semantics_digest")).otherwise("older").alias("ledger_semantics"))
     return records.chunk_classes(entries, newest)
 
 

@@ -44,12 +44,11 @@ def term_stats(spark, sf):
 def discrimination_guard(spark, sf):
     """Candidates score on common words only, so nothing is served."""
     c = corpus(spark, sf)
-    stats = search.statistics(c, COMMON)
-    served = search.text_search(c, COMMON, stats).agg(F.count(F.lit(1)).alias("served")).scalar()
-    s = F.struct(*stats.columns)
-    n = len(COMMON.terms)
-    return stats.select(
-        rank.discriminates(s, n).alias("discriminating"),
+    prepared = search.prepare(c, COMMON)
+    served = search.text_search(c, COMMON, prepared).agg(F.count(F.lit(1)).alias("served")).scalar()
+    s = F.struct(*prepared.stats.columns)
+    return prepared.stats.select(
+        rank.discriminates(s, len(COMMON.terms)).alias("discriminating"),
         F.array_max("candidate_df").alias("best_candidate_df"),
         served.alias("served"),
     )
@@ -133,14 +132,14 @@ def error_tiers(spark, sf):
 
 def posting_stats(spark, sf):
     c = corpus(spark, sf)
-    return postings.document_frequency(c.entries, c.fields)
+    return postings.document_frequency(c.texts, c.fields)
 
 
 def token_postings(spark, sf):
     """Postings of the documents' prose: token, entry, frequency."""
     c = corpus(spark, sf)
     only = {k: c.fields[k] for k in ("label", "purpose", "attribute")}
-    rows = postings.token_postings(c.entries, only)
+    rows = postings.token_postings(c.texts, only)
     return rows.groupBy("field", "token").agg(
         F.count(F.lit(1)).alias("documents"), F.sum(F.col("tf").cast("bigint")).alias("occurrences"),
         F.max("tf").cast("bigint").alias("highest"),
@@ -149,7 +148,7 @@ def token_postings(spark, sf):
 
 def avg_field_len(spark, sf):
     c = corpus(spark, sf)
-    return postings.field_lengths(c.entries, c.fields)
+    return postings.field_lengths(c.texts, c.fields)
 
 
 def facet_postings(spark, sf):

@@ -18,6 +18,7 @@ from evitrace.operators import graph, postings, rank
 from evitrace.operators.search import Corpus, Request
 from evitrace.session import cut_lineage
 from evitrace.sources.tree import tree_digest
+from evitrace.tables import spread
 from evitrace.vocab import B, FIELD_WEIGHTS, K1, LANES
 
 
@@ -77,7 +78,8 @@ def build(corpus: Corpus, root: str, edges: DataFrame | None = None) -> dict:
         put = lambda df, name: df.write.mode("overwrite").parquet(f"{home}/{name}")
         put(entries, "documents")
         # Texts are analysed once; sorting and statistics read what that pass wrote.
-        staged = cut_lineage(postings.token_postings(entries, corpus.fields, keep=["lane"]))
+        written = spread(read_back(spark, home, "documents"), "identity")
+        staged = cut_lineage(postings.token_postings(written, corpus.fields, keep=["lane"]))
         put(staged.repartitionByRange("token", "identity").sortWithinPartitions("token", "identity"), "tokens")
         facets = {k: f.column for k, f in corpus.facets.items()}
         if facets:

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from evitrace.functions import analyze, text
 from evitrace.operators import rank, search
+from evitrace.operators.facets import Facet
 from evitrace.operators.search import Corpus, Request
 
 SAMPLES = [
@@ -135,5 +136,13 @@ def test_message_tiers(spark):
     }
 
 
+def test_lanes_joined_after_the_texts(spark):
+    joined = _corpus(spark, ROWS)
+    facets = {"state": Facet("state", "string", F.col("lane"), True), "name": Facet("name", "string", F.col("full_name"))}
+    split = Corpus(joined.entries, facets, joined.fields, joined.entries.drop("lane"), joined.entries.select("identity", "lane"))
+    request = Request(text="gamma", lanes=("approved-current", "draft"), facets=["state=draft", "name:prefix=g"])
+    assert [r.identity for r in search.text_search(split, request).collect()] == ["T:c:Gamma"]
+
+
 def test_rank_of_no_terms_is_empty(spark):
     assert rank.distinct_terms([]) == []

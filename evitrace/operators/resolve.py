@@ -12,7 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evitrace.functions.let import let
 from evitrace.functions.unicode import casefold
+from evitrace.session import cut_lineage
 
 EXPANSION_CAP = 25
 INPUT_CAP = 50
@@ -23,16 +25,19 @@ _META = "-meta.xml"
 
 def normalize_path(raw: Column) -> Column:
     """Slashes folded, ``./`` dropped, kept from the source root down; null when not under it."""
-    text = F.regexp_replace(F.regexp_replace(F.trim(raw), r"\\", "/"), "/+", "/")
-    text = F.regexp_replace(F.rtrim(text, F.lit("/")), r"^(\./)+", "")
-    lowered = F.lower(text)
-    inside = F.locate(f"/{ROOT}/", lowered)
-    return (
-        F.when(text.rlike(r"(^|/)\.\.(/|$)") | (text == ""), F.lit(None).cast("string"))
-        .when((lowered == ROOT) | lowered.startswith(ROOT + "/"), text)
-        .when(inside > 0, F.substr(text, inside + 1))
-        .when(lowered.endswith("/" + ROOT), F.lit(ROOT))
-    )
+    folded = F.regexp_replace(F.regexp_replace(F.trim(raw), r"\\", "/"), "/+", "/")
+
+    def under_root(text):
+        lowered = F.lower(text)
+        inside = F.locate(f"/{ROOT}/", lowered)
+        return (
+            F.when(text.rlike(r"(^|/)\.\.(/|$)") | (text == ""), F.lit(None).cast("string"))
+            .when((lowered == ROOT) | lowered.startswith(ROOT + "/"), text)
+            .when(inside > 0, F.substr(text, inside + 1))
+            .when(lowered.endswith("/" + ROOT), F.lit(ROOT))
+        )
+
+    return let(F.regexp_replace(F.rtrim(folded, F.lit("/")), r"^(\./)+", ""), under_root)
 
 
 def folders(path: Column) -> Column:
@@ -62,10 +67,11 @@ def resolve(inputs: DataFrame, components: DataFrame, generic_paths: DataFrame |
     name, path. Returns ``(selections, matches)``: one row per input with its resolution and
     the number of components, and one row per input and component of the winning tier.
     """
-    asked = inputs.select("kind", "input").distinct()
-    key = casefold(normalize_path(F.col("input")))
-    paths = asked.filter(F.col("kind") == "path").withColumn("key", key)
-    names = asked.filter(F.col("kind") == "name").withColumn("key", casefold(F.trim("input")))
+    key = F.when(F.col("kind") == "path", casefold(normalize_path(F.col("input")))).otherwise(casefold(F.trim("input")))
+    # Written once: a small selection then meets the components as they are scanned.
+    asked = cut_lineage(inputs.select("kind", "input").distinct().withColumn("key", key))
+    paths = asked.filter(F.col("kind") == "path")
+    names = asked.filter(F.col("kind") == "name")
     known = components.withColumn("pkey", casefold(F.col("path")))
 
     # Tiers of one path: itself, its content file, its description file.
@@ -107,7 +113,7 @@ def resolve(inputs: DataFrame, components: DataFrame, generic_paths: DataFrame |
     blank = F.trim("input") == ""
     resolution = (
         F.when(blank, "unsupported")
-        .when((F.col("kind") == "path") & normalize_path(F.col("input")).isNull(), "unsupported")
+        .when((F.col("kind") == "path") & F.col("key").isNull(), "unsupported")
         .when(F.col("tier") == 4, "unsupported")
         .when(F.col("matches").isNull(), "unmatched")
         .when(F.col("matches") == 1, "resolved")

@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from evitrace.functions.text import safe_literal
 from evitrace.operators.graph import assurance, capped_edges
-from evitrace.sources import markup
+from evitrace.session import cut_lineage
+from evitrace.sources import fields, markup
 
 # Component type by file suffix (``<name>.<suffix>-meta.xml``).
 SUFFIX_TYPES = {
@@ -276,7 +277,7 @@ def components(nodes: DataFrame) -> DataFrame:
         .when(F.col("part").isNotNull(), own).otherwise(F.col("stem"))
     )
     kept = F.map_filter(
-        F.transform_values("kids", lambda k, v: F.when(k.isin("formula", "description", "inlineHelpText"), v).otherwise(safe_literal(v))),
+        F.transform_values("kids", lambda k, v: F.when(k.isin("formula", "errorConditionFormula", "description", "inlineHelpText"), v).otherwise(safe_literal(v))),
         lambda k, v: v.isNotNull(),
     )
     facts = F.when(F.col("metadata_type") == "CustomObject", F.map_concat(
@@ -465,7 +466,8 @@ def collect(files: DataFrame) -> dict[str, DataFrame]:
     """Components, edges, generic files and diagnostics of a scanned tree."""
     bundles = bundle_files(files)
     routed = route(files.filter(~F.col("path").rlike(r"(?:^|/)(lwc|aura)/[^/]+/")))
-    nodes = elements(routed)
+    # Markup is parsed once; every rule reads the written elements.
+    nodes = cut_lineage(elements(routed))
     marked = components(nodes)
     code = code_components(routed)
     pages = page_components(routed)
@@ -474,6 +476,16 @@ def collect(files: DataFrame) -> dict[str, DataFrame]:
     )
     scripts = bundles.filter(F.col("path").rlike(r"\.(js|html|cmp|app|evt)$")).select("component_id", F.decode("content", "UTF-8").alias("source"))
     found = kept
+    formulas = marked.filter(F.col("metadata_type").isin("CustomField", "ValidationRule")).select(
+        "component_id", "object_name",
+        F.coalesce(F.try_element_at("facts", F.lit("formula")), F.try_element_at("facts", F.lit("errorConditionFormula"))).alias("formula"),
+    ).filter(F.col("formula").isNotNull())
+    inferred = [
+        (fields.formula_references(formulas, fields.relationship_targets(nodes)), "references-field"),
+        (fields.soql_fields(code), "soql-field"), (fields.variable_fields(code), "var-field-ref"),
+    ]
+    for rows, kind in inferred:
+        found = found.unionByName(rows.select("component_id", F.lit(kind).alias("kind"), "target", F.lit(True).alias("flag")))
     for more in (code_edges(code), markup.page_edges(pages), markup.bundle_edges(scripts), markup.page_edges(
             scripts.filter(F.col("component_id").startswith("AuraDefinitionBundle")))):
         found = found.unionByName(more)

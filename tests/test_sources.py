@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from evitrace.functions import digest
 from evitrace.operators.search import Corpus, Request, text_search
 from evitrace.operators import records
-from evitrace.sources import documents, flows, generation, markup, metadata, soql, tree
+from evitrace.sources import documents, fields, flows, generation, markup, metadata, soql, tree
 from evitrace.streaming import index as index_stream
 from evitrace.streaming import ledger as stream
 from evitrace.vocab import OBJECT_KINDS
@@ -66,6 +66,16 @@ def test_collector(spark, source):
     assert facets["field.required"] == ("true", None, True) and facets["field.length"] == ("18", 18.0, None)
 
 
+def test_formula_and_code_fields(spark):
+    formulas = spark.createDataFrame([("F", "Case__c", "Owner__r.Unit__r.Name__c & Status__c & Lost__r.X__c & Owner__r.Name")], "component_id string, object_name string, formula string")
+    targets = spark.createDataFrame([("Case__c", "Owner", "Person__c"), ("Person__c", "Unit", "Unit__c")], "object string, stem string, target string")
+    assert {r.target for r in fields.formula_references(formulas, targets).collect()} == {"Unit__c.Name__c", "Case__c.Status__c", "Person__c.Name"}
+    code = spark.createDataFrame([("C", "Ticket__c t = [SELECT Id, Owner.Name, (SELECT Id FROM Kids) FROM Ticket__c WHERE Status__c = :s AND Kind LIKE 'x']; t.Done__c = 1; t.clone(); Helper h = null; h.x = 2; for (Ticket__c u : l) { u.Name = ''; }", None)],
+                                 "component_id string, source string, object_name string")
+    assert {r.target for r in fields.soql_fields(code).collect()} == {"Ticket__c.Id", "Ticket__c.Status__c", "Ticket__c.Kind"}
+    assert {r.target for r in fields.variable_fields(code).collect()} == {"Ticket__c.Done__c", "Ticket__c.Name"}
+
+
 def test_flow_error_surfaces(spark, source):
     nodes = metadata.elements(metadata.route(tree.scan(spark, str(source), "*.flow-meta.xml")))
     labels = spark.createDataFrame([("A", "Stopped")], "name string, value string")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evitrace.functions.digest import digest
+from evitrace.operators.ordered import prefix
 from evitrace.vocab import EXACT
 
 # Fixed value: shape of a rule definition line in a Markdown source.
@@ -40,13 +41,13 @@ def entry_reference_problems(references: DataFrame, lanes: DataFrame, require_cu
 def rule_definitions(lines: DataFrame) -> DataFrame:
     """Rule id, digest of its definition and how often it is declared.
 
-    ``lines``: source, line, text. A definition runs on over the indented lines below it; each
-    document's lines are few, so they are numbered inside their own source.
+    ``lines``: source, line, text. A definition runs on over the indented lines below it; lines
+    are grouped into blocks by a chunked prefix count, however long their source is.
     """
-    order = Window.partitionBy("source").orderBy("line")
     rule = F.regexp_extract("text", RULE_LINE, 1)
-    continues = F.col("text").rlike(r"^(  |\t)")
-    marked = lines.withColumn("rule", rule).withColumn("block", F.sum(F.when(~continues, 1).otherwise(0)).over(order))
+    starts = F.when(F.col("text").rlike(r"^(  |\t)"), 0).otherwise(1)
+    opened = lines.withColumn("rule", rule).withColumn("starts", starts)
+    marked = prefix(opened, ["source"], "line", before=("sum", F.col("starts"))).withColumn("block", F.col("before") + F.col("starts"))
     blocks = marked.groupBy("source", "block").agg(
         F.max("rule").alias("rule_id"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", F.trim("text").alias("t")))), lambda x: x["t"]), " ").alias("body"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evitrace.llm import hostrules, mixing, urlrules
+from evitrace.llm import hostrules, mixing, simhash, urlrules
 from evitrace.llm.common import table
 
 
@@ -15,6 +15,10 @@ def op8_mixing(spark, sf):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_simhash(spark, sf):
+    return simhash.group(table(spark, sf, "documents"))
+
+
 def op10_url_filters(spark, sf):
     return urlrules.judge(table(spark, sf, "pages"))
 
@@ -22,6 +26,7 @@ def op10_url_filters(spark, sf):
 QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op8_mixing": op8_mixing,
+    "op9_simhash": op9_simhash,
     "op10_url_filters": op10_url_filters,
 }
 

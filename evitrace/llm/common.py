@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from evitrace.session import ship_package
 
@@ -32,7 +33,7 @@ def fold_of(key: Column, folds: int) -> Column:
     return (F.crc32(key.cast("string").cast("binary")) % folds).cast("int")
 
 
-def arrow_rows(df: DataFrame, schema: str, step: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
+def arrow_rows(df: DataFrame, schema: str | StructType, step: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> DataFrame:
     """``step`` over Arrow batches cut into slices, so that long texts stay few in memory.
 
     A task's rows pass through one at a time in their order; nothing is gathered.

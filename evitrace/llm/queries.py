@@ -2,8 +2,18 @@
 
 from __future__ import annotations
 
-from evitrace.llm import hostrules, mixing, simhash, urlrules
-from evitrace.llm.common import table
+from pyspark.sql import functions as F
+
+from evitrace.llm import hostrules, mixing, simhash, toxicity, urlrules
+from evitrace.llm.common import fold_of, table
+
+
+def op3_toxicity(spark, sf):
+    docs, fold = table(spark, sf, "documents"), fold_of(F.col("doc_id"), 3)
+    scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf, "labels"), fold != 1))
+    return scored.select(
+        "doc_id", F.coalesce(fold == 1, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"), "sentences")
 
 
 def op5_quality_rules(spark, sf):
@@ -24,6 +34,7 @@ def op10_url_filters(spark, sf):
 
 
 QUERIES = {
+    "op3_toxicity": op3_toxicity,
     "op5_quality_rules": op5_quality_rules,
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,

@@ -45,12 +45,20 @@ def features(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in AFFIXES if len(word) > k), *("*" + word[-k:] for k in AFFIXES if len(word) > k)]
 
 
+def _surest(word: str, shares: dict[str, float]) -> str | None:
+    return max((f for f in features(word) if f in shares), key=lambda f: (shares[f], -len(f), f), default=None)
+
+
 @dataclass
 class Model:
-    """Feature weights, the sentences' bias, and the share of positive labels no sentence explains."""
+    """Weights, the sentences' bias, and the share of positive labels no sentence explains.
+
+    ``shares`` has the toxic share each feature surely has; a word counts by its surest feature.
+    """
 
     bias: float = -20.0
     leak: float = 0.0
+    shares: dict[str, float] = field(default_factory=dict)
     weights: dict[str, float] = field(default_factory=dict)
     known: dict[str, float] = field(default_factory=dict, repr=False)
 
@@ -59,7 +67,7 @@ class Model:
         if total is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            total = self.known[word] = sum(self.weights.get(f, 0.0) for f in features(word))
+            total = self.known[word] = self.weights.get(_surest(word, self.shares), 0.0)
         return total
 
     def sentence(self, words: set[str]) -> float:
@@ -89,7 +97,7 @@ def _fresh(texts: list[str | None]) -> list[int]:
     return fresh
 
 
-def _vocabulary(bags: list[list[set[str]]], y: np.ndarray, certain: float, least: float) -> dict[str, int]:
+def _vocabulary(bags: list[list[set[str]]], y: np.ndarray, certain: float, least: float) -> dict[str, float]:
     """Features of whose documents at least the share ``least`` is toxic, by the lower end of
     Wilson's interval ``certain`` deviations wide. What marks a language or a topic stays out, so
     long texts do not gather a score from it."""
@@ -99,35 +107,41 @@ def _vocabulary(bags: list[list[set[str]]], y: np.ndarray, certain: float, least
             n = seen.setdefault(f, [0, 0])
             n[0] += 1
             n[1] += int(toxic)
-    kept, square = [], certain**2
+    kept, square = {}, certain**2
     for f, (n, k) in seen.items():
         share = k / n
         low = (share + square / (2 * n) - certain * (share * (1 - share) / n + square / (4 * n * n)) ** 0.5) / (1 + square / n)
         if low > least:
-            kept.append(f)
-    return {f: i for i, f in enumerate(sorted(kept))}
+            kept[f] = low
+    return kept
 
 
-def fit(texts: list[str | None], toxic: list[int], certain: float = 2.5, least: float = 0.5, rounds: int = 300,
-        rate: float = 0.1, shrink: float = 1e-5) -> Model:
+def fit(texts: list[str | None], toxic: list[int], certain: float = 2.0, least: float = 0.65, rounds: int = 150,
+        rate: float = 0.05, hold: float = 1e-4) -> Model:
     """Weights by full gradient steps (Adam) on the likelihood of the documents' labels.
 
-    ``certain``, ``least``: see ``_vocabulary``; ``shrink`` pulls weights to zero. Without labels of both
-    kinds the model is the share of positive ones.
+    ``certain``, ``least``: see ``_vocabulary``; ``hold`` pulls the weights to where they start. Without
+    labels of both kinds the model is the share of positive ones.
     """
     fresh = _fresh(texts)
     texts, y = [texts[i] for i in fresh], np.array([toxic[i] for i in fresh], float)
     if not len(y) or y.min() == y.max():
         return Model(leak=min(float(y.mean()), 0.999) if len(y) else 0.0)
     bags = [[s[2] for s in sentences(t)] for t in texts]
-    place = _vocabulary(bags, y, certain, least)
+    shares = _vocabulary(bags, y, certain, least)
+    place = {f: i for i, f in enumerate(sorted(shares))}
+    best = {w: _surest(w, shares) for bag in bags for words in bag for w in words}
     doc = np.array([d for d, bag in enumerate(bags) for _ in bag], np.int64)
-    flat = [[place[f] for w in words for f in features(w) if f in place] for bag in bags for words in bag]
+    flat = [[place[best[w]] for w in words if best[w]] for bag in bags for words in bag]
     row = np.repeat(np.arange(len(flat)), [len(x) for x in flat])
     col = np.array([i for x in flat for i in x], np.int64)
     size = len(place)
     theta = np.zeros(size + 2)  # the weights, the bias, the leak as a logit
-    theta[size], theta[size + 1] = -5.0, -2.0
+    # A word alone starts at its share, so one that always has company is not explained away.
+    theta[size], theta[size + 1] = -8.0, -2.0
+    sure = np.array([shares[f] for f in sorted(shares)])
+    theta[:size] = np.log(sure / (1 - sure)) - theta[size]
+    prior = theta.copy()
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, rounds + 1):
         z = theta[size] + np.bincount(row, theta[col], len(flat))
@@ -137,12 +151,12 @@ def fit(texts: list[str | None], toxic: list[int], certain: float = 2.5, least:
         pull = (1 - y) - y * clean / np.maximum(1 - clean, 1e-9)  # slope of the loss along -log(clean)
         by_sentence = p * pull[doc]
         slope = np.concatenate((np.bincount(col, by_sentence[row], size), [by_sentence.sum(), (leak * pull).sum()])) / len(y)
-        slope[:size] += shrink * theta[:size]
+        slope += hold * (theta - prior)
         first = 0.9 * first + 0.1 * slope
         second = 0.99 * second + 0.01 * slope**2
         theta -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-    weights = {w: float(theta[i]) for w, i in place.items() if abs(theta[i]) > 1e-3}
-    return Model(float(theta[size]), float(1 / (1 + np.exp(-theta[size + 1]))), weights)
+    weights = {f: float(theta[i]) for f, i in place.items()}
+    return Model(float(theta[size]), float(1 / (1 + np.exp(-theta[size + 1]))), shares, weights)
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column | None = None, id_col: str = "doc_id",

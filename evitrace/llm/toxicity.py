@@ -71,7 +71,10 @@ class Model:
         return total
 
     def sentence(self, words: set[str]) -> float:
-        z = self.bias + sum(map(self.word, words))
+        z = sum(map(self.word, words))
+        if not z:
+            return 0.0  # no evidence: the leak covers it, so a text's length alone says nothing
+        z += self.bias
         return 1 / (1 + exp(-max(min(z, 35.0), -35.0)))
 
     def document(self, text: str | None) -> tuple[float, list[tuple[int, int, float]]]:
@@ -131,8 +134,9 @@ def fit(texts: list[str | None], toxic: list[int], certain: float = 2.0, least:
     shares = _vocabulary(bags, y, certain, least)
     place = {f: i for i, f in enumerate(sorted(shares))}
     best = {w: _surest(w, shares) for bag in bags for words in bag for w in words}
-    doc = np.array([d for d, bag in enumerate(bags) for _ in bag], np.int64)
-    flat = [[place[best[w]] for w in words if best[w]] for bag in bags for words in bag]
+    told = [(d, [place[best[w]] for w in words if best[w]]) for d, bag in enumerate(bags) for words in bag]
+    doc = np.array([d for d, x in told if x], np.int64)
+    flat = [x for _, x in told if x]
     row = np.repeat(np.arange(len(flat)), [len(x) for x in flat])
     col = np.array([i for x in flat for i in x], np.int64)
     size = len(place)

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from evitrace.llm import hostrules, mixing, simhash, toxicity, urlrules
+from evitrace.llm import bpe, grammar, hostrules, mixing, simhash, toxicity, urlrules
 from evitrace.llm.common import fold_of, table
 
 
+def op2_bpe(spark, sf):
+    docs = table(spark, sf, "documents")
+    coded = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op3_toxicity(spark, sf):
     docs, fold = table(spark, sf, "documents"), fold_of(F.col("doc_id"), 3)
     scored = toxicity.score(docs, toxicity.train(docs, table(spark, sf, "labels"), fold != 1))
@@ -20,6 +27,21 @@ def op5_quality_rules(spark, sf):
     return hostrules.judge(table(spark, sf, "documents"))
 
 
+def op7_secret_scans(spark, sf):
+    found = grammar.scan(table(spark, sf, "documents"))
+
+    def kind(name):
+        return F.filter("spans", lambda s: s["kind"] == name)
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"] != grammar.LEARNED)
+    return found.select(
+        "doc_id", *[F.size(kind(k)).cast("long").alias(f"n_{k}") for k in grammar.KINDS],
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op8_mixing(spark, sf):
     mixed = mixing.mix(table(spark, sf, "documents"), mixing.quality_weights(table(spark, sf, "labels")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -34,8 +56,10 @@ def op10_url_filters(spark, sf):
 
 
 QUERIES = {
+    "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
     "op5_quality_rules": op5_quality_rules,
+    "op7_secret_scans": op7_secret_scans,
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
     "op10_url_filters": op10_url_filters,

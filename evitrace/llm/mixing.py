@@ -55,8 +55,9 @@ def targets(sizes: DataFrame, share: float = 1.5, ceiling: int = 2, weights: tup
 
 
 def mix(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
-        source_col: str = "source", share: float = 1.5, split_last: bool = True) -> DataFrame:
-    """Per document: id, size, source_size, target and taken.
+        source_col: str = "source", share: float = 1.5, split_last: bool = True, row_col: str | None = None) -> DataFrame:
+    """Per document: id, size, source_size, target, taken and ``copies``, the number of times the
+    document is taken, a part counted as one; ``row_col`` is carried along as ``_row``.
 
     ``quality`` has one weight above zero per id (missing or null: 1). ``split_last``: the
     document at the edge of the rest gives only the words that are missing, so a source's taken
@@ -69,7 +70,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id
     it over buckets whose number grows with the source; bucket sums are prefix-summed, and only
     the bucket that holds the edge sorts its rows.
     """
-    base = docs.select(F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("source"),
+    base = docs.select(F.col(id_col).alias("_id"), F.col(row_col or id_col).alias("_row"), F.col(source_col).cast("string").alias("source"),
                        word_count(F.col(text_col)).alias("size"))
     if quality is not None:
         # The ids are made unique before the join, so that no document is doubled by it.
@@ -78,7 +79,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id
     else:
         base = base.withColumn("_q", F.lit(None).cast("double"))
     weight = F.when(F.col("_q") > 0, F.col("_q").cast("double")).otherwise(F.lit(1.0))
-    keyed = cut_lineage(base.select("_id", "source", "size", weight.alias("_weight"), (-F.log(uniform(F.col("_id"))) / weight).alias("_key")))
+    keyed = cut_lineage(base.select("_id", "_row", "source", "size", weight.alias("_weight"), (-F.log(uniform(F.col("_id"))) / weight).alias("_key")))
     per = keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs"), F.avg("_weight").alias("_mean"))
     per = cut_lineage(per)
     plan = targets(per.select("source", "source_size"), share).join(
@@ -89,7 +90,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id
         "_buckets", (F.floor(F.col("_docs") / BUCKET_DOCS) + 1).cast("long")))
     bucket = F.least(F.floor((1 - F.exp(-F.col("_key") * F.col("_mean"))) * F.col("_buckets")), F.col("_buckets") - 1).cast("long")
     joined = keyed.join(plan.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).withColumn("_bucket", bucket)
-    placed = cut_lineage(joined.select("_id", "source", "size", "_key", "source_size", "target", "_epochs", "_rest", "_bucket"))
+    placed = cut_lineage(joined.select("_id", "_row", "source", "size", "_key", "source_size", "target", "_epochs", "_rest", "_bucket"))
     sums = placed.groupBy("source", "_rest", "_bucket").agg(F.sum("size").alias("_sum"))
     run = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     edges = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(run), F.lit(0)))
@@ -107,8 +108,24 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id
     rest = ranked.filter(~cut).withColumn("_part", F.when(inside, F.col("size")).otherwise(0))
     taken = within.withColumn("_part", part).drop("_missing").unionByName(rest)
     return taken.select(
-        F.col("_id").alias(id_col), F.col("source").alias("_source"), "size", "source_size", "target",
-        (F.col("_epochs") * F.col("size") + F.col("_part")).cast("long").alias("taken"), "_epochs")
+        F.col("_id").alias(id_col), "_row", "size", "source_size", "target",
+        (F.col("_epochs") * F.col("size") + F.col("_part")).cast("long").alias("taken"),
+        (F.col("_epochs") + (F.col("_part") > 0).cast("long")).alias("copies"))
+
+
+def sample(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
+           source_col: str = "source", share: float = 1.5) -> DataFrame:
+    """The mix itself: every document as often as it is taken, whole, with all its columns.
+
+    Documents without words weigh nothing and are taken with their source's complete epochs, at
+    least once: leaving them out would be a filter, which a mix is not.
+    """
+    rows = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
+    mixed = mix(rows, quality, id_col, text_col, source_col, share, split_last=False, row_col="_row")
+    copies = F.when(F.col("size") == 0, F.greatest("copies", F.lit(1))).otherwise(F.col("copies"))
+    plan = mixed.select(F.col("_row").alias("_r"), copies.cast("int").alias("_copies")).filter("_copies > 0")
+    repeated = rows.join(plan, F.col("_row") == F.col("_r")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:

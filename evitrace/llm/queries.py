@@ -5,10 +5,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from evitrace.llm import bpe, grammar, hostrules, mixing, simhash, toxicity, urlrules
+from evitrace.llm import bpe, grammar, hostrules, langid, mixing, simhash, toxicity, urlrules
 from evitrace.llm.common import fold_of, table
 
 
+def op1_language_id(spark, sf):
+    docs, fold = table(spark, sf, "documents"), fold_of(F.col("doc_id"), 4)
+    found = langid.identify(docs, langid.train(docs, fold != 2))
+    return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op2_bpe(spark, sf):
     docs = table(spark, sf, "documents")
     coded = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -56,6 +62,7 @@ def op10_url_filters(spark, sf):
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
     "op5_quality_rules": op5_quality_rules,

@@ -185,3 +185,15 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
     whole = placed.join(lowest, "root").select(F.col("fp").alias("_fp"), "component_id")
     return marked.join(whole, F.col("fp") == F.col("_fp")).select(
         F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """One row of every group, with all its columns: the one with the smallest id, of equal ids the
+    first row; rows without ids come last. A row alone in its group stays.
+    """
+    rows = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
+    grouped = cut_lineage(group(rows.select("_row", F.col(text_col).alias("_t")), "_row", "_t", shingle))
+    named = grouped.join(rows.select(F.col("_row").alias("_r"), F.col(id_col).alias("_id")), F.col("_row") == F.col("_r"))
+    first = named.groupBy("component_id").agg(
+        F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))["row"].alias("_kept"))
+    return rows.join(first.select("_kept"), F.col("_row") == F.col("_kept"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

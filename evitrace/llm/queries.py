@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from evitrace.llm import bpe, grammar, hostrules, langid, mixing, simhash, toxicity, urlrules
+from evitrace.llm import bpe, grammar, hostrules, langid, mixing, simhash, toxicity, urlrules, warc
 from evitrace.llm.common import fold_of, table
 
 
@@ -29,6 +29,10 @@ def op3_toxicity(spark, sf):
         (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"), "sentences")
 
 
+def op4_warc(spark, sf):
+    return warc.round_trip(table(spark, sf, "pages"))
+
+
 def op5_quality_rules(spark, sf):
     return hostrules.judge(table(spark, sf, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
     "op3_toxicity": op3_toxicity,
+    "op4_warc": op4_warc,
     "op5_quality_rules": op5_quality_rules,
     "op7_secret_scans": op7_secret_scans,
     "op8_mixing": op8_mixing,
@@ -73,6 +78,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op4_warc": warc.ORACLE,
     "op5_quality_rules": hostrules.ORACLE,
     "op8_mixing": mixing.ORACLE,
     "op10_url_filters": urlrules.ORACLE,

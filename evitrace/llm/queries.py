@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from evitrace.llm import bpe, grammar, hostrules, langid, mixing, simhash, toxicity, urlrules, warc
+from evitrace.llm import ann, bpe, grammar, hostrules, langid, mixing, simhash, toxicity, urlrules, warc
 from evitrace.llm.common import fold_of, table
 
 
@@ -37,6 +37,10 @@ def op5_quality_rules(spark, sf):
     return hostrules.judge(table(spark, sf, "documents"))
 
 
+def op6_nearest_neighbours(spark, sf):
+    return ann.search(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_secret_scans(spark, sf):
     found = grammar.scan(table(spark, sf, "documents"))
 
@@ -71,6 +75,7 @@ QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op4_warc": op4_warc,
     "op5_quality_rules": op5_quality_rules,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_secret_scans": op7_secret_scans,
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,

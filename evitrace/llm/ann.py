@@ -21,6 +21,10 @@ from evitrace.llm.common import arrow_rows
 from evitrace.session import cut_lineage
 
 
+#: Centroids that a walk looks around at least.
+BEAM = 16
+
+
 @dataclass(frozen=True)
 class Options:
     """``sample``: vectors the centroids are fitted to; ``list_size``: vectors a list aims at, up to
@@ -67,15 +71,19 @@ class Lists:
     def walk(self, x: np.ndarray, ratio: float) -> np.ndarray:
         """Distances to the centroids met by each walk, infinite for those not met.
 
-        A walk starts at centroid 0 and visits the neighbours of every centroid within the ratio
-        of the nearest one so far, the nearest first of all, until none is left.
+        A walk starts at a few centroids, about the square root of their number, and visits the
+        neighbours of every centroid within the ratio of the nearest one so far, and of the ``BEAM``
+        nearest in any case, until none is left.
         """
         size = len(self.centroids)
         found = np.full((len(x), size), np.inf)
         visited = np.zeros((len(x), size), bool)
-        found[:, 0] = np.sqrt(((x - self.centroids[0]) ** 2).sum(1))
+        beam = min(BEAM, size) - 1
+        starts = np.arange(0, size, max(1, int(size**0.5)))
+        found[:, starts] = distances(x, self.centroids[starts])
         while True:
-            row, node = np.nonzero((found <= found.min(1, keepdims=True) * (1 + ratio)) & ~visited)
+            reach = np.maximum(found.min(1) * (1 + ratio), np.partition(found, beam, axis=1)[:, beam])
+            row, node = np.nonzero((found <= reach[:, None]) & np.isfinite(found) & ~visited)
             if not len(row):
                 return found
             visited[row, node] = True

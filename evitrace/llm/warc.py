@@ -233,6 +233,7 @@ class _Plain:
         return data[:cut]
 
     def body(self, size: int) -> bytes:
+        self.file.seek(self.at)
         return self.file.read(size)
 
     def skip(self, length: int) -> None:
@@ -303,7 +304,9 @@ def records(file, part: Part, wanted, payload: bool) -> Iterator[tuple[dict[str,
         if wanted(headers):
             kind, http = headers.get("warc-type"), headers.get("content-type", "").startswith("application/http")
             if kind == "revisit" or http and not payload:
-                block = source.body(min(length, 1 << 16))
+                size = min(length, 1 << 12)
+                while b"\r\n\r\n" not in (block := source.body(size)) and size < length:
+                    size = min(length, 4 * size)
                 told = _fields(block.partition(b"\r\n\r\n")[0]).get("content-length") if http else None
                 yield headers, int(told) if told and told.isdigit() else None, None
             elif payload:

@@ -24,11 +24,13 @@ WINDOW = 8
 
 @dataclass(frozen=True)
 class Limits:
-    """Bounds of the rules. ``host_rate``: shrunken failure rate from which a host is rejected."""
+    """Bounds of the rules. A host is rejected if its shrunken failure rate, less ``host_doubt``
+    standard deviations, is above ``host_rate``: few documents reject no host."""
 
     min_words: int = 20
     repeat_percent: int = 30
     host_rate: float = 0.5
+    host_doubt: float = 2.0
 
 
 def _windows(words: Column, make) -> Column:
@@ -109,7 +111,8 @@ def host_verdicts(measured: DataFrame, host_col: str, failed: Column, limits: Li
     strength = mean * (1 - mean) / spread - 1 if spread > 0 else prior["docs"] or 1.0
     strength = max(strength, 1e-6)
     shrunk = (F.col("host_failed") + F.lit(mean * strength)) / (F.col("host_docs") + F.lit(strength))
-    return hosts.withColumn("host_rate", shrunk).withColumn("host_rejected", shrunk > limits.host_rate)
+    doubt = F.lit(limits.host_doubt) * F.sqrt(shrunk * (F.lit(1.0) - shrunk) / (F.col("host_docs") + F.lit(strength + 1)))
+    return hosts.withColumn("host_rate", shrunk).withColumn("host_rejected", shrunk - doubt > limits.host_rate)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
@@ -158,7 +161,8 @@ ruled AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_
 hosts AS (SELECT source, count(*) AS d, count(*) FILTER (base_failed) AS f FROM ruled WHERE source IS NOT NULL GROUP BY source),
 moments AS (SELECT sum(f) / sum(d) AS m, var_samp(f / d) AS v, avg(d) AS docs FROM hosts),
 prior AS (SELECT m, greatest(CASE WHEN v > 0 THEN m * (1 - m) / v - 1 ELSE docs END, 1e-6) AS s FROM moments),
-bad AS (SELECT source FROM hosts, prior WHERE (f + m * s) / (d + s) > 0.5)
+shrunk AS (SELECT source, (f + m * s) / (d + s) AS r, d + s + 1 AS n FROM hosts, prior),
+bad AS (SELECT source FROM shrunk WHERE r - 2 * sqrt(r * (1 - r) / n) > 0.5)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND (source IS NULL OR source NOT IN (SELECT source FROM bad)) AS kept
 FROM ruled

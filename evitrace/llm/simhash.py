@@ -16,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evitrace.llm.common import arrow_rows
@@ -187,13 +187,121 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
         F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """One row of every group, with all its columns: the one with the smallest id, of equal ids the
-    first row; rows without ids come last. A row alone in its group stays.
+#: Independent fingerprints of single words by which near copies are looked for, and the bits in
+#: which two texts with a common key may differ to be compared.
+WIDE, WIDE_RADIUS = 4, 4
+#: Shingle hashes of a text's sketch, words of such a shingle, and the similarity of a near copy.
+SKETCH, SKETCH_SHINGLE, SIMILAR = 128, 5, 0.8
+
+
+def _mixed(hashes: np.ndarray, by: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        made = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * by)
+        made = (made ^ (made >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return made ^ (made >> np.uint64(29))
+
+
+def portrait(text: str | None) -> tuple[str, list[int], bytes]:
+    """Digest of a text's words, fingerprints of its single words, and a sketch: the smallest
+    hashes of its distinct five-word shingles. All words in lower case as for fingerprints."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    digest = xxhash.xxh128_hexdigest(b" ".join(words), SEED)
+    if not words:
+        return digest, [0] * WIDE, b""
+    hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)
+    wide = []
+    for k in range(WIDE):
+        total = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), 1 << 15):
+            own = _mixed(hashes[at:at + (1 << 15)], k + 1)
+            total += np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        wide.append(int(np.packbits(2 * total > len(hashes), bitorder="little").view("<i8")[0]))
+    run = min(SKETCH_SHINGLE, len(words))
+    rolled = np.zeros(len(words) - run + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(run):
+            rolled = rolled * np.uint64(0x100000001B3) + hashes[k:len(hashes) - run + 1 + k]
+    marks = np.unique((_mixed(rolled, 0) >> np.uint64(32)).astype("<u4"))
+    return digest, wide, marks[:SKETCH].tobytes()
+
+
+def likeness(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two texts' shingles from their sketches: exact for short texts."""
+    x, y = np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    low = np.union1d(x, y)
+    # Beyond the end of a full sketch nothing is known of that text.
+    low = low[low <= min([s[-1] for s in (x, y) if len(s) == SKETCH], default=low[-1])]
+    return float(np.isin(low, np.intersect1d(x, y, assume_unique=True)).mean())
+
+
+def near_groups(rows: DataFrame, row_col: str, text_col: str) -> DataFrame:
+    """(_id, component): groups of rows by links of fingerprints and by likeness of shingles.
+
+    Besides the fingerprints of ``group``, which near copies with scattered changes often miss,
+    texts meet under the Golay keys of their single words' fingerprints. Under a key each text is
+    compared with the first one and with the one before it, so candidates grow with the texts, not
+    with the square of a group; a pair becomes a link if its fingerprints differ in at most four
+    bits and its shingles are at least 0.8 alike. Equal texts are one node throughout.
+    """
+    base = rows.select(F.col(row_col).alias("_id"), F.col(text_col).alias("_text"))
+
+    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column(1).to_pylist()
+        made = [portrait(t) for t in texts]
+        fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([
+            batch.column(0), pa.array(fps), pa.array([m[0] for m in made], pa.string()),
+            pa.array([m[1] for m in made], pa.list_(pa.int64())), pa.array([m[2] for m in made], pa.binary())],
+            ["_id", "fp", "digest", "wide", "sketch"])
+
+    marked = cut_lineage(arrow_rows(base, "_id bigint, fp bigint, digest string, wide array<bigint>, sketch binary", step))
+    heads = cut_lineage(marked.groupBy("digest").agg(F.min("_id").alias("node")))
+    nodes = cut_lineage(marked.join(heads.select("node"), F.col("_id") == F.col("node"), "left_semi").select(
+        F.col("_id").alias("node"), "fp", "wide", "sketch"))
+
+    firsts = cut_lineage(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    same = nodes.select("node", "fp").join(firsts, "fp").filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    far = links(firsts)
+    a, b = (firsts.select(F.col("fp").alias(f"_{x}"), F.col("first").alias(f"_n{x}")) for x in "ab")
+    near = far.join(a, F.col("a") == F.col("_a")).join(b, F.col("b") == F.col("_b")).select(F.col("_na").alias("a"), F.col("_nb").alias("b"))
+
+    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps = batch.column(1).to_numpy(zero_copy_only=False)
+        row, key = keys_of(fps.view(np.uint64))
+        which = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(key | (which[row] << 48)), batch.column(0).take(pa.array(row)), pa.array(fps[row])], ["key", "node", "w"])
+
+    keys = arrow_rows(nodes.filter(F.length("sketch") > 0).select("node", F.posexplode("wide").alias("which", "w")).select("node", "w", "which"),
+                      "key bigint, node bigint, w bigint", make)
+    order = Window.partitionBy("key").orderBy("node")
+    before = keys.select(
+        "node", "w", F.lag(F.struct("node", "w")).over(order).alias("last"),
+        F.first(F.struct("node", "w")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("lead")).filter("last IS NOT NULL")
+    asked = before.select("node", "w", F.explode(F.array("last", "lead")).alias("o")).filter(
+        F.bit_count(F.col("w").bitwiseXOR(F.col("o.w"))) <= WIDE_RADIUS).select(F.col("node").alias("a"), F.col("o.node").alias("b")).distinct()
+    a, b = (nodes.select(F.col("node").alias(f"_{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
+    met = cut_lineage(asked).join(a, F.col("a") == F.col("_a")).join(b, F.col("b") == F.col("_b")).select("a", "b", "sa", "sb")
+
+    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+        alike = [likeness(x, y) >= SIMILAR for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        return batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    roots = components(same.unionByName(near).unionByName(arrow_rows(met, "a bigint, b bigint", compare)))
+    whole = heads.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(
+        F.col("digest").alias("_digest"), F.coalesce("root", "node").alias("component"))
+    return marked.select("_id", "digest").join(whole, F.col("digest") == F.col("_digest")).select("_id", "component")
+
+
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of every group of ``near_groups``, with all its columns: the one with the smallest
+    id, of equal ids the first row; rows without ids come last. A row alone in its group stays.
     """
     rows = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
-    grouped = cut_lineage(group(rows.select("_row", F.col(text_col).alias("_t")), "_row", "_t", shingle))
-    named = grouped.join(rows.select(F.col("_row").alias("_r"), F.col(id_col).alias("_id")), F.col("_row") == F.col("_r"))
-    first = named.groupBy("component_id").agg(
-        F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))["row"].alias("_kept"))
+    grouped = cut_lineage(near_groups(rows, "_row", text_col))
+    named = grouped.join(rows.select(F.col("_row").alias("_r"), F.col(id_col).alias("_name")), F.col("_id") == F.col("_r"))
+    first = named.groupBy("component").agg(
+        F.min(F.struct(F.col("_name").isNull().alias("none"), F.col("_name").alias("name"), F.col("_r").alias("row")))["row"].alias("_kept"))
     return rows.join(first.select("_kept"), F.col("_row") == F.col("_kept"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

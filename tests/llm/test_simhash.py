@@ -96,6 +96,41 @@ def test_group_handles_odd_rows(spark, docs):
     assert simhash.group(docs([])).count() == 0
 
 
+def test_sketches_tell_the_likeness():
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(5000)]
+    for n in (3, 40, 100, 900):
+        for edits in (0, 1, 4, n // 30):
+            a = rng.choices(words, k=n)
+            b = list(a)
+            for i in rng.sample(range(n), min(edits, n)):
+                b[i] = "new"
+            k = min(5, n)
+            x, y = ({tuple(t[i:i + k]) for i in range(n - k + 1)} for t in (a, b))
+            got = simhash.likeness(simhash.portrait(" ".join(a))[2], simhash.portrait(" ".join(b))[2])
+            assert abs(got - len(x & y) / len(x | y)) < (0.12 if n > 100 else 1e-9)
+    assert simhash.likeness(b"", b"") == 1 and simhash.likeness(b"", simhash.portrait("a")[2]) == 0
+
+
+def test_dedup_keeps_one_of_near_copies(spark, docs):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [rng.choices(words, k=rng.randrange(150, 400)) for _ in range(120)]
+    rows = [(i, " ".join(t), "en", "a") for i, t in enumerate(texts)]
+    for i in range(40):  # three words changed: about 0.9 alike
+        copy = list(texts[i])
+        for j in rng.sample(range(len(copy)), 3):
+            copy[j] = "changed"
+        rows.append((1000 + i, " ".join(copy), "en", "a"))
+    rows += [(2000 + i, rows[i][1].upper(), "en", "b") for i in range(60)] + [(5, *rows[5][1:]), (None, *rows[7][1:]), (3000, None, None, None), (3001, " ", None, None)]
+    given = docs(rows, "component")
+    kept = simhash.dedup(given)
+    ids = [r.doc_id for r in kept.collect()]
+    assert kept.columns == given.columns and set(range(120)) | {3000} <= set(ids) and len(ids) == len(set(ids))
+    assert len(ids) <= 121 + 8  # most near copies go, though here no word is common
+    assert simhash.dedup(docs([])).count() == 0
+
+
 def test_query_matches_brute_force(spark):
     from evitrace.llm.queries import QUERIES
 

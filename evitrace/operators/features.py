@@ -149,9 +149,9 @@ def search(nodes: DataFrame, claims: DataFrame, layer: str | None = None, claim_
     """Slugs with a live node of a layer, a live claim of a type, and a text in any claim."""
     slugs = nodes.select("slug").union(claims.select("slug")).distinct()
     if layer:
-        slugs = slugs.join(live(nodes).filter(F.col("layer") == layer).select("slug"), "slug", "left_semi")
+        slugs = slugs.join(live(nodes).filter(F.col("layer") == layer).select("slug").distinct(), "slug", "left_semi")
     if claim_type:
-        slugs = slugs.join(live(claims).filter(F.col("type") == claim_type).select("slug"), "slug", "left_semi")
+        slugs = slugs.join(live(claims).filter(F.col("type") == claim_type).select("slug").distinct(), "slug", "left_semi")
     if text:
-        slugs = slugs.join(live(claims).filter(F.lower("text").contains(text.lower())).select("slug"), "slug", "left_semi")
+        slugs = slugs.join(live(claims).filter(F.lower("text").contains(text.lower())).select("slug").distinct(), "slug", "left_semi")
     return slugs

@@ -17,18 +17,18 @@ def _gap(kind: str, ident: Column, suffix: str = "") -> list[Column]:
 
 def discovery(subjects: DataFrame, results: DataFrame) -> DataFrame:
     """Subjects without a closing result. ``subjects``: subject; ``results``: subject, result."""
-    closing = results.filter(F.col("result").isin(*DISCOVERY_RESULTS)).select("subject")
+    closing = results.filter(F.col("result").isin(*DISCOVERY_RESULTS)).select("subject").distinct()
     return subjects.select("subject").distinct().join(closing, "subject", "left_anti").select(*_gap("discovery", F.col("subject")))
 
 
 def uncovered(criteria: DataFrame, plan: DataFrame) -> DataFrame:
     """Criteria no plan item refers to. ``criteria``: ac_ref; ``plan``: ac_ref."""
-    return criteria.select("ac_ref").distinct().join(plan.select("ac_ref"), "ac_ref", "left_anti").select(*_gap("plan", F.col("ac_ref")))
+    return criteria.select("ac_ref").distinct().join(plan.select("ac_ref").distinct(), "ac_ref", "left_anti").select(*_gap("plan", F.col("ac_ref")))
 
 
 def ungrounded(plan: DataFrame, results: DataFrame) -> DataFrame:
     """Plan items whose subject has no closing result. ``plan``: item_id, subject."""
-    closing = results.filter(F.col("result").isin(*DISCOVERY_RESULTS)).select("subject")
+    closing = results.filter(F.col("result").isin(*DISCOVERY_RESULTS)).select("subject").distinct()
     return plan.join(closing, "subject", "left_anti").select(*_gap("plan", F.col("item_id"), ":ungrounded"))
 
 

@@ -119,28 +119,33 @@ def path_text(path) -> "F.Column":
 def impact(edges: DataFrame, entries: DataFrame, anchor: str, direction: str = "incoming",
            depth: int = DEPTH_LIMITS["impact"], lanes=(CURRENT_LANE,), include_heuristic: bool = False,
            top: int | None = None) -> DataFrame:
-    """The walk from one anchor, at most two hops, ordered by hop and node."""
+    """The walk from one anchor, ordered by hop and node; a depth beyond the limit is refused."""
+    if not 1 <= depth <= DEPTH_LIMITS["impact"]:
+        raise ValueError(f"depth must be 1 to {DEPTH_LIMITS['impact']}, not {depth}")
     spark = edges.sparkSession
     start = spark.createDataFrame([(anchor,)], "node string")
-    rows = walk(edges, entries, start, max(1, min(depth, DEPTH_LIMITS["impact"])), direction, lanes, include_heuristic)
+    rows = walk(edges, entries, start, depth, direction, lanes, include_heuristic)
     ordered = rows.select("node", "hop", "lifecycle", "resolved", path_text("path").alias("path"), "min_assurance").orderBy("hop", "node", "path")
     return ordered.limit(top) if top else ordered
 
 
-def closure(starts: DataFrame, depends: DataFrame, max_rounds: int = 64) -> DataFrame:
+def closure(starts: DataFrame, depends: DataFrame) -> DataFrame:
     """Everything each start transitively depends on, cycles included: ``(start, id)``.
 
-    Only newly found pairs are expanded, and each round is written out, so lost executors
-    re-read files instead of replaying the rounds. A closure that is still growing after
-    ``max_rounds`` is an error rather than a partial answer.
+    Path doubling: a round joins what is known to be reachable with itself, so the rounds grow
+    with the logarithm of the longest chain. Only pairs found in the last round are extended, and
+    each round is written out, so lost executors re-read files instead of replaying the rounds.
     """
-    found = starts.select("start", F.col("start").alias("id"))
-    fresh = found
-    step = depends.select(F.col("id").alias("from_id"), "depends_on")
-    for _ in range(max_rounds):
-        reached = fresh.join(step, fresh["id"] == step["from_id"]).select("start", F.col("depends_on").alias("id")).distinct()
-        fresh = cut_lineage(reached.join(found, ["start", "id"], "left_anti"))
+    known = cut_lineage(depends.select("id", "depends_on").filter("id IS NOT NULL AND depends_on IS NOT NULL").distinct())
+    fresh = known
+    while True:
+        onward = known.select(F.col("id").alias("middle"), F.col("depends_on").alias("far"))
+        behind = known.select(F.col("id").alias("near"), F.col("depends_on").alias("middle"))
+        left = fresh.withColumnRenamed("depends_on", "middle").join(onward, "middle").select("id", F.col("far").alias("depends_on"))
+        right = fresh.withColumnRenamed("id", "middle").join(behind, "middle").select(F.col("near").alias("id"), "depends_on")
+        fresh = cut_lineage(left.unionByName(right).distinct().join(known, ["id", "depends_on"], "left_anti"))
         if fresh.isEmpty():
-            return found
-        found = found.unionByName(fresh)
-    raise RuntimeError(f"closure still growing after {max_rounds} rounds")
+            break
+        known = cut_lineage(known.unionByName(fresh))
+    reached = starts.select("start").join(known, F.col("start") == F.col("id")).select("start", F.col("depends_on").alias("id"))
+    return starts.select("start", F.col("start").alias("id")).unionByName(reached).distinct()

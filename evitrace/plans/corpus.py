@@ -80,7 +80,7 @@ def facets_of(rows: DataFrame) -> dict[str, Facet]:
         "effectiveState": ("string", F.col("lane")),
         "document.length": ("number", F.col("n_chars")),
         "document.reviewed": ("boolean", F.col("lane") != "draft"),
-        "document.openers": ("list", F.slice(F.split(F.substring_index("purpose", "\n", 1), " "), 1, 3)),
+        "document.words": ("list", F.split("purpose", "[ \n]")),
     }
     with_lane = ("effectiveState", "document.reviewed")
     return {key: Facet(key, kind, column, key in with_lane) for key, (kind, column) in declared.items()}

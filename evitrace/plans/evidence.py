@@ -58,7 +58,7 @@ def subjects(spark, sf):
 
 def classify_answer(spark, sf):
     answer = (
-        F.when(F.col("role") == "user", F.concat(F.lit(" Up to you. "), F.substring("text", 1, 5)))
+        F.when(F.col("role") == "user", F.concat(F.lit(" Up to you. "), "text"))
         .when(F.col("turn") == 1, " N/A. ").otherwise(F.col("text"))
     )
     return load(spark, sf, "conversations").groupBy("role", tx.classify_answer(answer).alias("answer")).agg(F.count(F.lit(1)).alias("turns"))
@@ -71,7 +71,7 @@ def safe_literal(spark, sf):
         (-F.col("doc_id") - 1).alias("id"),
         F.when(F.col("source") == "src1", F.concat("lang", F.lit("@example.org"))).when(F.col("source") == "src2", "10.1.2.3")
         .when(F.col("source") == "src4", F.concat(F.lit("api_key = "), "lang")).when(F.col("source") == "src6", F.sha2("text", 256))
-        .otherwise(F.regexp_replace(F.substring("text", 1, 260), r"[^a-z ]", " ")).alias("literal"),
+        .otherwise(F.regexp_replace("text", r"[^a-z ]", " ")).alias("literal"),
     )
     return pages.unionByName(docs).select("id", tx.safe_literal(F.col("literal")).alias("kept"))
 
@@ -480,12 +480,12 @@ SELECT doc_id, CASE WHEN b = '' OR starts_with(b, '<AGENT_') THEN NULL WHEN n <=
     "subjects": """SELECT p_partkey, p_type || '__c.' || replace(p_brand, '#', '') || '__c' AS name, 'object-member' AS hint FROM part
 UNION ALL SELECT p_partkey, 'P' || p_partkey || '__c', 'api-name' FROM part UNION ALL SELECT p_partkey, 'Flow', 'artefact-type' FROM part
 UNION ALL SELECT p_partkey, 'PermissionSet', 'artefact-type' FROM part WHERE p_size > 25""",
-    "classify_answer": """WITH a AS (SELECT role, CASE WHEN role = 'user' THEN ' Up to you. ' || substr(text, 1, 5) WHEN turn = 1 THEN ' N/A. ' ELSE text END AS t FROM conversations),
+    "classify_answer": """WITH a AS (SELECT role, CASE WHEN role = 'user' THEN ' Up to you. ' || text WHEN turn = 1 THEN ' N/A. ' ELSE text END AS t FROM conversations),
 s AS (SELECT role, rtrim(lower(trim(t)), '.!') AS t FROM a)
 SELECT role, CASE WHEN t IN ('', 'n/a', 'na', 'unknown', 'tbd', '-', '?') THEN 'non-answer' WHEN contains(t, 'up to you') THEN 'delegated' ELSE 'complete' END AS answer, count(*) AS turns
 FROM s GROUP BY 1, 2""",
     "safe_literal": """WITH x AS (SELECT page_id AS id, url AS literal FROM pages UNION ALL SELECT -doc_id - 1, CASE source WHEN 'src1' THEN lang || '@example.org' WHEN 'src2' THEN '10.1.2.3'
- WHEN 'src4' THEN 'api_key = ' || lang WHEN 'src6' THEN sha256(text) ELSE regexp_replace(substr(text, 1, 260), '[^a-z ]', ' ', 'g') END FROM documents), t AS (SELECT id, trim(literal) AS l FROM x)
+ WHEN 'src4' THEN 'api_key = ' || lang WHEN 'src6' THEN sha256(text) ELSE regexp_replace(text, '[^a-z ]', ' ', 'g') END FROM documents), t AS (SELECT id, trim(literal) AS l FROM x)
 SELECT id, CASE WHEN l = '' THEN NULL WHEN contains(l, '://') THEN lower(regexp_extract(l, '://([^/?#:]*)', 1))
  WHEN regexp_matches(l, '(?i)\\b(password|passwd|secret|token|api[_-]?key|bearer|authorization|client[_-]?secret)\\b') OR regexp_matches(l, '[A-Za-z0-9+/=_-]{40,}')
    OR regexp_matches(l, '[\\w.+-]+@[\\w-]+\\.[\\w.-]+') OR regexp_matches(l, '\\b\\d{1,3}(\\.\\d{1,3}){3}\\b') THEN NULL

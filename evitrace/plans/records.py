@@ -90,9 +90,9 @@ def compare_and_set(spark, sf):
 
 
 def safe_names(spark, sf):
-    """File names of documents called by their first words."""
+    """File names of documents called by their texts."""
     docs = load(spark, sf, "documents")
-    title = F.when(F.col("source") == "src1", "con-1").when(F.col("source") == "src2", F.substring("text", 1, 90)).otherwise(F.concat_ws("_", "lang", F.col("doc_id").cast("string")))
+    title = F.when(F.col("source") == "src1", "con-1").when(F.col("source") == "src2", F.col("text")).otherwise(F.concat_ws("_", "lang", F.col("doc_id").cast("string")))
     safe = names.safe_name(title, F.col("doc_id").cast("string"))
     path = F.concat(F.lit("prose/Document/"), "lang", F.lit("/"), safe, F.lit(".md"))
     return docs.select("doc_id", safe.alias("safe_name"), names.identity_of_path(path).alias("proven"))
@@ -134,7 +134,7 @@ SELECT * FROM p WHERE problem IS NOT NULL""",
     "compare_and_set": """WITH w AS (SELECT user_id AS doc_id, event_id AS write_id, json_extract_string(props, '$.k')::INTEGER = coalesce(c_nationkey, 0) AS fits FROM events LEFT JOIN customer ON user_id = c_custkey),
 f AS (SELECT doc_id, min(write_id) AS winner FROM w WHERE fits GROUP BY 1)
 SELECT w.doc_id AS doc_id, write_id, CASE WHEN fits AND write_id = winner THEN 'accepted' ELSE 'stale' END AS outcome FROM w LEFT JOIN f ON f.doc_id = w.doc_id""",
-    "safe_names": f"""WITH t AS (SELECT doc_id, lang, CASE source WHEN 'src1' THEN 'con-1' WHEN 'src2' THEN left(text, 90) ELSE lang || '_' || doc_id END AS title FROM documents),
+    "safe_names": f"""WITH t AS (SELECT doc_id, lang, CASE source WHEN 'src1' THEN 'con-1' WHEN 'src2' THEN text ELSE lang || '_' || doc_id END AS title FROM documents),
 e AS (SELECT *, {_ENC.format('title')} AS enc, substr(sha256('"' || doc_id || '"'), 1, 8) AS mark FROM t),
 s AS (SELECT *, CASE WHEN length(enc) > 100 THEN regexp_replace(left(enc, 100), '%[0-9A-F]?$', '') || '-' || mark ELSE enc END AS stem FROM e),
 n AS (SELECT doc_id, lang, CASE WHEN upper(split_part(stem, '-', 1)) IN ('CON', 'PRN', 'AUX', 'NUL') THEN stem || '-' || mark ELSE stem END AS name FROM s)

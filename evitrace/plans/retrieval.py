@@ -85,13 +85,13 @@ FACETS = {
     "facet_gte": "document.length:gte=2500",
     "facet_lte": "document.length:lte=120.5",
     "facet_boolean": "document.reviewed:eq=TRUE",
-    "facet_list_has": "document.openers:has=the",
-    "facet_list_prefix": "document.openers:prefix=ein",
+    "facet_list_has": "document.words:has=pathetic",
+    "facet_list_prefix": "document.words:prefix=einun",
 }
 
 
 def identity_lookup(spark, sf):
-    return search.identity_search(corpus(spark, sf), Request(identity="src7.31", lanes=LANES))
+    return search.identity_search(corpus(spark, sf), Request(identity="src11.31", lanes=LANES))
 
 
 def ambiguous_identity(spark, sf):
@@ -199,7 +199,7 @@ def _facet_sql(where):
     return f"WITH {sql.ENTRIES} SELECT identity, lane, n_chars FROM entries WHERE {where}"
 
 
-_OPENERS = "string_split(split_part(purpose, chr(10), 1), ' ')[1:3]"
+_WORDS = "string_split_regex(purpose, '[ \n]')"
 _FP = r"trim(regexp_replace(regexp_replace({}, '\{{![^}}]*\}}', chr(65532), 'g'), '[\s]+', ' ', 'g'))"
 _TRIM = r"regexp_replace({}, '^[\s]+|[\s]+$', '', 'g')"
 
@@ -248,9 +248,9 @@ ORDER BY identity LIMIT 10""",
     "facet_gte": _facet_sql("n_chars >= 2500"),
     "facet_lte": _facet_sql("n_chars <= 120.5"),
     "facet_boolean": _facet_sql("lane <> 'draft'"),
-    "facet_list_has": _facet_sql(f"len(list_filter({_OPENERS}, lambda v: lower(v) = 'the')) > 0"),
-    "facet_list_prefix": _facet_sql(f"len(list_filter({_OPENERS}, lambda v: starts_with(lower(v), 'ein'))) > 0"),
-    "identity_lookup": f"""WITH {sql.ENTRIES}, h AS (SELECT identity, lane AS lifecycle FROM entries WHERE full_name = 'src7.31' OR identity = 'src7.31')
+    "facet_list_has": _facet_sql(f"len(list_filter({_WORDS}, lambda v: lower(v) = 'pathetic')) > 0"),
+    "facet_list_prefix": _facet_sql(f"len(list_filter({_WORDS}, lambda v: starts_with(lower(v), 'einun'))) > 0"),
+    "identity_lookup": f"""WITH {sql.ENTRIES}, h AS (SELECT identity, lane AS lifecycle FROM entries WHERE full_name = 'src11.31' OR identity = 'src11.31')
 SELECT identity, lifecycle, CASE WHEN (SELECT count(DISTINCT identity) FROM h) > 1 THEN 'AMBIGUOUS' ELSE 'OK' END AS outcome FROM h""",
     "ambiguous_identity": """SELECT p_name AS full_name, count(*) AS candidates, min('Part:' || p_partkey || ':' || p_name) AS first_candidate
 FROM part GROUP BY p_name HAVING count(*) > 1""",

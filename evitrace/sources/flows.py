@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-PATH_CAP = 5
-DEPTH_CAP = 20
+from evitrace.session import cut_lineage
+
 START = "$start"
-_FOUND = T.StructType([
-    T.StructField("paths", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("truncated", T.BooleanType()),
-])
 
 
 def _kid(name: str):
@@ -38,39 +33,38 @@ def connectors(nodes: DataFrame) -> DataFrame:
     return joined.filter(usable).select("path", "source", "target", hop.alias("hop"), (F.col("tag") == "faultConnector").alias("fault"))
 
 
-def _simple_paths(edges, goal: str) -> tuple[list[list[str]], bool]:
-    """Decision hops of the simple paths from the start to an element, shortest first."""
-    into: dict[str, list[tuple[str, str]]] = {}
-    for edge in edges:
-        into.setdefault(edge["target"], []).append((edge["source"], edge["hop"] or ""))
-    found: list[list[str]] = []
-    cut = False
-    trails = [(goal, (goal,), ())]
-    while trails and len(found) <= PATH_CAP:
-        node, trail, hops = trails.pop()
-        if node == START:
-            found.append(list(hops))
-        elif len(trail) >= DEPTH_CAP:
-            cut = True
-        else:
-            before = [(s, h) for s, h in sorted(into.get(node, ())) if s not in trail]
-            trails.extend((s, trail + (s,), ((h,) if h else ()) + hops) for s, h in reversed(before))
-    cut = cut or len(found) > PATH_CAP
-    unique = {tuple(p): None for p in sorted(found[:PATH_CAP], key=lambda p: (len(p), p))}
-    return [list(p) for p in unique], cut
-
-
-@F.pandas_udf(_FOUND)
-def decision_paths(edges: pd.Series, goals: pd.Series) -> pd.DataFrame:
-    rows = [_simple_paths([] if e is None else e, g) for e, g in zip(edges, goals)]
-    return pd.DataFrame(rows, columns=["paths", "truncated"])
+def decision_paths(links: DataFrame, goals: DataFrame) -> DataFrame:
+    """(path, node, paths): the decision hops that lead from the start to each goal.
+
+    ``links``: :func:`connectors`; ``goals``: path, node. All goals go back one connection per round,
+    and a trail never returns to an element it has passed, so the rounds end by themselves. Every
+    distinct hop list is kept, short ones first, then by their text; elements the start does not
+    reach have none.
+    """
+    step = links.select("path", F.col("target").alias("at"), F.col("source").alias("before"), "hop").distinct()
+    frontier = goals.select("path", "node").distinct().select(
+        "path", "node", F.col("node").alias("at"), F.array("node").alias("trail"), F.array().cast("array<string>").alias("hops")
+    )
+    done = []
+    while True:
+        moved = frontier.join(step, ["path", "at"]).filter(~F.array_contains("trail", F.col("before")))
+        moved = cut_lineage(moved.select(
+            "path", "node", F.col("before").alias("at"), F.array_append("trail", F.col("before")).alias("trail"),
+            F.when(F.col("hop").isNull(), F.col("hops")).otherwise(F.array_prepend("hops", F.col("hop"))).alias("hops"),
+        ))
+        done.append(moved.filter(F.col("at") == START).select("path", "node", "hops"))
+        frontier = moved.filter(F.col("at") != START)
+        if frontier.isEmpty():
+            break
+    reached = done[0]
+    for rows in done[1:]:
+        reached = reached.unionByName(rows)
+    sized = F.sort_array(F.collect_list(F.struct(F.size("hops").alias("n"), "hops")))
+    return reached.distinct().groupBy("path", "node").agg(F.transform(sized, lambda h: h["hops"]).alias("paths"))
 
 
 def error_surfaces(nodes: DataFrame) -> DataFrame:
-    """Custom errors, screen validations and fault paths, each with the decisions before it.
-
-    A flow's connectors are gathered per file: they came from that one file's markup.
-    """
+    """Custom errors, screen validations and fault paths, each with all decision paths before it."""
     flows = nodes.filter(F.col("metadata_type") == "Flow")
     tops = flows.filter((F.col("parent") == 0) & _kid("name").isNotNull()).select(
         "path", F.col("ord").alias("top"), _kid("name").alias("node"), _kid("label").alias("label"), F.col("tag").alias("top_tag")
@@ -90,9 +84,9 @@ def error_surfaces(nodes: DataFrame) -> DataFrame:
         _kid("fieldSelection").alias("field_selection"), _kid("formulaExpression").alias("condition"),
         F.when(F.col("kind") == "fault-path", _kid("targetReference")).alias("fault_target"),
     )
-    graph = connectors(nodes).groupBy("path").agg(F.collect_list(F.struct("source", "target", "hop")).alias("edges"))
-    found = surfaces.join(graph, "path", "left").withColumn("p", decision_paths("edges", "node"))
-    return found.select(*surfaces.columns, F.col("p.paths").alias("paths"), F.col("p.truncated").alias("truncated"))
+    routes = decision_paths(connectors(nodes), surfaces)
+    found = surfaces.join(routes, ["path", "node"], "left")
+    return found.select(*surfaces.columns, F.coalesce("paths", F.array().cast("array<array<string>>")).alias("paths"))
 
 
 def resolved_messages(surfaces: DataFrame, labels: DataFrame) -> DataFrame:

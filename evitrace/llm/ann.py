@@ -30,7 +30,7 @@ class Options:
     """``sample``: vectors the centroids are fitted to; ``list_size``: vectors a list aims at, up to
     ``lists`` lists; ``replicas`` and ``near``: lists of a vector, and how much farther than the
     nearest they may be; ``probe``: the same for the lists of a query; ``degree``: neighbours of a
-    centroid in the graph; ``tile``, ``queries``: vectors and queries of a tile."""
+    centroid in the graph; ``values``, ``queries``: components of all vectors and queries of a tile."""
 
     sample: int = 20_000
     list_size: int = 500
@@ -39,7 +39,7 @@ class Options:
     near: float = 0.1
     probe: float = 0.15
     degree: int = 16
-    tile: int = 8_192
+    values: int = 1 << 20
     queries: int = 1_024
     top: int = 20
 
@@ -116,8 +116,9 @@ class Lists:
 
     def pack(self, counts: np.ndarray, options: Options) -> None:
         """Lays the lists out over tiles: small ones share a tile, large ones have several."""
+        size = max(1, options.values // self.centroids.shape[1])
         self.counts = counts
-        self.tiles = np.maximum(1, -(-counts // options.tile))
+        self.tiles = np.maximum(1, -(-counts // size))
         self.first = np.zeros(len(counts), np.int64)
         tile, room = -1, 0
         for i, n in enumerate(counts):
@@ -127,7 +128,7 @@ class Lists:
                 room = 0
             else:
                 if n > room:
-                    tile, room = tile + 1, options.tile
+                    tile, room = tile + 1, size
                 self.first[i] = tile
                 room -= int(n)
 

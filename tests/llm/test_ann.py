@@ -48,7 +48,7 @@ def test_many_lists_and_tiles(spark):
     vecs[::3] = vecs[0]
     rows = [(i, v.tolist()) for i, v in enumerate(vecs)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
-    options = ann.Options(list_size=60, tile=300, queries=20)
+    options = ann.Options(list_size=60, values=5_000, queries=20)
     got = results(ann.search(df, F.col("vec_id") % 50 == 0, options=options))
     hits = [len({i for i, _ in got[q]} & {i for i, _ in brute(range(3000), vecs, (q, vecs[q]))}) / 20 for q in range(0, 3000, 50)]
     assert len(got) == 60 and np.mean(hits) >= 0.9

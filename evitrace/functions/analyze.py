@@ -153,7 +153,12 @@ def tokens(text: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def _fold_target_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+    return texts.map(lambda t: None if t is None else fold_key(t))
+
+
+def fold_key(name: str) -> str:
+    """The comparison key of a name given by the caller; see :func:`fold_name`."""
+    return unicodedata.normalize("NFKC", name).casefold()
 
 
 def fold_name(name: Column, exact: bool = True) -> Column:
@@ -164,3 +169,14 @@ def fold_name(name: Column, exact: bool = True) -> Column:
     if not exact:
         return U.casefold(name)
     return F.coalesce(_fold_target_udf(F.when(~U.jvm_safe(name), name)), U.casefold(name))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _fold_targets_udf(lists: pd.Series) -> pd.Series:
+    return lists.map(lambda ts: None if ts is None else [None if t is None else fold_key(t) for t in ts])
+
+
+def fold_names(names: Column) -> Column:
+    """:func:`fold_name` of every element of a list of strings."""
+    foreign = F.exists(names, lambda n: F.coalesce(~U.jvm_safe(n), F.lit(False)))
+    return F.coalesce(_fold_targets_udf(F.when(foreign, names)), F.transform(names, U.casefold))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evitrace.functions.unicode import casefold
+from evitrace.functions.analyze import fold_name
 from evitrace.operators.graph import local_name
 from evitrace.vocab import HEURISTIC, LANES
 
@@ -74,8 +74,8 @@ def stored_edge_health(edges: DataFrame, live: DataFrame) -> DataFrame:
             F.when(local_name(object_name), object_name),
             F.when(local_name(object_name) & local_name(member), F.col("target")),
         ))).alias("component"),
-    ).withColumn("key", casefold(F.col("component")))
-    name = casefold(F.col("name"))
+    ).withColumn("key", fold_name(F.col("component")))
+    name = fold_name(F.col("name"))
     keys = live.select(
         F.explode(F.array_distinct(F.array_compact(F.array(
             name, F.when(name.contains("."), F.substring_index(name, ".", -1))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evitrace.functions.unicode import casefold
+from evitrace.functions.analyze import fold_key, fold_name, fold_names
 
 OPERATORS = ("eq", "in", "exists", "prefix", "has", "gte", "lte")
 
@@ -51,14 +51,14 @@ def predicate(facet: Facet, op: str, value: str) -> Column:
     column = facet.column
     if op == "exists":
         return column.isNotNull()
-    folded = value.casefold()
-    options = [part.casefold() for part in value.split("|")]
+    folded = fold_key(value)
+    options = [fold_key(part) for part in value.split("|")]
     if facet.kind == "boolean":
         hit = F.lower(column.cast("string")) == folded if op == "eq" else F.lit(False)
     elif facet.kind == "number":
         hit = _number(facet, op, value)
     elif facet.kind == "list":
-        held = F.transform(column, lambda v: casefold(v.cast("string")))
+        held = fold_names(column.cast("array<string>"))
         hit = {
             "eq": lambda: F.array_contains(held, folded),
             "has": lambda: F.array_contains(held, folded),
@@ -66,7 +66,7 @@ def predicate(facet: Facet, op: str, value: str) -> Column:
             "prefix": lambda: F.exists(held, lambda v: v.startswith(folded)),
         }.get(op, lambda: F.lit(False))()
     else:
-        text = casefold(column.cast("string"))
+        text = fold_name(column.cast("string"))
         tests = {
             "eq": lambda: text == folded,
             "in": lambda: text.isin(options),

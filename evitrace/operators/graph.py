@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evitrace.functions.unicode import casefold
+from evitrace.functions.analyze import fold_key, fold_name
 from evitrace.vocab import (
     CONTAINMENT, CURRENT_LANE, EXACT, HEURISTIC, HEURISTIC_KINDS, LOCAL_SUFFIXES,
     PERMISSION_KINDS, TOP, TRUNCATION_FAMILIES,
@@ -38,14 +38,14 @@ def decidable(target: Column) -> Column:
 
 def _name_keys(entries: DataFrame) -> DataFrame:
     """Every folded name an entry answers to, with the stage that name belongs to."""
-    full = casefold(F.col("full_name"))
+    full = fold_name(F.col("full_name"))
     return entries.select(
         "identity",
         F.explode(F.array_compact(F.array(
             F.when(F.col("full_name") != "", F.struct(F.lit("full").alias("stage"), full.alias("key"))),
-            F.struct(F.lit("identity").alias("stage"), casefold(F.col("identity")).alias("key")),
+            F.struct(F.lit("identity").alias("stage"), fold_name(F.col("identity")).alias("key")),
             F.when(F.col("full_name").rlike(r"[^.].*\."), F.struct(
-                F.lit("member").alias("stage"), casefold(F.substring_index("full_name", ".", -1)).alias("key"))),
+                F.lit("member").alias("stage"), fold_name(F.substring_index("full_name", ".", -1)).alias("key"))),
         ))).alias("n"),
     ).select("identity", "n.stage", "n.key")
 
@@ -122,7 +122,7 @@ def edge_health_sample(targets: DataFrame, cap: int = TOP["edge_health"]) -> Dat
 def incoming(edges: DataFrame, names: list[str], kinds: list[str] | None = None,
              include_heuristic: bool = False) -> DataFrame:
     """Edges that point at any of the names, one row per edge."""
-    hit = F.col("target_key").isin(sorted({n.casefold() for n in names}))
+    hit = F.col("target_key").isin(sorted({fold_key(n) for n in names}))
     if kinds is not None:
         hit = hit & F.col("kind").isin(*kinds)
     if not include_heuristic:

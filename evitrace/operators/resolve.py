@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evitrace.functions.let import let
-from evitrace.functions.unicode import casefold
+from evitrace.functions.analyze import fold_name, fold_names
 from evitrace.session import cut_lineage
 
 EXPANSION_CAP = 25
@@ -51,13 +51,10 @@ def folders(path: Column) -> Column:
 
 def aliases(name: Column, ident: Column, path: Column) -> Column:
     base = F.substring_index(path, "/", -1)
-    return F.array_distinct(F.transform(
-        F.array(
-            name, ident, base, F.regexp_replace(base, r"\.[A-Za-z0-9]+-meta\.xml$", ""),
-            F.regexp_replace(base, r"\.[A-Za-z0-9]+$", ""),
-        ),
-        casefold,
-    ))
+    return F.array_distinct(fold_names(F.array(
+        name, ident, base, F.regexp_replace(base, r"\.[A-Za-z0-9]+-meta\.xml$", ""),
+        F.regexp_replace(base, r"\.[A-Za-z0-9]+$", ""),
+    )))
 
 
 def resolve(inputs: DataFrame, components: DataFrame, generic_paths: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -67,12 +64,12 @@ def resolve(inputs: DataFrame, components: DataFrame, generic_paths: DataFrame |
     name, path. Returns ``(selections, matches)``: one row per input with its resolution and
     the number of components, and one row per input and component of the winning tier.
     """
-    key = F.when(F.col("kind") == "path", casefold(normalize_path(F.col("input")))).otherwise(casefold(F.trim("input")))
+    key = F.when(F.col("kind") == "path", fold_name(normalize_path(F.col("input")))).otherwise(fold_name(F.trim("input")))
     # Written once: a small selection then meets the components as they are scanned.
     asked = cut_lineage(inputs.select("kind", "input").distinct().withColumn("key", key))
     paths = asked.filter(F.col("kind") == "path")
     names = asked.filter(F.col("kind") == "name")
-    known = components.withColumn("pkey", casefold(F.col("path")))
+    known = components.withColumn("pkey", fold_name(F.col("path")))
 
     # Tiers of one path: itself, its content file, its description file.
     spelled = paths.filter(F.col("key").isNotNull()).select("kind", "input", F.explode(F.array(
@@ -83,7 +80,7 @@ def resolve(inputs: DataFrame, components: DataFrame, generic_paths: DataFrame |
     exact = spelled.join(known.select(F.col("pkey").alias("k"), "component_id", "path"), "k")
     generic = None
     if generic_paths is not None:
-        generic = paths.join(generic_paths.select(casefold(F.col("path")).alias("key")).distinct(), "key").select(
+        generic = paths.join(generic_paths.select(fold_name(F.col("path")).alias("key")).distinct(), "key").select(
             "kind", "input", F.lit(4).alias("tier"), F.lit(None).cast("string").alias("component_id"), F.lit(None).cast("string").alias("path")
         )
     homes = known.filter(F.col("metadata_type").isin(*BUNDLE_TYPES)).select(
@@ -91,20 +88,23 @@ def resolve(inputs: DataFrame, components: DataFrame, generic_paths: DataFrame |
     )
     in_bundle = paths.select("kind", "input", F.lit(5).alias("tier"), F.explode(folders(F.col("key"))).alias("k")).join(homes, "k")
     under = known.select(F.explode(folders(F.col("pkey"))).alias("k"), "component_id", "path")
-    in_folder = paths.select("kind", "input", F.lit(6).alias("tier"), F.col("key").alias("k")).join(under, "k")
+    at_folder = paths.select("kind", "input", F.lit(6).alias("tier"), F.col("key").alias("k"))
     called = known.select(F.explode(aliases(F.col("name"), F.col("component_id"), F.col("path"))).alias("k"), "component_id", "path")
     by_name = names.select("kind", "input", F.lit(7).alias("tier"), F.col("key").alias("k")).join(called, "k")
 
     shape = ["kind", "input", "tier", "component_id", "path"]
     found = exact.select(*shape)
-    for more in (in_bundle, in_folder, by_name):
+    for more in (in_bundle, by_name):
         found = found.unionByName(more.select(*shape))
     if generic is not None:
         found = found.unionByName(generic)
     # Counts per tier, then the first tier that has any: only counts reach the grouping. A
     # component meets an input at most once per tier, and several files show as unequal ends.
-    per_tier = found.groupBy("kind", "input", "tier").agg(
-        F.count("component_id").alias("matches"), (F.min("path") != F.max("path")).alias("scattered")
+    # Folders are counted before they meet their inputs: one that holds all components is one row.
+    measures = (F.count("component_id").alias("matches"), (F.min("path") != F.max("path")).alias("scattered"))
+    per_folder = under.join(at_folder.select("k").distinct(), "k", "left_semi").groupBy("k").agg(*measures)
+    per_tier = found.groupBy("kind", "input", "tier").agg(*measures).unionByName(
+        at_folder.join(per_folder, "k").drop("k")
     )
     won = per_tier.groupBy("kind", "input").agg(F.min_by(F.struct("tier", "matches", "scattered"), "tier").alias("w")).select(
         "kind", "input", "w.*"
@@ -125,7 +125,9 @@ def resolve(inputs: DataFrame, components: DataFrame, generic_paths: DataFrame |
         "kind", "input", resolution.alias("resolution"), F.coalesce("matches", F.lit(0)).alias("matches"), "tier"
     )
     listed = selections.filter(F.col("resolution").isin("resolved", "expanded", "ambiguous")).select("kind", "input", "tier")
-    matches = found.join(listed, ["kind", "input", "tier"]).select("kind", "input", "component_id")
+    # Components are listed for the folders that are served alone.
+    few = at_folder.join(listed, ["kind", "input", "tier"]).join(under, "k").select(*shape)
+    matches = found.join(listed, ["kind", "input", "tier"]).select(*shape).unionByName(few).select("kind", "input", "component_id")
     return selections, matches
 
 

@@ -7,9 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evitrace.functions.analyze import analyze_text, fold_name
+from evitrace.functions.analyze import analyze_text, fold_key, fold_name
 from evitrace.functions.text import MERGE_MARK, fingerprint_text, message_fingerprint, snippet
-from evitrace.functions.unicode import casefold
 from evitrace.operators import rank
 from evitrace.operators.facets import Facet, matches, parse
 from evitrace.session import cut_lineage
@@ -64,13 +63,13 @@ def stage_filters(corpus: Corpus, request: Request) -> dict[str, Column]:
     stages = {"lifecycle": F.col("lane").isin(*request.lanes)}
     if request.metadata_type:
         stages["metadataType"] = F.coalesce(
-            casefold(F.col("metadata_type")) == request.metadata_type.casefold(), F.lit(False)
+            fold_name(F.col("metadata_type")) == fold_key(request.metadata_type), F.lit(False)
         )
     if request.namespace == "c":
         stages["scope"] = F.col("namespace").isNull()
     elif request.namespace is not None:
         stages["scope"] = F.coalesce(
-            casefold(F.col("namespace")) == request.namespace.casefold(), F.lit(False)
+            fold_name(F.col("namespace")) == fold_key(request.namespace), F.lit(False)
         )
     for expression in request.facets:
         stages[f"facet:{expression}"] = matches(corpus.facets, [expression])
@@ -178,7 +177,7 @@ def identity_search(corpus: Corpus, request: Request) -> DataFrame:
     is ranked.
     """
     wanted = (F.col("identity") == request.identity) | (
-        casefold(F.col("full_name")) == request.identity.casefold()
+        fold_name(F.col("full_name")) == fold_key(request.identity)
     )
     hits = corpus.entries.filter(candidate(corpus, request) & wanted).select("identity", "lane")
     distinct = hits.agg(F.count_distinct("identity").alias("n")).scalar()
@@ -238,12 +237,13 @@ def relation_search(edges: DataFrame, entries: DataFrame, anchor: str, direction
     if kind:
         keep = keep & (F.col("kind") == kind)
     if direction == "incoming":
-        chosen = edges.filter(keep & (F.col("target_key") == anchor.casefold()))
+        chosen = edges.filter(keep & (F.col("target_key") == fold_key(anchor)))
     else:
         chosen = edges.filter(keep)
     served = entries.filter(F.col("lane").isin(*lanes)).select(
         F.col("identity").alias("source"), "full_name", F.col("lane").alias("lifecycle")
     )
     if direction == "outgoing":
-        served = served.filter((F.col("source") == anchor) | (F.col("full_name") == anchor))
+        key = fold_key(anchor)
+        served = served.filter((fold_name(F.col("source")) == key) | (fold_name(F.col("full_name")) == key))
     return chosen.join(served, "source").select("source", "kind", "target", "assurance", "lifecycle")

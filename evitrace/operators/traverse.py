@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evitrace.functions.unicode import casefold
+from evitrace.functions.analyze import fold_name
 from evitrace.operators.graph import resolve_targets
 from evitrace.session import cut_lineage
 from evitrace.vocab import CONTAINMENT, CURRENT_LANE, DEPTH_LIMITS, EXACT, HEURISTIC
@@ -33,7 +33,7 @@ def _hops(frontier: DataFrame, edges: DataFrame, entries: DataFrame, direction:
     names = frontier.select(
         *carried,
         F.explode(F.array_distinct(F.array_compact(F.array("node", F.nullif(F.col("full_name"), F.lit("")))))).alias("name"),
-    ).withColumn("target_key", casefold(F.col("name")))
+    ).withColumn("target_key", fold_name(F.col("name")))
     pointing = edges.select("target_key", "source", "kind", "assurance").join(names, "target_key").select(
         *carried, F.col("source").alias("to"), "kind", F.col("name").alias("via"), "assurance",
         F.lit(False).alias("owner_ward"),

@@ -6,7 +6,7 @@ identity that sends most of the records costs one row per task and micro-batch.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -24,31 +24,32 @@ def latest_stream(records: DataFrame, identity: str = "identity", sequence: str
     return newest.select(identity, "r.*", "records")
 
 
-def numbering_stream(records: DataFrame, sequence: str = "sequence", bucket: int = 1_000_000) -> DataFrame:
-    """Per bucket of the number line: span, records and distinct numbers seen so far.
+def numbering_stream(records: DataFrame, sequence: str = "sequence") -> DataFrame:
+    """Copies of every number seen so far: exact state, one row per number.
 
-    A bucket whose span exceeds its distinct numbers has gaps; more records than distinct
-    numbers are replays. Numbers are exact: each is a group of the inner count.
+    Built-in aggregation, so it combines inside each task first; :func:`numbering_verdict` reads
+    the numbers in buckets.
     """
-    return records.groupBy(F.floor(F.col(sequence) / bucket).alias("bucket")).agg(
-        F.min(sequence).alias("lowest"), F.max(sequence).alias("highest"), F.count(F.lit(1)).alias("records"),
-        F.sum(F.col(sequence).cast("decimal(38,0)")).alias("checksum"),
-    )
+    return records.groupBy(F.col(sequence).cast("bigint").alias("sequence")).agg(F.count(F.lit(1)).alias("copies"))
 
 
-def numbering_verdict(buckets: DataFrame, bucket: int = 1_000_000) -> DataFrame:
-    """Gap, replay or complete, per bucket.
+def numbering_verdict(numbers: DataFrame, start: int | None = 1, bucket: int = 1_000_000) -> DataFrame:
+    """Per bucket of the number line: lowest, highest, distinct numbers, records, missing, verdict.
 
-    A bucket is complete when its count fills its span and its numbers add up to the series;
-    fewer records than the span leave a gap, anything else repeats a number.
+    ``missing`` counts numbers absent from the end of the bucket before, or from ``start``, up to
+    the highest of this one, so a missing beginning is a gap too; None takes the first number found
+    as the start. The verdict names both faults where there are both.
     """
-    span = F.col("highest") - F.col("lowest") + 1
-    series = (F.col("lowest") + F.col("highest")).cast("decimal(38,0)") * span / 2
-    verdict = (
-        F.when((F.col("records") == span) & (F.col("checksum") == series), "complete")
-        .when(F.col("records") < span, "gap").otherwise("replay")
+    per = numbers.groupBy(F.floor(F.col("sequence") / bucket).alias("bucket")).agg(
+        F.min("sequence").alias("lowest"), F.max("sequence").alias("highest"),
+        F.count(F.lit(1)).alias("numbers"), F.sum("copies").alias("records"),
     )
-    return buckets.select("bucket", "lowest", "highest", "records", verdict.alias("verdict"))
+    # One row per bucket passes through this order.
+    before = F.coalesce(F.lag("highest").over(Window.orderBy("bucket")), F.lit(start - 1) if start is not None else F.col("lowest") - 1)
+    missing = F.greatest(F.col("highest") - before - F.col("numbers"), F.lit(0))
+    faults = F.concat_ws("+", F.when(missing > 0, "gap"), F.when(F.col("records") > F.col("numbers"), "replay"))
+    return per.select("bucket", "lowest", "highest", "numbers", "records", missing.alias("missing"),
+                      F.coalesce(F.nullif(faults, F.lit("")), F.lit("complete")).alias("verdict"))
 
 
 def windowed_activity(records: DataFrame, moment: str = "at", by: str = "action", width: str = "1 day",

@@ -42,3 +42,14 @@ def test_bad_values(spark, expression):
 
 def test_default_operator_is_equality(spark):
     assert parse("s=a=b", facets()).value == "a=b" and parse("s=a", facets()).op == "eq"
+
+
+def test_names_fold_by_compatibility(spark):
+    """Ligatures, full-width and Greek letters are equal to what they stand for."""
+    from evitrace.functions.analyze import fold_key, fold_name, fold_names
+    from pyspark.sql import functions as F
+
+    pairs = [("\ufb01eld", "FIELD"), ("\uff26\uff49\uff45\uff4c\uff44", "field"), ("\u039f\u0394\u039f\u03a3", "\u03bf\u03b4\u03bf\u03c2"), ("Stra\u00dfe", "STRASSE")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert all(r.a == r.b == fold_key(y) for r, (_, y) in zip(df.select(fold_name(F.col("a")).alias("a"), fold_name(F.col("b")).alias("b")).collect(), pairs))
+    assert all(len(set(r.f)) == 1 for r in df.select(fold_names(F.array("a", "b")).alias("f")).collect())

@@ -201,7 +201,11 @@ def test_ledger_stream_is_idempotent_and_flags_gaps(spark, tmp_path):
     query = stream.numbering_stream(records).writeStream.format("memory").queryName("numbering").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     row = stream.numbering_verdict(spark.table("numbering")).first()
-    assert (row.lowest, row.highest, row.records, row.verdict) == (1, 6, 6, "replay")
+    assert (row.lowest, row.highest, row.records, row.missing, row.verdict) == (1, 6, 6, 1, "gap+replay")
+    twice = spark.createDataFrame([(1,), (1,), (4,), (4,)], "sequence bigint")
+    assert stream.numbering_verdict(stream.numbering_stream(twice)).first().verdict == "gap+replay"
+    late = stream.numbering_verdict(stream.numbering_stream(twice.selectExpr("sequence + 3 AS sequence").distinct())).first()
+    assert (late.missing, late.verdict) == (5, "gap")
     latest = stream.latest_stream(records).writeStream.format("memory").queryName("newest").outputMode("complete").trigger(availableNow=True).start()
     latest.awaitTermination()
     assert {(r.identity, r.sequence) for r in spark.table("newest").collect()} == {("a", 4), ("b", 6)}

@@ -10,15 +10,16 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evitrace import __version__
+from evitrace.functions.text import snippet
 from evitrace.operators import graph, postings, rank
-from evitrace.operators.search import Corpus, Request
+from evitrace.operators.facets import Facet
+from evitrace.operators.search import Corpus, Request, stage_filters
 from evitrace.session import cut_lineage
 from evitrace.sources.tree import tree_digest
-from evitrace.tables import spread
 from evitrace.vocab import B, FIELD_WEIGHTS, K1, LANES
 
 
@@ -26,14 +27,27 @@ class StaleIndex(RuntimeError):
     """The pointer is missing or the entry set changed since the generation was written."""
 
 
-def entry_set_digest(entries: DataFrame) -> str:
-    """Identity of the entry set and of the code that indexes it."""
-    files = entries.select(
-        F.col("identity").alias("path"),
-        F.sha2(F.concat_ws("\x1f", "lane", "full_name", "purpose"), 256).alias("sha256"),
-    )
-    row = tree_digest(files).first()
-    return f"{row['digest'].removeprefix('sha256:')[:16]}-{__version__}"
+def stamps(corpus: Corpus) -> DataFrame:
+    """(identity, stamp): a digest of all that is indexed of an entry, its fields and facets too."""
+    held = [F.col(c) for c in ("lane", "full_name", "metadata_type", "namespace")]
+    held += [*corpus.fields.values(), *(f.column for f in corpus.facets.values())]
+    text = F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("\x00")) for c in held])
+    return corpus.entries.select("identity", F.sha2(text, 256).alias("stamp"))
+
+
+def entry_set_digest(corpus: Corpus, edges: DataFrame | None = None) -> str:
+    """Identity of the entries, their fields, facets and edges, and of the code that indexes them."""
+    return _set_digest(stamps(corpus), edges)
+
+
+def _set_digest(stamped: DataFrame, edges: DataFrame | None) -> str:
+    pairs = stamped.select(F.col("identity").alias("path"), F.col("stamp").alias("sha256"))
+    if edges is not None:
+        # An edge is told by its columns; copies of one differ in nothing and add up all the same.
+        row = F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in sorted(edges.columns)]), 256)
+        pairs = pairs.unionByName(edges.select(F.concat(F.lit("edge "), "source").alias("path"), row.alias("sha256")))
+    digest = tree_digest(pairs).first()["digest"]
+    return f"{digest.removeprefix('sha256:')[:16]}-{__version__}"
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -67,19 +81,31 @@ def read_back(spark: SparkSession, home: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{home}/{name}")
 
 
-def build(corpus: Corpus, root: str, edges: DataFrame | None = None) -> dict:
-    """Write a generation unless it already exists, then move the pointer to it."""
+def build(corpus: Corpus, root: str, edges: DataFrame | None = None, source: str | None = None,
+          tokens: DataFrame | None = None) -> dict:
+    """Write a generation unless it already exists, then move the pointer to it.
+
+    ``source`` is a cheap stamp of the files behind the corpus, kept in the manifest so that readers
+    can tell without reading a text whether the generation is current. ``tokens``: postings that
+    are already known, as from :func:`update`. Entries without their texts are a table of their
+    own, which filters read; texts are read for excerpts of served rows alone, and lie sorted by
+    identity within each file, so that few pages of a file are touched.
+    """
     entries = corpus.entries
     spark = entries.sparkSession
-    generation = entry_set_digest(entries)
+    stamped = cut_lineage(stamps(corpus))
+    generation = _set_digest(stamped, edges)
     home = f"{root.rstrip('/')}/gen-{generation}"
     manifest = _read_text(spark, f"{home}/manifest.json")
     if manifest is None:
         put = lambda df, name: df.write.mode("overwrite").parquet(f"{home}/{name}")
-        put(entries, "documents")
+        put(stamped, "stamps")
+        put(entries.select("identity", "purpose").sortWithinPartitions("identity"), "documents")
+        kinds = {k: (f.kind, f.needs_lane) for k, f in corpus.facets.items()}
+        columns = [f.column.alias(f"facet_{i}") for i, f in enumerate(corpus.facets.values())]
+        put(entries.select("identity", "full_name", "metadata_type", "namespace", "lane", *columns).sortWithinPartitions("identity"), "entries")
         # Texts are analysed once; sorting and statistics read what that pass wrote.
-        written = spread(read_back(spark, home, "documents"), "identity")
-        staged = cut_lineage(postings.token_postings(written, corpus.fields, keep=["lane"]))
+        staged = tokens if tokens is not None else cut_lineage(postings.token_postings(entries, corpus.fields, keep=["lane"]))
         put(staged.repartitionByRange("token", "identity").sortWithinPartitions("token", "identity"), "tokens")
         facets = {k: f.column for k, f in corpus.facets.items()}
         if facets:
@@ -87,65 +113,95 @@ def build(corpus: Corpus, root: str, edges: DataFrame | None = None) -> dict:
         if edges is not None:
             put(edges.repartitionByRange("target_key", "source").sortWithinPartitions("target_key"), "edges")
             put(graph.resolve_targets(entries, edges), "targets")
-        lanes = {r["lane"]: r["count"] for r in entries.groupBy("lane").count().collect()}
+        lanes = {r["lane"]: r["count"] for r in read_back(spark, home, "entries").groupBy("lane").count().collect()}
         # One row per field: the statistics every query needs go into the manifest.
-        held = {r["field"]: r["n"] for r in staged.groupBy("field").agg(F.sum(F.col("tf").cast("bigint")).alias("n")).collect()}
+        held = {r["field"]: r["n"] for r in read_back(spark, home, "tokens").groupBy("field").agg(F.sum(F.col("tf").cast("bigint")).alias("n")).collect()}
         total = sum(lanes.values())
         body = {
             "generation": generation, "entries": total,
             "meanLengths": {f: held.get(f, 0) / total if total else 0.0 for f in corpus.fields},
             "laneCounts": {lane: lanes.get(lane, 0) for lane in LANES},
-            "fields": list(corpus.fields), "complete": True,
+            "fields": list(corpus.fields), "facets": [[k, *v] for k, v in kinds.items()], "complete": True,
         }
         _write_text(spark, f"{home}/manifest.json", json.dumps(body, sort_keys=True))
     else:
         body = json.loads(manifest)
-    _write_text(spark, f"{root.rstrip('/')}/current.json", json.dumps({"generation": generation}))
+    _write_text(spark, f"{root.rstrip('/')}/current.json", json.dumps({"generation": generation, "source": source}))
     return body
 
 
-def load(spark: SparkSession, root: str, entries: DataFrame | None = None) -> dict:
-    """The current manifest. With ``entries`` the generation must match them."""
+def load(spark: SparkSession, root: str, corpus: Corpus | None = None, edges: DataFrame | None = None, source: str | None = None) -> dict:
+    """The current manifest. With ``corpus`` (and ``edges``) the generation must match them, with
+    ``source`` the stamp it was built with."""
     pointer = _read_text(spark, f"{root.rstrip('/')}/current.json")
     if pointer is None:
         raise StaleIndex("no generation pointer; build the index first")
-    generation = json.loads(pointer)["generation"]
+    current = json.loads(pointer)
+    generation = current["generation"]
     manifest = _read_text(spark, f"{root.rstrip('/')}/gen-{generation}/manifest.json")
     if manifest is None or not json.loads(manifest)["complete"]:
         raise StaleIndex("the current generation is incomplete; rebuild")
-    if entries is not None and entry_set_digest(entries) != generation:
+    if source is not None and current.get("source") != source:
+        raise StaleIndex("files changed since the index was built; rebuild")
+    if corpus is not None and entry_set_digest(corpus, edges) != generation:
         raise StaleIndex("entries changed since the index was built; rebuild")
     return {**json.loads(manifest), "home": f"{root.rstrip('/')}/gen-{generation}"}
 
 
+def stored(spark: SparkSession, manifest: dict) -> Corpus:
+    """The entries of a generation with their facets, without texts."""
+    rows = read_back(spark, manifest["home"], "entries")
+    facets = {k: Facet(k, kind, F.col(f"facet_{i}"), needs) for i, (k, kind, needs) in enumerate(manifest["facets"])}
+    return Corpus(rows, facets, {})
+
+
 def search(spark: SparkSession, manifest: dict, request: Request) -> DataFrame:
-    """Ranked search from the postings alone.
+    """Ranked search from a generation: the same rows as a search by scanning the texts.
 
-    The query's tokens select a few row groups; lane and field size travel with each posting, so
-    there is nothing to join. The frequencies of the terms are one scalar subquery.
+    The query's tokens select a few row groups of the postings; lane and field size travel with
+    each posting. Other filters read the entries' narrow table. Term frequencies are scalar
+    subqueries, and only the rows that are served look up their names and texts.
     """
     home, terms = manifest["home"], request.terms
+    corpus = stored(spark, manifest)
     hits = read_back(spark, home, "tokens").filter(F.col("token").isin(terms))
-    df = hits.groupBy("token").agg(F.count_distinct("identity").alias("df")).agg(
-        F.map_from_entries(F.collect_list(F.struct("token", "df"))).alias("m")
-    ).scalar()
+    served = hits.filter(F.col("lane").isin(*request.lanes))
+    others = [test for name, test in stage_filters(corpus, request).items() if name != "lifecycle"]
+    if others:
+        allowed = corpus.entries
+        for test in others:
+            allowed = allowed.filter(test)
+        served = served.join(allowed.select("identity"), "identity", "left_semi")
+
+    def frequencies(rows: DataFrame) -> Column:
+        counts = rows.groupBy("token").agg(F.count_distinct("identity").alias("df"))
+        return counts.agg(F.map_from_entries(F.collect_list(F.struct("token", "df"))).alias("m")).scalar()
+
+    def of(counts: str, term: str) -> Column:
+        return F.coalesce(F.try_element_at(counts, F.lit(term)), F.lit(0))
+
     means = F.create_map(*[F.lit(x) for f, mean in manifest["meanLengths"].items() for x in (f, float(mean) or 1.0)])
     count = F.lit(manifest["entries"])
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in FIELD_WEIGHTS.items() for x in kv]), F.col("field"))
     gain = weight * F.col("tf") / ((1 - B) + B * F.col("size") / F.col("means")[F.col("field")])
-    served = hits.filter(F.col("lane").isin(*request.lanes)).withColumn("means", means).withColumn("gain", gain)
-    # One row per entry: a sum per term side by side.
-    sums = served.groupBy("identity", "lane").agg(
-        *[F.sum(F.when(F.col("token") == t, F.col("gain"))).alias(f"w{i}") for i, t in enumerate(terms)]
-    ).withColumn("df", df).withColumn("n", count)
-    total = F.lit(0.0)
+    # One row per entry: a sum per term side by side, and at most a mark per field and term.
+    sums = served.withColumn("means", means).withColumn("gain", gain).groupBy("identity", "lane").agg(
+        *[F.sum(F.when(F.col("token") == t, F.col("gain"))).alias(f"w{i}") for i, t in enumerate(terms)],
+        F.slice(F.sort_array(F.collect_set(F.concat_ws(":", "field", "token"))), 1, 8).alias("matched_on"),
+    ).withColumn("df", frequencies(hits)).withColumn("kept_df", frequencies(served))
+    total, useful = F.lit(0.0), F.lit(False)
     for i, t in enumerate(terms):
         w = F.col(f"w{i}")
-        rarity = rank.idf(F.col("n"), F.coalesce(F.try_element_at("df", F.lit(t)), F.lit(0)))
-        total = total + F.coalesce(rarity * w * (K1 + 1) / (w + K1), F.lit(0.0))
-    return sums.select("identity", F.col("lane").alias("lifecycle"), F.round(total, 4).alias("score")).orderBy(
-        F.desc("score"), "identity"
-    ).limit(request.top)
+        total = total + F.coalesce(rank.idf(count, of("df", t)) * w * (K1 + 1) / (w + K1), F.lit(0.0))
+        useful = useful | ((of("kept_df", t) > 0) & ~rank.saturated(count, of("df", t)))
+    best = sums.select("identity", F.col("lane").alias("lifecycle"), F.round(total, 4).alias("score"), "matched_on", useful.alias("useful"))
+    best = best.orderBy(F.desc("score"), "identity").limit(request.top).filter((F.col("score") > 0) & F.col("useful")).drop("useful")
+    names = corpus.entries.select("identity", "full_name", "metadata_type")
+    texts = read_back(spark, home, "documents").select("identity", snippet(F.col("purpose"), terms).alias("snippet"))
+    return best.join(names, "identity").join(texts, "identity").select(
+        "identity", "full_name", "metadata_type", "lifecycle", "score", "matched_on", "snippet",
+        F.lit("structured-plus-lexical" if request.facets else "lexical").alias("match_class"),
+    ).orderBy(F.desc("score"), "identity")
 
 
 def verify(hits: DataFrame, entries: DataFrame, recorded: DataFrame) -> DataFrame:
@@ -161,19 +217,28 @@ def verify(hits: DataFrame, entries: DataFrame, recorded: DataFrame) -> DataFram
     return checked.select(*hits.columns, state.alias("verification"))
 
 
-def changed_entries(previous: DataFrame, entries: DataFrame) -> DataFrame:
+def changed_entries(previous: DataFrame, corpus: Corpus) -> DataFrame:
     """Entries to re-project: new, changed or removed since ``previous`` (identity, stamp)."""
-    stamp = F.sha2(F.concat_ws("\x1f", "lane", "full_name", "purpose"), 256)
-    now = entries.select("identity", stamp.alias("stamp"))
-    joined = now.join(previous.withColumnRenamed("stamp", "was"), "identity", "full_outer")
+    joined = stamps(corpus).join(previous.withColumnRenamed("stamp", "was"), "identity", "full_outer")
     change = F.when(F.col("was").isNull(), "new").when(F.col("stamp").isNull(), "removed").when(F.col("stamp") != F.col("was"), "changed")
     return joined.withColumn("change", change).filter(F.col("change").isNotNull()).select("identity", "change")
 
 
-def incremental(previous: DataFrame, stamps: DataFrame, corpus: Corpus) -> DataFrame:
-    """Token postings after an update: untouched entries keep their rows, the rest are redone."""
-    change = changed_entries(stamps, corpus.entries)
+def incremental(previous: DataFrame, stamped: DataFrame, corpus: Corpus) -> DataFrame:
+    """Token postings after an update: untouched entries keep their rows, the rest are redone.
+
+    The columns are those of ``previous``, a generation's lane among them.
+    """
+    change = cut_lineage(changed_entries(stamped, corpus))
     kept = previous.join(change.select("identity"), "identity", "left_anti")
     redo = corpus.entries.join(change.filter(F.col("change") != "removed"), "identity", "left_semi")
-    return kept.unionByName(postings.token_postings(redo, corpus.fields))
+    lane = ["lane"] if "lane" in previous.columns else []
+    return kept.unionByName(postings.token_postings(redo, corpus.fields, keep=lane))
+
 
+def update(corpus: Corpus, root: str, edges: DataFrame | None = None, source: str | None = None) -> dict:
+    """A new generation from the current one: only new and changed entries are analysed again."""
+    spark = corpus.entries.sparkSession
+    home = load(spark, root)["home"]
+    tokens = incremental(read_back(spark, home, "tokens"), read_back(spark, home, "stamps"), corpus)
+    return build(corpus, root, edges, source, cut_lineage(tokens))

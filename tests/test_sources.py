@@ -165,12 +165,12 @@ def test_generation_answers_as_the_scan_does_and_refuses_stale(spark, tmp_path):
     built = generation.build(_corpus(entries), home)
     assert built == generation.build(_corpus(entries.repartition(5)), home)
     request = Request(text="route cases queue")
-    manifest = generation.load(spark, home, entries)
+    manifest = generation.load(spark, home, _corpus(entries))
     got = [(r.identity, r.score) for r in generation.search(spark, manifest, request).collect()]
     assert got == [(r.identity, r.score) for r in text_search(_corpus(entries), request).collect()]
     changed = _entries(spark, [("F", "draft", "new")])
     with pytest.raises(generation.StaleIndex):
-        generation.load(spark, home, changed)
+        generation.load(spark, home, _corpus(changed))
     assert generation.build(_corpus(changed), home)["generation"] != built["generation"]
     assert built["laneCounts"]["revoked"] == 0 and built["entries"] == 5
 
@@ -184,9 +184,9 @@ def test_verification_of_served_rows(spark):
 
 
 def test_changed_entries(spark):
-    stamps = _entries(spark).select("identity", F.sha2(F.concat_ws("\x1f", "lane", "full_name", "purpose"), 256).alias("stamp"))
+    stamps = generation.stamps(_corpus(_entries(spark)))
     after = _entries(spark, [("F", "draft", "new")]).filter("full_name <> 'D'").withColumn("lane", F.when(F.col("full_name") == "C", "revoked").otherwise(F.col("lane")))
-    got = {(r.identity, r.change) for r in generation.changed_entries(stamps, after).collect()}
+    got = {(r.identity, r.change) for r in generation.changed_entries(stamps, _corpus(after)).collect()}
     assert got == {("T:c:F", "new"), ("T:c:D", "removed"), ("T:c:C", "changed")}
 
 

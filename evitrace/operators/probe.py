@@ -37,7 +37,7 @@ def object_shape(df: DataFrame, created: str, modified: str | None = None) -> Da
     )
 
 
-def distribution(df: DataFrame, key: str, floor: int = SUPPRESSION_FLOOR, top: int = 200) -> DataFrame:
+def distribution(df: DataFrame, key: str, floor: int = SUPPRESSION_FLOOR, top: int | None = None) -> DataFrame:
     """Group counts with small groups folded into one bucket: ``(key, record_count, groups)``.
 
     Groups are formed on the whole key and cut to 80 characters afterwards. The folded bucket
@@ -47,12 +47,15 @@ def distribution(df: DataFrame, key: str, floor: int = SUPPRESSION_FLOOR, top: i
     return suppress(counts, floor, top)
 
 
-def suppress(counts: DataFrame, floor: int = SUPPRESSION_FLOOR, top: int = 200) -> DataFrame:
+def suppress(counts: DataFrame, floor: int = SUPPRESSION_FLOOR, top: int | None = None) -> DataFrame:
+    """Shown groups, all or the ``top`` largest of them, and the folded rest."""
     shown = counts.filter(F.col("n") >= floor).select(
         F.coalesce(F.substring("k", 1, 80), F.lit("(null)")).alias("key"),
         F.col("n").alias("record_count"),
         F.lit(1).cast("bigint").alias("groups"),
-    ).orderBy(F.desc("record_count"), "key").limit(top)
+    )
+    if top is not None:
+        shown = shown.orderBy(F.desc("record_count"), "key").limit(top)
     folded = counts.filter(F.col("n") < floor).agg(
         F.lit(None).cast("string").alias("key"),
         F.sum("n").alias("record_count"),
@@ -61,7 +64,7 @@ def suppress(counts: DataFrame, floor: int = SUPPRESSION_FLOOR, top: int = 200)
     return shown.unionByName(folded)
 
 
-def _wide_to_long(df: DataFrame, measures: dict[str, Column], value: str, top: int = 200) -> DataFrame:
+def _wide_to_long(df: DataFrame, measures: dict[str, Column], value: str, top: int | None = None) -> DataFrame:
     """One aggregate row with a total to one row per field, in name order."""
     rows = df.agg(
         F.array(*[
@@ -150,7 +153,7 @@ def strip_attributes(df: DataFrame) -> DataFrame:
     return df.select(*rebuild(df.schema, ""))
 
 
-def record_sample(sample: DataFrame, max_rows: int = 50, top: int = 40) -> DataFrame:
+def record_sample(sample: DataFrame, max_rows: int = 50, top: int | None = None) -> DataFrame:
     """Populated counts per flattened path of a small sample.
 
     The sample is the probe's own bounded query result; one above ``max_rows`` is dropped by

@@ -153,7 +153,7 @@ def draft_search(corpus: Corpus, request: Request, prepared: Prepared | None = N
     prepared = prepared or prepare(corpus, request)
     drafts = prepared.rows.filter(F.col("lane") == "draft")
     ranked = rank.scored(drafts, corpus.fields, request.terms, prepared.stats)
-    best = ranked.orderBy(F.desc("score"), "identity").limit(10).filter(F.col("score") > 0)
+    best = ranked.orderBy(F.desc("score"), "identity").limit(request.top).filter(F.col("score") > 0)
     return best.select(
         "identity", F.col("lane").alias("lifecycle"), F.round("score", 4).alias("score"),
         rank.matched_on(corpus.fields, request.terms).alias("matched_on"), F.lit("draft-lane").alias("match_class"),

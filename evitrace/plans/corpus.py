@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evitrace.functions.unicode import casefold
 from evitrace.operators.facets import Facet
 from evitrace.operators.search import Corpus
-from evitrace.tables import load, spread
+from evitrace.tables import load
 from evitrace.vocab import CONTAINMENT, EXACT, HEURISTIC
 
 
@@ -57,8 +57,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
     rows = entries(spark, sf_dir)
-    # Small inputs are dealt out to all cores before their texts are analysed.
-    texts = _texts(spread(load(spark, sf_dir, "documents"), "doc_id"))
+    texts = _texts(load(spark, sf_dir, "documents"))
     fields = {
         "identity": F.concat_ws(" ", "identity", "full_name"),
         "label": F.substring_index("purpose", "\n", 1),

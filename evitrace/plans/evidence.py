@@ -10,20 +10,20 @@ from evitrace.operators import features, gaps, reconcile, resolve
 from evitrace.plans import sql
 from evitrace.plans.corpus import entries
 from evitrace.sources.tree import line_range, tree_digest
-from evitrace.tables import load, spread
+from evitrace.tables import load
 
 
 # --- text --------------------------------------------------------------------------------
 
 
 def html_text(spark, sf):
-    pages = spread(load(spark, sf, "pages").select("page_id", "html"), "page_id")
+    pages = load(spark, sf, "pages").select("page_id", "html")
     text = pages.select("page_id", tx.plain_text(F.col("html")).alias("text"))
     return text.select("page_id", F.char_length("text").alias("n_chars"), F.sha2("text", 256).alias("text_sha"))
 
 
 def clause_candidates(spark, sf):
-    pages = spread(load(spark, sf, "pages").select("page_id", "html"), "page_id")
+    pages = load(spark, sf, "pages").select("page_id", "html")
     lines = pages.select("page_id", F.posexplode(tx.clauses(F.col("html"))).alias("pos", "line"))
     return lines.select(
         "page_id", (F.col("pos") + 1).alias("ordinal"), F.substring("line", 1, 2000).alias("summary"),

@@ -213,7 +213,7 @@ UNION ALL SELECT 'c_nationkey', 0 UNION ALL SELECT 'segment', count(*) FROM cust
     "probe_object_shape": f"""SELECT count(*) AS record_count, {_TS.format('min(ts)')} || 'Z' AS created_first, {_TS.format('max(ts)')} || 'Z' AS created_last,
  {_TS.format('max(ts)')} || 'Z' AS last_modified_max FROM events""",
     "probe_distribution_suppressed": """WITH g AS (SELECT CASE WHEN o_orderstatus <> 'P' THEN o_custkey END AS k, count(*) AS n FROM orders GROUP BY 1)
-SELECT * FROM (SELECT coalesce(left(k::VARCHAR, 80), '(null)') AS key, n AS record_count, 1::BIGINT AS groups FROM g WHERE n >= 8 ORDER BY n DESC, 1 LIMIT 200)
+SELECT * FROM (SELECT coalesce(left(k::VARCHAR, 80), '(null)') AS key, n AS record_count, 1::BIGINT AS groups FROM g WHERE n >= 8)
 UNION ALL SELECT NULL, sum(n)::BIGINT, count(*) FROM g WHERE n < 8 HAVING count(*) > 0""",
     "probe_fill": f"""WITH {_CUST} SELECT 'c_mktsegment' AS field, count(c_mktsegment) AS filled_count, count(*) AS total_count FROM c
 UNION ALL SELECT 'c_nationkey', count(c_nationkey), count(*) FROM c UNION ALL SELECT 'c_acctbal', count(c_acctbal), count(*) FROM c""",

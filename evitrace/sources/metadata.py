@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evitrace.functions.text import safe_literal
-from evitrace.operators.graph import assurance, capped_edges
+from evitrace.operators.graph import assurance, capped_edges, truncated_families
 from evitrace.session import cut_lineage
 from evitrace.sources import fields, markup
 
@@ -462,8 +462,12 @@ def bundle_components(bundles: DataFrame) -> DataFrame:
     )
 
 
-def collect(files: DataFrame) -> dict[str, DataFrame]:
-    """Components, edges, generic files and diagnostics of a scanned tree."""
+def collect(files: DataFrame, max_edges: int | None = None) -> dict[str, DataFrame]:
+    """Components, edges, generic files, diagnostics and truncated kinds of a scanned tree.
+
+    All edges are kept unless ``max_edges`` per component is given (``MAX_EDGES`` is the usual one);
+    what that drops is stated per component and kind.
+    """
     bundles = bundle_files(files)
     routed = route(files.filter(~F.col("path").rlike(r"(?:^|/)(lwc|aura)/[^/]+/")))
     # Markup is parsed once; every rule reads the written elements.
@@ -471,9 +475,10 @@ def collect(files: DataFrame) -> dict[str, DataFrame]:
     marked = components(nodes)
     code = code_components(routed)
     pages = page_components(routed)
-    kept = capped_edges(markup_edges(nodes, marked), "component_id", "position", GRANT_PRIORITY, MAX_EDGES).select(
-        "component_id", "kind", "target", F.lit(False).alias("flag")
-    )
+    declared = markup_edges(nodes, marked)
+    served = declared if max_edges is None else cut_lineage(capped_edges(declared, "component_id", "position", GRANT_PRIORITY, max_edges))
+    truncated = truncated_families(declared, served, "component_id")
+    kept = served.select("component_id", "kind", "target", F.lit(False).alias("flag"))
     scripts = bundles.filter(F.col("path").rlike(r"\.(js|html|cmp|app|evt)$")).select("component_id", F.decode("content", "UTF-8").alias("source"))
     found = kept
     formulas = marked.filter(F.col("metadata_type").isin("CustomField", "ValidationRule")).select(
@@ -496,4 +501,4 @@ def collect(files: DataFrame) -> dict[str, DataFrame]:
     companions = routed.filter(F.col("metadata_type").isin(*CODE_TYPES.values())).select(F.concat("path", F.lit("-meta.xml")).alias("path"))
     handled = comps.select("path").unionByName(companions).unionByName(bundles.select("path"))
     generic = files.select("path", "sha256").join(handled, "path", "left_anti")
-    return {"components": comps, "edges": edges, "generic": generic, "diagnostics": diagnostics(nodes)}
+    return {"components": comps, "edges": edges, "generic": generic, "diagnostics": diagnostics(nodes), "truncated": truncated}

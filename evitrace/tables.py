@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evitrace.session import pin_utc, ship_package
 
-SMALL_INPUT = 1 << 30
-
 # Declared schemas: reading them needs no pass over file footers.
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
@@ -34,19 +32,3 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
     return reader.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan, read on the driver without running anything."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def spread(df: DataFrame, *keys: str, limit: int = SMALL_INPUT) -> DataFrame:
-    """Give CPU-heavy text work all cores when the input is small.
-
-    A file with one row group is read by one task. Below ``limit`` bytes the rows are dealt out
-    again by key; beyond it the scan already has enough tasks and nothing is shuffled.
-    """
-    if plan_bytes(df) > limit:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)

@@ -59,7 +59,11 @@ def test_collector(spark, source):
         (k, t) for s, k, t, _ in edges if s == "LightningComponentBundle:caseTile"}
     assert {("operates-on", "Ticket__c"), ("writes-field", "Ticket__c.Account__c")} <= {(k, t) for s, k, t, _ in edges if s == "ApexPage:Edit"}
     grants = [k for s, k, _, _ in edges if s == "PermissionSet:Ops"]
+    assert len(grants) == 321 and out["truncated"].isEmpty()
+    capped = metadata.collect(tree.scan(spark, str(source)), max_edges=300)
+    grants = [r.kind for r in capped["edges"].filter("source = 'PermissionSet:Ops'").collect()]
     assert len(grants) == 300 and "grants-user-permission" in grants  # the cap cuts field grants first
+    assert sum(r.dropped for r in capped["truncated"].collect()) == 21
     assert [r.path for r in out["diagnostics"].collect()] == ["flows/Bad.flow-meta.xml"]
     assert {r.path for r in out["generic"].collect()} == {"flows/Bad.flow-meta.xml", "notes/readme.txt"}
     facets = {r.facet: (r.text, r.number, r.flag) for r in documents.facet_rows(out["components"]).filter("component_id like 'CustomField%'").collect()}

@@ -185,18 +185,36 @@ def identity_search(corpus: Corpus, request: Request) -> DataFrame:
     return hits.select("identity", F.col("lane").alias("lifecycle"), outcome.alias("outcome"))
 
 
+def message_key() -> Column:
+    """Key of a declared message: its element, template and resolved text together."""
+    return F.sha2(F.concat_ws("\x1f", "element", "template", "resolved"), 256)
+
+
+def needle_key() -> Column:
+    return F.sha2(F.col("needle"), 256)
+
+
 def message_search(messages: DataFrame, needles: DataFrame) -> DataFrame:
     """Which declared messages a pasted text is, by the first of four tiers that matches.
 
-    ``messages``: identity, element, template, resolved. ``needles``: needle_id, needle. Each
-    tier is an equi-join on its own key; hashing the keys keeps whole texts out of the shuffle
-    and the equality is checked again on the text itself.
+    ``messages``: identity, element, template, resolved. ``needles``: needle_id, needle. Distinct
+    texts meet distinct messages: a row is (needle_key, message_key, match, needles, messages) with
+    the number of rows on either side, so n copies pasted into m declarations are one row and not
+    n times m. :func:`expand_messages` lists members. Each tier is an equi-join on its own key;
+    hashing the keys keeps whole texts out of the shuffle and the equality is checked again on
+    the text itself.
     """
+    messages = messages.withColumn("message_key", message_key()).groupBy("message_key").agg(
+        F.count(F.lit(1)).alias("messages"), F.min(F.struct("element", "template", "resolved")).alias("m")
+    ).select("message_key", "messages", "m.*")
+    needles = needles.withColumn("needle_key", needle_key()).groupBy("needle_key").agg(
+        F.count(F.lit(1)).alias("needles"), F.min("needle").alias("needle")
+    )
     # Whole texts are compared; edges are trimmed the way the message was entered.
     blank = " \t\n\r\x0b\x0c"
     trimmed = lambda c: F.btrim(F.col(c), F.lit(blank))
     left = messages.select(
-        "identity", "element", "template", "resolved",
+        "message_key", "messages",
         F.explode(F.array_compact(F.array(
             F.struct(F.lit(1).alias("tier"), trimmed("template").alias("key")),
             F.when(F.col("resolved") != "", F.struct(F.lit(2).alias("tier"), trimmed("resolved").alias("key"))),
@@ -204,14 +222,14 @@ def message_search(messages: DataFrame, needles: DataFrame) -> DataFrame:
             F.struct(F.lit(4).alias("tier"), message_fingerprint(F.col("template")).alias("key")),
             F.when(F.col("resolved") != "", F.struct(F.lit(4).alias("tier"), message_fingerprint(F.col("resolved")).alias("key"))),
         ))).alias("k"),
-    ).select("identity", "element", "k.tier", "k.key", F.xxhash64("k.tier", "k.key").alias("h"))
+    ).select("message_key", "messages", "k.tier", "k.key", F.xxhash64("k.tier", "k.key").alias("h"))
     asked = needles.select(
-        "needle_id",
+        "needle_key", "needles",
         F.explode(F.array(
             *[F.struct(F.lit(t).alias("n_tier"), trimmed("needle").alias("n_key")) for t in (1, 2, 3)],
             F.struct(F.lit(4).alias("n_tier"), message_fingerprint(trimmed("needle")).alias("n_key")),
         )).alias("k"),
-    ).select("needle_id", "k.n_tier", "k.n_key", F.xxhash64("k.n_tier", "k.n_key").alias("n_h"))
+    ).select("needle_key", "needles", "k.n_tier", "k.n_key", F.xxhash64("k.n_tier", "k.n_key").alias("n_h"))
     asked = asked.filter(~((F.col("n_tier") == 4) & F.col("n_key").isin("", MERGE_MARK)))
     hits = left.join(
         asked,
@@ -224,11 +242,18 @@ def message_search(messages: DataFrame, needles: DataFrame) -> DataFrame:
         F.col("tier"),
     )
     return (
-        hits.groupBy("needle_id", "identity", "element").agg(F.min("tier").alias("tier"))
-        .select("needle_id", "identity", "element", names.alias("match"))
+        hits.groupBy("needle_key", "message_key", "needles", "messages").agg(F.min("tier").alias("tier"))
+        .select("needle_key", "message_key", names.alias("match"), "needles", "messages")
     )
 
 
+def expand_messages(matches: DataFrame, messages: DataFrame, needles: DataFrame) -> DataFrame:
+    """(needle_id, identity, element, match) of matches whose members a caller wants to see."""
+    asked = needles.select("needle_id", needle_key().alias("needle_key"))
+    declared = messages.select("identity", "element", message_key().alias("message_key"))
+    return matches.join(asked, "needle_key").join(declared, "message_key").select("needle_id", "identity", "element", "match")
+
+
 def relation_search(edges: DataFrame, entries: DataFrame, anchor: str, direction: str = "incoming",
                     kind: str | None = None, include_heuristic: bool = False,
                     lanes: tuple[str, ...] = (CURRENT_LANE,)) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import functions as F
 
 from evitrace.operators import postings, rank, search
@@ -115,7 +117,7 @@ def error_tiers(spark, sf):
     declared = passages.select(
         F.concat(F.lit("Passage:"), F.col("item_id").cast("string")).alias("identity"),
         F.concat(F.lit("Show_"), F.col("item_id").cast("string")).alias("element"),
-        F.concat(F.lit("  "), F.upper("text"), F.lit("\n")).alias("template"),
+        F.concat(F.lit("  "), F.translate("text", ascii_lowercase, ascii_uppercase), F.lit("\n")).alias("template"),
         F.when(F.char_length("text") > 200, F.col("text")).otherwise("").alias("resolved"),
     )
     needles = passages.select(
@@ -256,22 +258,23 @@ SELECT identity, lifecycle, CASE WHEN (SELECT count(DISTINCT identity) FROM h) >
 FROM part GROUP BY p_name HAVING count(*) > 1""",
     "error_tiers": f"""WITH m AS (
   SELECT 'Turn:' || conv_id || ':' || turn AS identity, role || '_' || turn AS element, text AS template, '' AS resolved FROM conversations
-  UNION ALL SELECT 'Passage:' || item_id, 'Show_' || item_id, '  ' || upper(text) || chr(10), CASE WHEN length(text) > 200 THEN text ELSE '' END FROM benchmark),
+  UNION ALL SELECT 'Passage:' || item_id, 'Show_' || item_id, '  ' || translate(text, '{ascii_lowercase}', '{ascii_uppercase}') || chr(10), CASE WHEN length(text) > 200 THEN text ELSE '' END FROM benchmark),
 needles AS (
   SELECT 'P' || item_id AS needle_id, text AS needle FROM benchmark
   UNION ALL SELECT 'T:' || conv_id || ':' || turn, text FROM conversations WHERE role = 'user'
   UNION ALL SELECT 'E' || item_id, 'Show_' || item_id FROM benchmark),
-mk AS (SELECT *, {_TRIM.format('template')} AS t, {_TRIM.format('resolved')} AS r, {_fp('template')} AS f, {_fp('resolved')} AS rf FROM m),
-nk AS (SELECT needle_id, {_TRIM.format('needle')} AS needle, {_fp('needle')} AS nf FROM needles),
+mk AS (SELECT sha256(element || chr(31) || template || chr(31) || resolved) AS message_key, count(*) OVER (PARTITION BY element, template, resolved) AS messages, *,
+  {_TRIM.format('template')} AS t, {_TRIM.format('resolved')} AS r, {_fp('template')} AS f, {_fp('resolved')} AS rf FROM m),
+nk AS (SELECT sha256(needle) AS needle_key, count(*) OVER (PARTITION BY needles.needle) AS needles, {_TRIM.format('needle')} AS needle, {_fp('needle')} AS nf FROM needles),
 hits AS (
-  SELECT needle_id, identity, element, 1 AS tier FROM mk JOIN nk ON t = needle
-  UNION ALL SELECT needle_id, identity, element, 2 FROM mk JOIN nk ON r = needle WHERE resolved <> ''
-  UNION ALL SELECT needle_id, identity, element, 3 FROM mk JOIN nk ON element = needle WHERE element <> ''
-  UNION ALL SELECT needle_id, identity, element, 4 FROM mk JOIN nk ON f = nf WHERE nf NOT IN ('', chr(65532))
-  UNION ALL SELECT needle_id, identity, element, 4 FROM mk JOIN nk ON rf = nf WHERE resolved <> '' AND nf NOT IN ('', chr(65532)))
-SELECT needle_id, identity, element,
+  SELECT needle_key, message_key, needles, messages, 1 AS tier FROM mk JOIN nk ON t = needle
+  UNION ALL SELECT needle_key, message_key, needles, messages, 2 FROM mk JOIN nk ON r = needle WHERE resolved <> ''
+  UNION ALL SELECT needle_key, message_key, needles, messages, 3 FROM mk JOIN nk ON element = needle WHERE element <> ''
+  UNION ALL SELECT needle_key, message_key, needles, messages, 4 FROM mk JOIN nk ON f = nf WHERE nf NOT IN ('', chr(65532))
+  UNION ALL SELECT needle_key, message_key, needles, messages, 4 FROM mk JOIN nk ON rf = nf WHERE resolved <> '' AND nf NOT IN ('', chr(65532)))
+SELECT needle_key, message_key, needles, messages,
   CASE min(tier) WHEN 1 THEN 'exact-source-message' WHEN 2 THEN 'exact-resolved-label' WHEN 3 THEN 'element-api-name' ELSE 'safe-fingerprint' END AS match
-FROM hits GROUP BY needle_id, identity, element""",
+FROM hits GROUP BY needle_key, message_key, needles, messages""",
     "posting_stats": f"""WITH {sql.ENTRIES}, {sql.FIELD_TEXTS}, {sql.TOKENS}
 SELECT tok AS token, count(DISTINCT id) AS document_frequency FROM tok GROUP BY tok""",
     "token_postings": f"""WITH {sql.ENTRIES}, {sql.FIELD_TEXTS}, {sql.TOKENS},

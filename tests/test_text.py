@@ -129,7 +129,7 @@ def test_message_tiers(spark):
         ("F:a", "E1", "Exact text", ""), ("F:b", "E2", "{!$Label.X}", "Resolved text"), ("F:c", "Exact text", "other", ""), ("F:d", "E4", "EXACT   TEXT", ""),
     ], "identity string, element string, template string, resolved string")
     needles = spark.createDataFrame([("n1", " Exact text "), ("n2", "Resolved text"), ("n3", "{!$Record.A}")], "needle_id string, needle string")
-    got = {(r.needle_id, r.identity): r.match for r in search.message_search(declared, needles).collect()}
+    got = {(r.needle_id, r.identity): r.match for r in search.expand_messages(search.message_search(declared, needles), declared, needles).collect()}
     assert got == {
         ("n1", "F:a"): "exact-source-message", ("n1", "F:c"): "element-api-name", ("n1", "F:d"): "safe-fingerprint",
         ("n2", "F:b"): "exact-resolved-label",

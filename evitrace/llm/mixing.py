@@ -17,7 +17,7 @@ from evitrace.session import cut_lineage
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3, 1, 2)
 #: Documents of a bucket of the key order, about.
-BUCKET_DOCS = 2_000
+BUCKET_DOCS = 500
 
 
 def word_count(text: Column) -> Column:

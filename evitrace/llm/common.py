@@ -13,13 +13,15 @@ from evitrace.session import ship_package
 
 #: Characters between words: the blank and the controls from tab to carriage return.
 BLANKS = "\t\n\x0b\x0c\r "
-#: Rows of a batch that a Python step holds as objects at a time.
-SLICE = 256
+#: Rows of a batch that a Python step holds as objects at a time, and rows of a batch: texts may be
+#: long, and a batch lies in the executor's and the worker's memory as a whole.
+SLICE, BATCH = 256, 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table as stored, extra columns included."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -189,7 +189,7 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
 
 #: Independent fingerprints of single words by which near copies are looked for, and the bits in
 #: which two texts with a common key may differ to be compared.
-WIDE, WIDE_RADIUS = 4, 4
+WIDE, WIDE_RADIUS = 3, 4
 #: Shingle hashes of a text's sketch, words of such a shingle, and the similarity of a near copy.
 SKETCH, SKETCH_SHINGLE, SIMILAR = 128, 5, 0.8
 
@@ -304,4 +304,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     named = grouped.join(rows.select(F.col("_row").alias("_r"), F.col(id_col).alias("_name")), F.col("_id") == F.col("_r"))
     first = named.groupBy("component").agg(
         F.min(F.struct(F.col("_name").isNull().alias("none"), F.col("_name").alias("name"), F.col("_r").alias("row")))["row"].alias("_kept"))
-    return rows.join(first.select("_kept"), F.col("_row") == F.col("_kept"), "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The rows that go are mostly far fewer than those that stay; texts travel only if they are many.
+    gone = cut_lineage(grouped.join(first, "component").filter("_id != _kept").select("_id"))
+    return rows.join(gone, F.col("_row") == F.col("_id"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -26,16 +26,16 @@ SAMPLE_ROWS, SAMPLE_CHARS = 6_000, 20_000
 #: Code points of the beginnings and ends of a word that are features of their own.
 AFFIXES = (3, 4, 5, 6)
 #: Distinct words whose weights a worker remembers before it starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 #: Score from which a document counts as toxic.
 REJECT = 0.7
 
 
-def sentences(text: str | None) -> list[tuple[int, int, set[str]]]:
+def sentences(text: str | None) -> list[tuple[int, int, tuple[str, ...]]]:
     """(start, end, distinct lower-case words) of every sentence with a word, in code points."""
     found = []
     for m in _SENTENCE.finditer(text or ""):
-        words = set(_WORD.findall(m.group().lower()))
+        words = tuple(set(_WORD.findall(m.group().lower())))
         if words:
             found.append((m.start(), m.end(), words))
     return found
@@ -70,7 +70,7 @@ class Model:
             total = self.known[word] = self.weights.get(_surest(word, self.shares), 0.0)
         return total
 
-    def sentence(self, words: set[str]) -> float:
+    def sentence(self, words: tuple[str, ...]) -> float:
         z = sum(map(self.word, words))
         if not z:
             return 0.0  # no evidence: the leak covers it, so a text's length alone says nothing
@@ -100,18 +100,36 @@ def _fresh(texts: list[str | None]) -> list[int]:
     return fresh
 
 
-def _vocabulary(bags: list[list[set[str]]], y: np.ndarray, certain: float, least: float) -> dict[str, float]:
+def _vocabulary(bags: list[list[tuple[str, ...]]], y: np.ndarray, certain: float, least: float) -> dict[str, float]:
     """Features of whose documents at least the share ``least`` is toxic, by the lower end of
     Wilson's interval ``certain`` deviations wide. What marks a language or a topic stays out, so
-    long texts do not gather a score from it."""
-    seen: dict[str, list[int]] = {}
+    long texts do not gather a score from it.
+
+    Features of toxic documents are counted first: few enough documents cannot suffice, and only
+    what is left is looked for in the others.
+    """
+    square = certain**2
+    enough = square * least / (1 - least)
+    hit: dict[str, int] = {}
+    for bag, toxic in zip(bags, y):
+        if toxic:
+            for f in {f for w in set().union(*bag) for f in features(w)}:
+                hit[f] = hit.get(f, 0) + 1
+    hit = {f: k for f, k in hit.items() if k > enough}
+    missed = dict.fromkeys(hit, 0)
+    known: dict[str, tuple[str, ...]] = {}
     for bag, toxic in zip(bags, y):
-        for f in {f for w in set().union(*bag) for f in features(w)}:
-            n = seen.setdefault(f, [0, 0])
-            n[0] += 1
-            n[1] += int(toxic)
-    kept, square = {}, certain**2
-    for f, (n, k) in seen.items():
+        if not toxic:
+            met: set[str] = set()
+            for w in set().union(*bag):
+                if w not in known:
+                    known[w] = tuple(f for f in features(w) if f in hit)
+                met.update(known[w])
+            for f in met:
+                missed[f] += 1
+    kept = {}
+    for f, k in hit.items():
+        n = k + missed[f]
         share = k / n
         low = (share + square / (2 * n) - certain * (share * (1 - share) / n + square / (4 * n * n)) ** 0.5) / (1 + square / n)
         if low > least:
@@ -130,7 +148,8 @@ def fit(texts: list[str | None], toxic: list[int], certain: float = 2.0, least:
     texts, y = [texts[i] for i in fresh], np.array([toxic[i] for i in fresh], float)
     if not len(y) or y.min() == y.max():
         return Model(leak=min(float(y.mean()), 0.999) if len(y) else 0.0)
-    bags = [[s[2] for s in sentences(t)] for t in texts]
+    one: dict[str, str] = {}  # every word is held once
+    bags = [[tuple(one.setdefault(w, w) for w in s[2]) for s in sentences(t)] for t in texts]
     shares = _vocabulary(bags, y, certain, least)
     place = {f: i for i, f in enumerate(sorted(shares))}
     best = {w: _surest(w, shares) for bag in bags for words in bag for w in words}

@@ -173,6 +173,40 @@ def explain_excluded(edges: DataFrame, entries: DataFrame, identity: str, full_n
     )
 
 
+def section_of(kind: Column) -> Column:
+    return F.when(kind == CONTAINMENT, "parts").when(kind.isin(*PERMISSION_KINDS), "permissions").otherwise("incoming")
+
+
+def section_counts(edges: DataFrame, entries: DataFrame, identity: str, full_name: str, lanes=(CURRENT_LANE,),
+                   include_heuristic: bool = False, top: int = TOP["context"]) -> DataFrame:
+    """Totals behind an explanation or a pack: edges per section and kind, and what is not shown.
+
+    ``edges`` counts what passes the lanes and the assurance, ``heuristic`` and ``other_lane`` what
+    they leave out; ``beyond`` is what a cap of ``top`` per section would leave out of the section,
+    lanes apart.
+    """
+    keep = F.lit(include_heuristic) | (F.col("assurance") == EXACT)
+    served = entries.select(F.col("identity").alias("source"), F.col("lane").alias("lifecycle"))
+    into = incoming(edges, [identity, full_name], include_heuristic=True).join(served, "source", "left").select(
+        section_of(F.col("kind")).alias("section"), "kind", keep.alias("sure"), "lifecycle",
+        F.coalesce(F.col("lifecycle").isin(*lanes), F.lit(False)).alias("allowed"),
+    )
+    out = edges.filter(F.col("source") == identity).select(
+        F.lit("outgoing").alias("section"), "kind", keep.alias("sure"), F.lit(None).cast("string").alias("lifecycle"), F.lit(True).alias("allowed")
+    )
+    shown = F.col("sure") & F.col("allowed")
+    # The kinds are a closed vocabulary, so the groups are few and combine inside each task.
+    counts = into.unionByName(out).groupBy("section", "kind").agg(
+        F.count_if(shown).alias("edges"), F.count_if(~F.col("sure")).alias("heuristic"),
+        F.count_if(F.col("sure") & ~F.col("allowed")).alias("other_lane"),
+        F.count_if(shown & F.col("lifecycle").eqNullSafe(CURRENT_LANE)).alias("_current"),
+    )
+    whole = Window.partitionBy("section")
+    current, rest = F.sum("_current").over(whole), F.sum(F.col("edges") - F.col("_current")).over(whole)
+    beyond = F.greatest(current - top, F.lit(0)) + F.greatest(rest - top, F.lit(0))
+    return counts.select("section", "kind", "edges", "heuristic", "other_lane", beyond.alias("beyond"))
+
+
 def context(edges: DataFrame, entries: DataFrame, identity: str, full_name: str, lanes=(CURRENT_LANE,),
             include_heuristic: bool = False, top: int = TOP["context"]) -> DataFrame:
     """The pack around one entry: parts, permissions, other incoming and outgoing edges.
@@ -180,11 +214,7 @@ def context(edges: DataFrame, entries: DataFrame, identity: str, full_name: str,
     Every section is capped per lane bucket; outgoing edges form one list.
     """
     pointing = _with_lane(incoming(edges, [identity, full_name], include_heuristic=include_heuristic), entries, lanes)
-    section = (
-        F.when(F.col("kind") == CONTAINMENT, "parts")
-        .when(F.col("kind").isin(*PERMISSION_KINDS), "permissions").otherwise("incoming")
-    )
-    into = lane_capped(pointing.withColumn("section", section), ["section"], ["kind", "source", "target"], top)
+    into = lane_capped(pointing.withColumn("section", section_of(F.col("kind"))), ["section"], ["kind", "source", "target"], top)
     out = edges.filter(F.col("source") == identity)
     if not include_heuristic:
         out = out.filter(F.col("assurance") == EXACT)

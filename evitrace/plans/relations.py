@@ -47,6 +47,21 @@ def explain(spark, sf):
     return graph.explain(graph_edges(spark, sf), graph_entries(spark, sf), *SUPPLIER, lanes=SERVED, include_heuristic=True)
 
 
+def relation_outgoing(spark, sf):
+    """What one order refers to; the anchor is found whatever its case."""
+    return search.relation_search(
+        graph_edges(spark, sf), graph_entries(spark, sf), "ORDER:c:4", direction="outgoing", include_heuristic=True, lanes=SERVED,
+    )
+
+
+def section_counts(spark, sf):
+    return graph.section_counts(graph_edges(spark, sf), graph_entries(spark, sf), *SUPPLIER, lanes=SERVED, include_heuristic=True)
+
+
+def section_counts_exact(spark, sf):
+    return graph.section_counts(graph_edges(spark, sf), graph_entries(spark, sf), *CUSTOMER, top=2)
+
+
 def explain_excluded(spark, sf):
     return graph.explain_excluded(graph_edges(spark, sf), graph_entries(spark, sf), *CUSTOMER)
 
@@ -115,6 +130,7 @@ def evidence_closure(spark, sf):
 QUERIES = {
     **{f.__name__: f for f in (
         edge_resolution, edge_health, edge_health_sample, target_candidates, incoming_edges, relation_search,
+        relation_outgoing, section_counts, section_counts_exact,
         explain, explain_excluded, context_sections, capped_edges_priority, truncated_families,
         stored_edge_health, evidence_closure,
     )},
@@ -162,6 +178,17 @@ _SUP_EDGES = """e AS (SELECT DISTINCT l_suppkey AS supplier, CASE WHEN l_returnf
 k AS (SELECT *, CASE kind WHEN 'returned' THEN 10 WHEN 'open' THEN 20 ELSE 50 END AS priority FROM e),
 kept AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY supplier ORDER BY priority, position) <= 300)"""
 
+
+def _counts(names, sure, lanes, top):
+    return f"""x AS (SELECT CASE WHEN kind = 'belongs-to' THEN 'parts' ELSE 'incoming' END AS section, kind, {sure} AS s, lane AS l, coalesce(lane IN {lanes}, false) AS a
+  FROM edges LEFT JOIN entries ON source = identity WHERE {_in(names)}
+  UNION ALL SELECT 'outgoing', kind, {sure}, NULL, true FROM edges WHERE source = '{names[0]}'),
+c AS (SELECT section, kind, count(*) FILTER (s AND a) AS edges, count(*) FILTER (NOT s) AS heuristic, count(*) FILTER (s AND NOT a) AS other_lane,
+  count(*) FILTER (s AND a AND l IS NOT DISTINCT FROM 'approved-current') AS cur FROM x GROUP BY 1, 2)
+SELECT section, kind, edges, heuristic, other_lane, (greatest(sum(cur) OVER w - {top}, 0) + greatest(sum(edges - cur) OVER w - {top}, 0))::BIGINT AS beyond
+FROM c WINDOW w AS (PARTITION BY section)"""
+
+
 ORACLE = {
     "edge_resolution": f"{_R} SELECT target_key, incoming, spellings, spelling, resolution, target_identity, candidates, stage, decidable FROM targets",
     "edge_health": f"{_R} SELECT resolution, count(*) AS targets, count(*) FILTER (decidable) AS decidable, sum(incoming)::BIGINT AS edges FROM targets GROUP BY resolution",
@@ -173,6 +200,10 @@ WHERE resolution = 'ambiguous' AND stage = 'full'""",
     "incoming_edges": f"{_G} SELECT source, kind, target, assurance FROM edges WHERE {_in(SUPPLIER)}",
     "relation_search": f"""{_G} SELECT source, kind, target, assurance, lane AS lifecycle FROM edges JOIN entries ON source = identity
 WHERE target_key = '{SUPPLIER[1].lower()}' AND kind = 'invokes-class' AND lane IN ('approved-current', 'draft')""",
+    "relation_outgoing": f"""{_G} SELECT source, kind, target, assurance, lane AS lifecycle FROM edges JOIN entries ON source = identity
+WHERE source = 'Order:c:4' AND lane IN ('approved-current', 'draft')""",
+    "section_counts": f"""{_G}, {_counts(SUPPLIER, "true", "('approved-current', 'draft')", 25)}""",
+    "section_counts_exact": f"""{_G}, {_counts(CUSTOMER, "assurance = 'source-exact'", "('approved-current')", 2)}""",
     "explain": f"""{_G}, x AS (SELECT source, kind, assurance, target, lane AS lifecycle, lane = 'approved-current' AS is_current FROM edges JOIN entries ON source = identity
 WHERE {_in(SUPPLIER)} AND lane IN ('approved-current', 'draft'))
 SELECT source, kind, assurance, lifecycle, is_current, row_number() OVER (PARTITION BY is_current ORDER BY source, kind, assurance, target)::INTEGER AS rank FROM x

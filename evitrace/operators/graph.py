@@ -36,7 +36,7 @@ def decidable(target: Column) -> Column:
     )
 
 
-def _name_keys(entries: DataFrame) -> DataFrame:
+def name_keys(entries: DataFrame) -> DataFrame:
     """Every folded name an entry answers to, with the stage that name belongs to."""
     full = fold_name(F.col("full_name"))
     return entries.select(
@@ -50,17 +50,18 @@ def _name_keys(entries: DataFrame) -> DataFrame:
     ).select("identity", "n.stage", "n.key")
 
 
-def resolve_targets(entries: DataFrame, edges: DataFrame, few: DataFrame | None = None) -> DataFrame:
+def resolve_targets(entries: DataFrame, edges: DataFrame, few: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
     """One row per folded target: how often it is named and what it resolves to.
 
     ``few`` (target keys of a small written table) restricts the work to those targets; entries are
-    then filtered as they are scanned and only matching names are shuffled.
+    then filtered as they are scanned and only matching names are shuffled. ``names``: stored
+    :func:`name_keys` of the entries.
 
     The three lookups (full name, identity, member) are one aggregate over name keys and one
     join. Candidates stay rows (:func:`target_candidates`); here they are counted, so a name
     shared by very many entries does not become one very long list.
     """
-    names = _name_keys(entries)
+    names = name_keys(entries) if names is None else names
     if few is not None:
         names = names.join(few.withColumnRenamed("target_key", "key"), "key", "left_semi")
 
@@ -94,7 +95,7 @@ def resolve_targets(entries: DataFrame, edges: DataFrame, few: DataFrame | None
 
 def target_candidates(entries: DataFrame, targets: DataFrame) -> DataFrame:
     """The candidates of ambiguous targets, one row each."""
-    names = _name_keys(entries).withColumnRenamed("key", "target_key")
+    names = name_keys(entries).withColumnRenamed("key", "target_key")
     open_ = targets.filter(F.col("resolution") == "ambiguous").select("target_key", "stage")
     return open_.join(names, ["target_key", "stage"]).select("target_key", "stage", F.col("identity").alias("candidate"))
 

@@ -13,7 +13,7 @@ from evitrace.vocab import CONTAINMENT, CURRENT_LANE, DEPTH_LIMITS, EXACT, HEURI
 _STEP = "struct<src:string,kind:string,dst:string,via:string,assurance:string,owner_ward:boolean>"
 
 
-def _hops(frontier: DataFrame, edges: DataFrame, entries: DataFrame, direction: str) -> DataFrame:
+def _hops(frontier: DataFrame, edges: DataFrame, entries: DataFrame, direction: str, names: DataFrame | None = None) -> DataFrame:
     """Every edge that leaves the frontier: to, kind, via, assurance, owner_ward.
 
     The frontier is a written table, so a small one meets the edges as they are scanned. Only
@@ -22,7 +22,7 @@ def _hops(frontier: DataFrame, edges: DataFrame, entries: DataFrame, direction:
     own = edges.filter(F.col("kind") == CONTAINMENT) if direction == "incoming" else edges
     followed = cut_lineage(own.withColumnRenamed("source", "node").join(frontier, "node"))
     keys = followed.select("target_key").distinct()
-    resolved = resolve_targets(entries, followed, few=keys).select("target_key", "target_identity")
+    resolved = resolve_targets(entries, followed, few=keys, names=names).select("target_key", "target_identity")
     carried = ["anchor", "node", "path", "min_assurance"]
     forward = followed.join(resolved, "target_key", "left").select(
         *carried, F.coalesce("target_identity", "target").alias("to"), "kind",
@@ -30,11 +30,11 @@ def _hops(frontier: DataFrame, edges: DataFrame, entries: DataFrame, direction:
     )
     if direction != "incoming":
         return forward
-    names = frontier.select(
+    own_names = frontier.select(
         *carried,
         F.explode(F.array_distinct(F.array_compact(F.array("node", F.nullif(F.col("full_name"), F.lit("")))))).alias("name"),
     ).withColumn("target_key", fold_name(F.col("name")))
-    pointing = edges.select("target_key", "source", "kind", "assurance").join(names, "target_key").select(
+    pointing = edges.select("target_key", "source", "kind", "assurance").join(own_names, "target_key").select(
         *carried, F.col("source").alias("to"), "kind", F.col("name").alias("via"), "assurance",
         F.lit(False).alias("owner_ward"),
     )
@@ -43,7 +43,7 @@ def _hops(frontier: DataFrame, edges: DataFrame, entries: DataFrame, direction:
 
 def walk(edges: DataFrame, entries: DataFrame, anchors: DataFrame, depth: int,
          direction: str = "incoming", lanes=(CURRENT_LANE,), include_heuristic: bool = False,
-         stop_at: list[str] | None = None, distinct_nodes: bool = False) -> DataFrame:
+         stop_at: list[str] | None = None, distinct_nodes: bool = False, names: DataFrame | None = None) -> DataFrame:
     """Rows ``(anchor, node, hop, lifecycle, resolved, path, min_assurance)``.
 
     A level offers one row per edge, and nodes count as visited once their level is complete,
@@ -53,6 +53,8 @@ def walk(edges: DataFrame, entries: DataFrame, anchors: DataFrame, depth: int,
 
     Each level is written to the checkpoint folder: while its file is small the edges are
     scanned with it at hand and nothing of theirs is shuffled; a large one is joined by shuffle.
+    Edges and entries are scanned once or twice per level, so they should be stored tables;
+    ``names`` are the entries' stored name keys.
     """
     stop = sorted(stop_at or [])
     known = entries.select(F.col("identity").alias("to"), F.col("lane").alias("lifecycle"), F.col("full_name").alias("to_name"))
@@ -71,7 +73,7 @@ def walk(edges: DataFrame, entries: DataFrame, anchors: DataFrame, depth: int,
     visited = start.select("anchor", "to")
     levels = []
     for level in range(1, depth + 1):
-        hops = _hops(frontier, edges, entries, direction)
+        hops = _hops(frontier, edges, entries, direction, names)
         if not include_heuristic:
             hops = hops.filter(F.col("assurance") == EXACT)
         # Visited nodes are one row per node and anchor; the first level has its anchor only.
@@ -118,13 +120,13 @@ def path_text(path) -> "F.Column":
 
 def impact(edges: DataFrame, entries: DataFrame, anchor: str, direction: str = "incoming",
            depth: int = DEPTH_LIMITS["impact"], lanes=(CURRENT_LANE,), include_heuristic: bool = False,
-           top: int | None = None) -> DataFrame:
+           top: int | None = None, names: DataFrame | None = None) -> DataFrame:
     """The walk from one anchor, ordered by hop and node; a depth beyond the limit is refused."""
     if not 1 <= depth <= DEPTH_LIMITS["impact"]:
         raise ValueError(f"depth must be 1 to {DEPTH_LIMITS['impact']}, not {depth}")
     spark = edges.sparkSession
     start = spark.createDataFrame([(anchor,)], "node string")
-    rows = walk(edges, entries, start, depth, direction, lanes, include_heuristic)
+    rows = walk(edges, entries, start, depth, direction, lanes, include_heuristic, names=names)
     ordered = rows.select("node", "hop", "lifecycle", "resolved", path_text("path").alias("path"), "min_assurance").orderBy("hop", "node", "path")
     return ordered.limit(top) if top else ordered
 

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evitrace.functions.unicode import casefold
 from evitrace.operators.facets import Facet
+from evitrace.operators.graph import name_keys
 from evitrace.operators.search import Corpus
+from evitrace.session import require_checkpoint_dir
+from evitrace.sources import generation
+from evitrace.sources.tree import fingerprint
 from evitrace.tables import load
 from evitrace.vocab import CONTAINMENT, EXACT, HEURISTIC
 
@@ -172,3 +178,25 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     for block in blocks[1:]:
         out = out.unionByName(block)
     return out.withColumn("target_key", casefold(F.col("target")))
+
+
+def stored_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, entries, name keys) as tables of the shared folder, written once per state of the files.
+
+    Edges lie sorted by target and names by key, so that a lookup of a few reads a few row groups.
+    The state is told by the files' names, sizes and times; a table that was not finished is
+    written again.
+    """
+    base = sf_dir.rstrip("/")
+    names = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([f"{base}/{n}.parquet" for n in names])
+    state = [base, *map(str, fingerprint(files.select(F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))).first())]
+    home = f"{require_checkpoint_dir(spark).rstrip('/')}/graph-{hashlib.sha256('|'.join(state).encode()).hexdigest()[:16]}"
+    if generation.read_mark(spark, home) is None:
+        found = graph_entries(spark, sf_dir)
+        found.write.mode("overwrite").parquet(f"{home}/entries")
+        graph_edges(spark, sf_dir).repartitionByRange("target_key", "source").sortWithinPartitions("target_key").write.mode("overwrite").parquet(f"{home}/edges")
+        keys = name_keys(generation.read_back(spark, home, "entries"))
+        keys.repartitionByRange("key", "identity").sortWithinPartitions("key").write.mode("overwrite").parquet(f"{home}/names")
+        generation.write_mark(spark, home, "|".join(state))
+    return tuple(generation.read_back(spark, home, n) for n in ("edges", "entries", "names"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evitrace.operators import coverage, graph, search, traverse
-from evitrace.plans.corpus import graph_edges, graph_entries
+from evitrace.plans.corpus import graph_edges, graph_entries, stored_graph
 from evitrace.tables import load
 from evitrace.vocab import HEURISTIC
 
@@ -33,47 +33,47 @@ def target_candidates(spark, sf):
 
 
 def incoming_edges(spark, sf):
-    return graph.incoming(graph_edges(spark, sf), list(SUPPLIER), include_heuristic=True).drop("target_key")
+    return graph.incoming(stored_graph(spark, sf)[0], list(SUPPLIER), include_heuristic=True).drop("target_key")
 
 
 def relation_search(spark, sf):
     return search.relation_search(
-        graph_edges(spark, sf), graph_entries(spark, sf), SUPPLIER[1], kind="invokes-class",
+        *stored_graph(spark, sf)[:2], SUPPLIER[1], kind="invokes-class",
         include_heuristic=True, lanes=SERVED,
     )
 
 
 def explain(spark, sf):
-    return graph.explain(graph_edges(spark, sf), graph_entries(spark, sf), *SUPPLIER, lanes=SERVED, include_heuristic=True)
+    return graph.explain(*stored_graph(spark, sf)[:2], *SUPPLIER, lanes=SERVED, include_heuristic=True)
 
 
 def relation_outgoing(spark, sf):
     """What one order refers to; the anchor is found whatever its case."""
     return search.relation_search(
-        graph_edges(spark, sf), graph_entries(spark, sf), "ORDER:c:4", direction="outgoing", include_heuristic=True, lanes=SERVED,
+        *stored_graph(spark, sf)[:2], "ORDER:c:4", direction="outgoing", include_heuristic=True, lanes=SERVED,
     )
 
 
 def section_counts(spark, sf):
-    return graph.section_counts(graph_edges(spark, sf), graph_entries(spark, sf), *SUPPLIER, lanes=SERVED, include_heuristic=True)
+    return graph.section_counts(*stored_graph(spark, sf)[:2], *SUPPLIER, lanes=SERVED, include_heuristic=True)
 
 
 def section_counts_exact(spark, sf):
-    return graph.section_counts(graph_edges(spark, sf), graph_entries(spark, sf), *CUSTOMER, top=2)
+    return graph.section_counts(*stored_graph(spark, sf)[:2], *CUSTOMER, top=2)
 
 
 def explain_excluded(spark, sf):
-    return graph.explain_excluded(graph_edges(spark, sf), graph_entries(spark, sf), *CUSTOMER)
+    return graph.explain_excluded(*stored_graph(spark, sf)[:2], *CUSTOMER)
 
 
 def context_sections(spark, sf):
-    return graph.context(graph_edges(spark, sf), graph_entries(spark, sf), *SUPPLIER, lanes=SERVED, include_heuristic=True)
+    return graph.context(*stored_graph(spark, sf)[:2], *SUPPLIER, lanes=SERVED, include_heuristic=True)
 
 
 def _impact(anchor, direction, **options):
     def run(spark, sf):
-        entries, edges = graph_entries(spark, sf), graph_edges(spark, sf)
-        return traverse.impact(edges, entries, anchor, direction, **options)
+        edges, entries, names = stored_graph(spark, sf)
+        return traverse.impact(edges, entries, anchor, direction, names=names, **options)
 
     return run
 

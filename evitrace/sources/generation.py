@@ -77,6 +77,15 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
     return "\n".join(r.value for r in spark.read.text(path).collect())
 
 
+def read_mark(spark: SparkSession, home: str) -> str | None:
+    """What :func:`write_mark` left when the tables of a folder were all written."""
+    return _read_text(spark, f"{home}/complete.txt")
+
+
+def write_mark(spark: SparkSession, home: str, text: str) -> None:
+    _write_text(spark, f"{home}/complete.txt", text)
+
+
 def read_back(spark: SparkSession, home: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{home}/{name}")
 

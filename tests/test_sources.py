@@ -225,3 +225,21 @@ def test_index_stream_keeps_the_newest_projection(spark, tmp_path):
     batches = spark.read.parquet(str(tmp_path / "out"))
     assert batches.select("batch_id").distinct().count() == 2
     assert index_stream.current_postings(batches).filter("field = 'purpose'").select("token").distinct().count() in (1, 3)
+
+
+def test_index_stream_forgets_emptied_and_removed_entries(spark, tmp_path):
+    first = _entries(spark).withColumn("gone", F.lit(False))
+    first.coalesce(1).write.parquet(str(tmp_path / "in"))
+    later = first.filter("full_name IN ('A', 'B')").withColumn("gone", F.col("full_name") == "B").withColumn("purpose", F.lit("")).withColumn("full_name", F.lit(""))
+    later.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    changes = stream.read_stream(spark, str(tmp_path / "in"), first.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "))
+    index_stream.index_stream(changes, _corpus, str(tmp_path / "out"), str(tmp_path / "ck"), "gone").trigger(availableNow=True).start().awaitTermination()
+    batches = spark.read.parquet(str(tmp_path / "out"))
+    held = {r.identity for r in index_stream.current_postings(batches).select("identity").distinct().collect()}
+    order = {r.identity: r.batch_id for r in batches.groupBy("identity").agg(F.max("batch_id").alias("batch_id")).collect()}
+    assert set(order) == {f"T:c:{n}" for n in "ABCDE"} and {f"T:c:{n}" for n in "CDE"} <= held
+    if order["T:c:A"] == 1 and batches.filter("batch_id = 1").select("identity").distinct().count() == 2:
+        assert held == {f"T:c:{n}" for n in "CDE"}
+    index_stream.compact(batches, str(tmp_path / "small"))
+    again = spark.read.parquet(str(tmp_path / "small"))
+    assert index_stream.current_postings(again).count() == index_stream.current_postings(batches).count()

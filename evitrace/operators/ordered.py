@@ -48,10 +48,11 @@ def adjacent_overlaps(windows: DataFrame, low: str, high: str, slices: int | Non
     )
 
 
-def sequence_breaks(log: DataFrame, sequence: str, bucket: int = 1_000_000) -> DataFrame:
+def sequence_breaks(log: DataFrame, sequence: str, bucket: int = 1_000_000, start: int | None = None) -> DataFrame:
     """Breaks of an append-only numbering: ``(previous, sequence, missing, copies)``.
 
     A row appears where the number before it is absent or where a number occurs more than once.
+    ``start`` is the number it must begin with; None takes the first one found.
     Buckets of the number line bound every window; the last number of each bucket (one row per
     million) links the buckets.
     """
@@ -66,7 +67,7 @@ def sequence_breaks(log: DataFrame, sequence: str, bucket: int = 1_000_000) -> D
         "bucket", F.lag("last").over(Window.orderBy("bucket")).alias("last_before")
     )
     first = inside.filter(F.col("before").isNull()).join(linked, "bucket").select(
-        F.col("last_before").alias("previous"), "sequence", "copies"
+        F.coalesce("last_before", F.lit(None if start is None else start - 1).cast("bigint")).alias("previous"), "sequence", "copies"
     )
     rest = inside.filter(F.col("before").isNotNull()).select(
         F.col("before").alias("previous"), "sequence", "copies"

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evitrace.operators.ordered import sequence_breaks
+
 from evitrace.functions.text import body_sections, normalize_body
 
 LEDGER_SCHEMA = (
@@ -28,9 +30,22 @@ ENTRY_SCHEMA = (
 )
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The append-only JSON-lines ledger under its declared schema."""
-    return spark.read.schema(LEDGER_SCHEMA).json(path)
+class BrokenLedger(ValueError):
+    """The numbering of an append-only ledger has a gap or a number twice."""
+
+
+def read_ledger(spark: SparkSession, path: str, checked: bool = True) -> DataFrame:
+    """The append-only JSON-lines ledger under its declared schema.
+
+    A ledger whose numbers do not run from one without a gap or copy is refused, unless the caller
+    wants it unchecked to look for the break.
+    """
+    rows = spark.read.schema(LEDGER_SCHEMA).json(path)
+    if checked:
+        broken = sequence_breaks(rows, "sequence", start=1).orderBy("sequence").first()
+        if broken or not rows.filter("sequence IS NULL").isEmpty():
+            raise BrokenLedger(f"ledger numbering is broken at {broken['sequence'] if broken else 'a record without a number'}")
+    return rows
 
 
 @F.pandas_udf(T.StringType())

@@ -243,3 +243,13 @@ def test_index_stream_forgets_emptied_and_removed_entries(spark, tmp_path):
     index_stream.compact(batches, str(tmp_path / "small"))
     again = spark.read.parquet(str(tmp_path / "small"))
     assert index_stream.current_postings(again).count() == index_stream.current_postings(batches).count()
+
+
+def test_broken_ledgers_are_refused(spark, tmp_path):
+    for name, numbers in (("good", (1, 2, 3)), ("gap", (1, 3)), ("late", (2, 3)), ("twice", (1, 2, 2))):
+        (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps({"sequence": n}) + "\n" for n in numbers))
+    assert documents.read_ledger(spark, str(tmp_path / "good.jsonl")).count() == 3
+    for name in ("gap", "late", "twice"):
+        with pytest.raises(documents.BrokenLedger):
+            documents.read_ledger(spark, str(tmp_path / f"{name}.jsonl"))
+        assert documents.read_ledger(spark, str(tmp_path / f"{name}.jsonl"), checked=False).count() >= 2

@@ -11,6 +11,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evitrace.functions.let import let
 from evitrace.functions.analyze import fold_name, fold_names
@@ -131,33 +132,42 @@ def resolve(inputs: DataFrame, components: DataFrame, generic_paths: DataFrame |
     return selections, matches
 
 
+@F.pandas_udf(T.DoubleType())
+def _ratio(names: pd.Series, wanted: pd.Series) -> pd.Series:
+    return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(names, wanted)], dtype="float64")
+
+
 def suggestions(unmatched: list[str], components: DataFrame, n: int = 3, cutoff: float = 0.6) -> DataFrame:
     """Close names for inputs nothing matched.
 
     The inputs are the caller's own arguments, at most fifty, so they travel with the task; the
-    pool of names stays distributed and only the best of each slice are ranked together.
+    pool of names stays distributed, and only names that can reach the cutoff are compared in
+    full. The best of each slice are ranked together.
     """
     if len(unmatched) > INPUT_CAP:
         raise ValueError(f"at most {INPUT_CAP} inputs per call")
 
-    def close(batches):
-        for pdf in batches:
-            rows = []
-            for wanted in unmatched:
-                matcher = difflib.SequenceMatcher(b=wanted)
-                for alias in pdf["alias"]:
-                    matcher.set_seq1(alias)
-                    if matcher.real_quick_ratio() >= cutoff and matcher.quick_ratio() >= cutoff:
-                        ratio = matcher.ratio()
-                        if ratio >= cutoff:
-                            rows.append((wanted, alias, ratio))
-            yield pd.DataFrame(rows, columns=["input", "suggestion", "ratio"])
-
     base = F.substring_index("path", "/", -1)
     pool = components.select(F.explode(F.array_distinct(F.array(
         "name", "component_id", base, F.regexp_replace(base, r"\.[A-Za-z0-9]+-meta\.xml$", ""),
         F.regexp_replace(base, r"\.[A-Za-z0-9]+$", ""),
     ))).alias("alias")).distinct()
-    scored = pool.mapInPandas(close, "input string, suggestion string, ratio double")
+    # Two upper bounds of the ratio are exact column expressions: by lengths and by shared letters.
+    size = F.char_length("alias")
+
+    def bounds(wanted: str) -> Column:
+        shared = F.lit(0)
+        for letter in sorted(set(wanted)):
+            held = size - F.char_length(F.replace("alias", F.lit(letter), F.lit("")))
+            shared = shared + F.least(held, F.lit(wanted.count(letter)))
+        total = F.greatest(size + len(wanted), F.lit(1)).cast("double")
+        near = (2 * F.least(size, F.lit(len(wanted))) / total >= cutoff) & (2 * shared / total >= cutoff)
+        return F.when(near, F.lit(wanted))
+
+    asked = sorted(set(unmatched))
+    if not asked:
+        return pool.sparkSession.createDataFrame([], "input string, suggestion string, ratio double, rank int")
+    pairs = pool.select(F.col("alias").alias("suggestion"), F.explode(F.array_compact(F.array(*[bounds(w) for w in asked]))).alias("input"))
+    scored = pairs.select("input", "suggestion", _ratio("suggestion", "input").alias("ratio")).filter(F.col("ratio") >= cutoff)
     best = Window.partitionBy("input").orderBy(F.desc("ratio"), F.desc("suggestion"))
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)

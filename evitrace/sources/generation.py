@@ -23,6 +23,10 @@ from evitrace.sources.tree import tree_digest
 from evitrace.vocab import B, FIELD_WEIGHTS, K1, LANES
 
 
+#: Bytes of a row group of stored texts.
+ROW_GROUP = 1 << 20
+
+
 class StaleIndex(RuntimeError):
     """The pointer is missing or the entry set changed since the generation was written."""
 
@@ -109,12 +113,14 @@ def build(corpus: Corpus, root: str, edges: DataFrame | None = None, source: str
     if manifest is None:
         put = lambda df, name: df.write.mode("overwrite").parquet(f"{home}/{name}")
         put(stamped, "stamps")
-        put(entries.select("identity", "purpose").sortWithinPartitions("identity"), "documents")
+        # Short row groups: what reads the texts next is divided among tasks whatever the given files are.
+        entries.sortWithinPartitions("identity").write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(f"{home}/documents")
         kinds = {k: (f.kind, f.needs_lane) for k, f in corpus.facets.items()}
         columns = [f.column.alias(f"facet_{i}") for i, f in enumerate(corpus.facets.values())]
         put(entries.select("identity", "full_name", "metadata_type", "namespace", "lane", *columns).sortWithinPartitions("identity"), "entries")
         # Texts are analysed once; sorting and statistics read what that pass wrote.
-        staged = tokens if tokens is not None else cut_lineage(postings.token_postings(entries, corpus.fields, keep=["lane"]))
+        written = read_back(spark, home, "documents")
+        staged = tokens if tokens is not None else cut_lineage(postings.token_postings(written, corpus.fields, keep=["lane"]))
         put(staged.repartitionByRange("token", "identity").sortWithinPartitions("token", "identity"), "tokens")
         facets = {k: f.column for k, f in corpus.facets.items()}
         if facets:

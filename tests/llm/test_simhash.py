@@ -131,6 +131,27 @@ def test_dedup_keeps_one_of_near_copies(spark, docs):
     assert simhash.dedup(docs([])).count() == 0
 
 
+def test_near_copies_meet_in_crowded_groups(spark):
+    rng = random.Random(9)
+    words, often = [f"w{i}" for i in range(5000)], [f"c{i}" for i in range(40)]
+    texts = []
+    for _ in range(150):  # the same frequent words in all, so all have nearly the same word fingerprints
+        text = often * 2 + rng.choices(words, k=30)
+        rng.shuffle(text)
+        texts.append(text)
+    for i in range(60):
+        copy = list(texts[i])
+        for j in rng.sample(range(len(copy)), 2):
+            copy[j] = f"new{j}"
+        texts.append(copy)
+    sets = [{tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "row bigint, text string")
+    part = {r._id: r.component for r in simhash.near_groups(rows, "row", "text").collect()}
+    assert len(pairs) >= 60 and all(part[i] == part[j] for i, j in pairs) and len(part) == len(texts)
+    assert len(set(part.values())) == len(texts) - len(pairs)
+
+
 def test_query_matches_brute_force(spark):
     from evitrace.llm.queries import QUERIES
 

@@ -187,9 +187,11 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
         F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Words of a shingle by which near copies are told, the similarity of a near copy, and the hashes
-#: of a text's sketch.
-SIMILAR_SHINGLE, SIMILAR, SKETCH = 5, 0.8, 128
+#: Words of a shingle by which near copies are told, and the similarity of a near copy.
+SIMILAR_SHINGLE, SIMILAR = 5, 0.8
+#: Hashes of a text's sketch, and the estimate below which a pair is refused by it: a pair 0.8
+#: alike has so low an estimate less than once in 10^12 times.
+SKETCH, CLEAR = 128, 0.5
 #: Texts from which common shingles are learned, how many of these must hold one, and the number
 #: of common shingles kept. They only set the order of shingles; every order finds the same pairs.
 TAUGHT, COMMON, COMMONS = 8_192, 4, 1 << 16
@@ -223,7 +225,8 @@ def portrait(text: str | None) -> tuple[str, int, bytes]:
 
 
 def likeness(a: bytes, b: bytes, sketch: int | None = SKETCH) -> float:
-    """Jaccard similarity of two texts' shingles, estimated from the ``sketch`` smallest hashes."""
+    """Jaccard similarity of two texts' shingles, estimated from the ``sketch`` smallest hashes;
+    of all hashes without ``sketch``."""
     x, y = np.frombuffer(a, "<u4")[:sketch], np.frombuffer(b, "<u4")[:sketch]
     if not len(x) or not len(y):
         return float(len(x) == len(y))
@@ -270,7 +273,8 @@ def near_groups(rows: DataFrame, row_col: str, text_col: str) -> DataFrame:
     ``prefix``, and all that share one are compared: first with one text of each shingle, which
     makes a large group of near copies one component, then every two that are not yet in one
     component. Pairs are passed over only if their numbers of shingles, and of those that follow
-    the shared one, rule the likeness out. Equal texts are one node throughout.
+    the shared one, rule the likeness out. A sketch refuses clear cases; all others are decided by
+    all shingles. Equal texts are one node throughout.
     """
     base = rows.select(F.col(row_col).alias("_id"), F.col(text_col).alias("_text"))
 
@@ -317,16 +321,20 @@ def near_groups(rows: DataFrame, row_col: str, text_col: str) -> DataFrame:
         return (f"least({n}, {m}) >= {SIMILAR} * greatest({n}, {m}) - 1e-6 AND "
                 f"least({n} - {at}, {m} - {to}) >= {SIMILAR / (1 + SIMILAR)} * ({n} + {m}) - 1e-6")
 
-    def alike(pairs: DataFrame) -> DataFrame:
-        a, b = (nodes.select(F.col("node").alias(f"_{x}"), F.substring("marks", 1, 4 * SKETCH).alias(f"s{x}")) for x in "ab")
+    def at_least(pairs: DataFrame, limit: float, sketch: int | None) -> DataFrame:
+        marks = F.col("marks") if sketch is None else F.substring("marks", 1, 4 * sketch)
+        a, b = (nodes.select(F.col("node").alias(f"_{x}"), marks.alias(f"s{x}")) for x in "ab")
         met = pairs.join(a, F.col("a") == F.col("_a")).join(b, F.col("b") == F.col("_b")).select("a", "b", "sa", "sb")
 
         def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-            kept = [likeness(x, y) >= SIMILAR for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            kept = [likeness(x, y, sketch) >= limit for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             return batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
         return cut_lineage(arrow_rows(met, "a bigint, b bigint", compare))
 
+    def alike(pairs: DataFrame) -> DataFrame:
+        return at_least(at_least(pairs, CLEAR, SKETCH), SIMILAR, None)
+
     led = shared.filter("node != lead").filter(can("n", "at", "lead_n", "lead_at")).select(
         F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
     roots = cut_lineage(components(same.unionByName(near).unionByName(alike(cut_lineage(led)))))

@@ -152,6 +152,22 @@ def test_near_copies_meet_in_crowded_groups(spark):
     assert len(set(part.values())) == len(texts) - len(pairs)
 
 
+def test_long_texts_are_decided_by_all_shingles(spark):
+    rng = random.Random(10)
+    words, texts = [f"w{i}" for i in range(5000)], []
+    for i in range(80):
+        text = rng.choices(words, k=rng.randrange(400, 900))
+        copy, step = list(text), rng.uniform(38, 55)  # a word in so many changed: about 0.76 to 0.84 alike
+        for j in range(int(len(copy) / step)):
+            copy[int((j + 0.5) * step)] = "changed"
+        texts += [text, copy]
+    sets = [{tuple(t[i:i + 5]) for i in range(len(t) - 4)} for t in texts]
+    alike = [len(sets[i] & sets[i + 1]) >= 0.8 * len(sets[i] | sets[i + 1]) for i in range(0, len(texts), 2)]
+    rows = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "row bigint, text string")
+    part = {r._id: r.component for r in simhash.near_groups(rows, "row", "text").collect()}
+    assert 20 <= sum(alike) <= 60 and [part[i] == part[i + 1] for i in range(0, len(texts), 2)] == alike
+
+
 def test_query_matches_brute_force(spark):
     from evitrace.llm.queries import QUERIES
 

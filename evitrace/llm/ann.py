@@ -207,7 +207,7 @@ def search(table: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: s
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     rows = rows.filter(F.size("vec") == length["d"])
     first = Window.partitionBy("vec").orderBy("id")
-    few = rows.select("id", "vec").withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= options.top + 1)
+    few = rows.select("id", "vec").distinct().withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= options.top + 1)
     classes = cut_lineage(few.groupBy("vec").agg(F.sort_array(F.collect_set("id")).alias("ids")))
     lists, postings = build(classes, options)
     sent = spark.sparkContext.broadcast(lists)

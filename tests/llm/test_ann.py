@@ -66,6 +66,13 @@ def test_odd_rows(spark):
     assert ann.search(df.filter("vec_id = 5"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_repeated_rows_take_no_places(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(30) for _ in range(2 if i else 25)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    got = results(ann.search(df, F.col("vec_id") % 20 == 0))
+    assert {q: [i for i, _ in found] for q, found in got.items()} == {0: list(range(1, 21)), 20: list(range(20))}
+
+
 def test_walk_finds_the_nearest_centroid():
     x = np.random.default_rng(1).normal(size=(2000, 8))
     lists = ann.fit(x, float(np.sqrt((x * x).sum(1)).max()), 100, ann.Options())

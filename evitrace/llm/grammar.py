@@ -27,8 +27,9 @@ KINDS = ("assign", "access", "hex")
 #: Kind of the spans that only the automata find.
 LEARNED = "format"
 MIN_VALUE = 8
-#: Candidates: runs of credential characters, with a digit and a letter among them.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[+/_.=A-Za-z-]*[0-9])(?=[+/_.=0-9-]*[A-Za-z])[A-Za-z0-9+/_.=-]{12,}")
+#: Candidates lie in runs of credential characters: whole runs and what follows a separator in them.
+RUN = re.compile(r"[A-Za-z0-9+/_.=-]+")
+SEPARATOR = re.compile("[=/]")
 #: Bounds of the training sample: distinct values of a kind, and the length of a value.
 SAMPLE_VALUES, SAMPLE_LENGTH = 2_000, 256
 SPANS = "array<struct<kind: string, start: int, end: int, value: string>>"
@@ -45,19 +46,6 @@ def base_spans(text: str) -> list[tuple[int, int, str, str]]:
     return [(a, b, KINDS[k], v) for a, b, k, v in sorted(found)]
 
 
-def candidates(text: str, taken: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
-    """Candidates that touch none of the spans ``taken``, which are in order of their starts."""
-    found, i, reach = [], 0, 0
-    for m in CANDIDATE.finditer(text):
-        while i < len(taken) and taken[i][0] < m.end():
-            reach = max(reach, taken[i][1])
-            i += 1
-        value = m.group().rstrip(".")
-        if reach <= m.start():
-            found.append((m.start(), m.start() + len(value), LEARNED, value))
-    return found
-
-
 def symbols(value: str) -> str:
     """Classes of the characters: digits, a-f, other small letters, capitals; others as they are."""
     return "".join("d" if "0" <= c <= "9" else "h" if "a" <= c <= "f" else "l" if "g" <= c <= "z" else "U" if "A" <= c <= "Z" else c
@@ -89,6 +77,23 @@ class Automaton:
         end = self.ends[state]
         return (total + end) / (len(value) + 1)
 
+    def rest(self, run: str, start: int, known: dict[tuple[int, int], float]) -> float:
+        """Log likelihood of the symbols ``run`` from ``start`` to the end. ``known`` keeps that of
+        places and states passed, so that all starts in a run take no more steps than it has of these."""
+        at, state, path = start, 0, []
+        while (at, state) not in known:
+            step = self.steps[state].get(run[at]) if at < len(run) else None
+            if step is None:
+                known[at, state] = self.ends[state] if at == len(run) else float("-inf")
+                break
+            path.append((at, state, step[1] - log(_CLASSES.get(run[at], 1))))
+            at, state = at + 1, step[0]
+        total = known[at, state]
+        for at, state, p in reversed(path):
+            total += p
+            known[at, state] = total
+        return total
+
     def accepts(self, value: str) -> bool:
         return len(value) >= self.shortest and self.likelihood(value) >= self.least
 
@@ -175,19 +180,52 @@ def infer(values: list[str], alpha: float = 0.05, quantile: float = 0.02) -> Aut
     return made
 
 
+def learned_spans(text: str, taken: list[tuple[int, int, str, str]], automata: list[Automaton]) -> list[tuple[int, int, str, str]]:
+    """Spans that an automaton accepts and that touch none of the spans ``taken``, which are in
+    order of their starts.
+
+    Every run of credential characters no shorter than the shortest value seen is tried as a whole;
+    then, from its start and behind each separator, up to the end and up to the next separator.
+    Full stops at the end of a run are not part of it. Of spans that overlap the first one counts.
+    """
+    shortest = min((a.shortest for a in automata), default=0)
+    found, i, reach = [], 0, 0
+    for m in RUN.finditer(text) if automata else ():
+        if m.end() - m.start() < shortest:
+            continue
+        value = m.group().rstrip(".")
+        begin, run, known = m.start(), symbols(value), [{} for _ in automata]
+        cuts = [c.start() for c in SEPARATOR.finditer(value)]
+        done = 0
+        for start, end in zip([0, *[c + 1 for c in cuts]], [*cuts, len(value)]):
+            if start < done or len(value) - start < shortest:
+                continue
+            while i < len(taken) and taken[i][0] < begin + start:
+                reach = max(reach, taken[i][1])
+                i += 1
+            free = (taken[i][0] if i < len(taken) else len(text)) - begin
+            if reach > begin + start:
+                continue
+            size = len(value) - start
+            if len(value) <= free and any(size >= a.shortest and a.rest(run, start, k) / (size + 1) >= a.least - 1e-9 for a, k in zip(automata, known)):
+                done = len(value)
+            elif end <= free and end - start >= shortest and any(a.accepts(value[start:end]) for a in automata):
+                done = end
+            else:
+                continue
+            found.append((begin + start, begin + done, LEARNED, value[start:done]))
+    return found
+
+
 def found_in(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(_id, spans, others): base spans and candidates of every whole text."""
+    """(_id, spans): base spans of every whole text."""
     base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     kind = base.schema["_id"].dataType.simpleString()
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spans, others = [], []
-        for text in batch.column(1).to_pylist():
-            spans.append(base_spans(text or ""))
-            others.append(candidates(text or "", spans[-1]))
-        return pa.RecordBatch.from_arrays([batch.column(0), _array(spans), _array(others)], ["_id", "spans", "others"])
+        return pa.RecordBatch.from_arrays([batch.column(0), _array([base_spans(t or "") for t in batch.column(1).to_pylist()])], ["_id", "spans"])
 
-    return arrow_rows(base, f"_id {kind}, spans {SPANS}, others {SPANS}", step)
+    return arrow_rows(base, f"_id {kind}, spans {SPANS}", step)
 
 
 def _array(rows: list[list[tuple[int, int, str, str]]]) -> pa.Array:
@@ -211,23 +249,24 @@ def train(found: DataFrame, values: int = SAMPLE_VALUES, length: int = SAMPLE_LE
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans) per row: base spans and learned ones (kind ``format``) in order.
 
-    Texts are read once: base spans and candidates are written as narrow rows, the automata are
-    inferred from a bounded sample of them and judge the candidates. Null and empty texts have no
-    spans. Repeated rows are scanned each for itself; an empty table gives no rows and teaches
+    The automata are inferred from a bounded sample of the base spans and then judge all candidates;
+    which these are depends on what was learned, so texts are read twice. Null and empty texts have
+    no spans. Repeated rows are scanned each for itself; an empty table gives no rows and teaches
     nothing; other columns are ignored whatever their names.
     """
-    found = cut_lineage(found_in(docs, id_col, text_col))
-    automata = train(found)
-    kind = found.schema["_id"].dataType.simpleString()
+    automata = train(cut_lineage(found_in(docs, id_col, text_col)))
+    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    kind = base.schema["_id"].dataType.simpleString()
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
-        for spans, others in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            more = [s for s in others if any(a.accepts(s["value"]) for a in automata)]
-            rows.append(sorted(spans + more, key=lambda s: s["start"]) if more else spans)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, _SPANS)], ["_id", "spans"])
+        for text in batch.column(1).to_pylist():
+            spans = base_spans(text or "")
+            more = learned_spans(text or "", spans, automata)
+            rows.append(sorted(spans + more, key=lambda s: s[0]) if more else spans)
+        return pa.RecordBatch.from_arrays([batch.column(0), _array(rows)], ["_id", "spans"])
 
-    return arrow_rows(found, f"_id {kind}, spans {SPANS}", step).withColumnRenamed("_id", id_col)
+    return arrow_rows(base, f"_id {kind}, spans {SPANS}", step).withColumnRenamed("_id", id_col)
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
@@ -241,7 +280,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
 
     def clean(text: str | None) -> str | None:
         spans = base_spans(text or "")
-        spans += [s for s in candidates(text or "", spans) if any(a.accepts(s[3]) for a in automata)]
+        spans += learned_spans(text or "", spans, automata)
         if not spans:
             return text
         parts, at = [], 0

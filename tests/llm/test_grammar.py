@@ -47,6 +47,30 @@ def test_learned_spans_join_the_base_ones(spark, docs):
     assert grammar.scan(docs([])).count() == 0 and grammar.redact(docs([])).count() == 0
 
 
+def test_short_values_and_parts_of_runs_are_scored(spark, docs):
+    rng = random.Random(4)
+
+    def value():
+        return "".join(rng.choice("BCDFGHJKLMNPQRSTVWXZ") + rng.choice("0123456789") for _ in range(4))
+
+    rows = [(i, f"token={value()}", "en", "a") for i in range(300)]
+    naked = value()
+    texts = [f"see {naked}.", f"auth_key={naked} on", f"at /x/{naked}/y", f"a/{naked} AKIA{'Z' * 12}/{naked}", "plainwords 20240101 mail/example.com"]
+    rows += [(1000 + i, t, "en", "a") for i, t in enumerate(texts)]
+    got = {r.doc_id: [(s.kind, s.value) for s in r.spans] for r in grammar.scan(docs(rows, "spans")).collect()}
+    assert got[1000] == got[1001] == got[1002] == [("format", naked)] and got[1004] == []
+    assert got[1003] == [("format", naked), ("access", "AKIA" + "Z" * 12), ("format", naked)]
+
+
+def test_values_of_letters_or_digits_alone_are_scored():
+    letters = grammar.infer(sorted({"".join(random.Random(i).choices("QXZJ", k=16)) for i in range(200)}))
+    digits = grammar.infer(sorted({"77" + "".join(random.Random(i).choices("0123456789", k=14)) for i in range(200)}))
+    text = "see QXZJQXZJQXZJQXZJ or 7712345678901234, seventeen-letters"
+    assert [(a, b) for a, b, *_ in grammar.learned_spans(text, [], [letters, digits])] == [(4, 20), (24, 40)]
+    blob = "/".join("Ab3" * 5 for _ in range(20_000))  # long runs with many separators stay linear
+    assert grammar.learned_spans(blob, [], [grammar.infer(["Ab3/" * 4 + "Ab3"])]) == []
+
+
 def test_query_matches_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     want = {r.doc_id: brute_base(r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from evitrace.llm import ann, bpe, grammar, hostrules, langid, mixing, simhash, toxicity, urlrules, warc
+from evitrace.llm import ann, bpe, grammar, hostrules, jaccard, langid, mixing, simhash, toxicity, urlrules, warc
 from evitrace.llm.common import fold_of, table
 
 
@@ -69,6 +69,10 @@ def op10_url_filters(spark, sf):
     return urlrules.judge(table(spark, sf, "pages"))
 
 
+def op11_jaccard_join(spark, sf):
+    return jaccard.group(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
@@ -80,6 +84,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_simhash": op9_simhash,
     "op10_url_filters": op10_url_filters,
+    "op11_jaccard_join": op11_jaccard_join,
 }
 
 ORACLE = {

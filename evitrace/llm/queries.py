@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from evitrace.llm import ann, bpe, grammar, hostrules, jaccard, langid, mixing, simhash, toxicity, urlrules, warc
+from evitrace.llm import ann, bpe, grammar, hostrules, jaccard, langid, mixing, simhash, spelling, toxicity, urlrules, warc
 from evitrace.llm.common import fold_of, table
 
 
@@ -73,6 +73,10 @@ def op11_jaccard_join(spark, sf):
     return jaccard.group(table(spark, sf, "documents"))
 
 
+def op13_spelling_variants(spark, sf):
+    return spelling.variants(table(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_bpe": op2_bpe,
@@ -85,6 +89,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_url_filters": op10_url_filters,
     "op11_jaccard_join": op11_jaccard_join,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE = {

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from evitrace.llm import ann, bpe, grammar, hostrules, jaccard, langid, mixing, simhash, spelling, toxicity, urlrules, warc
+from evitrace.llm import alignment, ann, bpe, grammar, hostrules, jaccard, langid, mixing, simhash, spelling, toxicity, urlrules, warc
 from evitrace.llm.common import fold_of, table
 
 
@@ -73,6 +73,11 @@ def op11_jaccard_join(spark, sf):
     return jaccard.group(table(spark, sf, "documents"))
 
 
+def op12_tokenizer_alignment(spark, sf):
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.measure(table(spark, sf, "documents"), *paths)
+
+
 def op13_spelling_variants(spark, sf):
     return spelling.variants(table(spark, sf, "documents"))
 
@@ -89,6 +94,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_url_filters": op10_url_filters,
     "op11_jaccard_join": op11_jaccard_join,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
     "op13_spelling_variants": op13_spelling_variants,
 }
 

@@ -104,8 +104,27 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     rolled = np.full(len(found) - run + 1, run, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(run):
-            rolled = mixed(rolled * np.uint64(0x100000001B3) + hashes[k:len(hashes) - run + 1 + k])
-    return np.unique(rolled)
+            rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + hashes[k:len(hashes) - run + 1 + k]
+    return np.unique(mixed(rolled))
+
+
+def parity(tokens: np.ndarray) -> bytes:
+    """For each remainder of the shingles whether an odd number has it: two to four bits a shingle."""
+    bits = 64
+    while bits < 2 * len(tokens):
+        bits *= 2
+    return np.packbits(np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def least_apart(x: bytes, y: bytes) -> int:
+    """A number of shingles that just one of two sets has, never above the true one: each shingle of
+    one set alone turns one bit."""
+    one, two = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(one) != len(two):
+        if len(one) > len(two):
+            one, two = two, one
+        two = two[:len(two) // 2] ^ two[len(two) // 2:]
+    return int(np.bitwise_count(one ^ two).sum())
 
 
 class Common(NamedTuple):
@@ -169,63 +188,97 @@ def signatures(tokens: np.ndarray, common: Common, shape: Shape) -> tuple[np.nda
     return keys, np.concatenate([places, np.zeros(len(keys) - len(places), np.int32)])
 
 
-def frequent(texts: DataFrame, text_col: str, shape: Shape) -> Common:
-    """The most frequent shingles of all texts.
+class _Counters:
+    """Counts of shingles with a bounded number of counters: when they are full, the count of the
+    first one that has no place is taken off all, so counts are lower bounds."""
 
-    Every task counts all its shingles with a bounded number of counters: when they are full, the
-    count of the first one that has no place is taken off all. Sums of these counts are a lower
-    bound of the true ones. At most ``FREQUENT`` reach the driver.
-    """
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        taken: list[np.ndarray] = []
-
-        def thin() -> None:
-            nonlocal kept, times
-            fresh, seen = np.unique(np.concatenate(taken), return_counts=True) if taken else (kept[:0], times[:0])
-            taken.clear()
-            both, where = np.unique(np.concatenate([kept, fresh]), return_inverse=True)
-            total = np.bincount(where, np.concatenate([times, seen]), len(both)).astype(np.int64)
-            if len(both) > COUNTERS:
-                total -= np.partition(total, len(both) - COUNTERS - 1)[len(both) - COUNTERS - 1]
-            kept, times = both[total > 0], total[total > 0]
-
-        held = 0
+    def __init__(self) -> None:
+        self.kept, self.times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.taken: list[np.ndarray] = []
+        self.held = 0
+
+    def add(self, tokens: np.ndarray) -> None:
+        self.taken.append(tokens)
+        self.held += len(tokens)
+        if self.held >= TAKEN:
+            self.thin()
+
+    def thin(self) -> None:
+        fresh, seen = np.unique(np.concatenate([self.kept[:0], *self.taken]), return_counts=True)
+        both, where = np.unique(np.concatenate([self.kept, fresh]), return_inverse=True)
+        total = np.bincount(where, np.concatenate([self.times, seen]), len(both)).astype(np.int64)
+        if len(both) > COUNTERS:
+            total -= np.partition(total, len(both) - COUNTERS - 1)[len(both) - COUNTERS - 1]
+        self.kept, self.times, self.taken, self.held = both[total > 0], total[total > 0], [], 0
+
+
+def describe(rows: DataFrame, row_col: str, text_col: str, shape: Shape) -> DataFrame:
+    """(_row, digest, n, parity): digest of each row's set of shingles, its size and its parities.
+    Rows with (token, times) instead hold the frequent shingles of each task."""
+    base = rows.select(F.col(row_col).cast("bigint").alias("_row"), F.col(text_col).alias("_text"))
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = _Counters()
+        names = ["_row", "digest", "n", "parity", "token", "times"]
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
-                for text in batch.column(0).slice(start, SLICE).to_pylist():
-                    tokens = shingles(text, shape.words)
-                    taken.append(tokens)
-                    held += len(tokens)
-                    if held >= TAKEN:
-                        thin()
-                        held = 0
-        thin()
-        yield pa.RecordBatch.from_arrays([pa.array(kept.view(np.int64)), pa.array(times)], ["token", "n"])
-
-    counted = texts.select(text_col).mapInArrow(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
+                part = batch.slice(start, SLICE)
+                sets = [shingles(t, shape.words) for t in part.column(1).to_pylist()]
+                for tokens in sets:
+                    counters.add(tokens)
+                none = pa.nulls(len(sets), pa.int64())
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), pa.array([xxhash.xxh128_digest(s.tobytes(), SEED) for s in sets], pa.binary()),
+                    pa.array([len(s) for s in sets], pa.int32()), pa.array([parity(s) for s in sets], pa.binary()), none, none], names)
+        counters.thin()
+        n = len(counters.kept)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()),
+                                          pa.array(counters.kept.view(np.int64)), pa.array(counters.times)], names)
+
+    return base.mapInArrow(step, "_row bigint, digest binary, n int, parity binary, token bigint, times bigint")
+
+
+def frequent(described: DataFrame) -> Common:
+    """The most frequent shingles of all texts; at most ``FREQUENT`` reach the driver."""
+    counted = described.filter("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("n"))
     most = counted.filter(F.col("n") >= PAIRS_FROM).orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
     tokens = most.column("token").to_numpy().view(np.uint64)
     order = np.argsort(tokens)
     return Common(tokens[order], most.column("n").to_numpy()[order])
 
 
-def describe(rows: DataFrame, row_col: str, text_col: str, shape: Shape) -> DataFrame:
-    """(_row, digest, n): digest of each row's set of shingles, and its size."""
-    base = rows.select(F.col(row_col).cast("bigint").alias("_row"), F.col(text_col).alias("_text"))
+class Sets(NamedTuple):
+    """Distinct sets: (node, n, parity), (node, _text) of the same, and the frequent shingles."""
 
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t, shape.words) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([
-            batch.column(0), pa.array([xxhash.xxh128_digest(s.tobytes(), SEED) for s in sets], pa.binary()),
-            pa.array([len(s) for s in sets], pa.int32())], ["_row", "digest", "n"])
+    nodes: DataFrame
+    texts: DataFrame
+    common: Common
 
-    return arrow_rows(base, "_row bigint, digest binary, n int", step)
+    @staticmethod
+    def of(described: DataFrame, rows: DataFrame, row_col: str, text_col: str) -> tuple[Sets, DataFrame]:
+        """The sets of a written table of ``describe``, and (digest, node) of each."""
+        nodes = cut_lineage(described.filter("n > 0").groupBy("digest").agg(F.min(F.struct("_row", "n", "parity")).alias("o")).select(
+            "digest", F.col("o._row").alias("node"), "o.n", "o.parity"))
+        texts = rows.select(F.col(row_col).alias("node"), F.col(text_col).alias("_text")).join(nodes.select("node"), "node", "left_semi")
+        return Sets(nodes.drop("digest"), texts, frequent(described)), nodes.select("digest", "node")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, shape: Shape) -> DataFrame:
-    """The pairs (a, b) of rows of ``texts`` (node, _text) whose whole sets are alike."""
-    a, b = (texts.select(F.col("node").alias(x), F.col("_text").alias(f"_{x}")) for x in "ab")
+def verified(pairs: DataFrame, sets: Sets, shape: Shape) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole sets are alike.
+
+    Parities refuse most others; they never refuse a pair that is alike. What is left is decided
+    by the sets of the two whole texts.
+    """
+    a, b = (sets.nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"p_{x}")) for x in "ab")
+
+    def refuse(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = (batch.column(i).to_pylist() for i in range(2, 6))
+        return batch.select(["a", "b"]).filter(pa.array([least_apart(x, y) <= shape.most_apart(n, m) for n, m, x, y in zip(*columns)], pa.bool_()))
+
+    near = cut_lineage(arrow_rows(pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "p_a", "p_b"), "a bigint, b bigint", refuse))
+    asked = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    some = sets.texts.join(asked, "node", "left_semi")
+    one, two = (some.select(F.col("node").alias(x), F.col("_text").alias(f"_{x}")) for x in "ab")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: OrderedDict[int, np.ndarray] = OrderedDict()
@@ -242,12 +295,12 @@ def verified(pairs: DataFrame, texts: DataFrame, shape: Shape) -> DataFrame:
                 part = batch.slice(start, SLICE)
                 kept = []
                 for x, y, s, t in zip(*(part.column(i).to_pylist() for i in range(4))):
-                    one, two = of(x, s), of(y, t)
-                    both = len(np.intersect1d(one, two, assume_unique=True))
-                    kept.append(100 * both >= shape.percent * (len(one) + len(two) - both))
+                    left, right = of(x, s), of(y, t)
+                    both = len(np.intersect1d(left, right, assume_unique=True))
+                    kept.append(100 * both >= shape.percent * (len(left) + len(right) - both))
                 yield part.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "_a", "_b").mapInArrow(step, "a bigint, b bigint")
+    return near.join(one, "a").join(two, "b").select("a", "b", "_a", "_b").mapInArrow(step, "a bigint, b bigint")
 
 
 def _parts(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -256,7 +309,7 @@ def _parts(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(named, F.col("node") == F.col("_n"), "left").withColumn("part", F.coalesce("root", "node")).drop("_n", "root")
 
 
-def differences(members: DataFrame, texts: DataFrame, shape: Shape) -> DataFrame:
+def differences(members: DataFrame, sets: Sets, shape: Shape) -> DataFrame:
     """Candidate pairs (a, b) among the members (lead, node, n, part) of each lead, all of which
     have been compared with it: every alike pair of different parts is among them.
 
@@ -267,7 +320,9 @@ def differences(members: DataFrame, texts: DataFrame, shape: Shape) -> DataFrame
     Members alike to the lead are in its component already and need not meet one another; their
     prefixes meet all of D of the others.
     """
-    a, b = (texts.select(F.col("node").alias(x), F.col("_text").alias(f"_{x}"), F.col("n").alias(f"n_{x}")) for x in ("lead", "node"))
+    asked = members.select(F.explode(F.array("lead", "node")).alias("node")).distinct()
+    some = sets.texts.join(sets.nodes.select("node", "n").join(asked, "node"), "node")
+    a, b = (some.select(F.col("node").alias(x), F.col("_text").alias(f"_{x}"), F.col("n").alias(f"n_{x}")) for x in ("lead", "node"))
 
     def differ(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = batch.to_pydict()
@@ -287,12 +342,12 @@ def differences(members: DataFrame, texts: DataFrame, shape: Shape) -> DataFrame
             ["lead", "node", "part", "n", "close", "want", "size", "tokens"])
 
     joined = members.join(a, "lead").join(b, "node").select("lead", "node", "part", "_lead", "_node", "n_lead", "n_node").sortWithinPartitions("lead")
-    sets = cut_lineage(arrow_rows(joined, "lead bigint, node bigint, part bigint, n int, close boolean, want int, size int, tokens array<bigint>", differ))
-    tokens = sets.select("lead", "node", F.explode("tokens").alias("token"))
+    apart = cut_lineage(arrow_rows(joined, "lead bigint, node bigint, part bigint, n int, close boolean, want int, size int, tokens array<bigint>", differ))
+    tokens = apart.select("lead", "node", F.explode("tokens").alias("token"))
     counts = tokens.groupBy("lead", "token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
     again = tokens.join(counts, ["lead", "token"]).groupBy("lead", "node").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("held"))
     # Shingles of one member alone come first in its order; they are counted, not indexed.
-    held = cut_lineage(sets.drop("tokens").join(again, ["lead", "node"]).select(
+    held = cut_lineage(apart.drop("tokens").join(again, ["lead", "node"]).select(
         "lead", "node", "part", "close", "n", "size", F.posexplode("held").alias("at", "held"), F.size("held").alias("many"), "want").select(
         "lead", "node", "part", "close", "n", "size", F.expr("many - at").alias("left"), "held.token",
         (F.col("at") < F.col("want") - F.col("size") + F.col("many")).alias("indexed")))
@@ -312,29 +367,31 @@ def _least_shared(apart: int, lead: int, n: int, shape: Shape) -> int:
     return max(1, int((-(-(apart + beyond - shape.most_apart(sizes, n)) // 2)).min()))
 
 
-def alike(texts: DataFrame, shape: Shape, known: DataFrame | None = None) -> DataFrame:
+def alike(sets: Sets, shape: Shape, known: DataFrame | None = None) -> DataFrame:
     """(node, root) of the components that links of alike sets make; roots are not listed.
 
-    ``texts`` (node, _text, n) has one row per distinct set and is a written table; ``known`` are
-    edges (a, b) that count beside. Members of a key up to ``SMALL`` are compared with one another.
-    A larger key elects a lead, the member with the fewest rarer shingles before the key, which of
-    a family of copies is most like its source. All other members in other components are compared
-    with it and it leaves the key, for nothing is unknown of it there. Leads are elected anew while
-    that links anything, at most ``ROUNDS`` times. Members still in different components meet by
-    how they differ from their key's first lead (``differences``).
+    ``known`` are edges (a, b) that count beside. Members of a key up to ``SMALL`` are compared
+    with one another. A larger key elects a lead, the member with the fewest rarer shingles before
+    the key, which of a family of copies is most like its source. All other members in other
+    components are compared with it and it leaves the key, for nothing is unknown of it there.
+    Leads are elected anew while that links anything, at most ``ROUNDS`` times. Members still in
+    different components meet by how they differ from their key's first lead (``differences``).
     """
-    spark = texts.sparkSession
-    sent = spark.sparkContext.broadcast(frequent(texts, "_text", shape))  # at most ``FREQUENT`` shingles
+    spark = sets.nodes.sparkSession
+    sent = spark.sparkContext.broadcast(sets.common)  # at most ``FREQUENT`` shingles
 
     def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [signatures(shingles(t, shape.words), sent.value, shape) for t in batch.column(2).to_pylist()]
-        times = np.array([len(k) for k, _ in made], np.int64)
-        keys, places = (np.concatenate([np.zeros(0, kind), *[m[i] for m in made]]) for i, kind in ((0, np.int64), (1, np.int32)))
-        rows = pa.array(np.repeat(np.arange(len(made)), times))
-        return pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(rows), pa.array(places), batch.column(1).take(rows)], ["key", "node", "at", "n"])
-
-    keys = arrow_rows(texts.select("node", "n", "_text"), "key bigint, node bigint, at int, n int", make)
-    groups = keys.groupBy("key").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct("at", "node"))["node"].alias("lead")).filter("many > 1")
+        found = [shingles(t, shape.words) for t in batch.column(1).to_pylist()]
+        made = [signatures(s, sent.value, shape) for s in found]
+        return pa.RecordBatch.from_arrays([
+            batch.column(0), pa.array([len(s) for s in found], pa.int32()), pa.array([k for k, _ in made], pa.list_(pa.int64())),
+            pa.array([int((p > 0).sum()) for _, p in made], pa.int32())], ["node", "n", "keys", "placed"])
+
+    kept = cut_lineage(arrow_rows(sets.texts.select("node", "_text"), "node bigint, n int, keys array<bigint>, placed int", make))
+    # Single shingles come first, in order of their places; combinations have place 0.
+    keys = kept.select("node", "n", "placed", F.posexplode("keys").alias("at", "key")).select(
+        "key", "node", F.expr("if(at <= placed, at, 0)").alias("at"), "n")
+    groups = keys.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
     shared = cut_lineage(keys.join(groups, "key"))
 
     def can(x: str, y: str) -> str:
@@ -347,13 +404,14 @@ def alike(texts: DataFrame, shape: Shape, known: DataFrame | None = None) -> Dat
         """Pairs with the leads of keys whose members lie apart, and the members that stay."""
         leads = members.groupBy("key").agg(F.min(F.struct("at", "node", "n", "part")).alias("y"), F.min("part").alias("low"),
                                            F.max("part").alias("high")).filter("low != high").select("key", "y")
-        met = cut_lineage(members.join(leads, "key").filter("node != y.node"))
+        met = members.join(leads, "key").filter("node != y.node")
+        met = cut_lineage(met if "lead" in members.columns else met.withColumn("lead", F.col("y.node")))
         pairs = met.alias("x").filter(F.expr(f"part != y.part AND {can('x', 'y')}")).select(
             F.greatest("node", "y.node").alias("a"), F.least("node", "y.node").alias("b"))
         return pairs, met.drop("y", "part")
 
     def grown(edges: DataFrame, pairs: DataFrame) -> tuple[DataFrame, int]:
-        found = cut_lineage(verified(cut_lineage(pairs.distinct()), texts, shape))
+        found = cut_lineage(verified(cut_lineage(pairs.distinct()), sets, shape))
         return cut_lineage(components(edges.unionByName(found))), found.count()
 
     edges = known if known is not None else spark.createDataFrame([], "a bigint, b bigint")
@@ -371,7 +429,7 @@ def alike(texts: DataFrame, shape: Shape, known: DataFrame | None = None) -> Dat
     apart = cut_lineage(_parts(members, roots))
     keys = apart.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("key")
     rest = cut_lineage(apart.join(keys, "key").select("lead", "node", "part").distinct())
-    return grown(edges, pairs.unionByName(differences(rest, texts, shape)))[0]
+    return grown(edges, pairs.unionByName(differences(rest, sets, shape)))[0]
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -389,11 +447,10 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shape
     rows are members like others; an empty table gives no rows; other columns are ignored.
     """
     rows = numbered(docs, id_col, text_col)
-    marked = cut_lineage(describe(rows, "_row", "_text", shape))
-    nodes = cut_lineage(marked.filter("n > 0").groupBy("digest").agg(F.min("_row").alias("node"), F.first("n").alias("n")))
-    texts = cut_lineage(rows.join(nodes.filter(F.col("n") >= shape.least).select(F.col("node").alias("_row"), "n"), "_row").select(
-        F.col("_row").alias("node"), "n", "_text"))
-    placed = _parts(nodes.select("digest", "node"), alike(texts, shape)).select("digest", "part")
+    described = cut_lineage(describe(rows, "_row", "_text", shape))
+    sets, digests = Sets.of(described, rows, "_row", "_text")
+    placed = _parts(digests, alike(sets, shape)).select("digest", "part")
+    marked = described.filter("_row IS NOT NULL").select("_row", "digest", "n")
     named = cut_lineage(rows.select("_row", "_id").join(marked, "_row").select("_id", "digest", "n"))
     lowest = named.filter("n > 0").groupBy("digest").agg(F.min("_id").alias("low"))
     whole = placed.join(lowest, "digest")

@@ -90,9 +90,23 @@ def test_number_of_keys_grows_with_the_set_only():
 
 def test_bounded_counters_find_frequent_shingles(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "COUNTERS", 50)
-    texts = [(f"in all texts here {i}",) for i in range(3000)]
-    common = jaccard.frequent(spark.createDataFrame(texts, "t string").coalesce(1), "t", Shape())
-    assert jaccard.shingles("in all texts here", 4)[0] in common.tokens
+    counters = jaccard._Counters()
+    for i in range(3000):
+        counters.add(jaccard.shingles(f"in all texts here {i}", 4))
+    counters.thin()
+    at = np.flatnonzero(counters.kept == jaccard.shingles("in all texts here", 4)[0])
+    assert len(counters.kept) <= 50 and 0 < counters.times[at[0]] <= 3000
+
+
+def test_parities_never_exceed_what_sets_differ_by():
+    rng = random.Random(12)
+    for _ in range(300):
+        x = {rng.getrandbits(64) for _ in range(rng.choice([1, 30, 31, 33, 200, 500]))}
+        y = {t for t in x if rng.random() < 0.9} | {rng.getrandbits(64) for _ in range(rng.randrange(120))}
+        one, two = (jaccard.parity(np.array(sorted(s), np.uint64)) for s in (x, y))
+        assert jaccard.least_apart(one, two) <= len(x ^ y) and jaccard.least_apart(one, one) == 0
+    far = [jaccard.parity(np.array([rng.getrandbits(64) for _ in range(500)], np.uint64)) for _ in (0, 1)]
+    assert jaccard.least_apart(*far) > Shape().most_apart(500, 500)
 
 
 def family(rng, words, size, copies, edits):

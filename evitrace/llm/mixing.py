@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evitrace.llm.common import split_words
+from evitrace.llm.common import split_words, unused
 from evitrace.session import cut_lineage
 
 #: Weights of the sources in code-point order, repeating.
@@ -118,13 +118,16 @@ def sample(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc
     """The mix itself: every document as often as it is taken, whole, with all its columns.
 
     Documents without words weigh nothing and are taken with their source's complete epochs, at
-    least once: leaving them out would be a filter, which a mix is not.
+    least once: leaving them out would be a filter, which a mix is not. Null texts have no words, a
+    null source is a source of its own, repeated rows are drawn one by one; columns may have any
+    names; an empty table stays empty.
     """
-    rows = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
-    mixed = mix(rows, quality, id_col, text_col, source_col, share, split_last=False, row_col="_row")
+    row, times = unused(docs, "_row"), unused(docs, "_copies")
+    rows = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
+    mixed = mix(rows, quality, id_col, text_col, source_col, share, split_last=False, row_col=row)
     copies = F.when(F.col("size") == 0, F.greatest("copies", F.lit(1))).otherwise(F.col("copies"))
-    plan = mixed.select(F.col("_row").alias("_r"), copies.cast("int").alias("_copies")).filter("_copies > 0")
-    repeated = rows.join(plan, F.col("_row") == F.col("_r")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    plan = mixed.select(F.col("_row").alias(row), copies.cast("int").alias(times)).filter(F.col(times) > 0)
+    repeated = rows.join(plan, row).withColumn(unused(docs, "_copy"), F.explode(F.sequence(F.lit(1), F.col(times))))
     return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

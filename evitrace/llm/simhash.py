@@ -19,8 +19,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evitrace.llm.common import arrow_rows
+from evitrace.llm.common import arrow_rows, unused
 from evitrace.llm.graph import components
+from evitrace.llm.jaccard import Sets, Shape, alike, describe
 from evitrace.session import cut_lineage
 
 SEED = 42
@@ -187,181 +188,48 @@ def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shing
         F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Words of a shingle by which near copies are told, and the similarity of a near copy.
-SIMILAR_SHINGLE, SIMILAR = 5, 0.8
-#: Hashes of a text's sketch, and the estimate below which a pair is refused by it: a pair 0.8
-#: alike has so low an estimate less than once in 10^12 times.
-SKETCH, CLEAR = 128, 0.5
-#: Texts from which common shingles are learned, how many of these must hold one, and the number
-#: of common shingles kept. They only set the order of shingles; every order finds the same pairs.
-TAUGHT, COMMON, COMMONS = 8_192, 4, 1 << 16
-
-
-def _mixed(hashes: np.ndarray, by: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        made = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15 + 2 * by)
-        made = (made ^ (made >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return made ^ (made >> np.uint64(29))
-
-
-def _digest(text: str | None) -> tuple[str, list[bytes]]:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    return xxhash.xxh128_hexdigest(b" ".join(words), SEED), words
-
-
-def portrait(text: str | None) -> tuple[str, int, bytes]:
-    """Digest of a text's words, its fingerprint, and the hashes of all its distinct five-word
-    shingles in order. All words in lower case as for fingerprints."""
-    digest, words = _digest(text)
-    if not words:
-        return digest, 0, b""
-    hashes = np.array([xxhash.xxh64_intdigest(w, SEED) for w in words], np.uint64)
-    run = min(SIMILAR_SHINGLE, len(words))
-    rolled = np.zeros(len(words) - run + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(run):
-            rolled = rolled * np.uint64(0x100000001B3) + hashes[k:len(hashes) - run + 1 + k]
-    return digest, fingerprint(text), np.unique((_mixed(rolled, 0) >> np.uint64(32)).astype("<u4")).tobytes()
-
-
-def likeness(a: bytes, b: bytes, sketch: int | None = SKETCH) -> float:
-    """Jaccard similarity of two texts' shingles, estimated from the ``sketch`` smallest hashes;
-    of all hashes without ``sketch``."""
-    x, y = np.frombuffer(a, "<u4")[:sketch], np.frombuffer(b, "<u4")[:sketch]
-    if not len(x) or not len(y):
-        return float(len(x) == len(y))
-    low = np.union1d(x, y)
-    # Beyond the end of a full sketch nothing is known of that text.
-    low = low[low <= min([s[-1] for s in (x, y) if len(s) == sketch], default=low[-1])]
-    return float(np.isin(low, np.intersect1d(x, y, assume_unique=True)).mean())
-
-
-def common_shingles(nodes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes that many of a bounded sample of texts hold, in order, and how many do."""
-    share = max(1, -(-nodes.count() // TAUGHT))
-
-    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
-        marks = [np.frombuffer(m, "<u4") for m in batch.column(0).to_pylist()]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, "<u4"), *marks]).astype(np.int64))], ["key"])
-
-    taught = arrow_rows(nodes.filter(F.pmod(F.xxhash64("digest"), F.lit(share)) == 0).select("marks"), "key bigint", spread)
-    most = taught.groupBy("key").count().filter(F.col("count") >= COMMON).orderBy(F.desc("count"), "key").limit(COMMONS).toArrow()
-    keys, counts = most.column("key").to_numpy(), most.column("count").to_numpy()
-    order = np.argsort(keys)
-    return keys[order], counts[order]
-
-
-def prefix(marks: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """The rarest shingles of a text, as many as it takes that texts ``SIMILAR`` alike share one.
-
-    Such texts share at least ``SIMILAR`` of the shingles of each. If all shingles are ordered the
-    same way in all texts, the first they share is therefore followed by that many less one in
-    either text, so it lies among the first fifth.
-    """
-    level = np.zeros(len(marks), np.int64)
-    if len(common[0]):
-        place = np.minimum(np.searchsorted(common[0], marks), len(common[0]) - 1)
-        level = np.where(common[0][place] == marks, common[1][place], 0)
-    return marks[np.lexsort((marks, level))][:len(marks) - int(np.ceil(SIMILAR * len(marks) - 1e-9)) + 1]
+#: Words of a shingle by which near copies are told, and their similarity in percent.
+SIMILAR = Shape(5, 80)
 
 
 def near_groups(rows: DataFrame, row_col: str, text_col: str) -> DataFrame:
     """(_id, component): groups of rows by links of fingerprints and by likeness of shingles.
 
     Besides the fingerprints of ``group``, which near copies with scattered changes often miss, a
-    pair becomes a link if its shingles are at least 0.8 alike. Such texts share a shingle of their
-    ``prefix``, and all that share one are compared: first with one text of each shingle, which
-    makes a large group of near copies one component, then every two that are not yet in one
-    component. Pairs are passed over only if their numbers of shingles, and of those that follow
-    the shared one, rule the likeness out. A sketch refuses clear cases; all others are decided by
-    all shingles. Equal texts are one node throughout.
+    pair becomes a link if its sets of five-word shingles are at least 0.8 alike; ``jaccard.alike``
+    finds all of them. Texts with equal sets are one node throughout, blank texts one group.
     """
-    base = rows.select(F.col(row_col).alias("_id"), F.col(text_col).alias("_text"))
-
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [portrait(t) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([
-            batch.column(0), pa.array([m[0] for m in made], pa.string()),
-            pa.array(np.array([m[1] for m in made], np.uint64).view(np.int64)), pa.array([m[2] for m in made], pa.binary())],
-            ["_id", "digest", "fp", "marks"])
-
-    def digests(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([_digest(t)[0] for t in batch.column(1).to_pylist()], pa.string())], ["_id", "digest"])
-
-    nodes = cut_lineage(arrow_rows(base, "_id bigint, digest string, fp bigint, marks binary", step).groupBy("digest").agg(
-        F.min(F.struct("_id", "fp", "marks")).alias("o")).select("digest", F.col("o._id").alias("node"), "o.fp", "o.marks"))
-
-    firsts = cut_lineage(nodes.groupBy("fp").agg(F.min("node").alias("first")))
-    same = nodes.select("node", "fp").join(firsts, "fp").filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
-    far = links(firsts)
-    a, b = (firsts.select(F.col("fp").alias(f"_{x}"), F.col("first").alias(f"_n{x}")) for x in "ab")
-    near = far.join(a, F.col("a") == F.col("_a")).join(b, F.col("b") == F.col("_b")).select(F.col("_na").alias("a"), F.col("_nb").alias("b"))
-
-    sent = rows.sparkSession.sparkContext.broadcast(common_shingles(nodes))  # at most ``COMMONS`` hashes
-
-    def make(batch: pa.RecordBatch) -> pa.RecordBatch:
-        marks = [np.frombuffer(m, "<u4").astype(np.int64) for m in batch.column(1).to_pylist()]
-        first = [prefix(m, sent.value) for m in marks]
-        times = np.array([len(x) for x in first], np.int64)
-        return pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([np.zeros(0, np.int64), *first])), batch.column(0).take(pa.array(np.repeat(np.arange(len(first)), times))),
-            pa.array(np.concatenate([np.zeros(0, np.int32), *[np.arange(len(x), dtype=np.int32) for x in first]])),
-            pa.array(np.repeat(np.array([len(m) for m in marks], np.int32), times))], ["key", "node", "at", "n"])
-
-    keys = arrow_rows(nodes.filter(F.length("marks") > 0).select("node", "marks"), "key bigint, node bigint, at int, n int", make)
-    # The text others are compared with differs from shingle to shingle, among a few of a group.
-    turn = F.xxhash64("node", F.pmod("key", F.lit(4)))
-    groups = cut_lineage(keys.groupBy("key").agg(
-        F.count(F.lit(1)).alias("many"), F.min_by("node", turn).alias("lead"), F.min_by("at", turn).alias("lead_at"), F.min_by("n", turn).alias("lead_n")).filter(
-        "many > 1").drop("many"))
-    shared = cut_lineage(keys.join(groups, "key"))
-
-    def can(n: str, at: str, m: str, to: str) -> str:
-        """Whether texts of ``n`` and ``m`` shingles whose first shared one is ``at`` and ``to`` can be alike."""
-        return (f"least({n}, {m}) >= {SIMILAR} * greatest({n}, {m}) - 1e-6 AND "
-                f"least({n} - {at}, {m} - {to}) >= {SIMILAR / (1 + SIMILAR)} * ({n} + {m}) - 1e-6")
-
-    def at_least(pairs: DataFrame, limit: float, sketch: int | None) -> DataFrame:
-        marks = F.col("marks") if sketch is None else F.substring("marks", 1, 4 * sketch)
-        a, b = (nodes.select(F.col("node").alias(f"_{x}"), marks.alias(f"s{x}")) for x in "ab")
-        met = pairs.join(a, F.col("a") == F.col("_a")).join(b, F.col("b") == F.col("_b")).select("a", "b", "sa", "sb")
-
-        def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-            kept = [likeness(x, y, sketch) >= limit for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            return batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-        return cut_lineage(arrow_rows(met, "a bigint, b bigint", compare))
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        return at_least(at_least(pairs, CLEAR, SKETCH), SIMILAR, None)
-
-    led = shared.filter("node != lead").filter(can("n", "at", "lead_n", "lead_at")).select(
-        F.greatest("node", "lead").alias("a"), F.least("node", "lead").alias("b")).distinct()
-    roots = cut_lineage(components(same.unionByName(near).unionByName(alike(cut_lineage(led)))))
-    placed = shared.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(
-        "key", "node", "at", "n", "lead", F.coalesce("root", "node").alias("part"))
-    placed = cut_lineage(placed)
-    open_keys = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("key")
-    left = cut_lineage(placed.join(open_keys, "key"))
-    x, y = left.alias("x"), left.alias("y")
-    others = x.join(y, F.expr("x.key = y.key AND x.node > y.node AND x.part != y.part AND x.node != x.lead AND y.node != y.lead AND "
-                              + can("x.n", "x.at", "y.n", "y.at"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    more = alike(cut_lineage(others))
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
-    whole = nodes.select("digest", "node").join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(
-        F.col("digest").alias("_digest"), F.coalesce("root", "node").alias("component"))
-    return arrow_rows(base, "_id bigint, digest string", digests).join(whole, F.col("digest") == F.col("_digest")).select("_id", "component")
+    described = cut_lineage(describe(rows, row_col, text_col, SIMILAR))
+    sets, digests = Sets.of(described, rows, row_col, text_col)
+    marked = described.filter("_row IS NOT NULL").select("_row", "digest", "n")
+    blank = marked.filter("n = 0").groupBy("digest").agg(F.min("_row").alias("node"))
+    digests = cut_lineage(digests.unionByName(blank))
+    fps = fingerprints(rows, row_col, text_col).select(F.col("_id").alias("_row"), "fp")
+    held = cut_lineage(fps.join(marked.select("_row", "digest"), "_row").groupBy("digest", "fp").agg(F.min("_row").alias("_row")).join(
+        digests, "digest").select("node", "fp"))
+    firsts = cut_lineage(held.groupBy("fp").agg(F.min("node").alias("first")))
+    same = held.join(firsts, "fp").filter("node != first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    a, b = (firsts.select(F.col("fp").alias(x), F.col("first").alias(f"n_{x}")) for x in "ab")
+    near = links(firsts).join(a, "a").join(b, "b").select(F.col("n_a").alias("a"), F.col("n_b").alias("b"))
+    roots = alike(sets, SIMILAR, cut_lineage(same.unionByName(near)))
+    whole = digests.join(roots.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(
+        "digest", F.coalesce("root", "node").alias("component"))
+    return marked.join(whole, "digest").select(F.col("_row").alias("_id"), "component")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of every group of ``near_groups``, with all its columns: the one with the smallest
     id, of equal ids the first row; rows without ids come last. A row alone in its group stays.
+
+    Null and blank texts are one group. Any other columns may be there, whatever their names; an
+    empty table stays empty.
     """
-    rows = cut_lineage(docs.withColumn("_row", F.monotonically_increasing_id()))
-    grouped = cut_lineage(near_groups(rows, "_row", text_col))
-    named = grouped.join(rows.select(F.col("_row").alias("_r"), F.col(id_col).alias("_name")), F.col("_id") == F.col("_r"))
-    first = named.groupBy("component").agg(
-        F.min(F.struct(F.col("_name").isNull().alias("none"), F.col("_name").alias("name"), F.col("_r").alias("row")))["row"].alias("_kept"))
+    row, name = unused(docs, "_row"), unused(docs, "_name")
+    rows = cut_lineage(docs.withColumn(row, F.monotonically_increasing_id()))
+    grouped = cut_lineage(near_groups(rows, row, text_col))
+    named = grouped.join(rows.select(F.col(row).alias("_id"), F.col(id_col).alias(name)), "_id")
+    best = F.struct(F.col(name).isNull().alias("none"), F.col(name).alias("name"), F.col("_id").alias("row"))
+    first = named.groupBy("component").agg(F.min(best)["row"].alias("kept"))
     # The rows that go are mostly far fewer than those that stay; texts travel only if they are many.
-    gone = cut_lineage(grouped.join(first, "component").filter("_id != _kept").select("_id"))
-    return rows.join(gone, F.col("_row") == F.col("_id"), "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = cut_lineage(grouped.join(first.select(F.col("kept").alias("_id")), "_id", "left_anti").select(F.col("_id").alias(row)))
+    return rows.join(gone, row, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -44,3 +44,9 @@ def test_sample_repeats_whole_documents(spark, docs):
     assert set(texts) <= {t for _, t, *_ in rows} and "" in texts and None in texts
     assert abs(sum(len((t or "").split()) for t in texts) - 6000) <= 20
     assert mixing.sample(docs([])).count() == 0
+
+
+def test_sample_keeps_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(i, "a b c", f"s{i % 2}", 70 + i, "k") for i in range(40)], "doc_id bigint, text string, source string, _row int, _copies string")
+    got = mixing.sample(rows).collect()
+    assert got and all(r["_row"] == 70 + r.doc_id and r["_copies"] == "k" for r in got)

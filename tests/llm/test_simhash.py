@@ -96,22 +96,6 @@ def test_group_handles_odd_rows(spark, docs):
     assert simhash.group(docs([])).count() == 0
 
 
-def test_sketches_tell_the_likeness():
-    rng = random.Random(6)
-    words = [f"w{i}" for i in range(5000)]
-    for n in (3, 40, 100, 900):
-        for edits in (0, 1, 4, n // 30):
-            a = rng.choices(words, k=n)
-            b = list(a)
-            for i in rng.sample(range(n), min(edits, n)):
-                b[i] = "new"
-            k = min(5, n)
-            x, y = ({tuple(t[i:i + k]) for i in range(n - k + 1)} for t in (a, b))
-            got = simhash.likeness(simhash.portrait(" ".join(a))[2], simhash.portrait(" ".join(b))[2])
-            assert abs(got - len(x & y) / len(x | y)) < (0.12 if n > 100 else 1e-9)
-    assert simhash.likeness(b"", b"") == 1 and simhash.likeness(b"", simhash.portrait("a")[2]) == 0
-
-
 def test_dedup_keeps_one_of_near_copies(spark, docs):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(3000)]
@@ -131,6 +115,12 @@ def test_dedup_keeps_one_of_near_copies(spark, docs):
     assert simhash.dedup(docs([])).count() == 0
 
 
+def test_dedup_keeps_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(1, "a b c", 7, "x", "k"), (2, "A b c", 8, "y", "k"), (3, None, 9, "z", "k"), (4, " ", 9, "z", "k")],
+                                 "doc_id bigint, text string, _row int, _id string, component string")
+    assert sorted(map(tuple, simhash.dedup(rows).collect())) == [(1, "a b c", 7, "x", "k"), (3, None, 9, "z", "k")]
+
+
 def test_near_copies_meet_in_crowded_groups(spark):
     rng = random.Random(9)
     words, often = [f"w{i}" for i in range(5000)], [f"c{i}" for i in range(40)]
@@ -168,6 +158,20 @@ def test_long_texts_are_decided_by_all_shingles(spark):
     assert 20 <= sum(alike) <= 60 and [part[i] == part[i + 1] for i in range(0, len(texts), 2)] == alike
 
 
+def test_all_pairs_of_given_texts_are_grouped(spark):
+    """Every pair of texts with a five-word similarity of 0.8 or more is in one group."""
+    from test_jaccard import brute_groups, brute_set
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(F.col("doc_id").alias("row"), "text")
+    part = {r._id: r.component for r in simhash.near_groups(docs, "row", "text").collect()}
+    rows = [(r.row, r.text) for r in docs.collect()]
+    roots = brute_groups([brute_set(t, 5) for _, t in rows], 80)
+    low = {}
+    for (i, _), r in zip(rows, roots):
+        assert part[i] == part[rows[low.setdefault(r, r)][0]]
+    assert len(part) == len(rows) > len(set(roots)) + 50
+
+
 def test_query_matches_brute_force(spark):
     from evitrace.llm.queries import QUERIES
 

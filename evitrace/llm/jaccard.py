@@ -43,6 +43,8 @@ PAIRS_FROM, TRIPLES_FROM = 16, 512
 SMALL = 8
 #: Rounds of leads before what is still apart is compared by its differences from a lead.
 ROUNDS = 2
+#: Share of its size up to which a set counts as near to a lead it differs from.
+NEAR = 0.6
 
 
 class Shape(NamedTuple):
@@ -59,6 +61,12 @@ class Shape(NamedTuple):
         """Shingles that just one of two alike sets of ``n`` and ``m`` has, at most."""
         return n + m - 2 * -(-self.percent * (n + m) // (100 + self.percent))
 
+    @property
+    def far(self) -> float:
+        """Share of its size by which any set differs from a lead if it is alike to one that differs
+        from it by more than ``NEAR`` of its own size."""
+        return max(0.0, (NEAR - (100 - self.percent) / (100 + self.percent) * (1 + 100 / self.percent)) * self.percent / 100 - 0.01)
+
     @property
     def least(self) -> int:
         """Smallest set that can be alike to a different one."""
@@ -248,7 +256,8 @@ def frequent(described: DataFrame) -> Common:
 
 
 class Sets(NamedTuple):
-    """Distinct sets: (node, n, parity), (node, _text) of the same, and the frequent shingles."""
+    """Distinct sets: (node, n, parity), the texts (node, _text) these come from, those of other
+    rows included, and the frequent shingles."""
 
     nodes: DataFrame
     texts: DataFrame
@@ -259,7 +268,7 @@ class Sets(NamedTuple):
         """The sets of a written table of ``describe``, and (digest, node) of each."""
         nodes = cut_lineage(described.filter("n > 0").groupBy("digest").agg(F.min(F.struct("_row", "n", "parity")).alias("o")).select(
             "digest", F.col("o._row").alias("node"), "o.n", "o.parity"))
-        texts = rows.select(F.col(row_col).alias("node"), F.col(text_col).alias("_text")).join(nodes.select("node"), "node", "left_semi")
+        texts = rows.select(F.col(row_col).alias("node"), F.col(text_col).alias("_text"))
         return Sets(nodes.drop("digest"), texts, frequent(described)), nodes.select("digest", "node")
 
 
@@ -276,7 +285,7 @@ def verified(pairs: DataFrame, sets: Sets, shape: Shape) -> DataFrame:
         return batch.select(["a", "b"]).filter(pa.array([least_apart(x, y) <= shape.most_apart(n, m) for n, m, x, y in zip(*columns)], pa.bool_()))
 
     near = cut_lineage(arrow_rows(pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "p_a", "p_b"), "a bigint, b bigint", refuse))
-    asked = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    asked = cut_lineage(near.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     some = sets.texts.join(asked, "node", "left_semi")
     one, two = (some.select(F.col("node").alias(x), F.col("_text").alias(f"_{x}")) for x in "ab")
 
@@ -309,20 +318,31 @@ def _parts(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(named, F.col("node") == F.col("_n"), "left").withColumn("part", F.coalesce("root", "node")).drop("_n", "root")
 
 
-def differences(members: DataFrame, sets: Sets, shape: Shape) -> DataFrame:
-    """Candidate pairs (a, b) among the members (lead, node, n, part) of each lead, all of which
-    have been compared with it: every alike pair of different parts is among them.
+def differences(members: DataFrame, sets: Sets, shape: Shape) -> tuple[DataFrame, DataFrame]:
+    """Candidate pairs (a, b) among the members (lead, node, part) of each lead, all of which have
+    been compared with it, and the members (lead, node, near) that are far from it: every alike pair of
+    different parts is a candidate or has two far members, one of which at least is not near.
 
     D(x), the shingles that just one of x and the lead has, is small in a family of copies, and two
     members differ by exactly what D(x) and D(y) differ. If x and y are alike, but y and the lead
     are not, D(x) and D(y) must share some shingles; ``_least_shared`` says how many. So they meet
     in prefixes of D ordered by its own frequencies, where what all copies share plays no part.
     Members alike to the lead are in its component already and need not meet one another; their
-    prefixes meet all of D of the others.
+    prefixes meet all of D of the others. Members are near up to ``NEAR`` of their size; as alike
+    sets differ by a bounded part of it, a partner of one that is not near is far.
     """
-    asked = members.select(F.explode(F.array("lead", "node")).alias("node")).distinct()
-    some = sets.texts.join(sets.nodes.select("node", "n").join(asked, "node"), "node")
-    a, b = (some.select(F.col("node").alias(x), F.col("_text").alias(f"_{x}"), F.col("n").alias(f"n_{x}")) for x in ("lead", "node"))
+    a, b = (sets.nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"p_{x}")) for x in ("lead", "node"))
+
+    def guess(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, x, y = (batch.column(i).to_pylist() for i in (3, 5, 6))
+        near = pa.array([least_apart(*pair) <= NEAR * m for m, *pair in zip(n, x, y)], pa.bool_())
+        return pa.RecordBatch.from_arrays([*batch.columns[:5], near], ["lead", "node", "part", "n_node", "n_lead", "near"])
+
+    rated = members.join(a, "lead").join(b, "node").select("lead", "node", "part", "n_node", "n_lead", "p_lead", "p_node")
+    rated = cut_lineage(arrow_rows(rated, "lead bigint, node bigint, part bigint, n_node int, n_lead int, near boolean", guess))
+    asked = cut_lineage(rated.filter("near").select(F.explode(F.array("lead", "node")).alias("node")).distinct())
+    some = sets.texts.join(asked, "node", "left_semi")
+    a, b = (some.select(F.col("node").alias(x), F.col("_text").alias(f"_{x}")) for x in ("lead", "node"))
 
     def differ(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = batch.to_pydict()
@@ -333,21 +353,24 @@ def differences(members: DataFrame, sets: Sets, shape: Shape) -> DataFrame:
                 known.clear()
                 known[lead] = shingles(s, shape.words)
             made.append(np.setxor1d(known[lead], shingles(t, shape.words), assume_unique=True))
+        near = [len(d) <= NEAR * y for d, y in zip(made, rows["n_node"])]
+        far = [len(d) > shape.far * y for d, y in zip(made, rows["n_node"])]
         close = [len(d) <= shape.most_apart(x, y) for d, x, y in zip(made, rows["n_lead"], rows["n_node"])]
         shared = [_least_shared(len(d), x, y, shape) for d, x, y in zip(made, rows["n_lead"], rows["n_node"])]
         return pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), batch.column(2), pa.array(rows["n_node"], pa.int32()), pa.array(close, pa.bool_()),
              pa.array([len(d) - k + 1 for d, k in zip(made, shared)], pa.int32()),
-             pa.array([len(d) for d in made], pa.int32()), pa.array([d.view(np.int64) for d in made], pa.list_(pa.int64()))],
-            ["lead", "node", "part", "n", "close", "want", "size", "tokens"])
+             pa.array([len(d) for d in made], pa.int32()), pa.array([d.view(np.int64) if k else d[:0].view(np.int64) for d, k in zip(made, near)], pa.list_(pa.int64())),
+             pa.array(far, pa.bool_()), pa.array(near, pa.bool_())],
+            ["lead", "node", "part", "n", "close", "want", "size", "tokens", "far", "near"])
 
-    joined = members.join(a, "lead").join(b, "node").select("lead", "node", "part", "_lead", "_node", "n_lead", "n_node").sortWithinPartitions("lead")
-    apart = cut_lineage(arrow_rows(joined, "lead bigint, node bigint, part bigint, n int, close boolean, want int, size int, tokens array<bigint>", differ))
+    joined = rated.filter("near").join(a, "lead").join(b, "node").select("lead", "node", "part", "_lead", "_node", "n_lead", "n_node").sortWithinPartitions("lead")
+    apart = cut_lineage(arrow_rows(joined, "lead bigint, node bigint, part bigint, n int, close boolean, want int, size int, tokens array<bigint>, far boolean, near boolean", differ))
     tokens = apart.select("lead", "node", F.explode("tokens").alias("token"))
     counts = tokens.groupBy("lead", "token").agg(F.count(F.lit(1)).alias("times")).filter("times > 1")
     again = tokens.join(counts, ["lead", "token"]).groupBy("lead", "node").agg(F.sort_array(F.collect_list(F.struct("times", "token"))).alias("held"))
     # Shingles of one member alone come first in its order; they are counted, not indexed.
-    held = cut_lineage(apart.drop("tokens").join(again, ["lead", "node"]).select(
+    held = cut_lineage(apart.drop("tokens", "far", "near").join(again, ["lead", "node"]).select(
         "lead", "node", "part", "close", "n", "size", F.posexplode("held").alias("at", "held"), F.size("held").alias("many"), "want").select(
         "lead", "node", "part", "close", "n", "size", F.expr("many - at").alias("left"), "held.token",
         (F.col("at") < F.col("want") - F.col("size") + F.col("many")).alias("indexed")))
@@ -356,7 +379,8 @@ def differences(members: DataFrame, sets: Sets, shape: Shape) -> DataFrame:
     enough = (f"2 * least(x.left, y.left) >= x.size + y.size - x.n - y.n + 2 * ceil({shape.percent} * (x.n + y.n) / {100 + shape.percent}.0)")
     met = x.join(y, F.expr("x.lead = y.lead AND x.token = y.token AND x.part != y.part AND x.node != y.node AND "
                            f"(x.close OR y.indexed AND x.node > y.node) AND {enough}"))
-    return met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+    far = apart.filter("far").select("lead", "node", "near").unionByName(rated.filter("not near").select("lead", "node", "near"))
+    return met.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct(), far
 
 
 def _least_shared(apart: int, lead: int, n: int, shape: Shape) -> int:
@@ -387,7 +411,9 @@ def alike(sets: Sets, shape: Shape, known: DataFrame | None = None) -> DataFrame
             batch.column(0), pa.array([len(s) for s in found], pa.int32()), pa.array([k for k, _ in made], pa.list_(pa.int64())),
             pa.array([int((p > 0).sum()) for _, p in made], pa.int32())], ["node", "n", "keys", "placed"])
 
-    kept = cut_lineage(arrow_rows(sets.texts.select("node", "_text"), "node bigint, n int, keys array<bigint>, placed int", make))
+    # A table of its own, so that Spark knows how small the numbers alone are.
+    nodes = cut_lineage(sets.nodes.select("node"))
+    kept = cut_lineage(arrow_rows(sets.texts.join(nodes, "node", "left_semi").select("node", "_text"), "node bigint, n int, keys array<bigint>, placed int", make))
     # Single shingles come first, in order of their places; combinations have place 0.
     keys = kept.select("node", "n", "placed", F.posexplode("keys").alias("at", "key")).select(
         "key", "node", F.expr("if(at <= placed, at, 0)").alias("at"), "n")
@@ -428,8 +454,13 @@ def alike(sets: Sets, shape: Shape, known: DataFrame | None = None) -> DataFrame
             break
     apart = cut_lineage(_parts(members, roots))
     keys = apart.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("key")
-    rest = cut_lineage(apart.join(keys, "key").select("lead", "node", "part").distinct())
-    return grown(edges, pairs.unionByName(differences(rest, sets, shape)))[0]
+    apart = cut_lineage(apart.join(keys, "key"))
+    met, far = differences(cut_lineage(apart.select("lead", "node", "part").distinct()), sets, shape)
+    far = cut_lineage(apart.join(far, ["lead", "node"]))
+    x, y = far.alias("x"), far.alias("y")
+    rest = x.join(y, F.expr(f"x.key = y.key AND x.node > y.node AND x.part != y.part AND NOT (x.near AND y.near) AND {can('x', 'y')}")).select(
+        F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    return grown(edges, pairs.unionByName(met).unionByName(rest))[0]
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

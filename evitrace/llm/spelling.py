@@ -81,21 +81,22 @@ def near_in(words: list[str]) -> Iterator[tuple[int, int]]:
             p += 1
         common[k] = p
     far = 2
-    for i, query in enumerate(words):
+    for i, query in enumerate(words[:-1]):
         m = len(query)
-        # Row p: edits between the first p letters of a list word and the first p-1, p, p+1 of the query.
-        rows = [(far, 0, 1)]
+        # Row p: edits between the first p letters of a list word and the first p-1, p, p+1 of the
+        # query. The rows of the query's own prefixes, which the next word begins with, are plain.
         j = i + 1
-        depth = _extend(rows, query, m, query, m)
-        if depth:
-            j = bisect_left(words, query[:depth] + _LAST, j)
-        shared = min(common[i + 1:j + 1], default=0) if j < len(words) else 0
+        shared = common[j]
+        rows = [(far, 0, 1 if m else far), *[(1, 0, 1)] * (shared - 1), (1, 0, 1 if shared < m else far)][:shared + 1]
         while j < len(words):
             word = words[j]
             del rows[shared + 1:]
             depth = _extend(rows, word, len(word), query, m)
             if depth:
-                after = bisect_left(words, word[:depth] + _LAST, j + 1)
+                # Most often the next word differs before that depth already.
+                after = j + 1
+                if after < len(words) and common[after] >= depth:
+                    after = bisect_left(words, word[:depth] + _LAST, after)
             else:
                 at = m - len(word) + 1
                 if 0 <= at <= 2 and rows[len(word)][at] == 1:
@@ -110,18 +111,32 @@ def near_in(words: list[str]) -> Iterator[tuple[int, int]]:
 def _extend(rows: list[tuple[int, int, int]], word: str, length: int, query: str, m: int) -> int:
     """Rows of the prefixes of ``word`` beyond those known; the length of the prefix whose row has
     no value below two, or 0."""
-    far = 2
     for p in range(len(rows), length + 1):
         letter = word[p - 1]
         x, y, z = rows[-1]
-        # Columns p-1, p, p+1 of the query; the row above has p-2, p-1, p.
-        a = min(x + (p < 2 or p - 2 >= m or query[p - 2] != letter), y + 1) if 1 <= p - 1 <= m else (p if p == 1 else far)
-        b = min(y + (query[p - 1] != letter), z + 1, a + 1) if p <= m else far
-        c = min(z + (query[p] != letter), b + 1) if p + 1 <= m else far
-        row = (min(a, far), min(b, far), min(c, far))
-        if min(row) >= far:
+        # Columns p-1, p, p+1 of the query; the row above has p-2, p-1, p. Values stop at two.
+        if p == 1:
+            a = 1
+        elif p - 1 > m:
+            a = 2
+        else:
+            a = x if query[p - 2] == letter else x + 1
+            if y < a:
+                a = y + 1
+        b = c = 2
+        if p <= m:
+            b = y if query[p - 1] == letter else y + 1
+            if z < b:
+                b = z + 1
+            if a < b:
+                b = a + 1
+            if p < m:
+                c = z if query[p] == letter else z + 1
+                if b < c:
+                    c = b + 1
+        if a > 1 and b > 1 and c > 1:
             return p
-        rows.append(row)
+        rows.append((a if a < 2 else 2, b if b < 2 else 2, c if c < 2 else 2))
     return 0
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_FAMILIES = ("retrieval", "profiling", "lifecycle", "relations", "evidence", "records", "maintenance")
+_FAMILIES = ("retrieval", "profiling", "lifecycle", "relations", "evidence", "records", "maintenance", "folds")
 
 
 def _collect(attribute: str) -> dict:

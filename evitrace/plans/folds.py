@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from evitrace.operators import batches, features
+from evitrace.session import require_checkpoint_dir, ship_package
+from evitrace.streaming import numbering
 from evitrace.tables import load
 
 #: Events as operations on feature documents, one feature with most of them. Nodes are named by the
@@ -53,7 +57,31 @@ def feature_batch_state(spark, sf):
         F.count_if(~F.col("tombstoned")).alias("live"), F.count_if("tombstoned").alias("removed"))
 
 
-QUERIES = {f.__name__: f for f in (feature_batches, feature_batch_state)}
+#: Events as numbers of two ledgers, one with three quarters of them: numbers come in three waves,
+#: some a wave late, some twice; those of half of the errors never come.
+_NUMBERS = """SELECT CASE WHEN event_id % 4 = 3 THEN 'small' ELSE 'large' END AS ledger,
+  CASE WHEN event_id % 4 = 3 THEN event_id // 4 ELSE event_id // 4 * 3 + event_id % 4 END AS number,
+  CASE WHEN event_id % 1000 < 400 THEN 0 WHEN event_id % 1000 < 700 THEN 1 ELSE 2 END + CASE WHEN k < 10 THEN 1 ELSE 0 END + again AS wave
+FROM {events} WHERE (again = 0 OR k = 5 OR k = 50) AND NOT (event_type = 'error' AND k >= 50)"""
+
+
+def ledger_anomalies(spark, sf):
+    """Gaps, late numbers and replays of two ledgers, found by a stream in two runs of one state."""
+    ship_package(spark)
+    events = load(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    twice = events.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
+    records = spark.sql(_NUMBERS.format(events="{t}").replace("//", " DIV "), t=twice)
+    base = f"{require_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    for run in ("wave < 2", "wave >= 2"):
+        records.filter(run).write.mode("append").parquet(f"{base}/records")
+        arrived = spark.readStream.schema(records.schema).parquet(f"{base}/records")
+        with numbering.keyed_state(spark):
+            stream = numbering.anomalies(arrived, start=0).writeStream.format("parquet").option("path", f"{base}/found")
+            stream.option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(numbering.ANOMALIES).parquet(f"{base}/found")
+
+
+QUERIES = {f.__name__: f for f in (feature_batches, feature_batch_state, ledger_anomalies)}
 
 _COLUMNS = ", ".join(
     f"{text.format(text='VARCHAR', array='list_value', empty='[]::VARCHAR[]')} AS {name}" for name, text in _LOG.items()
@@ -84,7 +112,19 @@ f AS (SELECT DISTINCT slug, 0::BIGINT AS n, NULL::BIGINT AS batch, 0::BIGINT AS
   FROM (SELECT o.slug, o.n, o.batch, o.size, o.i, o.kind, o.op, o.id, o.refs, o.i = o.size AS last, f.reason, f.version, f.kept, f.kept_dead, f.work, f.dead,
       list_contains(list_transform(f.work, lambda x: x.id), o.id) AS held FROM f JOIN o ON o.slug = f.slug AND o.n = f.n + 1)))))"""
 
+_EVENTS = """(SELECT *, json_extract_string(props, '$.k')::BIGINT AS k FROM events CROSS JOIN (VALUES (0), (1)) t(again))"""
+
 ORACLE = {
+    "ledger_anomalies": f"""WITH r AS ({_NUMBERS.format(events=_EVENTS)}),
+c AS (SELECT ledger, wave, number, count(*) AS c FROM r GROUP BY ALL),
+w AS (SELECT ledger, wave, max(max(number)) OVER (PARTITION BY ledger ORDER BY wave ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM c GROUP BY 1, 2),
+s AS (SELECT c.*, coalesce(top, -1) AS top, min(wave) OVER (PARTITION BY ledger, number) < wave AS seen FROM c JOIN w USING (ledger, wave)),
+g AS (SELECT ledger, wave, coalesce(lag(number) OVER (PARTITION BY ledger, wave ORDER BY number), top) + 1 AS low, number - 1 AS high FROM s WHERE number > top),
+p AS (SELECT ledger, wave, number, 'replay' AS kind, c - CASE WHEN seen THEN 0 ELSE 1 END AS copies FROM s UNION ALL
+  SELECT ledger, wave, number, 'late', 1 FROM s WHERE NOT seen AND number <= top),
+i AS (SELECT *, number - row_number() OVER (PARTITION BY ledger, wave, kind, copies ORDER BY number) AS island FROM p WHERE copies > 0)
+SELECT ledger, wave::BIGINT AS wave, kind, min(number) AS low, max(number) AS high, copies::BIGINT AS copies FROM i GROUP BY ledger, wave, kind, copies, island
+UNION ALL SELECT ledger, wave::BIGINT, 'gap', low, high, 0::BIGINT FROM g WHERE low <= high""",
     "feature_batches": f"""{_BATCHES}
 SELECT slug, batch, size AS operations, reason IS NULL AS accepted, reason, version, 'draft' AS state FROM f WHERE last""",
     "feature_batch_state": f"""{_BATCHES},

@@ -1,4 +1,4 @@
-"""Registered queries whose rows depend on all rows before them: operation batches, anomalies."""
+"""Registered queries of operation batches, ledger anomalies and relaxed requests."""
 
 from __future__ import annotations
 
@@ -6,7 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from evitrace.operators import batches, features
+from evitrace.operators import batches, features, relax
+from evitrace.operators.search import Request
+from evitrace.plans import sql
+from evitrace.plans.corpus import corpus
 from evitrace.session import require_checkpoint_dir, ship_package
 from evitrace.streaming import numbering
 from evitrace.tables import load
@@ -81,7 +84,19 @@ def ledger_anomalies(spark, sf):
     return spark.read.schema(numbering.ANOMALIES).parquet(f"{base}/found")
 
 
-QUERIES = {f.__name__: f for f in (feature_batches, feature_batch_state, ledger_anomalies)}
+#: Two facets that no entry satisfies both, and three filters that some fail.
+_STRICT = Request(
+    metadata_type="document", namespace="en",
+    facets=["family:prefix=src1", "document.length:lte=400", "document.length:gte=1500"],
+)
+
+
+def relaxations(spark, sf):
+    """What a request without an answer would serve if up to three of its filters were dropped."""
+    return relax.relaxations(corpus(spark, sf), _STRICT, most=3)
+
+
+QUERIES = {f.__name__: f for f in (feature_batches, feature_batch_state, ledger_anomalies, relaxations)}
 
 _COLUMNS = ", ".join(
     f"{text.format(text='VARCHAR', array='list_value', empty='[]::VARCHAR[]')} AS {name}" for name, text in _LOG.items()
@@ -114,7 +129,16 @@ f AS (SELECT DISTINCT slug, 0::BIGINT AS n, NULL::BIGINT AS batch, 0::BIGINT AS
 
 _EVENTS = """(SELECT *, json_extract_string(props, '$.k')::BIGINT AS k FROM events CROSS JOIN (VALUES (0), (1)) t(again))"""
 
+_STAGES = ("lifecycle", "metadataType", "scope", *(f"facet:{f}" for f in _STRICT.facets))
+
 ORACLE = {
+    "relaxations": f"""WITH {sql.ENTRIES},
+b AS (SELECT CASE WHEN lane = 'approved-current' THEN 0 ELSE 1 END | CASE WHEN lower(metadata_type) = 'document' THEN 0 ELSE 2 END
+  | CASE WHEN namespace = 'en' THEN 0 ELSE 4 END | CASE WHEN starts_with(family, 'src1') THEN 0 ELSE 8 END
+  | CASE WHEN n_chars <= 400 THEN 0 ELSE 16 END | CASE WHEN n_chars >= 1500 THEN 0 ELSE 32 END AS bits FROM entries),
+s AS (SELECT m, (SELECT count(*) FROM b WHERE (bits & m) = bits) AS served FROM range({1 << len(_STAGES)}) t(m) WHERE bit_count(m) <= 3)
+SELECT array_to_string(list_filter({list(_STAGES)}, lambda x, i: (m >> (i - 1)) & 1 = 1), ' + ') AS dropped, bit_count(m)::INTEGER AS filters, served,
+  NOT EXISTS (SELECT 1 FROM s x WHERE (x.m & s.m) = x.m AND bit_count(x.m) = bit_count(s.m) - 1 AND x.served >= s.served) AS needed FROM s""",
     "ledger_anomalies": f"""WITH r AS ({_NUMBERS.format(events=_EVENTS)}),
 c AS (SELECT ledger, wave, number, count(*) AS c FROM r GROUP BY ALL),
 w AS (SELECT ledger, wave, max(max(number)) OVER (PARTITION BY ledger ORDER BY wave ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM c GROUP BY 1, 2),

@@ -134,20 +134,19 @@ def impact(edges: DataFrame, entries: DataFrame, anchor: str, direction: str = "
 def closure(starts: DataFrame, depends: DataFrame) -> DataFrame:
     """Everything each start transitively depends on, cycles included: ``(start, id)``.
 
-    Path doubling: a round joins what is known to be reachable with itself, so the rounds grow
-    with the logarithm of the longest chain. Only pairs found in the last round are extended, and
-    each round is written out, so lost executors re-read files instead of replaying the rounds.
+    Only what the starts reach is ever written: a round extends the pairs of the round before by one
+    step, so there are as many rounds as the longest of the shortest paths has steps. Each round is
+    written out, so lost executors re-read files instead of replaying the rounds; the levels are
+    put together now and then, which keeps the plan short.
     """
-    known = cut_lineage(depends.select("id", "depends_on").filter("id IS NOT NULL AND depends_on IS NOT NULL").distinct())
-    fresh = known
+    steps = cut_lineage(depends.select("id", "depends_on").filter("id IS NOT NULL AND depends_on IS NOT NULL").distinct())
+    fresh = known = cut_lineage(starts.select("start", F.col("start").alias("id")).distinct())
+    since = 0
     while True:
-        onward = known.select(F.col("id").alias("middle"), F.col("depends_on").alias("far"))
-        behind = known.select(F.col("id").alias("near"), F.col("depends_on").alias("middle"))
-        left = fresh.withColumnRenamed("depends_on", "middle").join(onward, "middle").select("id", F.col("far").alias("depends_on"))
-        right = fresh.withColumnRenamed("id", "middle").join(behind, "middle").select(F.col("near").alias("id"), "depends_on")
-        fresh = cut_lineage(left.unionByName(right).distinct().join(known, ["id", "depends_on"], "left_anti"))
+        onward = fresh.join(steps, "id").select("start", F.col("depends_on").alias("id")).distinct()
+        fresh = cut_lineage(onward.join(known, ["start", "id"], "left_anti"))
         if fresh.isEmpty():
-            break
-        known = cut_lineage(known.unionByName(fresh))
-    reached = starts.select("start").join(known, F.col("start") == F.col("id")).select("start", F.col("depends_on").alias("id"))
-    return starts.select("start", F.col("start").alias("id")).unionByName(reached).distinct()
+            return known
+        known, since = known.unionByName(fresh), since + 1
+        if since == 8:
+            known, since = cut_lineage(known), 0

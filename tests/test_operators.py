@@ -151,6 +151,14 @@ def test_closure_survives_cycles(spark):
     assert got == {("a", n) for n in "abcd"} | {("x", "x"), ("x", "y")}
 
 
+def test_closure_of_a_long_chain_from_one_start(spark):
+    depends = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(30)] + [("n5", "n25"), (None, "n1"), ("n3", None)], "id string, depends_on string")
+    starts = spark.createDataFrame([("n10",), ("n10",), ("lone",), (None,)], "start string")
+    got = [(r.start, r.id) for r in traverse.closure(starts, depends).collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {("n10", f"n{i}") for i in range(10, 31)} | {("lone", "lone"), (None, None)}
+
+
 def test_fill_rules_differ_by_operator(spark):
     df = spark.createDataFrame([(None, None, []), ("", 0, ["a"]), ("x", 1, None)], "s string, n int, l array<string>")
     fill = {r.field: r.filled for r in profile.field_fill(df, ["s", "n", "l"]).collect()}

@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evitrace.functions.unicode import casefold
+from evitrace.functions.analyze import fold_name
 from evitrace.operators.facets import Facet
 from evitrace.operators.graph import name_keys
 from evitrace.operators.search import Corpus
@@ -177,7 +177,7 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = blocks[0]
     for block in blocks[1:]:
         out = out.unionByName(block)
-    return out.withColumn("target_key", casefold(F.col("target")))
+    return out.withColumn("target_key", fold_name(F.col("target")))
 
 
 def stored_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -6,7 +6,6 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from evitrace.functions.unicode import casefold
 from evitrace.operators import coverage, lanes, ledger, ordered
 from evitrace.plans import sql
 from evitrace.plans.corpus import entries, identity_of

@@ -1,3 +1,3 @@
 """Evidence retrieval and data profiling on Spark DataFrames."""
 
-__version__ = "0.1.0"
+__version__ = "0.2.0"

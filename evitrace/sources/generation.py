@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from evitrace.operators import graph, postings, rank
 from evitrace.operators.facets import Facet
 from evitrace.operators.search import Corpus, Request, stage_filters
 from evitrace.session import cut_lineage
+from evitrace.sources import locate
 from evitrace.sources.tree import tree_digest
 from evitrace.vocab import B, FIELD_WEIGHTS, K1, LANES
 
@@ -102,7 +104,7 @@ def build(corpus: Corpus, root: str, edges: DataFrame | None = None, source: str
     can tell without reading a text whether the generation is current. ``tokens``: postings that
     are already known, as from :func:`update`. Entries without their texts are a table of their
     own, which filters read; texts are read for excerpts of served rows alone, and lie sorted by
-    identity within each file, so that few pages of a file are touched.
+    identity within each file, with a locator beside them that names the files of an identity.
     """
     entries = corpus.entries
     spark = entries.sparkSession
@@ -118,6 +120,7 @@ def build(corpus: Corpus, root: str, edges: DataFrame | None = None, source: str
         kinds = {k: (f.kind, f.needs_lane) for k, f in corpus.facets.items()}
         columns = [f.column.alias(f"facet_{i}") for i, f in enumerate(corpus.facets.values())]
         put(entries.select("identity", "full_name", "metadata_type", "namespace", "lane", *columns).sortWithinPartitions("identity"), "entries")
+        locate.write_locator(spark, home, "documents")
         # Texts are analysed once; sorting and statistics read what that pass wrote.
         written = read_back(spark, home, "documents")
         staged = tokens if tokens is not None else cut_lineage(postings.token_postings(written, corpus.fields, keep=["lane"]))
@@ -170,12 +173,18 @@ def stored(spark: SparkSession, manifest: dict) -> Corpus:
     return Corpus(rows, facets, {})
 
 
+def fetch(spark: SparkSession, manifest: dict, ids: Iterable[str]) -> DataFrame:
+    """Whole entries of a generation by identity, read from the files that hold them."""
+    return locate.fetch(spark, manifest["home"], "documents", ids)
+
+
 def search(spark: SparkSession, manifest: dict, request: Request) -> DataFrame:
     """Ranked search from a generation: the same rows as a search by scanning the texts.
 
     The query's tokens select a few row groups of the postings; lane and field size travel with
     each posting. Other filters read the entries' narrow table. Term frequencies are scalar
-    subqueries, and only the rows that are served look up their names and texts.
+    subqueries. The served identities, at most ``request.top``, are found first; their names and
+    texts are then fetched from the files that hold them (:func:`fetch`).
     """
     home, terms = manifest["home"], request.terms
     corpus = stored(spark, manifest)
@@ -211,9 +220,10 @@ def search(spark: SparkSession, manifest: dict, request: Request) -> DataFrame:
         useful = useful | ((of("kept_df", t) > 0) & ~rank.saturated(count, of("df", t)))
     best = sums.select("identity", F.col("lane").alias("lifecycle"), F.round(total, 4).alias("score"), "matched_on", useful.alias("useful"))
     best = best.orderBy(F.desc("score"), "identity").limit(request.top).filter((F.col("score") > 0) & F.col("useful")).drop("useful")
-    names = corpus.entries.select("identity", "full_name", "metadata_type")
-    texts = read_back(spark, home, "documents").select("identity", snippet(F.col("purpose"), terms).alias("snippet"))
-    return best.join(names, "identity").join(texts, "identity").select(
+    best = cut_lineage(best)
+    rows = fetch(spark, manifest, [r.identity for r in best.select("identity").collect()])
+    texts = rows.select("identity", "full_name", "metadata_type", snippet(F.col("purpose"), terms).alias("snippet"))
+    return best.join(texts, "identity").select(
         "identity", "full_name", "metadata_type", "lifecycle", "score", "matched_on", "snippet",
         F.lit("structured-plus-lexical" if request.facets else "lexical").alias("match_class"),
     ).orderBy(F.desc("score"), "identity")

@@ -1,4 +1,4 @@
-"""Registered queries of operation batches, ledger anomalies and relaxed requests."""
+"""Registered queries of operation batches, ledger anomalies, expiry streams and relaxed requests."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from evitrace.operators.search import Request
 from evitrace.plans import sql
 from evitrace.plans.corpus import corpus
 from evitrace.session import require_checkpoint_dir, ship_package
-from evitrace.streaming import numbering
+from evitrace.streaming import expiry, numbering
 from evitrace.tables import load
 
 #: Events as operations on feature documents, one feature with most of them. Nodes are named by the
@@ -84,6 +84,38 @@ def ledger_anomalies(spark, sf):
     return spark.read.schema(numbering.ANOMALIES).parquet(f"{base}/found")
 
 
+def _expiries(spark, records, **options):
+    """The newest status of every block after two runs of one stream, the second with the later half of the time."""
+    base = f"{require_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    for run in ("at < TIMESTAMP '2024-01-16'", "at >= TIMESTAMP '2024-01-16'"):
+        records.filter(run).write.mode("append").parquet(f"{base}/records")
+        arrived = spark.readStream.schema(records.schema).parquet(f"{base}/records")
+        with numbering.keyed_state(spark):
+            changes = expiry.expiry_stream(arrived, **options)
+            stream = changes.writeStream.format("parquet").option("path", f"{base}/changes").option("checkpointLocation", f"{base}/state")
+            stream.trigger(availableNow=True).start().awaitTermination()
+    return expiry.current_blocks(spark.read.schema(changes.schema).parquet(f"{base}/changes"))
+
+
+def org_expiry_stream(spark, sf):
+    """Events as observations that last one to six days, errors as policies of one to three days."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    error = F.col("event_type") == "error"
+    return _expiries(spark, load(spark, sf, "events").select(
+        F.col("event_type").alias("org_key"), F.col("user_id").cast("string").alias("identity"), F.col("ts").cast("timestamp").alias("at"),
+        (F.col("ts") + F.make_dt_interval(days=(1 + k % 6).cast("int"))).cast("timestamp").alias("expires_at"),
+        F.when(error, 1 + k % 5 / 2).alias("max_age_days"),
+    ))
+
+
+def result_cache(spark, sf):
+    """Events as results kept for 24 hours since they were last stored; those over leave the state."""
+    return _expiries(spark, load(spark, sf, "events").select(
+        F.col("event_type").alias("org_key"), F.col("user_id").cast("string").alias("identity"), F.col("ts").cast("timestamp").alias("at"),
+        F.lit(None).cast("timestamp").alias("expires_at"), F.lit(None).cast("double").alias("max_age_days"),
+    ), max_age_days=1, forget=True)
+
+
 #: Two facets that no entry satisfies both, and three filters that some fail.
 _STRICT = Request(
     metadata_type="document", namespace="en",
@@ -96,7 +128,7 @@ def relaxations(spark, sf):
     return relax.relaxations(corpus(spark, sf), _STRICT, most=3)
 
 
-QUERIES = {f.__name__: f for f in (feature_batches, feature_batch_state, ledger_anomalies, relaxations)}
+QUERIES = {f.__name__: f for f in (feature_batches, feature_batch_state, ledger_anomalies, org_expiry_stream, result_cache, relaxations)}
 
 _COLUMNS = ", ".join(
     f"{text.format(text='VARCHAR', array='list_value', empty='[]::VARCHAR[]')} AS {name}" for name, text in _LOG.items()
@@ -131,7 +163,18 @@ _EVENTS = """(SELECT *, json_extract_string(props, '$.k')::BIGINT AS k FROM even
 
 _STAGES = ("lifecycle", "metadataType", "scope", *(f"facet:{f}" for f in _STRICT.facets))
 
+# Blocks b(org_key, identity, observed_at, expires_at) at the newest instant, in whole milliseconds.
+_EXPIRED = """SELECT org_key, identity, observed_at, CASE WHEN expires_at <= (SELECT date_trunc('milliseconds', max(ts)) FROM events)
+  THEN 'org-expired' ELSE 'org-fresh' END AS status, expires_at FROM b"""
+
 ORACLE = {
+    "org_expiry_stream": """WITH e AS (SELECT *, json_extract_string(props, '$.k')::BIGINT AS k FROM events),
+p AS (SELECT (1 + k % 5 / 2) * INTERVAL 1 DAY AS age FROM e WHERE event_type = 'error' ORDER BY ts DESC, k % 5 LIMIT 1),
+o AS (SELECT event_type AS org_key, user_id::VARCHAR AS identity, ts AS observed_at, max(ts + (1 + k % 6) * INTERVAL 1 DAY) AS until
+  FROM e WHERE event_type <> 'error' GROUP BY event_type, user_id, ts QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC) = 1),
+b AS (SELECT org_key, identity, observed_at, least(until, observed_at + age) AS expires_at FROM o CROSS JOIN p) """ + _EXPIRED,
+    "result_cache": """WITH b AS (SELECT event_type AS org_key, user_id::VARCHAR AS identity, max(ts) AS observed_at, max(ts) + INTERVAL 1 DAY AS expires_at
+  FROM events GROUP BY ALL) """ + _EXPIRED,
     "relaxations": f"""WITH {sql.ENTRIES},
 b AS (SELECT CASE WHEN lane = 'approved-current' THEN 0 ELSE 1 END | CASE WHEN lower(metadata_type) = 'document' THEN 0 ELSE 2 END
   | CASE WHEN namespace = 'en' THEN 0 ELSE 4 END | CASE WHEN starts_with(family, 'src1') THEN 0 ELSE 8 END

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from evitrace.functions import digest as dg
 from evitrace.functions import text as tx
-from evitrace.operators import features, gaps, reconcile, resolve
+from evitrace.operators import features, gaps, matching, reconcile, resolve
 from evitrace.plans import sql
 from evitrace.plans.corpus import entries
 from evitrace.sources.tree import line_range, tree_digest
@@ -133,6 +133,17 @@ def reconcile_summary(spark, sf):
     return reconcile.summary(rows, ["home"])
 
 
+def identity_reconciliation(spark, sf):
+    """Parts of two sources that lack some parts, codes and names of each other."""
+    parts = load(spark, sf, "part").withColumn("shape", F.concat_ws("|", "p_brand", "p_type", F.col("p_size").cast("string")))
+    code, size = F.col("p_partkey").cast("string"), F.col("p_size")
+    named = F.when(size > 10, F.concat_ws("|", "shape", F.upper("p_name")))
+    left = parts.filter("p_type <> 'ECONOMY' OR p_size <= 40").select(code.alias("id"), code.alias("code"), named.alias("name"), "shape")
+    right = parts.filter("p_brand <> 'Brand#2'").select(
+        F.concat(F.lit("R"), code).alias("id"), F.when(size > 35, code).otherwise("").alias("code"), named.alias("name"), "shape")
+    return matching.match(left, right, ["code", "name", "shape"])
+
+
 def _packages(spark, sf):
     parts = load(spark, sf, "part")
     version = F.concat_ws(".", F.lit("1"), F.col("p_size").cast("string"))
@@ -374,7 +385,7 @@ def feature_search(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     html_text, clause_candidates, message_fingerprint, snippet, subjects, classify_answer, safe_literal, section_map,
-    canonical_digest, corpus_digest, line_evidence, reconcile_fields, reconcile_summary, package_difference, package_status,
+    canonical_digest, corpus_digest, line_evidence, identity_reconciliation, reconcile_fields, reconcile_summary, package_difference, package_status,
     type_families, schema_digest, resolve_selection, resolve_matches, suggestions, gap_sets, submit_blockers, rule_triggers,
     verify_gaps, scope_uncovered, feature_violations, feature_operations, feature_citations, feature_search,
 )}
@@ -458,7 +469,28 @@ p AS (
   UNION ALL SELECT slug, id, 'inferred claim must not be citable', authority FROM claims WHERE authority = 'unresolved' AND citable)"""
 _NOUN = "regexp_extract(p_name, '[^ ]*$')"
 
+def _tier_sql(n, tier):
+    """Pairs of tier ``n`` and the rows that are left after it."""
+    return f"""p{n} AS MATERIALIZED (SELECT min(id) FILTER (side = 'left') AS l, min(id) FILTER (side = 'right') AS r, '{tier}' AS tier FROM r{n} WHERE {tier} <> ''
+  GROUP BY {tier} HAVING count(*) FILTER (side = 'left') = 1 AND count(*) FILTER (side = 'right') = 1),
+r{n + 1} AS MATERIALIZED (SELECT * FROM r{n} WHERE NOT (side = 'left' AND id IN (SELECT l FROM p{n})) AND NOT (side = 'right' AND id IN (SELECT r FROM p{n})))"""
+
+
 ORACLE = {
+    "identity_reconciliation": f"""WITH RECURSIVE parts AS (SELECT *, concat_ws('|', p_brand, p_type, p_size) AS shape FROM part),
+n AS (SELECT *, CASE WHEN p_size > 10 THEN shape || '|' || upper(p_name) END AS name FROM parts),
+r0 AS MATERIALIZED (SELECT 'left' AS side, p_partkey::VARCHAR AS id, p_partkey::VARCHAR AS code, name, shape FROM n WHERE p_type <> 'ECONOMY' OR p_size <= 40
+  UNION ALL SELECT 'right', 'R' || p_partkey, CASE WHEN p_size > 35 THEN p_partkey::VARCHAR END, name, shape FROM n WHERE p_brand <> 'Brand#2'),
+{_tier_sql(0, 'code')}, {_tier_sql(1, 'name')}, {_tier_sql(2, 'shape')},
+k AS (SELECT side || ':' || id AS node, side, 'c' || code AS key FROM r3 WHERE code IS NOT NULL UNION ALL SELECT side || ':' || id, side, 'n' || name FROM r3 WHERE name IS NOT NULL
+  UNION ALL SELECT side || ':' || id, side, 's' || shape FROM r3 WHERE shape IS NOT NULL),
+links AS MATERIALIZED (SELECT node, key FROM k WHERE key IN (SELECT key FROM k GROUP BY key HAVING count(DISTINCT side) = 2)),
+reach AS (SELECT DISTINCT node, node AS other FROM links UNION SELECT reach.node, b.node FROM reach JOIN links a ON a.node = other JOIN links b USING (key)),
+c AS (SELECT node, min(other) AS component FROM reach GROUP BY node),
+m AS (FROM p0 UNION ALL FROM p1 UNION ALL FROM p2)
+SELECT side, id, CASE WHEN component IS NULL THEN 'alone' ELSE 'contested' END AS status, NULL::VARCHAR AS tier, NULL::VARCHAR AS partner, component
+FROM r3 LEFT JOIN c ON node = side || ':' || id
+UNION ALL SELECT 'left', l, 'matched', tier, r, NULL FROM m UNION ALL SELECT 'right', r, 'matched', tier, l, NULL FROM m""",
     "html_text": f"WITH t AS (SELECT page_id, array_to_string({_LINES}, chr(10)) AS text FROM pages) SELECT page_id, length(text)::INTEGER AS n_chars, sha256(text) AS text_sha FROM t",
     "clause_candidates": f"""WITH l AS (SELECT page_id, list_filter(list_transform({_LINES}, lambda x: {_TRIMJ.format("regexp_replace(x, '^[\\s]*([-*•]|[0-9]+[.)])[\\s]*', '')")}), lambda x: length(x) > 2) AS ls FROM pages),
 e AS (SELECT page_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS ordinal FROM l)

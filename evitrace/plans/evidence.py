@@ -9,6 +9,7 @@ from evitrace.functions import text as tx
 from evitrace.operators import features, gaps, matching, reconcile, resolve
 from evitrace.plans import sql
 from evitrace.plans.corpus import entries
+from evitrace.sources import fields
 from evitrace.sources.tree import line_range, tree_digest
 from evitrace.tables import load
 
@@ -144,6 +145,19 @@ def identity_reconciliation(spark, sf):
     return matching.match(left, right, ["code", "name", "shape"])
 
 
+def formula_chains(spark, sf):
+    """Orders as formulas that climb up to fourteen lookups of a tree of customers and name a field."""
+    customers = load(spark, sf, "customer").filter("c_custkey > 0")
+    name = lambda key: F.concat(F.lit("C"), key.cast("string"))
+    targets = customers.select(
+        name(F.col("c_custkey")).alias("object"), F.lit("Up").alias("stem"), name(F.shiftright("c_custkey", 1)).alias("target"))
+    up = F.repeat(F.lit("Up__r."), (1 + F.col("o_orderkey") % 14).cast("int"))
+    formulas = load(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("component_id"), name(F.col("o_custkey")).alias("object_name"),
+        F.concat(F.lit("IF("), up, F.lit("Name <> '', "), up, F.lit("Rank__c, Total__c)")).alias("formula"))
+    return fields.formula_references(formulas, targets)
+
+
 def _packages(spark, sf):
     parts = load(spark, sf, "part")
     version = F.concat_ws(".", F.lit("1"), F.col("p_size").cast("string"))
@@ -385,7 +399,7 @@ def feature_search(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     html_text, clause_candidates, message_fingerprint, snippet, subjects, classify_answer, safe_literal, section_map,
-    canonical_digest, corpus_digest, line_evidence, identity_reconciliation, reconcile_fields, reconcile_summary, package_difference, package_status,
+    canonical_digest, corpus_digest, line_evidence, formula_chains, identity_reconciliation, reconcile_fields, reconcile_summary, package_difference, package_status,
     type_families, schema_digest, resolve_selection, resolve_matches, suggestions, gap_sets, submit_blockers, rule_triggers,
     verify_gaps, scope_uncovered, feature_violations, feature_operations, feature_citations, feature_search,
 )}
@@ -477,6 +491,12 @@ r{n + 1} AS MATERIALIZED (SELECT * FROM r{n} WHERE NOT (side = 'left' AND id IN
 
 
 ORACLE = {
+    "formula_chains": """WITH o AS (SELECT o_orderkey AS component_id, o_custkey AS k, (1 + o_orderkey % 14)::INTEGER AS n FROM orders),
+h AS (SELECT component_id, k, n, unnest(range(n))::INTEGER AS i FROM o),
+known AS (SELECT component_id, k >> n AS top FROM h GROUP BY component_id, k, n
+  HAVING bool_and((k >> i) IN (SELECT c_custkey FROM customer WHERE c_custkey > 0)))
+SELECT component_id, 'C' || top || field AS target FROM known, (VALUES ('.Name'), ('.Rank__c')) f(field)
+UNION ALL SELECT component_id, 'C' || k || '.Total__c' FROM o""",
     "identity_reconciliation": f"""WITH RECURSIVE parts AS (SELECT *, concat_ws('|', p_brand, p_type, p_size) AS shape FROM part),
 n AS (SELECT *, CASE WHEN p_size > 10 THEN shape || '|' || upper(p_name) END AS name FROM parts),
 r0 AS MATERIALIZED (SELECT 'left' AS side, p_partkey::VARCHAR AS id, p_partkey::VARCHAR AS code, name, shape FROM n WHERE p_type <> 'ECONOMY' OR p_size <= 40

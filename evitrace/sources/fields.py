@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evitrace.functions.let import let
+from evitrace.session import cut_lineage
 
 # Relationship chains and bare field names in formulas.
 _CHAIN = r"\b([A-Za-z][A-Za-z0-9_]*__r(?:\.[A-Za-z][A-Za-z0-9_]*__r)*)\.([A-Za-z][A-Za-z0-9_]*)\b"
 _FIELD = r"\b([A-Za-z][A-Za-z0-9_]*__c)\b"
-# A formula cannot span more relationships than this.
-MAX_HOPS = 10
 
 # Inline queries, what compares a field, words that are no fields.
 _BLOCK = r"(?is)\[\s*(SELECT\b[^\]]*?)\]"
@@ -43,6 +42,25 @@ def relationship_targets(nodes: DataFrame) -> DataFrame:
     )
 
 
+def chain_ends(chains: DataFrame, targets: DataFrame) -> DataFrame:
+    """Where chains of lookups lead: (start, chain, end); a chain with an unknown hop has no row.
+
+    ``chains``: start (an object) and chain (``A__r.B__r``), of any length. Distinct chains go one hop
+    a round, each round written out, and leave once they have ended: as many rounds as the longest
+    chain has hops.
+    """
+    step = cut_lineage(targets.select(F.col("object").alias("at"), F.concat("stem", F.lit("__r")).alias("hop"), F.col("target").alias("next")).distinct())
+    going = cut_lineage(chains.filter(F.col("start").isNotNull()).distinct().select("start", "chain", F.col("start").alias("at"), F.split("chain", r"\.").alias("hops")))
+    ended = going.limit(0).select("start", "chain", F.col("at").alias("end"))
+    while not going.isEmpty():
+        moved = going.withColumn("hop", F.get("hops", F.lit(0))).join(step, ["at", "hop"]).select(
+            "start", "chain", F.col("next").alias("at"), F.slice("hops", 2, F.greatest(F.size("hops") - 1, F.lit(0))).alias("hops"))
+        moved = cut_lineage(moved)
+        ended = ended.unionByName(moved.filter(F.size("hops") == 0).select("start", "chain", F.col("at").alias("end")))
+        going = moved.filter(F.size("hops") > 0)
+    return ended
+
+
 def formula_references(formulas: DataFrame, targets: DataFrame) -> DataFrame:
     """Fields a formula names: ``(component_id, target)``.
 
@@ -50,18 +68,12 @@ def formula_references(formulas: DataFrame, targets: DataFrame) -> DataFrame:
     lookups; when a hop is unknown the whole chain is dropped. Bare names belong to the
     formula's own object.
     """
-    spans = formulas.select("component_id", F.col("object_name").alias("at"), F.explode(
+    spans = formulas.select("component_id", F.col("object_name").alias("start"), F.explode(
         F.array_distinct(F.regexp_extract_all("formula", F.lit(_CHAIN), F.lit(0)))
-    ).alias("span"))
-    walked = spans.select(
-        "component_id", "at", F.split(F.regexp_extract("span", _CHAIN, 1), r"\.").alias("hops"), F.regexp_extract("span", _CHAIN, 2).alias("field")
-    )
-    for i in range(MAX_HOPS):
-        step = targets.select(F.col("object").alias("at"), F.concat("stem", F.lit("__r")).alias("hop"), F.col("target").alias("next"))
-        walked = walked.withColumn("hop", F.get("hops", F.lit(i))).join(step, ["at", "hop"], "left").withColumn(
-            "at", F.when(F.col("hop").isNull(), F.col("at")).otherwise(F.col("next"))
-        ).drop("hop", "next")
-    chained = walked.filter(F.col("at").isNotNull() & (F.size("hops") <= MAX_HOPS)).select("component_id", F.concat_ws(".", "at", "field").alias("target"))
+    ).alias("span")).select(
+        "component_id", "start", F.regexp_extract("span", _CHAIN, 1).alias("chain"), F.regexp_extract("span", _CHAIN, 2).alias("field"))
+    ends = chain_ends(spans.select("start", "chain"), targets)
+    chained = spans.join(ends, ["start", "chain"]).select("component_id", F.concat_ws(".", "end", "field").alias("target"))
     bare = formulas.select("component_id", "object_name", F.explode(
         F.array_distinct(F.regexp_extract_all(F.regexp_replace("formula", _CHAIN, " "), F.lit(_FIELD), F.lit(1)))
     ).alias("field")).select("component_id", F.concat_ws(".", "object_name", "field").alias("target"))

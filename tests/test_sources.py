@@ -161,6 +161,18 @@ def _entries(spark, extra=()):
     return spark.createDataFrame(rows, "identity string, full_name string, metadata_type string, namespace string, lane string, purpose string")
 
 
+def test_chains_of_any_length(spark):
+    up = spark.createDataFrame([(f"O{i}", "Up", f"O{i - 1}") for i in range(1, 30)] + [("O5", "Twin", "A"), ("O5", "Twin", "B")], "object string, stem string, target string")
+    chain = lambda n: ".".join(["Up__r"] * n)
+    rows = [("O29", chain(29)), ("O29", chain(29)), ("O29", chain(30)), ("O7", "Up__r.Up__r.Twin__r"), ("O3", "Down__r"), (None, chain(1)), ("O2", chain(2))]
+    got = sorted((r.start, r.chain, r.end) for r in fields.chain_ends(spark.createDataFrame(rows, "start string, chain string"), up).collect())
+    assert got == sorted([("O29", chain(29), "O0"), ("O7", rows[3][1], "A"), ("O7", rows[3][1], "B"), ("O2", chain(2), "O0")])
+    formulas = spark.createDataFrame([("f", "O29", f"{chain(25)}.Name & {chain(30)}.Name + Own__c"), ("g", "O1", None)], "component_id string, object_name string, formula string")
+    assert {tuple(r) for r in fields.formula_references(formulas, up).collect()} == {("f", "O4.Name"), ("f", "O29.Own__c")}
+    nothing = spark.createDataFrame([], "start string, chain string")
+    assert fields.chain_ends(nothing, up).collect() == []
+
+
 def test_generation_answers_as_the_scan_does_and_refuses_stale(spark, tmp_path):
     entries = _entries(spark)
     home = str(tmp_path / "index")

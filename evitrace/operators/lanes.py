@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evitrace.operators.ledger import latest
+from evitrace.operators.postings import zero_filled
 
+#: What an observation section can be.
+ORG_STATUSES = ("org-fresh", "org-expired", "org-superseded", "org-not-effective", "org-absent")
 PROVENANCE = ("reviewed_by", "reviewed_at", "mechanism")
 
 
@@ -122,3 +125,17 @@ def section_status(entries: DataFrame, sections: DataFrame, ledger: DataFrame) -
         "identity",
         F.when(F.col("action") == "attach", "org-not-effective").otherwise("org-absent").alias("section"),
     )
+
+
+def status_counts(blocks: DataFrame, without: DataFrame) -> DataFrame:
+    """Blocks and entries per status, every status with a row.
+
+    ``blocks``: rows of :func:`observation_lanes`. ``without``: rows of :func:`section_status`, one
+    per entry that has no section.
+    """
+    rows = blocks.select("status", "identity").unionByName(without.select(F.col("section").alias("status"), "identity"))
+    counts = rows.groupBy("status").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("identity").alias("identities"))
+    named = zero_filled(counts.select("status", "records"), "status", list(ORG_STATUSES), "records")
+    # Both sides have at most one row per status.
+    return named.join(counts.select("status", "identities"), "status", "left").select(
+        "status", "records", F.coalesce("identities", F.lit(0)).cast("bigint").alias("identities"))

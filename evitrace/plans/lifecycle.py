@@ -170,6 +170,11 @@ def org_section_absent(spark, sf):
     return lanes.section_status(holders, kept, recorded)
 
 
+def org_lane_counts(spark, sf):
+    """Observation blocks, and customers without a section, per status."""
+    return lanes.status_counts(org_lane(spark, sf), org_section_absent(spark, sf))
+
+
 # --- workflow ----------------------------------------------------------------------------
 
 # Which state pair an event type stands for.
@@ -205,7 +210,7 @@ def protected_moves(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     ledger_latest, ledger_gaps, current_approval, lane_cascade, lane_by_type_pivot, coverage_missing,
-    unprofiled_types, readiness, citation_verdicts, citation_counts, org_lane, org_section_absent,
+    unprofiled_types, readiness, citation_verdicts, citation_counts, org_lane, org_section_absent, org_lane_counts,
     transitions_invalid, convergence, protected_moves,
 )}
 
@@ -282,3 +287,7 @@ SELECT user_id, event_id, round, size, least(size, coalesce(best, size)) AS smal
     "protected_moves": f"""SELECT event_type, replace({_STATE}, 'awaiting_human', 'accepted') AS state, count(*) AS events,
  event_type = 'purchase' AS protected FROM events GROUP BY 1, 2""",
 }
+
+ORACLE["org_lane_counts"] = f"""WITH s AS (SELECT status, identity FROM ({ORACLE['org_lane']}) UNION ALL SELECT section, identity FROM ({ORACLE['org_section_absent']})),
+d(status) AS (VALUES ('org-fresh'), ('org-expired'), ('org-superseded'), ('org-not-effective'), ('org-absent'))
+SELECT d.status, count(identity) AS records, count(DISTINCT identity) AS identities FROM d LEFT JOIN s USING (status) GROUP BY d.status"""

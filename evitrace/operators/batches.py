@@ -7,7 +7,7 @@ batch steps the version and returns the feature to draft.
 
 from __future__ import annotations
 
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,27 +31,45 @@ _UNKNOWN = object()
 
 class _Feature:
     """What is known of one feature: references of live items, None for tombstones, and how many
-    live items refer to each id."""
+    live items refer to each id. An id's text is held once; all else is by its number."""
 
     def __init__(self, slug: str | None):
         self.slug, self.version, self.state = slug, 0, "draft"
-        self.items: dict = {}
-        self.uses: Counter = Counter()
-
-    def put(self, ident, refs) -> object:
+        self.numbers: dict = {}
+        self.items: list = []
+        self.uses = array("q")
+
+    def number(self, ident) -> int:
+        """The number of an id; a new one is of an item that is not there."""
+        known = self.numbers.get(ident)
+        if known is None:
+            known = self.numbers[ident] = len(self.items)
+            self.items.append(_UNKNOWN)
+            self.uses.append(0)
+        return known
+
+    def references(self, refs) -> tuple:
+        return tuple(self.number(r) for r in dict.fromkeys(refs or ()))
+
+    def put(self, at: int, refs) -> object:
         """Replaces an item and returns what it was before."""
-        old = self.items.get(ident, _UNKNOWN)
-        if old is not _UNKNOWN and old:
-            self.uses.subtract(old)
-        if refs is _UNKNOWN:
-            del self.items[ident]
-        else:
-            self.items[ident] = refs
-            self.uses.update(refs or ())
+        old = self.items[at]
+        if old is not _UNKNOWN:
+            for r in old or ():
+                self.uses[r] -= 1
+        self.items[at] = refs
+        if refs is not _UNKNOWN:
+            for r in refs or ():
+                self.uses[r] += 1
         return old
 
-    def live(self, ident) -> bool:
-        return self.items.get(ident) is not None
+    def held(self, ident):
+        """The references of an id's item, None of a tombstone, ``_UNKNOWN`` of what was never there."""
+        at = self.numbers.get(ident)
+        return _UNKNOWN if at is None else self.items[at]
+
+    def live(self, at: int) -> bool:
+        return self.items[at] is not None and self.items[at] is not _UNKNOWN
 
     def problem(self, kind, op, ident) -> str | None:
         if op not in OPERATION_KINDS.get(kind, ()):
@@ -63,10 +81,10 @@ class _Feature:
         if ident is None:
             return "no id"
         if op in _ADDS:
-            return "id already used" if ident in self.items else None
+            return None if self.held(ident) is _UNKNOWN else "id already used"
         if op == "set":
-            return "tombstoned" if ident in self.items and not self.live(ident) else None
-        return None if self.live(ident) else "not live"
+            return "tombstoned" if self.held(ident) is None else None
+        return "not live" if self.held(ident) in (None, _UNKNOWN) else None
 
     def decide(self, operations: list[tuple]) -> str | None:
         """Applies all operations and returns None, or leaves everything and says why."""
@@ -78,16 +96,17 @@ class _Feature:
                 break
             if kind == "section" or (kind == "meta" and op != "add-question"):
                 continue
-            old = self.put(ident, None if op in _REMOVES else tuple(dict.fromkeys(refs or ())))
-            before.setdefault(ident, old)
+            at = self.number(ident)
+            old = self.put(at, None if op in _REMOVES else self.references(refs))
+            before.setdefault(at, old)
         # The state before was closed, so only what was written can have broken it.
         if not reason and any(
             not all(map(self.live, self.items[i])) if self.live(i) else self.uses[i] > 0 for i in before
         ):
             reason = "broken reference"
         if reason:
-            for ident, old in before.items():
-                self.put(ident, old)
+            for at, old in before.items():
+                self.put(at, old)
         else:
             self.version, self.state = self.version + 1, "draft"
         return reason
@@ -111,7 +130,7 @@ def _folder(most: int):
                 if phase == 0:
                     feature.version, feature.state = version or 0, state or "draft"
                 elif phase == 1:
-                    feature.put(ident, None if gone else tuple(dict.fromkeys(refs or ())))
+                    feature.put(feature.number(ident), None if gone else feature.references(refs))
                 else:
                     if current is None:
                         current, size, kept = (batch,), 0, []

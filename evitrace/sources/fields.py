@@ -72,6 +72,8 @@ def formula_references(formulas: DataFrame, targets: DataFrame) -> DataFrame:
         F.array_distinct(F.regexp_extract_all("formula", F.lit(_CHAIN), F.lit(0)))
     ).alias("span")).select(
         "component_id", "start", F.regexp_extract("span", _CHAIN, 1).alias("chain"), F.regexp_extract("span", _CHAIN, 2).alias("field"))
+    # Both the chains and the join below read the spans: formulas are searched once.
+    spans = cut_lineage(spans)
     ends = chain_ends(spans.select("start", "chain"), targets)
     chained = spans.join(ends, ["start", "chain"]).select("component_id", F.concat_ws(".", "end", "field").alias("target"))
     bare = formulas.select("component_id", "object_name", F.explode(

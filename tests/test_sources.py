@@ -265,3 +265,13 @@ def test_broken_ledgers_are_refused(spark, tmp_path):
         with pytest.raises(documents.BrokenLedger):
             documents.read_ledger(spark, str(tmp_path / f"{name}.jsonl"))
         assert documents.read_ledger(spark, str(tmp_path / f"{name}.jsonl"), checked=False).count() >= 2
+
+
+def test_formulas_are_searched_once_for_their_chains(spark):
+    from evitrace.sources import fields
+
+    formulas = spark.createDataFrame([(1, "A", "Up__r.Up__r.Name <> Own__c")], "component_id int, object_name string, formula string")
+    targets = spark.createDataFrame([("A", "Up", "B"), ("B", "Up", "C")], "object string, stem string, target string")
+    found = fields.formula_references(formulas, targets)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert {r.target for r in found.collect()} == {"C.Name", "A.Own__c"}

@@ -146,3 +146,37 @@ def test_lanes_joined_after_the_texts(spark):
 
 def test_rank_of_no_terms_is_empty(spark):
     assert rank.distinct_terms([]) == []
+
+
+def test_repeated_runs_are_expanded_once(spark, monkeypatch):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    from evitrace.functions import analyze
+    from evitrace.operators import postings
+
+    texts = ["Straße My_Field__c My_Field__c a.b ﬁn", "x " * 50, "", None]
+    calls, expand = [], analyze._expand
+    monkeypatch.setattr(analyze, "_expand", lambda raw: calls.append(raw) or expand(raw))
+    for text in filter(None, texts):
+        assert analyze.count_tokens(text, {})[0] == Counter(analyze.analyze_text(text))
+    calls.clear()
+    analyze.count_tokens("x " * 50, {})
+    assert calls == ["x"]
+    monkeypatch.undo()
+    entries = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "identity string, t string")
+    got = {(r.identity, r.token, r.tf, r.size) for r in postings.token_postings(entries, {"t": F.col("t")}).collect()}
+    assert got == {(str(i), k, n, c.total()) for i, t in enumerate(texts) for c in [Counter(analyze.analyze_text(t or ""))] for k, n in c.items()}
+
+
+def test_facets_without_a_list_and_with_lists_alone(spark):
+    from pyspark.sql import functions as F
+
+    from evitrace.operators import postings
+
+    entries = spark.createDataFrame([("1", "A", ["X", None, "X"]), ("2", None, None)], "identity string, a string, l array<string>")
+    rows = lambda facets: sorted((r.facet, r.value, r.identity) for r in postings.facet_postings(entries, facets).collect())
+    assert rows({"a": F.col("a")}) == [("a", "a", "1")]
+    assert rows({"l": F.col("l")}) == [("l", "x", "1")] * 2
+    assert rows({"a": F.col("a"), "l": F.col("l")}) == [("a", "a", "1")] + [("l", "x", "1")] * 2

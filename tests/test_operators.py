@@ -277,3 +277,29 @@ def test_feature_narrative_and_lane(spark):
 
 def test_transition_table_is_closed():
     assert set(TRANSITIONS) <= set(STATE_PAIRS) and {t for ts in TRANSITIONS.values() for t in ts} <= set(STATE_PAIRS)
+
+
+def test_selection_sends_no_table_to_the_driver(spark):
+    from evitrace.operators import resolve
+
+    inputs = spark.createDataFrame([("path", "force-app/a"), ("path", "force-app/a/x.cls"), ("name", "X"), ("path", "force-app/n")], "kind string, input string")
+    components = spark.createDataFrame(
+        [("C:x", "ApexClass", "x", "force-app/a/x.cls"), ("C:y", "ApexClass", "y", "force-app/a/y.cls")],
+        "component_id string, metadata_type string, name string, path string")
+    selections, matches = resolve.resolve(inputs, components, spark.createDataFrame([("force-app/n",)], "path string"))
+    for answer in (selections, matches):
+        assert "Broadcast" not in answer._jdf.queryExecution().executedPlan().toString()
+    assert {(r.input, r.resolution, r.matches) for r in selections.collect()} == {
+        ("force-app/a", "expanded", 2), ("force-app/a/x.cls", "resolved", 1), ("X", "resolved", 1), ("force-app/n", "unsupported", 0)}
+    assert {(r.input, r.component_id) for r in matches.collect()} == {
+        ("force-app/a", "C:x"), ("force-app/a", "C:y"), ("force-app/a/x.cls", "C:x"), ("X", "C:x")}
+
+
+def test_edges_with_numbered_targets_fold_without_python(spark):
+    from evitrace.functions.analyze import fold_key
+    from evitrace.plans.corpus import graph_edges
+
+    edges = graph_edges(spark, "/root/testdata/sf0.001")
+    assert edges._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") <= 3
+    rows = edges.select("target", "target_key").distinct().collect()
+    assert rows and all(r.target_key == fold_key(r.target) for r in rows)

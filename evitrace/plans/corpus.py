@@ -11,7 +11,7 @@ from evitrace.functions.analyze import fold_name
 from evitrace.operators.facets import Facet
 from evitrace.operators.graph import name_keys
 from evitrace.operators.search import Corpus
-from evitrace.session import require_checkpoint_dir
+from evitrace.session import cut_lineage, require_checkpoint_dir
 from evitrace.sources import generation
 from evitrace.sources.tree import fingerprint
 from evitrace.tables import load
@@ -155,29 +155,30 @@ def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     qualified = F.concat_ws(".", "r_name", "n_name")
     bare_nation = lambda c: F.concat(F.lit("NATION_"), F.col(c).cast("string"))
 
-    def edge(source, kind, target, assurance=EXACT):
+    def edge(source, kind, target, assurance=EXACT, plain=False):
+        """``plain``: the target is a fixed word and a number, which folds without Python."""
         return (
             source.alias("source"), F.lit(kind).alias("kind"), target.alias("target"),
-            F.lit(assurance).alias("assurance"),
+            F.lit(assurance).alias("assurance"), fold_name(target, exact=not plain).alias("target_key"),
         )
 
     order_id = lambda c: _ident("Order", F.col(c).cast("string"))
     numbered = lambda label, c: F.concat(F.lit(f"{label}#"), F.lpad(F.col(c).cast("string"), 9, "0"))
     blocks = [
         named.select(*edge(_ident("Nation", qualified), CONTAINMENT, F.col("r_name"))),
-        customer.select(*edge(_ident("Customer", F.col("c_name")), CONTAINMENT, bare_nation("c_nationkey"))),
-        supplier.select(*edge(_ident("Supplier", F.col("s_name")), CONTAINMENT, bare_nation("s_nationkey"))),
+        customer.select(*edge(_ident("Customer", F.col("c_name")), CONTAINMENT, bare_nation("c_nationkey"), plain=True)),
+        supplier.select(*edge(_ident("Supplier", F.col("s_name")), CONTAINMENT, bare_nation("s_nationkey"), plain=True)),
         part.select(*edge(F.concat(F.lit("Part:"), F.col("p_partkey").cast("string"), F.lit(":"), "p_name"),
                           "references-field", F.concat(F.col("p_brand"), F.lit("__c")))),
         part.select(*edge(F.concat(F.lit("Part:"), F.col("p_partkey").cast("string"), F.lit(":"), "p_name"),
                           "relationship", F.col("p_name"))),
-        orders.select(*edge(order_id("o_orderkey"), CONTAINMENT, numbered("Customer", "o_custkey"))),
-        lineitem.select(*edge(order_id("l_orderkey"), "invokes-class", numbered("Supplier", "l_suppkey"), HEURISTIC)),
+        orders.select(*edge(order_id("o_orderkey"), CONTAINMENT, numbered("Customer", "o_custkey"), plain=True)),
+        lineitem.select(*edge(order_id("l_orderkey"), "invokes-class", numbered("Supplier", "l_suppkey"), HEURISTIC, plain=True)),
     ]
     out = blocks[0]
     for block in blocks[1:]:
         out = out.unionByName(block)
-    return out.withColumn("target_key", fold_name(F.col("target")))
+    return out
 
 
 def stored_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -195,8 +196,9 @@ def stored_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     if generation.read_mark(spark, home) is None:
         found = graph_entries(spark, sf_dir)
         found.write.mode("overwrite").parquet(f"{home}/entries")
-        graph_edges(spark, sf_dir).repartitionByRange("target_key", "source").sortWithinPartitions("target_key").write.mode("overwrite").parquet(f"{home}/edges")
-        keys = name_keys(generation.read_back(spark, home, "entries"))
+        # Dividing by ranges reads its rows twice: folded names are written before.
+        cut_lineage(graph_edges(spark, sf_dir)).repartitionByRange("target_key", "source").sortWithinPartitions("target_key").write.mode("overwrite").parquet(f"{home}/edges")
+        keys = cut_lineage(name_keys(generation.read_back(spark, home, "entries")))
         keys.repartitionByRange("key", "identity").sortWithinPartitions("key").write.mode("overwrite").parquet(f"{home}/names")
         generation.write_mark(spark, home, "|".join(state))
     return tuple(generation.read_back(spark, home, n) for n in ("edges", "entries", "names"))

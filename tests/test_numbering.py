@@ -76,3 +76,15 @@ def test_each_anomaly_is_said_once_and_the_state_stays_small(spark, tmp_path):
 
 def test_no_records(spark, tmp_path):
     assert _run(spark, tmp_path, [], "none")[1] == []
+
+
+def test_open_gaps_are_kept_by_the_block(spark, tmp_path):
+    held, found = _run(spark, tmp_path, [("a", 0, 2 * n) for n in range(1, 20_001)], "first")
+    assert sorted(r[3:5] for r in found) == [(n, n) for n in range(1, 40_000, 2)]
+    assert held == 4  # the highest number, and three blocks of 2 ** 14 numbers
+    second = [("a", 1, n) for n in range(1, 40_001) if n != 20_001] + [("a", 1, 40_002), ("a", 1, -3)]
+    held, both = _run(spark, tmp_path, second, "second")
+    wave = {kind: sorted(r[3:] for r in both if r[1:3] == (1, kind)) for kind in ("late", "gap", "replay")}
+    assert wave["late"] == [(-3, -3, 1), *[(n, n, 1) for n in range(1, 40_000, 2) if n != 20_001]]
+    assert wave["gap"] == [(40_001, 40_001, 0)] and wave["replay"] == [(n, n, 1) for n in range(2, 40_001, 2)]
+    assert held == 4  # the highest number, and blocks with -3, up to 20000 and from 20002 on

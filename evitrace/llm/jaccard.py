@@ -1,32 +1,29 @@
-"""Similarity join of word-shingle sets through prefixes of token combinations.
-
-Sets that are ``percent`` alike leave at most ``n - ceil(percent * n)`` shingles of either set
-unmatched. All shingles of the corpus have one order, rare ones first. A prefix of that order is
-long enough if that many of its shingles can be struck out and still something indexed is left:
-
-* a rare shingle is indexed alone, so each rare shingle of the prefix counts one;
-* a frequent shingle is indexed in pairs, a very frequent one in triples, each within one of the
-  parts its class is divided into by hash. A part with m shingles of the prefix survives the loss
-  of m - 1 of them (pairs) or m - 2 (triples) at least, so the prefix is extended by what the
-  parts do not count.
-
-Whichever of two alike sets has the prefix that ends first in the order, its shingles that the
-other one has too lie in both prefixes, and by the count above they leave one key in common.
-Which shingles are frequent only sets order and classes: any choice finds the same pairs. Keys of
-combinations carry a size band, so sets whose sizes rule the likeness out never meet in them.
+"""Similarity join of word-shingle sets through prefixes of equal parts.
+
+Sets that are ``percent`` alike differ in a bounded number of shingles. All shingles are dealt by
+hash into more parts than that, as many for all sets of a size band, so two alike sets agree in
+all parts but those in which they differ. Parts have one order, those first that other sets hardly
+have: with several rare shingles, then with several at all, then by the rarest shingle. Of the parts that two
+alike sets have in common, the first in that order comes in neither set after more parts than the
+two can differ in. So a set is indexed under that many of its parts and one more, and alike sets
+have a key in common.
+
+A key stands for all shingles of a part, so sets that share but a few frequent shingles hardly
+meet, whatever the number of sets. Which shingles are frequent only sets the order: any choice
+finds the same links. Sets near the end of a band are indexed in the next one too.
 """
 
 from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
-from itertools import combinations
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evitrace.llm.common import SLICE, arrow_rows
@@ -37,9 +34,11 @@ SEED = 42
 #: Counters a task keeps of shingles, shingles taken in before they are thinned, and the most
 #: shingles called frequent (8 bytes each are sent to the executors).
 COUNTERS, TAKEN, FREQUENT = 1 << 15, 1 << 20, 1 << 17
-#: Sets that hold a shingle from which on it is indexed in pairs, and in triples.
-PAIRS_FROM, TRIPLES_FROM = 16, 512
-#: Members of a key up to which all are compared with one another at once; larger keys elect leads.
+#: Sets that hold a shingle from which on it is not rare.
+FREQUENT_FROM = 16
+#: Shingles of a part, rare ones or all, from which on more of them put it no earlier.
+ENOUGH = 3
+#: Members of a key up to which all are compared with one another; larger keys elect leads.
 SMALL = 8
 #: Rounds of leads before what is still apart is compared by its differences from a lead.
 ROUNDS = 2
@@ -75,10 +74,14 @@ class Shape(NamedTuple):
     def band(self, n: int) -> tuple[int, int]:
         """Number of the size band and its lowest size; alike sets lie in one or in neighbours."""
         low, number = 1, 0
-        while (following := 100 * low // self.percent + 1) <= n:
+        while (following := self.next_low(low)) <= n:
             low, number = following, number + 1
         return number, low
 
+    def next_low(self, low: int) -> int:
+        """Lowest size of the band after the one that begins with ``low``."""
+        return max(2 * low, 100 * low // self.percent + 1)
+
 
 class _Hashes(dict):
     """Hashes of words, remembered up to a bound."""
@@ -149,51 +152,47 @@ class Common(NamedTuple):
         return np.where(self.tokens[at] == tokens, self.counts[at], 0)
 
 
-def signatures(tokens: np.ndarray, common: Common, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
-    """(key, place) of a set: the shingles and combinations of its extended prefix.
+@lru_cache(1 << 16)
+def _most_apart(shape: Shape, n: int) -> int:
+    """Shingles that just one of a set of ``n`` and any set alike to it has, at most."""
+    return int(shape.most_apart(n, np.arange(shape.needed(n), 100 * n // shape.percent + 1)).max())
 
-    The place of a single shingle is its number in the set's order. It bounds what two sets can
-    share if that key is their first in common; combinations bound nothing and have place 0.
-    """
+
+@lru_cache(1 << 16)
+def _bands(shape: Shape, n: int) -> list[tuple[int, int]]:
+    """(number, parts) of the bands that a set of ``n`` is indexed in."""
+    number, low = shape.band(n)
+    ends = [shape.next_low(low)]
+    if 100 * n // shape.percent >= ends[0]:
+        ends.append(shape.next_low(ends[0]))
+    return [(number + i, _most_apart(shape, end - 1) + 2) for i, end in enumerate(ends)]
+
+
+def signatures(tokens: np.ndarray, common: Common, shape: Shape) -> tuple[np.ndarray, np.ndarray]:
+    """(key, place) of a set: the first of its parts in each of its bands, and their numbers there."""
     n = len(tokens)
     if n < shape.least:
         return np.zeros(0, np.int64), np.zeros(0, np.int32)
     counts = common.of(tokens)
-    counts[counts < PAIRS_FROM] = 0
-    order = np.lexsort((tokens, counts))
-    tokens, counts = tokens[order], counts[order]
-    rare, want = int(np.searchsorted(counts, 1)), n - shape.needed(n) + 1
-    single = tokens[:min(rare, want)].view(np.int64)
-    places = np.arange(len(single), dtype=np.int32)
-    if rare >= want:
-        return single, places
-    made: dict[int, list] = {2: [], 3: []}
-    number, low = shape.band(n)
-    for config, lowest in ((number, shape.band(low - 1)[1] if low > 1 else 1), (number + 1, low)):
-        # Parts: all of them together hold back fewer shingles than alike sets must share.
-        parts = max(1, (shape.needed(max(lowest, shape.least)) - 1) // 6)
-        held: dict[tuple[int, int], list[int]] = {}
-        counted = rare
-        slots = (mixed(tokens[rare:]) % np.uint64(parts)).tolist()
-        for token, count, slot in zip(tokens[rare:].tolist(), counts[rare:].tolist(), slots):
-            if counted >= want:
-                break
-            size = 3 if count >= TRIPLES_FROM else 2
-            members = held.setdefault((size, slot), [])
-            members.append(token)
-            counted += len(members) >= size
-        for (size, slot), members in held.items():
-            for chosen in combinations(members, size):
-                made[size].append((config, *chosen))
-    keys = [single]
-    for size, found in made.items():
-        table, key = np.array(found, np.uint64).reshape(-1, size + 1), np.zeros(len(found), np.uint64)
+    counts[counts < FREQUENT_FROM] = 0
+    spread, want, keys = mixed(tokens), _most_apart(shape, n) + 1, []
+    for number, parts in _bands(shape, n):
+        slots = (spread % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(slots, kind="stable")
+        slots, times = slots[order], counts[order]
+        begin = np.flatnonzero(np.concatenate(([True], slots[1:] != slots[:-1])))
+        band = np.uint64(number << 40)
         with np.errstate(over="ignore"):
-            for column in table.T:
-                key = mixed(key * np.uint64(0x100000001B3) + column)
-        keys.append(key.view(np.int64))
-    keys = np.concatenate(keys)
-    return keys, np.concatenate([places, np.zeros(len(keys) - len(places), np.int32)])
+            made = mixed(mixed(slots[begin].astype(np.uint64) + band) + np.add.reduceat(mixed(spread[order]), begin))
+        rare = np.minimum(np.add.reduceat((times == 0).astype(np.int64), begin), ENOUGH)
+        held = np.minimum(np.diff(begin, append=n), ENOUGH)
+        first = np.lexsort((made, np.minimum.reduceat(times, begin), -held, -rare))[:want]
+        made = made[first]
+        if len(made) < want:  # parts without shingles come last
+            empty = np.setdiff1d(np.arange(parts), slots[begin])[:want - len(made)]
+            made = np.concatenate([made, mixed(empty.astype(np.uint64) + band)])
+        keys.append(made)
+    return np.concatenate(keys).view(np.int64), np.concatenate([np.arange(len(k), dtype=np.int32) for k in keys])
 
 
 class _Counters:
@@ -249,7 +248,7 @@ def describe(rows: DataFrame, row_col: str, text_col: str, shape: Shape) -> Data
 def frequent(described: DataFrame) -> Common:
     """The most frequent shingles of all texts; at most ``FREQUENT`` reach the driver."""
     counted = described.filter("token IS NOT NULL").groupBy("token").agg(F.sum("times").alias("n"))
-    most = counted.filter(F.col("n") >= PAIRS_FROM).orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
+    most = counted.filter(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
     tokens = most.column("token").to_numpy().view(np.uint64)
     order = np.argsort(tokens)
     return Common(tokens[order], most.column("n").to_numpy()[order])
@@ -394,11 +393,12 @@ def _least_shared(apart: int, lead: int, n: int, shape: Shape) -> int:
 def alike(sets: Sets, shape: Shape, known: DataFrame | None = None) -> DataFrame:
     """(node, root) of the components that links of alike sets make; roots are not listed.
 
-    ``known`` are edges (a, b) that count beside. Members of a key up to ``SMALL`` are compared
-    with one another. A larger key elects a lead, the member with the fewest rarer shingles before
-    the key, which of a family of copies is most like its source. All other members in other
-    components are compared with it and it leaves the key, for nothing is unknown of it there.
-    Leads are elected anew while that links anything, at most ``ROUNDS`` times. Members still in
+    ``known`` are edges (a, b) that count beside. A key of more than ``SMALL`` members
+    elects a lead, the member that meets most others under all its large keys, which of a family of copies
+    is most like its source and mostly the same for all keys of the family. All other members in other components are compared with it and it
+    leaves the key, for nothing is unknown of it there. Then members of smaller keys that still lie
+    apart are compared with one another. Leads are elected anew while that links anything, at most
+    ``ROUNDS`` times. Members still in
     different components meet by how they differ from their key's first lead (``differences``).
     """
     spark = sets.nodes.sparkSession
@@ -408,27 +408,20 @@ def alike(sets: Sets, shape: Shape, known: DataFrame | None = None) -> DataFrame
         found = [shingles(t, shape.words) for t in batch.column(1).to_pylist()]
         made = [signatures(s, sent.value, shape) for s in found]
         return pa.RecordBatch.from_arrays([
-            batch.column(0), pa.array([len(s) for s in found], pa.int32()), pa.array([k for k, _ in made], pa.list_(pa.int64())),
-            pa.array([int((p > 0).sum()) for _, p in made], pa.int32())], ["node", "n", "keys", "placed"])
-
-    # A table of its own, so that Spark knows how small the numbers alone are.
-    nodes = cut_lineage(sets.nodes.select("node"))
-    kept = cut_lineage(arrow_rows(sets.texts.join(nodes, "node", "left_semi").select("node", "_text"), "node bigint, n int, keys array<bigint>, placed int", make))
-    # Single shingles come first, in order of their places; combinations have place 0.
-    keys = kept.select("node", "n", "placed", F.posexplode("keys").alias("at", "key")).select(
-        "key", "node", F.expr("if(at <= placed, at, 0)").alias("at"), "n")
-    groups = keys.groupBy("key").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
-    shared = cut_lineage(keys.join(groups, "key"))
+            batch.column(0), pa.array([len(s) for s in found], pa.int32()), pa.array([k for k, _ in made], pa.list_(pa.int64()))], ["node", "n", "keys"])
+
+    # Keys are made where the texts lie: no text moves, and of equal sets those of one go on.
+    made = arrow_rows(sets.texts, "node bigint, n int, keys array<bigint>", make)
+    keys = made.join(sets.nodes.select("node"), "node", "left_semi").select(F.explode("keys").alias("key"), "node", "n")
+    shared = cut_lineage(keys.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("many > 1"))
 
     def can(x: str, y: str) -> str:
-        """Whether sets whose first shared shingle has these places can be alike."""
-        low, high = f"least({x}.n, {y}.n)", f"greatest({x}.n, {y}.n)"
-        return (f"100L * {low} >= {shape.percent} * {high} AND "
-                f"(100L + {shape.percent}) * least({x}.n - {x}.at, {y}.n - {y}.at) >= {shape.percent}L * ({x}.n + {y}.n)")
+        """Whether sets of these sizes can be alike."""
+        return f"100L * least({x}.n, {y}.n) >= {shape.percent} * greatest({x}.n, {y}.n)"
 
     def led(members: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Pairs with the leads of keys whose members lie apart, and the members that stay."""
-        leads = members.groupBy("key").agg(F.min(F.struct("at", "node", "n", "part")).alias("y"), F.min("part").alias("low"),
+        leads = members.groupBy("key").agg(F.max(F.struct("met", "node", "n", "part")).alias("y"), F.min("part").alias("low"),
                                            F.max("part").alias("high")).filter("low != high").select("key", "y")
         met = members.join(leads, "key").filter("node != y.node")
         met = cut_lineage(met if "lead" in members.columns else met.withColumn("lead", F.col("y.node")))
@@ -441,16 +434,19 @@ def alike(sets: Sets, shape: Shape, known: DataFrame | None = None) -> DataFrame
         return cut_lineage(components(edges.unionByName(found))), found.count()
 
     edges = known if known is not None else spark.createDataFrame([], "a bigint, b bigint")
-    pairs, members = led(shared.filter(F.col("many") > SMALL).withColumn("part", F.col("node")))
-    few = shared.filter(F.col("many") <= SMALL)
-    x, y = few.alias("x"), few.alias("y")
-    pairs = pairs.unionByName(x.join(y, F.expr(f"x.key = y.key AND x.node > y.node AND {can('x', 'y')}")).select(
-        F.col("x.node").alias("a"), F.col("y.node").alias("b")))
-    for _ in range(ROUNDS):
+    large = shared.filter(F.col("many") > SMALL)
+    met = cut_lineage(large.groupBy("node").agg(F.sum("many").alias("met")))
+    pairs, members = led(large.join(met, "node").withColumn("part", F.col("node")))
+    for number in range(ROUNDS):
         roots, linked = grown(edges, pairs)
         edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         pairs, members = led(_parts(members, roots))
-        if not linked or members.isEmpty():
+        if not number:
+            few = cut_lineage(_parts(shared.filter(F.col("many") <= SMALL), roots))
+            x, y = few.alias("x"), few.alias("y")
+            pairs = pairs.unionByName(x.join(y, F.expr(f"x.key = y.key AND x.node > y.node AND x.part != y.part AND {can('x', 'y')}")).select(
+                F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+        elif not linked or members.isEmpty():
             break
     apart = cut_lineage(_parts(members, roots))
     keys = apart.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("key")

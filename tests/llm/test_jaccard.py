@@ -88,6 +88,16 @@ def test_number_of_keys_grows_with_the_set_only():
             assert len(jaccard.signatures(tokens, common, Shape())[0]) <= 4 * n
 
 
+def test_sets_of_frequent_shingles_hardly_share_keys():
+    """Sets that have a tenth of their shingles in common by chance."""
+    rng = np.random.default_rng(6)
+    pool = np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64))
+    common = Common(pool, np.full(len(pool), 600, np.int64))
+    sets = [np.sort(rng.choice(pool, 300, replace=False)) for _ in range(100)]
+    keys = np.concatenate([jaccard.signatures(s, common, Shape())[0] for s in sets])
+    assert len(keys) - len(np.unique(keys)) <= 10 and len(keys) <= 40 * 300
+
+
 def test_bounded_counters_find_frequent_shingles(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "COUNTERS", 50)
     counters = jaccard._Counters()

@@ -317,16 +317,34 @@ def _parts(members: DataFrame, roots: DataFrame) -> DataFrame:
     return members.join(named, F.col("node") == F.col("_n"), "left").withColumn("part", F.coalesce("root", "node")).drop("_n", "root")
 
 
+def gathered(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (key, node, lead, part) with one lead for all keys of a family, and the pairs (lead, node,
+    part) this makes that have not been compared.
+
+    Keys of a family may have elected different leads, the more the larger it is, and a member
+    would differ from each of them anew. So each key takes the lead that most of its members call
+    the one with most members, which leaves the members of a family one lead as a rule. The lead
+    itself leaves the key.
+    """
+    met = cut_lineage(members.select("lead", "node").distinct())
+    sizes = met.groupBy("lead").agg(F.count(F.lit(1)).alias("size"))
+    called = cut_lineage(met.join(sizes, "lead").groupBy("node").agg(F.max(F.struct("size", "lead")).alias("best")))
+    times = members.select("key", "node").join(called, "node").groupBy("key", "best").agg(F.count(F.lit(1)).alias("times"))
+    leads = times.groupBy("key").agg(F.max(F.struct("times", "best"))["best"]["lead"].alias("lead"))
+    moved = cut_lineage(members.drop("lead").join(leads, "key").filter("node != lead"))
+    return moved, moved.select("lead", "node", "part").distinct().join(met, ["lead", "node"], "left_anti")
+
+
 def differences(members: DataFrame, sets: Sets, shape: Shape) -> tuple[DataFrame, DataFrame]:
-    """Candidate pairs (a, b) among the members (lead, node, part) of each lead, all of which have
-    been compared with it, and the members (lead, node, near) that are far from it: every alike pair of
+    """Candidate pairs (a, b) among the members (lead, node, part) of each lead, each of which is
+    compared with it elsewhere, and the members (lead, node, near) that are far from it: every alike pair of
     different parts is a candidate or has two far members, one of which at least is not near.
 
     D(x), the shingles that just one of x and the lead has, is small in a family of copies, and two
     members differ by exactly what D(x) and D(y) differ. If x and y are alike, but y and the lead
     are not, D(x) and D(y) must share some shingles; ``_least_shared`` says how many. So they meet
     in prefixes of D ordered by its own frequencies, where what all copies share plays no part.
-    Members alike to the lead are in its component already and need not meet one another; their
+    Members alike to the lead come into its component and need not meet one another; their
     prefixes meet all of D of the others. Members are near up to ``NEAR`` of their size; as alike
     sets differ by a bounded part of it, a partner of one that is not near is far.
     """
@@ -399,7 +417,8 @@ def alike(sets: Sets, shape: Shape, known: DataFrame | None = None) -> DataFrame
     leaves the key, for nothing is unknown of it there. Then members of smaller keys that still lie
     apart are compared with one another. Leads are elected anew while that links anything, at most
     ``ROUNDS`` times. Members still in
-    different components meet by how they differ from their key's first lead (``differences``).
+    different components meet by how they differ from one lead of their family (``gathered``,
+    ``differences``).
     """
     spark = sets.nodes.sparkSession
     sent = spark.sparkContext.broadcast(sets.common)  # at most ``FREQUENT`` shingles
@@ -450,13 +469,16 @@ def alike(sets: Sets, shape: Shape, known: DataFrame | None = None) -> DataFrame
             break
     apart = cut_lineage(_parts(members, roots))
     keys = apart.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low != high").select("key")
-    apart = cut_lineage(apart.join(keys, "key"))
+    apart, fresh = gathered(cut_lineage(apart.join(keys, "key")))
+    named = roots.select(F.col("node").alias("lead"), "root")
+    fresh = fresh.join(named, "lead", "left").filter(F.col("part") != F.coalesce("root", "lead")).select(
+        F.greatest("lead", "node").alias("a"), F.least("lead", "node").alias("b"))
     met, far = differences(cut_lineage(apart.select("lead", "node", "part").distinct()), sets, shape)
     far = cut_lineage(apart.join(far, ["lead", "node"]))
     x, y = far.alias("x"), far.alias("y")
     rest = x.join(y, F.expr(f"x.key = y.key AND x.node > y.node AND x.part != y.part AND NOT (x.near AND y.near) AND {can('x', 'y')}")).select(
         F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    return grown(edges, pairs.unionByName(met).unionByName(rest))[0]
+    return grown(edges, pairs.unionByName(fresh).unionByName(met).unionByName(rest))[0]
 
 
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

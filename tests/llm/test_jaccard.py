@@ -180,6 +180,24 @@ def test_a_family_without_links_is_hardly_paired(spark, monkeypatch):
     assert sorted(by.values()) == sorted(brute_groups([brute_set(t, 5) for t in texts], 80))
 
 
+def test_members_of_a_family_differ_from_one_lead(spark, monkeypatch):
+    """Keys without the family's best lead elect others; members are not set against each of them."""
+    seen, plain = [], jaccard.differences
+
+    def counted(members, *rest):
+        seen.append((members.count(), members.select("node").distinct().count()))
+        return plain(members, *rest)
+
+    monkeypatch.setattr(jaccard, "differences", counted)
+    rng = random.Random(14)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [t for edits in (3, 4, 5) for t in family(rng, words, 150, 150, edits)]
+    got = found(spark, lambda rows: spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string"), list(enumerate(texts)))
+    assert got == brute_rows(list(enumerate(texts)))
+    (pairs, nodes), = seen
+    assert 100 < nodes and pairs <= 1.1 * nodes
+
+
 def test_query_matches_brute_force(spark):
     from evitrace.llm.queries import QUERIES
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from evitrace.llm.common import arrow_rows
 
 #: Words and table entries that a worker remembers before it starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 1 << 17
 #: No later merge takes a token in: above all ranks.
 NEVER = 1 << 30
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -83,19 +84,6 @@ class Shape(NamedTuple):
         return max(2 * low, 100 * low // self.percent + 1)
 
 
-class _Hashes(dict):
-    """Hashes of words, remembered up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 19:
-            self.clear()
-        made = self[word] = xxhash.xxh64_intdigest(word, SEED)
-        return made
-
-
-_word_hashes = _Hashes()
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """Unsigned 64-bit numbers spread over all bits."""
     with np.errstate(over="ignore"):
@@ -110,7 +98,7 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_word_hashes.__getitem__, found), np.uint64, len(found))
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, found, repeat(SEED)), np.uint64, len(found))
     run = min(words, len(found))
     rolled = np.full(len(found) - run + 1, run, np.uint64)
     with np.errstate(over="ignore"):
@@ -211,9 +199,9 @@ class _Counters:
             self.thin()
 
     def thin(self) -> None:
-        fresh, seen = np.unique(np.concatenate([self.kept[:0], *self.taken]), return_counts=True)
-        both, where = np.unique(np.concatenate([self.kept, fresh]), return_inverse=True)
-        total = np.bincount(where, np.concatenate([self.times, seen]), len(both)).astype(np.int64)
+        both, total = np.unique(np.concatenate([self.kept, *self.taken]), return_counts=True)
+        self.taken = []
+        total[np.searchsorted(both, self.kept)] += self.times - 1
         if len(both) > COUNTERS:
             total -= np.partition(total, len(both) - COUNTERS - 1)[len(both) - COUNTERS - 1]
         self.kept, self.times, self.taken, self.held = both[total > 0], total[total > 0], [], 0

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -108,6 +109,27 @@ def test_bounded_counters_find_frequent_shingles(spark, monkeypatch):
     assert len(counters.kept) <= 50 and 0 < counters.times[at[0]] <= 3000
 
 
+def test_workers_keep_no_words():
+    """What a worker holds does not grow with the distinct words it has seen."""
+    tracemalloc.start()
+    for i in range(300):
+        jaccard.shingles(" ".join(f"{i}x{j}" for j in range(1000)), 5)
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 1 << 20
+
+
+def test_counters_add_up_over_thinnings(monkeypatch):
+    monkeypatch.setattr(jaccard, "TAKEN", 40)
+    counters, rng = jaccard._Counters(), np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 30, 12).astype(np.uint64)) for _ in range(200)]
+    for s in sets:
+        counters.add(s)
+    counters.thin()
+    plain = np.unique(np.concatenate(sets), return_counts=True)
+    assert dict(zip(counters.kept.tolist(), counters.times.tolist())) == dict(zip(*(x.tolist() for x in plain)))
+
+
 def test_parities_never_exceed_what_sets_differ_by():
     rng = random.Random(12)
     for _ in range(300):

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from evitrace.functions import digest
 from evitrace.operators.search import Corpus, Request, text_search
-from evitrace.operators import records
+from evitrace.operators import postings, records
 from evitrace.sources import documents, fields, flows, generation, markup, metadata, soql, tree
 from evitrace.streaming import index as index_stream
 from evitrace.streaming import ledger as stream
@@ -206,6 +206,33 @@ def test_changed_entries(spark):
     assert got == {("T:c:F", "new"), ("T:c:D", "removed"), ("T:c:C", "changed")}
 
 
+def test_copies_of_an_identity_are_compared_as_a_whole(spark):
+    one = _entries(spark)
+    copy, nameless = one.filter("full_name = 'A'"), one.filter("full_name = 'B'").withColumn("identity", F.lit(None).cast("string"))
+    before = one.unionByName(copy).unionByName(nameless)
+    changes = lambda was, now: {(r.identity, r.change) for r in generation.changed_entries(generation.stamps(_corpus(was)), _corpus(now)).collect()}
+    assert changes(before, before) == set()
+    assert changes(before, one) == {("T:c:A", "changed"), (None, "removed")} and changes(one, before) == {("T:c:A", "changed"), (None, "new")}
+    rows = lambda df: sorted(map(str, df.select("token", "identity", "field", "tf", "size").collect()))
+    postings_of = lambda df: postings.token_postings(df, _corpus(df).fields)
+    for was, now in ((before, one), (one, before)):
+        assert rows(generation.incremental(postings_of(was), generation.stamps(_corpus(was)), _corpus(now))) == rows(postings_of(now))
+
+
+def test_an_update_redoes_changed_entries_alone(spark, tmp_path, monkeypatch):
+    from evitrace.plans.maintenance import QUERIES
+
+    texts = [(i, f"words of text {i}", lang, "src", 15) for i, lang in enumerate(["en", "es", "de", "en", None, "fr"])]
+    spark.createDataFrame(texts, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0), (2, 0, 1), (3, 0, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    given, real = [], generation.incremental
+    monkeypatch.setattr(generation, "incremental", lambda previous, stamped, corpus: given.append((stamped, corpus)) or real(previous, stamped, corpus))
+    row = QUERIES["incremental_equals_full"](spark, str(tmp_path)).first()
+    assert row.differing == 0 and row.postings > 0
+    got = {(r.identity.rsplit(".", 1)[1], r.change) for r in generation.changed_entries(*given[0]).collect()}
+    assert got == {("1", "new"), ("4", "new"), ("2", "changed")}
+
+
 def test_ledger_stream_is_idempotent_and_flags_gaps(spark, tmp_path):
     schema = "identity string, sequence bigint, action string"
     for i, batch in enumerate(([("a", 1, "approve"), ("b", 2, "approve")], [("a", 4, "revoke"), ("a", 3, "approve")], [("b", 6, "approve"), ("a", 4, "revoke")])):

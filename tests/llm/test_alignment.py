@@ -112,6 +112,30 @@ def test_shared_groups_are_counted():
     assert list(zip(*(x.tolist() for x in found.links))) == [(0, 0), (0, 1), (1, 2), (1, 3), (2, 3)]
 
 
+def test_products_are_formed_over_all_bytes_and_groups(monkeypatch):
+    rng, real = random.Random(5), alignment.product
+    for block in (1 << 16, 4):
+        monkeypatch.setattr(alignment, "BLOCK", block)
+        for _ in range(40):
+            size = rng.randrange(1, 30)
+            cut = lambda: np.diff([0, *sorted(rng.sample(range(1, size), rng.randrange(size))), size])
+            one, two, formed = cut(), cut(), []
+
+            def product(left, right):
+                pairs = list(real(left, right))
+                formed.append((left, right, [p for f in pairs for p in zip(*(x.tolist() for x in f))]))
+                return iter(pairs)
+
+            monkeypatch.setattr(alignment, "product", product)
+            found = alignment.align(one, two)
+            (left, right, links), (_, _, shared) = formed
+            assert left.columns == size and dense(left).sum() == dense(right).sum() == size
+            spans = [[range(e - n, e) for n, e in zip(side.tolist(), np.cumsum(side).tolist())] for side in (one, two)]
+            assert links == [(i, j) for i, x in enumerate(spans[0]) for j, y in enumerate(spans[1]) if set(x) & set(y)]
+            assert shared == [(i, j) for i, g in enumerate(found.group_a.tolist()) for j, h in enumerate(found.group_b.tolist()) if g == h]
+            assert found.partners.tolist() == [sum(i == x for x, _ in shared) for i in range(len(one))]
+
+
 def test_words_are_encoded_as_within_their_text():
     one, rng = Tokenizer.from_file(A), random.Random(3)
     one.encode_special_tokens = True

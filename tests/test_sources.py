@@ -1,4 +1,5 @@
 import json
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -233,6 +234,42 @@ def test_an_update_redoes_changed_entries_alone(spark, tmp_path, monkeypatch):
     assert got == {("1", "new"), ("4", "new"), ("2", "changed")}
 
 
+def test_an_update_keeps_packed_postings(spark, tmp_path, monkeypatch):
+    first = _entries(spark)
+    home = str(tmp_path / "index")
+    generation.build(_corpus(first), home)
+    later = _entries(spark, [("F", "draft", "new words")]).filter("full_name <> 'D'").withColumn("lane", F.when(F.col("full_name") == "C", "revoked").otherwise(F.col("lane")))
+    analysed, real = [], postings.token_postings
+    monkeypatch.setattr(postings, "token_postings", lambda entries, *rest, **more: analysed.append(entries) or real(entries, *rest, **more))
+    generation.update(_corpus(later), home)
+    assert [sorted(r.full_name for r in e.collect()) for e in analysed] == [["C", "F"]]
+    monkeypatch.undo()
+    updated = generation.load(spark, home, _corpus(later))["home"]
+    columns = ["token", "identity", "lane", "field", "tf", "size"]
+    rows = lambda df: sorted(map(str, df.select(columns).collect()))
+    want = rows(real(later, _corpus(later).fields, keep=["lane"]))
+    assert rows(spark.read.parquet(f"{updated}/tokens")) == want
+    assert rows(postings.unpacked(spark.read.parquet(f"{updated}/postings"), list(_corpus(later).fields))) == want
+
+
+def test_differing_postings_are_counted(spark):
+    from evitrace.plans.maintenance import _differing
+
+    def sides(one, other):
+        fields = {"t": F.col("t"), "u": F.col("u")}
+        made = [spark.createDataFrame(rows, "identity string, t string, u string") for rows in (one, other)]
+        counted = [Counter((r.token, r.identity, r.field, r.tf) for r in postings.token_postings(m, fields).collect()) for m in made]
+        every = counted[0].keys() | counted[1].keys()
+        got = _differing(*(postings.token_postings(m, fields, packed=True) for m in made), list(fields)).collect()
+        assert [tuple(r) for r in got] == [(sum(counted[0][k] != counted[1][k] for k in every), len(every))]
+
+    rows = [("a", "one two two", "three"), ("a", "one two two", "three"), ("b", "four", None), (None, "five", "six"), ("c", "", "")]
+    sides(rows, rows)
+    sides(rows, rows[1:])
+    sides(rows[:3], [*rows, ("a", "one two", "three"), ("b", "four more", "")])
+    sides([], [])
+
+
 def test_ledger_stream_is_idempotent_and_flags_gaps(spark, tmp_path):
     schema = "identity string, sequence bigint, action string"
     for i, batch in enumerate(([("a", 1, "approve"), ("b", 2, "approve")], [("a", 4, "revoke"), ("a", 3, "approve")], [("b", 6, "approve"), ("a", 4, "revoke")])):

@@ -180,3 +180,68 @@ def test_facets_without_a_list_and_with_lists_alone(spark):
     assert rows({"a": F.col("a")}) == [("a", "a", "1")]
     assert rows({"l": F.col("l")}) == [("l", "x", "1")] * 2
     assert rows({"a": F.col("a"), "l": F.col("l")}) == [("a", "a", "1")] + [("l", "x", "1")] * 2
+
+
+def test_texts_are_counted_together_as_one_by_one():
+    from collections import Counter
+
+    from evitrace.functions import analyze
+
+    texts = ["", "Straße My_Field__c a.b ﬁn", "a\x1fb\x85c İstanbul A-b_c Foo__C ٣ é", "Été été ÉTÉ e\u0301te \u0301 ǰ", "x X x1Y 1Y getURL ... - _", "łódź Łódź æther \u2028 ß ẞ", "x " * 50]
+    found = analyze.count_texts(texts)
+    got = [Counter() for _ in texts]
+    for token, at, n in zip(found.tokens.to_pylist(), found.text.tolist(), found.tf.tolist()):
+        assert token not in got[at]
+        got[at][token] = n
+    assert got == [Counter(analyze.analyze_text(t)) for t in texts] and found.sizes.tolist() == [c.total() for c in got]
+    assert found.text.tolist() == sorted(found.text.tolist())
+    raws = [r for t in texts for r in analyze._split_raw(t)]
+    assert analyze._expand_all(raws) == [analyze._expand(r) for r in raws]
+
+
+def test_packed_postings_hold_what_rows_hold(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from evitrace.operators import postings
+
+    given = [("a", "x", "one two two", "Two é"), ("b", "y", None, "three"), (None, "x", "one", ""), ("e", None, "", None), ("a", "x", "one two two", "Two é")]
+    given += [(f"k{i}", "x", f"one w{i} w{i % 7}", "hot") for i in range(300)]
+    entries = spark.createDataFrame(given, "identity string, lane string, t string, u string").repartition(5)
+    fields = {"t": F.col("t"), "u": F.col("u")}
+    columns = ["token", "identity", "lane", "field", "tf", "size"]
+    rows = lambda df: sorted(map(repr, df.select(columns).collect()))
+    want = rows(postings.token_postings(entries, fields, keep=["lane"]))
+    packed = postings.token_postings(entries, fields, keep=["lane"], packed=True)
+    assert packed.count() == 304 and packed.agg(F.sum("n")).first()[0] == len(want)
+    assert rows(postings.unpacked(packed, list(fields))) == want
+    ordered = postings.sorted_postings(packed, list(fields))
+    assert rows(ordered) == want
+    for part in ordered.select("token").rdd.glom().collect():
+        assert [r.token for r in part] == sorted(r.token for r in part)
+    # A block for each token of a task's entries is sorted, not a row for each posting.
+    assert postings.sorted_postings(packed.coalesce(1), list(fields)).select("token").distinct().count() < len(want) // 2
+    row = np.array([2, 0, 1, 0])
+    blocks = postings._blocks(pa.array(["y", "x", "y", "x"]), [pa.array(["i", None, "k"]), pa.array(["é", "", "l"])], row, [np.arange(4)])
+    held = postings._numbers(blocks[-1]).reshape(-1, 3)
+    assert blocks[0].to_pylist() == ["y", "x"] and blocks[1].to_pylist() == ["k", "i"] and blocks[2].to_pylist() == [2, 2]
+    assert [c.to_pylist() for c in postings._opened(blocks[3:5], held)] == [["k", None, "i", "i"], ["l", "", "é", "é"]] and held[:, 2].tolist() == [0, 2, 1, 3]
+    assert list(postings._portions(np.array([1, 5, 1, 1, 9]), 3)) == [(0, 1), (1, 2), (2, 4), (4, 5)]
+
+
+def test_ordered_facets_are_the_same_rows(spark):
+    from pyspark.sql import functions as F
+
+    from evitrace.operators import postings
+
+    given = [("1", "A", ["X", None, "x", "Y"]), ("2", None, None), (None, "b", ["x"]), ("4", "b", [])] + [(f"k{i}", "A", ["Hot", f"v{i % 9}"]) for i in range(100)]
+    entries = spark.createDataFrame(given, "identity string, a string, l array<string>").repartition(3)
+    facets = {"l": F.col("l"), "a": F.col("a"), "m": F.split("a", ",")}
+    rows = lambda df: sorted(map(repr, df.select("facet", "value", "identity").collect()))
+    ordered = postings.facet_postings(entries, facets, ordered=True)
+    assert rows(ordered) == rows(postings.facet_postings(entries, facets))
+    for part in ordered.rdd.glom().collect():
+        assert [(r.facet, r.value) for r in part] == sorted((r.facet, r.value) for r in part)
+    empty = entries.filter("identity = '2'")
+    assert postings.facet_postings(empty, {"l": F.col("l")}, ordered=True).collect() == []
